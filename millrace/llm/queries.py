@@ -6,11 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.llm import packing, quality
+from millrace.llm import decontamination, lines, packing, quality, secrets
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op5_secrets": secrets.op5_secrets,
+    "op6_lines": lines.op6_lines,
     "op8_packing": packing.op8_packing,
     "op9_quality": quality.op9_quality,
+    "op10_decontamination": decontamination.op10_decontamination,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op6_lines": lines.SQL}
