@@ -15,24 +15,67 @@ class Tokenizer:
     """Token ids of texts by a public tokenizer file, remembering the ids of each run of non-space characters.
 
     The file's normaliser and splitter never join characters across ASCII white space, so a text's ids are those of
-    its runs between such in turn. The memory is emptied at ``most`` runs.
+    its runs between such in turn; it lower-cases, so runs are looked up in lower case (but for texts that may hold a
+    special token, which is matched as written). New runs are encoded together, with a mark between them that is a
+    token of its own. The memory has two generations of ``most`` runs: as the younger fills up, it becomes the
+    older, and runs met again return to the younger.
     """
 
+    MARK = b"\x01"
+
     def __init__(self, path: str, end_id: int, most: int = 400_000):
         from tokenizers import Tokenizer as Public
 
-        self.public, self.end, self.most, self.known = Public.from_file(path), end_id, most, {}
-
-    def ids(self, text: str | None) -> np.ndarray:
-        runs, known = (text or "").encode().split(), self.known
-        new = [r for r in set(runs) if r not in known]
-        if new:
-            if len(known) + len(new) > self.most:
-                known.clear()
-                new = list(set(runs))
-            for run, found in zip(new, self.public.encode_batch([r.decode() for r in new], add_special_tokens=False)):
-                known[run] = np.array(found.ids, np.uint32).tobytes()
-        return np.frombuffer(b"".join([known[r] for r in runs]) + np.uint32(self.end).tobytes(), np.uint32)
+        self.public, self.end, self.most, self.known = Public.from_file(path), np.uint32(end_id).tobytes(), most, {}
+        self.older: dict[bytes, bytes] = {}
+        self.mark = self.encoded(self.MARK.decode())
+        if len(self.mark) != 1:
+            raise ValueError("the mark between runs must be one token")
+
+    def encoded(self, text: str) -> np.ndarray:
+        return np.array(self.public.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
+
+    def learn(self, runs: list[bytes]) -> None:
+        plain = [r for r in runs if self.MARK not in r]
+        for at in range(0, len(plain), 5000):
+            part = plain[at : at + 5000]
+            ids = self.encoded((b" " + self.MARK + b" ").join(part).decode())
+            stops = np.flatnonzero(ids == self.mark[0]).tolist()
+            data, start = ids.tobytes(), 0
+            for run, stop in zip(part, [*stops, len(ids)], strict=True):
+                self.known[run] = data[4 * start : 4 * stop]
+                start = stop + 1
+        for run in runs:
+            if self.MARK in run:
+                self.known[run] = self.encoded(run.decode()).tobytes()
+
+    def ids(self, texts: list[str | None]) -> list[np.ndarray]:
+        """The ids of each text, the end id last."""
+        runs = []
+        for text in texts:
+            data = (text or "").encode()
+            runs.append((data if b"<|" in data else data.lower()).split())
+        if len(self.known) > self.most:
+            self.known, self.older = {}, self.known
+        new = []
+        for run in {r for x in runs for r in x if r not in self.known}:
+            if run in self.older:
+                self.known[run] = self.older[run]
+            else:
+                new.append(run)
+        self.learn(new)
+        get = self.known.__getitem__
+        return [np.frombuffer(b"".join(map(get, x)) + self.end, np.uint32) for x in runs]
+
+
+def worker_tokenizer(path: str, end_id: int) -> Tokenizer:
+    """This worker process's tokenizer: tasks that run in it one after the other share what it remembers."""
+    import tokenizers
+
+    kept = vars(tokenizers).setdefault("_kept_by_packing", {})
+    if (path, end_id) not in kept:
+        kept[path, end_id] = Tokenizer(path, end_id)
+    return kept[path, end_id]
 
 
 def first_fit_decreasing(sizes: list[int], capacity: int) -> list[int]:
@@ -116,12 +159,12 @@ def pack_documents(docs: DataFrame, tokenizer_path: Callable[[], str], capacity:
     parts = "doc_id long, grp long, start long, n long, doc_tokens long, ids binary"
 
     def tokenise(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        public = Tokenizer(tokenizer_path(), end_id)
+        public = worker_tokenizer(tokenizer_path(), end_id)
         for frame in frames:
             for at in range(0, frame.num_rows, 250):
                 out = []
-                for doc, body, grp in zip(*(c.to_pylist() for c in frame.slice(at, 250).columns)):
-                    ids = public.ids(body)
+                docs_, bodies, groups_ = (c.to_pylist() for c in frame.slice(at, 250).columns)
+                for doc, ids, grp in zip(docs_, public.ids(bodies), groups_):
                     small = ids.astype("<u2").tobytes() if len(ids) and ids.max() < 65536 else ids.astype("<u4").tobytes()
                     width, cut = len(small) // len(ids), len(ids) // capacity * capacity
                     starts = [*range(0, cut, capacity), *([cut] if cut < len(ids) else [])]
