@@ -6,9 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.llm import decontamination, lines, packing, quality, secrets
+from millrace.llm import decontamination, lines, neardup, packing, quality, secrets, spotsigs
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_spotsigs": spotsigs.op1_spotsigs,
+    "op3_minhash": neardup.op3_minhash,
     "op5_secrets": secrets.op5_secrets,
     "op6_lines": lines.op6_lines,
     "op8_packing": packing.op8_packing,
