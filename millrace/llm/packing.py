@@ -4,50 +4,83 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+#: ASCII symbols at the end of a run; the tokenizer keeps them apart from letters.
+SYMBOLS = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+
 
 class Tokenizer:
     """Token ids of texts by a public tokenizer file, remembering the ids of each run of non-space characters.
 
     The file's normaliser and splitter never join characters across ASCII white space, so a text's ids are those of
     its runs between such in turn; it lower-cases, so runs are looked up in lower case (but for texts that may hold a
-    special token, which is matched as written). New runs are encoded together, with a mark between them that is a
-    token of its own. The memory has two generations of ``most`` runs: as the younger fills up, it becomes the
+    special token, which is matched as written). New runs are encoded together: words of letters one after the other,
+    as their last ids tell where they end, and others with a mark between them that is a token of its own. The memory has two generations of ``most`` runs: as the younger fills up, it becomes the
     older, and runs met again return to the younger.
     """
 
     MARK = b"\x01"
 
-    def __init__(self, path: str, end_id: int, most: int = 400_000):
+    def __init__(self, path: str, end_id: int, most: int = 500_000):
         from tokenizers import Tokenizer as Public
 
         self.public, self.end, self.most, self.known = Public.from_file(path), np.uint32(end_id).tobytes(), most, {}
         self.older: dict[bytes, bytes] = {}
-        self.mark = self.encoded(self.MARK.decode())
+        self.mark = self.encoded(self.MARK)
         if len(self.mark) != 1:
             raise ValueError("the mark between runs must be one token")
+        vocabulary = self.public.get_vocab()
+        self.word_ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.word_ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
 
-    def encoded(self, text: str) -> np.ndarray:
-        return np.array(self.public.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
+    def encoded(self, run: bytes) -> np.ndarray:
+        return np.array(self.public.encode_batch_fast([run.decode()], add_special_tokens=False)[0].ids, np.uint32)
 
     def learn(self, runs: list[bytes]) -> None:
-        plain = [r for r in runs if self.MARK not in r]
-        for at in range(0, len(plain), 5000):
-            part = plain[at : at + 5000]
-            ids = self.encoded((b" " + self.MARK + b" ").join(part).decode())
-            stops = np.flatnonzero(ids == self.mark[0]).tolist()
+        """Remembers new runs: those of letters, with symbols after them or not, by their two parts, others as they are."""
+        known = self.known
+        self.separate([r for r in runs if r.isalpha()], self.word_ends)
+        rest, parts = [], []
+        for run in runs:
+            if not run.isalpha():
+                core = run.rstrip(SYMBOLS)
+                (parts if core.isalpha() or core.decode().isalpha() else rest).append((run, core))
+        cores = {core for _, core in parts if core not in known}
+        ends = {run[len(core) :] for run, core in parts if len(run) > len(core)}
+        self.separate(list(cores), self.word_ends)
+        self.separate([r for r in {*ends, *(run for run, _ in rest)} if r not in known], None)
+        for run, core in parts:
+            if len(run) > len(core):
+                known[run] = known[core] + known[run[len(core) :]]
+
+    def separate(self, runs: list[bytes], ends: np.ndarray | None) -> None:
+        """Remembers runs encoded together: told apart by the ids in ``ends``, or by marks put in between."""
+        if ends is None:
+            for run in runs:
+                if self.MARK in run:
+                    self.known[run] = self.encoded(run).tobytes()
+            runs = [r for r in runs if self.MARK not in r]
+        for at in range(0, len(runs), 2000):
+            part = runs[at : at + 2000]
+            if ends is None:
+                ids = self.encoded((b" " + self.MARK + b" ").join([*part, b""]))
+                stops, skip = np.flatnonzero(ids == self.mark[0]), 1
+            else:
+                ids = self.encoded(b" ".join(part))
+                stops, skip = np.flatnonzero(ends[ids]) + 1, 0
+                if len(stops) != len(part):
+                    self.separate(part, None)
+                    continue
             data, start = ids.tobytes(), 0
-            for run, stop in zip(part, [*stops, len(ids)], strict=True):
+            for run, stop in zip(part, stops.tolist(), strict=True):
                 self.known[run] = data[4 * start : 4 * stop]
-                start = stop + 1
-        for run in runs:
-            if self.MARK in run:
-                self.known[run] = self.encoded(run.decode()).tobytes()
+                start = stop + skip
 
     def ids(self, texts: list[str | None]) -> list[np.ndarray]:
         """The ids of each text, the end id last."""
@@ -58,7 +91,7 @@ class Tokenizer:
         if len(self.known) > self.most:
             self.known, self.older = {}, self.known
         new = []
-        for run in {r for x in runs for r in x if r not in self.known}:
+        for run in set(chain.from_iterable(runs)).difference(self.known):
             if run in self.older:
                 self.known[run] = self.older[run]
             else:
@@ -161,9 +194,9 @@ def pack_documents(docs: DataFrame, tokenizer_path: Callable[[], str], capacity:
     def tokenise(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         public = worker_tokenizer(tokenizer_path(), end_id)
         for frame in frames:
-            for at in range(0, frame.num_rows, 250):
+            for at in range(0, frame.num_rows, 500):
                 out = []
-                docs_, bodies, groups_ = (c.to_pylist() for c in frame.slice(at, 250).columns)
+                docs_, bodies, groups_ = (c.to_pylist() for c in frame.slice(at, 500).columns)
                 for doc, ids, grp in zip(docs_, public.ids(bodies), groups_):
                     small = ids.astype("<u2").tobytes() if len(ids) and ids.max() < 65536 else ids.astype("<u4").tobytes()
                     width, cut = len(small) // len(ids), len(ids) // capacity * capacity
