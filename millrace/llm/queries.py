@@ -6,13 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.llm import decontamination, lines, neardup, packing, quality, secrets, spotsigs
+from millrace.llm import decontamination, language, lines, neardup, packing, quality, recompression, secrets, spotsigs
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_spotsigs": spotsigs.op1_spotsigs,
     "op3_minhash": neardup.op3_minhash,
+    "op4_recompression": recompression.op4_recompression,
     "op5_secrets": secrets.op5_secrets,
     "op6_lines": lines.op6_lines,
+    "op7_language": language.op7_language,
     "op8_packing": packing.op8_packing,
     "op9_quality": quality.op9_quality,
     "op10_decontamination": decontamination.op10_decontamination,
