@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.llm import decontamination, language, lines, neardup, packing, quality, recompression, secrets, spotsigs
+from millrace.llm import decontamination, language, lines, neardup, packing, quality, recompression, secrets, spotsigs, substrings
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_spotsigs": spotsigs.op1_spotsigs,
+    "op2_substrings": substrings.op2_substrings,
     "op3_minhash": neardup.op3_minhash,
     "op4_recompression": recompression.op4_recompression,
     "op5_secrets": secrets.op5_secrets,
