@@ -4,9 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterable, Iterator
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -37,33 +35,11 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
-def only(df: DataFrame, *columns: str) -> DataFrame:
-    """Just these columns of ``df``, whatever else it has."""
-    return df.select(*[df[f"`{c}`"] for c in columns])
-
-
 def let(value: Column, body) -> Column:
     """``body(value)`` with ``value`` computed once a row, however often the body's lambdas use it."""
     return F.transform(F.array(value), body)[0]
 
 
-def batches(rows: Iterable[tuple], schema: pa.Schema, size: int = 2000) -> Iterator[pa.RecordBatch]:
-    """Record batches of at most ``size`` rows."""
-    held: list[tuple] = []
-    for row in rows:
-        held.append(row)
-        if len(held) >= size:
-            yield pack(held, schema)
-            held = []
-    if held:
-        yield pack(held, schema)
-
-
-def pack(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
-    columns = list(zip(*rows)) if rows else [[] for _ in schema]
-    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
-
-
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """Connected components of undirected ``edges`` (``a``, ``b``, long): rows ``node``, ``root``, the smallest node reachable.
 
@@ -87,3 +63,17 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     else:
         raise RuntimeError(f"components did not settle in {rounds} rounds")
     return now.select(F.col("a").alias("node"), F.col("b").alias("root")).union(now.select(F.col("b").alias("node"), F.col("b").alias("root"))).distinct()
+
+
+def stored(df: DataFrame) -> tuple[DataFrame, str]:
+    """The rows of ``df`` as a Parquet table in the shared checkpoint folder, read back, and the table's path."""
+    spark = df.sparkSession
+    path = f"{checkpoint_dir(spark)}/millrace-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.parquet(path), path
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Deletes a table that ``stored`` made."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
