@@ -1,14 +1,251 @@
-"""The retrieval queries by name, with equivalent SQL."""
+"""The retrieval queries by name, with equivalent SQL where SQL can express them."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+from millrace.config import Settings
+from millrace.functions import text as T
+from millrace.functions import vectors as V
+from millrace.operators import admin, chunking, index, prompt, search
+from millrace.plans.oracles import ORACLES  # noqa: F401
+from millrace.sources import files
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUESTION = "the nature of that and this"
+CONFIG = index.fingerprint(Settings())
+PLACES = 6
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents")
+
+
+def with_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return documents(spark, sf_dir).select("doc_id", T.sentences(F.col("text")).alias("sentences"))
+
+
+def one_query(spark: SparkSession, query: str = QUESTION) -> DataFrame:
+    return spark.range(1).select(F.lit(0).cast("long").alias("query_id"), F.lit(query).alias("query"))
+
+
+def long(*columns: str):
+    return [F.col(c).cast("long").alias(c) for c in columns]
 
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id")
+    """Documents in windows of sentences, and the five chunks that answer a question best by keywords."""
+    chunks = with_sentences(spark, sf_dir).select("doc_id", F.inline(chunking.sentence_windows(F.col("sentences"))))
+    stored = chunks.select(F.concat_ws("_chunk_", "doc_id", "chunk_id").alias("id"), F.col("text").alias("document"))
+    top = search.bm25_top(one_query(spark), stored, 5, places=PLACES)
+    return top.join(stored, "id").select("rank", "id", "score", "document")
+
+
+def sentences(spark, d):
+    return with_sentences(spark, d).select("doc_id", F.posexplode("sentences").alias("pos", "sentence")).select("doc_id", *long("pos"), "sentence")
+
+
+def window_chunks(size: int, overlap: int) -> Query:
+    def run(spark, d):
+        found = with_sentences(spark, d).select("doc_id", F.inline(chunking.sentence_windows(F.col("sentences"), size, overlap)))
+        return found.select("doc_id", *long("chunk_id", "first_sentence"), F.md5("text").alias("text_md5"))
+
+    return run
+
+
+def token_estimate(spark, d):
+    return documents(spark, d).select("doc_id", T.token_estimate(F.col("text")).cast("long").alias("tokens"))
+
+
+def budget_chunks(most: int, overlap: int) -> Query:
+    def run(spark, d):
+        found = with_sentences(spark, d).select("doc_id", F.inline(chunking.token_chunks(F.col("sentences"), most, overlap)))
+        return found.select("doc_id", *long("chunk_id", "first_sentence"), F.md5("text").alias("text_md5"))
+
+    return run
+
+
+def context_window(spark, d):
+    clean = with_sentences(spark, d).select("doc_id", chunking.stripped(F.col("sentences")).alias("s"))
+    return clean.select("doc_id", F.posexplode(chunking.contexts(F.col("s"), 1)).alias("pos", "context")).select("doc_id", *long("pos"), "context")
+
+
+def consecutive_distance(spark, d):
+    rows = table(spark, d, "embeddings").select("label", "vec_id", "embedding")
+    return chunking.adjacent_distances(rows, "label", "vec_id", "embedding").select("label", "vec_id", (F.round("distance", PLACES) + 0.0).alias("distance"))
+
+
+def semantic_breakpoints(spark, d):
+    rows = chunking.embedded_sentences(with_sentences(spark, d))
+    return chunking.semantic_breaks(rows, 95, places=9).select("doc_id", *long("pos"), (F.round("distance", PLACES) + 0.0).alias("distance"), "breaks")
+
+
+def chunk_semantic(spark, d):
+    rows = chunking.embedded_sentences(with_sentences(spark, d))
+    return chunking.semantic_chunks(rows, 95, places=9).select("doc_id", *long("chunk_id", "first_sentence", "n_sentences"), F.md5("text").alias("text_md5"))
+
+
+def content_hash(spark, d):
+    return documents(spark, d).select("doc_id", T.content_hash(F.col("text").cast("binary")).alias("hash"))
+
+
+def config_fingerprint(spark, d):
+    return spark.range(1).select(F.lit(CONFIG).alias("fingerprint"))
+
+
+def current_files(spark, d) -> DataFrame:
+    docs = documents(spark, d)
+    return docs.select(F.concat(F.lit("docs/"), F.col("source"), F.lit("/"), F.col("doc_id"), F.lit(".txt")).alias("path"), T.content_hash(F.col("text").cast("binary")).alias("hash"), "lang", "text", "doc_id")
+
+
+def past_manifest(spark, d) -> DataFrame:
+    """What an earlier run left: no German files, other French texts, another configuration for Spanish, and gone pages."""
+    now = current_files(spark, d).where("lang <> 'de'")
+    hashed = F.when(F.col("lang") == "fr", F.reverse("hash")).otherwise(F.col("hash"))
+    old = now.select("path", hashed.alias("hash"), F.when(F.col("lang") == "es", "00000000").otherwise(CONFIG).alias("config_fingerprint"))
+    gone = table(spark, d, "pages").select(F.concat(F.lit("pages/"), F.col("page_id"), F.lit(".html")).alias("path"), F.sha2("html", 256).alias("hash"), F.lit(CONFIG).alias("config_fingerprint"))
+    return old.unionByName(gone)
+
+
+def reindex_status(spark, d):
+    return index.file_status(current_files(spark, d).select("path", "hash"), past_manifest(spark, d), F.lit(CONFIG)).select("path", "status")
+
+
+def stale_files(spark, d):
+    return index.stale(past_manifest(spark, d), current_files(spark, d)).select("path")
+
+
+def upsert_result(spark, d):
+    keys = ("path",)
+    old = past_manifest(spark, d)
+    new = index.file_status(current_files(spark, d).select("path", "hash"), old, F.lit(CONFIG)).where("status <> 'skipped'").select("path", "hash", F.lit(CONFIG).alias("config_fingerprint"))
+    return index.upsert(index.delete(old, index.stale(old, current_files(spark, d)), keys), new, keys)
+
+
+def run_summary(spark, d):
+    status = reindex_status(spark, d).select("status").union(stale_files(spark, d).select(F.lit("removed")))
+    return status.groupBy("status").agg(F.count("*").alias("files"))
+
+
+def vectors(spark, d) -> DataFrame:
+    return table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
+
+
+def asked_vectors(spark, d, first: bool) -> DataFrame:
+    """The query vectors: the one of the smallest id, or the stated set of ids divisible by 20."""
+    rows = vectors(spark, d).select(F.col("id").alias("query_id"), F.col("embedding").alias("query_vec"))
+    return rows.orderBy("query_id").limit(1) if first else rows.where("query_id % 20 = 0")
+
+
+def knn(first: bool, n: int, metric: str) -> Query:
+    return lambda spark, d: search.nearest(asked_vectors(spark, d, first), vectors(spark, d), n, metric, places=PLACES).select("query_id", *long("rank"), "id", (F.col("distance") + 0.0).alias("distance"))
+
+
+def stored_documents(spark, d) -> DataFrame:
+    return documents(spark, d).select(F.col("doc_id").alias("id"), F.col("text").alias("document"))
+
+
+def bm25_topk(spark, d):
+    return search.bm25_top(one_query(spark), stored_documents(spark, d), 15, places=PLACES).select(*long("rank"), "id", "score")
+
+
+def benchmark_retrieval(spark, d):
+    asked = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
+    return search.bm25_top(asked, stored_documents(spark, d), 5, places=PLACES).select("query_id", *long("rank"), "id", "score")
+
+
+def rrf_fusion(spark, d):
+    """The nearest by distance fused with the nearest by inner product to the same vectors in reverse."""
+    asked = asked_vectors(spark, d, False)
+    other = asked.select("query_id", F.reverse("query_vec").alias("query_vec"))
+    fused = search.fuse(search.nearest(asked, vectors(spark, d), 15, places=PLACES), search.nearest(other, vectors(spark, d), 15, "ip", places=PLACES), 5)
+    return fused.select("query_id", *long("rank"), "id", F.round("score", PLACES).alias("score"), "distance")
+
+
+def hybrid_search(spark, d):
+    stored = stored_documents(spark, d).withColumn("embedding", V.embed(F.col("document")))
+    found = search.search(one_query(spark), stored, 5, hybrid=True, places=PLACES)
+    return found.select(*long("rank"), "id", F.round("score", PLACES).alias("score"), "distance")
+
+
+def format_prompt(spark, d):
+    hits = search.bm25_top(one_query(spark), stored_documents(spark, d), 5, places=PLACES)
+    docs = documents(spark, d).select(F.col("doc_id").alias("id"), F.col("text").alias("document"), F.col("source").alias("file_name"), F.col("doc_id").alias("chunk_id"), F.lit(None).cast("int").alias("page_number"), F.col("lang").alias("section_title"), F.lit("").alias("source_url"), F.lit(None).cast("timestamp").alias("ingest_date"))
+    asked = one_query(spark)
+    data = prompt.format_hits(hits.join(docs, "id"), asked)
+    return data.join(asked, "query_id").select("query_id", prompt.fill(F.col("data"), F.col("query")).alias("prompt"))
+
+
+def table_as_text(spark, d):
+    row = F.array(F.col("n_name"), F.col("n_nationkey").cast("string"))
+    rows = table(spark, d, "nation").groupBy("n_regionkey").agg(F.transform(F.sort_array(F.collect_list(F.struct("n_nationkey", row.alias("cells")))), lambda r: r["cells"]).alias("rows"))
+    return rows.select("n_regionkey", T.table_text(F.col("rows")).alias("text"))
+
+
+def row_prose(spark, d):
+    names = ["c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment"]
+    return table(spark, d, "customer").select("c_custkey", T.row_prose({n: F.col(n) for n in names}).alias("prose"))
+
+
+def html_text(spark, d):
+    return table(spark, d, "pages").select("page_id", files.html_text(F.col("html")).alias("text"))
+
+
+def html_sections(spark, d):
+    blocks = table(spark, d, "pages").select("page_id", F.posexplode(files.html_blocks(F.col("html"))).alias("pos", "b"))
+    return blocks.select("page_id", "pos", "b.section", "b.text")
+
+
+def document_collections(spark, d) -> tuple[DataFrame, DataFrame]:
+    """A collection per language: its manifest and its chunks of 40 sentences."""
+    docs = documents(spark, d).select(F.col("lang").alias("collection"), F.concat(F.lit("docs/"), F.col("source"), F.lit("."), F.col("lang")).alias("folder"), "doc_id", chunking.sentence_windows(T.sentences(F.col("text"))).alias("c"), "source")
+    path = F.concat(F.col("folder"), F.lit("/"), F.col("doc_id"), F.when(F.col("source") == "src0", ".TXT").when(F.col("source") == "src1", "").otherwise(".md"))
+    docs = docs.withColumn("path", path)
+    manifest = docs.select("collection", "path", F.sha2("path", 256).alias("hash"), F.when(F.col("source") == "src2", "00000000").otherwise(CONFIG).alias("config_fingerprint"), F.transform("c", lambda c: T.chunk_name(F.col("path"), c["chunk_id"])).alias("chunk_ids"), F.lit("2024-01-02 03:04:05").cast("timestamp").alias("indexed_at"))
+    chunks = docs.select("collection", "path", F.inline("c")).select("collection", T.chunk_name(F.col("path"), F.col("chunk_id")).alias("id"), F.col("text").alias("document"), T.base_name(F.col("path")).alias("file_name"), "chunk_id", F.lit(None).cast("timestamp").alias("ingest_date"), F.nullif(F.lit(""), F.lit("")).alias("source_url"), F.lit(None).cast("int").alias("page_number"), F.when(F.col("chunk_id") > 0, F.col("collection")).alias("section_title"))
+    return manifest, chunks
+
+
+def collection_list(spark, d):
+    return admin.list_collections(*document_collections(spark, d), active="en")
+
+
+def collection_stats(spark, d):
+    stats = admin.collection_stats(*document_collections(spark, d))
+    return stats.select(*long("chunks", "files"), F.round("avg_chunks", PLACES).alias("avg_chunks"), *long("min_chunks", "max_chunks", "listed_chunks"), "fingerprint")
+
+
+def ext_counts(spark, d):
+    return admin.extension_counts(document_collections(spark, d)[0])
+
+
+def metadata_keys(spark, d):
+    return admin.metadata_keys(document_collections(spark, d)[1], None)
+
+
+def collection_inspect(spark, d):
+    return admin.inspect_files(document_collections(spark, d)[0], "7").select("file_name", "path", *long("chunks"), "indexed_at")
+
+
+def chat_log_summary(spark, d):
+    chats = table(spark, d, "conversations")
+    return chats.select("conv_id", "turn", "role", T.shortened(F.col("text")).alias("summary"))
+
+
+QUERIES: dict[str, Query] = {
+    "sentences": sentences, "chunk_sentence_window": window_chunks(40, 5), "chunk_sentence_window_small": window_chunks(3, 1), "token_estimate": token_estimate,
+    "chunk_token_budget": budget_chunks(512, 50), "chunk_token_budget_no_overlap": budget_chunks(64, 0), "context_window": context_window,
+    "consecutive_distance": consecutive_distance, "semantic_breakpoints": semantic_breakpoints, "chunk_semantic": chunk_semantic, "content_hash": content_hash,
+    "config_fingerprint": config_fingerprint, "reindex_status": reindex_status, "stale_files": stale_files, "upsert_result": upsert_result, "run_summary": run_summary,
+    "knn_l2": knn(True, 10, "l2"), "knn_batch": knn(False, 5, "l2"), "knn_cosine": knn(False, 5, "cosine"), "bm25_topk": bm25_topk, "rrf_fusion": rrf_fusion,
+    "hybrid_search": hybrid_search, "benchmark_retrieval": benchmark_retrieval, "format_prompt": format_prompt, "table_as_text": table_as_text, "row_prose": row_prose,
+    "html_text": html_text, "html_sections": html_sections, "collection_list": collection_list, "collection_stats": collection_stats, "ext_counts": ext_counts,
+    "metadata_keys": metadata_keys, "collection_inspect": collection_inspect, "chat_log_summary": chat_log_summary,
+}
