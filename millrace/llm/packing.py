@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+import sys
 import zlib
 from collections.abc import Callable, Iterator
 from itertools import chain
@@ -27,7 +29,7 @@ class Tokenizer:
 
     MARK = b"\x01"
 
-    def __init__(self, path: str, end_id: int, most: int = 500_000):
+    def __init__(self, path: str, end_id: int, most: int = 400_000):
         from tokenizers import Tokenizer as Public
 
         self.public, self.end, self.most, self.known = Public.from_file(path), np.uint32(end_id).tobytes(), most, {}
@@ -105,12 +107,19 @@ def worker_tokenizer(path: str, end_id: int) -> Tokenizer:
     """This worker process's tokenizer: tasks that run in it one after the other share what it remembers."""
     import tokenizers
 
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
     kept = vars(tokenizers).setdefault("_kept_by_packing", {})
     if (path, end_id) not in kept:
         kept[path, end_id] = Tokenizer(path, end_id)
     return kept[path, end_id]
 
 
+def forget_tokenizers() -> None:
+    """Frees the memory of this worker's tokenizers, which later stages have no use for."""
+    if "tokenizers" in sys.modules:
+        vars(sys.modules["tokenizers"]).pop("_kept_by_packing", None)
+
+
 def first_fit_decreasing(sizes: list[int], capacity: int) -> list[int]:
     """The bin of each item: larger items first (ties: earlier first), each to the first bin with room.
 
@@ -207,15 +216,15 @@ def pack_documents(docs: DataFrame, tokenizer_path: Callable[[], str], capacity:
                 names = ["doc_id", "grp", "start", "n", "doc_tokens", "ids"]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), [pa.int64()] * 5 + [pa.binary()])], names=names)
 
-    def lay(key: int, items: list[tuple], turn: int) -> list[tuple]:
+    def lay(key: int, items: list[tuple], turn: int, plan: list[list[tuple[int, int, int]]], first: int) -> list[tuple]:
         out = []
-        for number, pieces in enumerate(fill([r[2] for r in items], capacity)):
+        for number, pieces in enumerate(plan, first):
             offset = 0
             for item, start, length in pieces:
-                doc, first, n, tokens, ids = items[item]
+                doc, begin, n, tokens, ids = items[item]
                 width = len(ids) // n
                 part = np.frombuffer(ids[start * width : (start + length) * width], f"<u{width}").astype("<u4").tobytes()
-                out.append((doc, first + start, length, part, zlib.crc32(part), tokens, (key << 32) + (turn << 20) + number, offset))
+                out.append((doc, begin + start, length, part, zlib.crc32(part), tokens, (key << 32) + (turn << 20) + number, offset))
                 offset += length
         return out
 
@@ -224,21 +233,26 @@ def pack_documents(docs: DataFrame, tokenizer_path: Callable[[], str], capacity:
 
     def place(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """The rows come sorted by group; one group's turn is held at a time."""
+        forget_tokenizers()
         now, held, tokens, turn = None, [], 0, 0
 
         def close() -> Iterator[pa.RecordBatch]:
-            out = lay(now, held, turn)
-            for i in range(0, len(out), 1000):
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out[i : i + 1000]), types)], names=names)
+            """The pieces of the turn, a few sequences at a time."""
+            plan = fill([r[2] for r in held], capacity)
+            for at in range(0, len(plan), 50):
+                out = lay(now, held, turn, plan[at : at + 50], at)
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names=names)
 
         for frame in frames:
-            for grp, *row in zip(*(frame.column(c).to_pylist() for c in ("grp", "doc_id", "start", "n", "doc_tokens", "ids"))):
-                if held and (grp != now or tokens >= group_tokens):
-                    yield from close()
-                    turn, held, tokens = (turn + 1 if grp == now else 0), [], 0
-                now = grp
-                held.append(tuple(row))
-                tokens += row[2]
+            for at in range(0, frame.num_rows, 500):
+                part = frame.slice(at, 500)
+                for grp, *row in zip(*(part.column(c).to_pylist() for c in ("grp", "doc_id", "start", "n", "doc_tokens", "ids"))):
+                    if held and (grp != now or tokens >= group_tokens):
+                        yield from close()
+                        turn, held, tokens = (turn + 1 if grp == now else 0), [], 0
+                    now = grp
+                    held.append(tuple(row))
+                    tokens += row[2]
         if held:
             yield from close()
 

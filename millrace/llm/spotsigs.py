@@ -112,7 +112,7 @@ def fingerprint_edits(docs: DataFrame, chain: int = 2) -> DataFrame:
     third = F.floor(F.char_length("text") / 3).cast("int")
     wants = base.groupBy("k").agg(F.max(third).alias("want"), F.count("*").alias("n"))
     needs = wants.join(after, "k").select(F.col("after").alias("nk"), F.col("k").alias("pk"), "want")
-    signed = base.withColumn("sigs", signatures(F.col("text"), chain)).repartition("k")
+    signed = base.repartition("k").withColumn("sigs", signatures(F.col("text"), chain))
     nexts = signed
     if not wants.where("n > 1").isEmpty():
         nexts = signed.groupBy("k").agg(F.min(F.struct("text", "sigs")).alias("x")).select("k", "x.*")
