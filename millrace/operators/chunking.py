@@ -7,11 +7,12 @@ from collections.abc import Callable
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 
 from millrace.functions import text as T
 from millrace.functions import vectors as V
 
-CHUNK = "array<struct<chunk_id: int, text: string, first_sentence: int>>"
+RANGES = ArrayType(StructType([StructField("start", IntegerType()), StructField("stop", IntegerType())]))
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -46,7 +47,7 @@ def contexts(sents: Column, buffer: int = 1) -> Column:
     return let(sents, lambda s: F.transform(s, lambda x, i: F.array_join(F.slice(s, F.greatest(i - buffer, F.lit(0)) + 1, F.least(F.size(s) - 1, i + buffer) - F.greatest(i - buffer, F.lit(0)) + 1), " ")))
 
 
-@F.arrow_udf("array<struct<start: int, stop: int>>")
+@F.arrow_udf(RANGES)
 def budget_ranges(counts: pa.Array, most: pa.Array, overlap: pa.Array) -> pa.Array:
     out = []
     for row, budget, shared in zip(counts.to_pylist(), most.to_pylist(), overlap.to_pylist()):

@@ -9,6 +9,7 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
 from millrace.functions import text as T
 from millrace.sources import markup
@@ -112,13 +113,13 @@ def source_url(meta: Column, default: str = "") -> Column:
     return F.nullif(given, F.lit(""))
 
 
-@F.arrow_udf("string")
+@F.arrow_udf(StringType())
 def html_text(pages: pa.Array) -> pa.Array:
     """The visible text of pages."""
     return pa.array([markup.html_text(p) for p in pages.to_pylist()], pa.string())
 
 
-@F.arrow_udf("array<struct<section: string, text: string>>")
+@F.arrow_udf(ArrayType(StructType([StructField("section", StringType()), StructField("text", StringType())])))
 def html_blocks(pages: pa.Array) -> pa.Array:
     """The blocks of pages with their sections."""
     return pa.array([[{"section": s, "text": t} for s, t in markup.html_blocks(p)] for p in pages.to_pylist()], pa.list_(pa.struct([("section", pa.string()), ("text", pa.string())])))
