@@ -22,7 +22,7 @@ LEAST_QUALITY = 0.7
 
 def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """The rows of ``docs`` whose id is not among ``ids``; rows with a null id stay."""
-    return docs.join(ids.select("doc_id").where("doc_id is not null").distinct(), "doc_id", "left_anti").select(docs.columns)
+    return docs.join(ids.select("doc_id").where("doc_id is not null").distinct(), "doc_id", "left_anti")
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,8 +33,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Removes later occurrences of repeated three-line windows; ``n_chars`` follows the text."""
-    done = dedup_lines(docs).select(docs.columns)
-    return done.withColumn("n_chars", F.char_length("text").cast("long")).select(docs.columns)
+    done = dedup_lines(docs)
+    return done.drop(*(c for c in done.columns if c not in docs.columns)).withColumn("n_chars", F.char_length("text").cast("long"))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

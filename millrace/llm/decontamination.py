@@ -72,7 +72,7 @@ class Searcher:
     def __init__(self, block: TestBlock, window: int):
         self.block, self.window, self.get = block, window, block.numbers().get
         self.at, self.need, self.item = block.suffixes(window)
-        low = keyed(block.tokens, self.at, window).view(np.uint8).reshape(len(self.at), -1).copy()
+        low = keyed(block.tokens, self.at, window).view(np.uint8).reshape(len(self.at), 4 * window).copy()
         high = low.copy()
         beyond = np.arange(4 * window) >= 4 * self.need[:, None]
         low[beyond], high[beyond] = 0, 255

@@ -25,7 +25,7 @@ def dedup_lines(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     others. Rows equal in id and text count as one document and are treated alike; rows that share an id but not the
     text are ordered by the text's hash.
     """
-    id_, th, pos = (fresh(docs, c) for c in ("_id", "_th", "_pos"))
+    id_, th, pos, cid, cth = (fresh(docs, c) for c in ("_id", "_th", "_pos", "_covered_id", "_covered_th"))
     keyed = docs.withColumn(id_, F.col("doc_id")).withColumn(th, F.xxhash64("text"))
     lines = F.split(F.col("text"), "\n", -1)
     windows = let(
@@ -39,8 +39,8 @@ def dedup_lines(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     place = F.struct("id", "th", "pos")
     first = placed.groupBy("k1", "k2").agg(F.count("*").alias("n"), F.min(place).alias("first")).where("n > 1").drop("n")
     later = placed.join(first, ["k1", "k2"]).where(place > F.col("first"))
-    covered = later.groupBy("id", "th").agg(F.sort_array(F.collect_set("pos")).alias(pos))
-    joined = keyed.join(covered, keyed[id_].eqNullSafe(covered["id"]) & (keyed[th] == covered["th"]), "left").drop("id", "th") if not {"id", "th"} & set(docs.columns) else keyed.join(covered.withColumnsRenamed({"id": f"{id_}2", "th": f"{th}2"}), F.col(id_).eqNullSafe(F.col(f"{id_}2")) & (F.col(th) == F.col(f"{th}2")), "left").drop(f"{id_}2", f"{th}2")
+    covered = later.groupBy(F.col("id").alias(cid), F.col("th").alias(cth)).agg(F.sort_array(F.collect_set("pos")).alias(pos))
+    joined = keyed.join(covered, F.col(id_).eqNullSafe(F.col(cid)) & (F.col(th) == F.col(cth)), "left").drop(cid, cth)
     gone = F.array_distinct(F.flatten(F.transform(F.col(pos), lambda p: F.transform(F.sequence(F.lit(0), F.lit(window - 1)), lambda k: p + k))))
     text = let(lines, lambda x: F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(x) - 1), gone), lambda i: F.coalesce(F.get(x, i), F.lit(""))), "\n"))
     n_lines, n_removed, n_spans = (fresh(docs, c) for c in ("n_lines", "n_removed", "n_spans"))
