@@ -47,9 +47,14 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     map-side minima, and nothing is collected. Each round is cut to the shared checkpoint folder. Nulls and self
     loops are ignored; no edges give no rows.
     """
+
+    def digest(df: DataFrame) -> tuple:
+        return tuple(df.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b")), F.sum(F.xxhash64("b", "a").bitwiseAND(F.lit(0xFFFFFFFF)))).first())
+
     now = cut(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a > b").distinct())
+    before = digest(now)
     for _ in range(rounds):
-        if now.isEmpty():
+        if not before[0]:
             break
         both = now.union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
@@ -57,9 +62,10 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e"))
         new = cut(small.select("e.a", "e.b").where("a > b").distinct())
-        if new.count() == now.count() and new.exceptAll(now).isEmpty():
+        now, after = new, digest(new)
+        if after == before:
             break
-        now = new
+        before = after
     else:
         raise RuntimeError(f"components did not settle in {rounds} rounds")
     return now.select(F.col("a").alias("node"), F.col("b").alias("root")).union(now.select(F.col("b").alias("node"), F.col("b").alias("root"))).distinct()

@@ -211,8 +211,8 @@ def near_components(docs: DataFrame, size: int = 5, similarity: tuple[int, int]
     sizes = grouped.groupBy("root").count()
     members = grouped.join(sizes, "root").join(nodes.select("node", "set_id"), "node")
     texts = docs.select(F.col("doc_id").alias("node"), "text").where("node is not null").join(members, "node").dropDuplicates(["node", "set_id"])
-    tasks = blocked(texts, "count", block // 4, "node").select("root", "i", "j", "node", "side", "text")
-    links = tasks.repartition("root", "i", "j").sortWithinPartitions("root", "i", "j", "node").mapInArrow(confirm, "a long, b long")
+    tasks = blocked(texts, "count", max(1, block // 4), "node").select("root", "i", "j", "node", "side", "text", "set_id")
+    links = tasks.repartition("root", "i", "j").sortWithinPartitions("root", "i", "j", "node", "set_id").mapInArrow(confirm, "a long, b long")
     ids = found.where("set_id is not null and doc_id is not null").select("doc_id", "set_id").distinct().join(nodes.select("set_id", "node"), "set_id").select("doc_id", "node").distinct()
     several = ids.groupBy("doc_id").agg(F.min("node").alias("a"), F.count("*").alias("n")).where("n > 1")
     same_id = ids.join(several, "doc_id").select("a", F.col("node").alias("b"))

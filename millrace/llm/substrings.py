@@ -232,7 +232,8 @@ def repeated_spans(docs: DataFrame, window: int, batch_bytes: int, turn_rows: in
     several = found.groupBy("key").agg(F.sum("n").alias("n")).where("n > 1").select("key")
     lists = found.select("key", "k", "th").join(several, "key").groupBy("k", "th").agg(F.collect_set("key").alias("keys")).withColumnsRenamed({"k": "lk", "th": "lth"})
     listed = docs.join(lists, (F.col("k") == F.col("lk")) & (F.col("th") == F.col("lth"))).select("k", "th", "text", "keys")
-    around = listed.mapInArrow(surround, CONTEXT)
+    # Which rows are settled depends on the batch, so a repeated task must see the same rows in the same order.
+    around = listed.sortWithinPartitions("k", "th").mapInArrow(surround, CONTEXT)
     return around.repartition("key").sortWithinPartitions("key").mapInArrow(meet, SPAN)
 
 
