@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import sys
 import zlib
@@ -29,20 +30,23 @@ class Tokenizer:
 
     MARK = b"\x01"
 
-    def __init__(self, path: str, end_id: int, most: int = 400_000):
+    def __init__(self, path: str, end_id: int, most: int = 1_000_000):
         from tokenizers import Tokenizer as Public
 
-        self.public, self.end, self.most, self.known = Public.from_file(path), np.uint32(end_id).tobytes(), most, {}
+        self.public, self.most = Public.from_file(path), most
+        vocabulary = self.public.get_vocab()
+        self.type = np.dtype("<u2" if max(end_id, *vocabulary.values()) < 1 << 16 else "<u4")
+        self.end = np.array([end_id], self.type).tobytes()
+        self.known: dict[bytes, bytes] = {}
         self.older: dict[bytes, bytes] = {}
         self.mark = self.encoded(self.MARK)
         if len(self.mark) != 1:
             raise ValueError("the mark between runs must be one token")
-        vocabulary = self.public.get_vocab()
         self.word_ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.word_ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
 
     def encoded(self, run: bytes) -> np.ndarray:
-        return np.array(self.public.encode_batch_fast([run.decode()], add_special_tokens=False)[0].ids, np.uint32)
+        return np.array(self.public.encode_batch_fast([run.decode()], add_special_tokens=False)[0].ids, self.type)
 
     def learn(self, runs: list[bytes]) -> None:
         """Remembers new runs: those of letters, with symbols after them or not, by their two parts, others as they are."""
@@ -79,28 +83,28 @@ class Tokenizer:
                 if len(stops) != len(part):
                     self.separate(part, None)
                     continue
-            data, start = ids.tobytes(), 0
-            for run, stop in zip(part, stops.tolist(), strict=True):
-                self.known[run] = data[4 * start : 4 * stop]
-                start = stop + skip
-
-    def ids(self, texts: list[str | None]) -> list[np.ndarray]:
-        """The ids of each text, the end id last."""
-        runs = []
-        for text in texts:
-            data = (text or "").encode()
-            runs.append((data if b"<|" in data else data.lower()).split())
+            data, start, width = ids.tobytes(), 0, self.type.itemsize
+            for run, stop in zip(part, (width * stops).tolist(), strict=True):
+                self.known[run] = data[start:stop]
+                start = stop + width * skip
+
+    def ids(self, texts: list[bytes | None]) -> list[bytes]:
+        """The ids of each UTF-8 text, the end id last, as numbers of ``type`` one after the other."""
+        runs = [(t if b"<|" in t else t.lower()).split() if t else [] for t in texts]
         if len(self.known) > self.most:
             self.known, self.older = {}, self.known
-        new = []
-        for run in set(chain.from_iterable(runs)).difference(self.known):
+        new, distinct = [], set(chain.from_iterable(runs))
+        for run in distinct.difference(self.known):
             if run in self.older:
                 self.known[run] = self.older[run]
             else:
                 new.append(run)
+        # Nothing here is cyclic, and the collector would walk the whole memory time and again.
+        gc.disable()
         self.learn(new)
-        get = self.known.__getitem__
-        return [np.frombuffer(b"".join(map(get, x)) + self.end, np.uint32) for x in runs]
+        gc.enable()
+        get = dict(zip(distinct, map(self.known.__getitem__, distinct))).__getitem__  # small, unlike what is known
+        return [b"".join(map(get, x)) + self.end for x in runs]
 
 
 def worker_tokenizer(path: str, end_id: int) -> Tokenizer:
@@ -202,17 +206,17 @@ def pack_documents(docs: DataFrame, tokenizer_path: Callable[[], str], capacity:
 
     def tokenise(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         public = worker_tokenizer(tokenizer_path(), end_id)
+        width = public.type.itemsize
         for frame in frames:
             for at in range(0, frame.num_rows, 500):
                 out = []
-                docs_, bodies, groups_ = (c.to_pylist() for c in frame.slice(at, 500).columns)
-                for doc, ids, grp in zip(docs_, public.ids(bodies), groups_):
-                    small = ids.astype("<u2").tobytes() if len(ids) and ids.max() < 65536 else ids.astype("<u4").tobytes()
-                    width, cut = len(small) // len(ids), len(ids) // capacity * capacity
-                    starts = [*range(0, cut, capacity), *([cut] if cut < len(ids) else [])]
-                    for s in starts:
-                        e = min(len(ids), s + capacity)
-                        out.append((doc, grp, s, e - s, len(ids), small[s * width : e * width]))
+                part = frame.slice(at, 500)
+                bodies = part.column(1).cast(pa.binary()).to_pylist()
+                for doc, ids, grp in zip(part.column(0).to_pylist(), public.ids(bodies), part.column(2).to_pylist()):
+                    n = len(ids) // width
+                    for s in range(0, n, capacity):
+                        e = min(n, s + capacity)
+                        out.append((doc, grp, s, e - s, n, ids[s * width : e * width]))
                 names = ["doc_id", "grp", "start", "n", "doc_tokens", "ids"]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), [pa.int64()] * 5 + [pa.binary()])], names=names)
 

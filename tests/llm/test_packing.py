@@ -44,8 +44,8 @@ TEXTS = ["<|startoftext|> A\x1cb É Straße ΑΣ É\x01x \x01 it's 3rd wide <|EN
 def test_tokenizer_is_the_public_one(public):
     mine = packing.Tokenizer(packing.word_bpe(), 2, most=5)
     for _ in range(2):
-        for text, ids in zip(TEXTS, mine.ids(TEXTS)):
-            assert ids.tolist() == public.encode(text or "", add_special_tokens=False).ids + [2]
+        for text, ids in zip(TEXTS, mine.ids([t if t is None else t.encode() for t in TEXTS])):
+            assert np.frombuffer(ids, mine.type).tolist() == public.encode(text or "", add_special_tokens=False).ids + [2]
 
 
 @pytest.mark.parametrize("group_rows,group_tokens", [(4000, 4_000_000), (7, 4_000_000), (4000, 3000)])
