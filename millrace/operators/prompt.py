@@ -9,9 +9,10 @@ from datetime import datetime, timezone
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+# The message without hits, the mark before the trailer, and the labels in hit_text.
 NOTHING = "No relevant data found."
-TEMPLATE = "Answer the question from the data below. If the data does not answer it, say so.\n\nData:\n{data}\n\nQuestion: {query}"
 TRAILER = "<|DOCS_JSON|>"
+TEMPLATE = "Answer the question from the data below. If the data does not answer it, say so.\n\nData:\n{data}\n\nQuestion: {query}"
 Generate = Callable[[str], str | None]
 
 
@@ -73,6 +74,26 @@ def hypothetical(query: str, generate: Generate | None, limit: int = 200) -> str
         return None
 
 
+class Responder:
+    """A language model behind ``stream``, which gives the pieces of its answer to a prompt.
+
+    ready: called once before the first prompt, to fetch or check the model.
+    """
+
+    def __init__(self, stream: Callable[[str], Iterable[str]], template: str = TEMPLATE, ready: Callable[[], None] | None = None):
+        self.stream, self.template, self.ready = stream, template, ready
+
+    def chunks(self, data: str, query: str) -> Iterator[str]:
+        """The pieces of the answer to ``query`` from ``data``."""
+        if self.ready:
+            ready, self.ready = self.ready, None
+            ready()
+        yield from answer(fill_text(data, query, self.template), self.stream)
+
+    def respond(self, data: str, query: str) -> str:
+        return "".join(self.chunks(data, query))
+
+
 def answer(prompt: str, stream: Callable[[str], Iterable[str]]) -> Iterator[str]:
     """The pieces of a model's answer, empty ones left out."""
     yield from (piece for piece in stream(prompt) if piece)

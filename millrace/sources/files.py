@@ -70,6 +70,36 @@ def blocks_of(path: str, content: bytes, read_pages: PageReader | None = None) -
     raise ValueError(f"unsupported file type: {path}")
 
 
+def plain_text(path: str, content: bytes, read_pages: PageReader | None = None) -> str:
+    """A whole file as one text, without pages and sections; paragraphs, pages and rows are lines.
+
+    HTML becomes its visible text with white space collapsed, Markdown that of its headings and paragraphs.
+    """
+    kind = path.rsplit(".", 1)[-1].lower()
+    if kind in ("html", "htm"):
+        return markup.html_text(content.decode(errors="replace"))
+    if kind == "docx":
+        return "\n".join(t for _, t in markup.docx_paragraphs(content) if t.strip())
+    if kind == "md":
+        return markup.markdown_text(content.decode())
+    return "\n".join(t for _, _, _, t in blocks_of(path, content, read_pages))
+
+
+def read_plain(files: DataFrame, read_pages: PageReader | None = None) -> DataFrame:
+    """``files`` (``path``, ``content``) as ``path``, ``text`` and ``error``: one of the two is null."""
+
+    def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for frame in frames:
+            for path, content in zip(frame.column(0).to_pylist(), frame.column(1).to_pylist()):
+                try:
+                    row = path, plain_text(path, content or b"", read_pages), None
+                except Exception as e:  # noqa: BLE001  one bad file must not end the run
+                    row = path, None, str(e)
+                yield pa.RecordBatch.from_arrays([pa.array([x], pa.string()) for x in row], names=["path", "text", "error"])
+
+    return files.select("path", "content").mapInArrow(run, "path string, text string, error string")
+
+
 def read_blocks(files: DataFrame, read_pages: PageReader | None = None) -> DataFrame:
     """The blocks of ``files`` (``path``, ``content``): ``path``, ``kind``, ``page_number``, ``section_title``, ``pos``, ``block``.
 

@@ -50,6 +50,12 @@ def test_scan_and_sidecars(spark, folder):
     assert [r["u"] for r in urls.collect()] == [None, "u", "d", "d"]
 
 
+def test_plain_readers(spark, folder):
+    rows = {r["path"].rsplit("/", 2)[1:][-1] if "sub" not in r["path"] else "sub": (r["text"], r["error"]) for r in S.read_plain(S.scan_files(spark, str(folder))).collect()}
+    assert rows["a.txt"] == ("One. Two. Three.", None) and rows["b.html"][0] == "Head Text here." and rows["c.md"][0] == "Title Body text."
+    assert rows["d.csv"][0] == "x: 1, y: 2." and rows["e.docx"][0] == "Head\nPara one. Two." and rows["bad.txt"][0] is None and rows["bad.txt"][1]
+
+
 def test_pdf_needs_a_reader(spark):
     pdf = spark.createDataFrame([("x.pdf", b"%PDF")], "path string, content binary")
     assert S.read_blocks(pdf).first()["kind"] == "error"

@@ -111,3 +111,9 @@ def test_chat_log(spark, tmp_path):
         P.append_log(spark, str(tmp_path / "log"), "q" * 60, f"r{i}")
     rows = P.log_summary(spark.read.parquet(str(tmp_path / "log"))).collect()
     assert len(rows) == 2 and all(len(r["query"]) == 50 for r in rows)
+
+
+def test_responder_prepares_once():
+    ready = []
+    model = P.Responder(lambda p: iter([p[-1], "", "!"]), "{data}|{query}", lambda: ready.append(1))
+    assert model.respond("d", "q") == "q!" and list(model.chunks("d", "z")) == ["z", "!"] and ready == [1]
