@@ -20,7 +20,7 @@ def strip(text: Column) -> Column:
 
 
 def is_blank(text: Column) -> Column:
-    return strip(text) == ""
+    return ~text.rlike(r"(?U)[^\s\x1c-\x1f]")
 
 
 def sentences(text: Column) -> Column:

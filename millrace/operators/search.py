@@ -16,14 +16,15 @@ def candidate_count(n: int, multiplier: int, stored: int) -> int:
     return min(max(n, n * multiplier), stored or 1)
 
 
-def nearest(queries: DataFrame, stored: DataFrame, n: int = 5, metric: str = "l2", id_: str = "id", vec: str = "embedding", query_id: str = "query_id", query_vec: str = "query_vec", block_rows: int = 2000, places: int | None = None) -> DataFrame:
+def nearest(queries: DataFrame, stored: DataFrame, n: int = 5, metric: str = "l2", id_: str = "id", vec: str = "embedding", query_id: str = "query_id", query_vec: str = "query_vec", block_rows: int = 2000, places: int | None = None, query_rows: int | None = None) -> DataFrame:
     """The ``n`` nearest of ``stored`` to each query: ``query_id``, ``rank`` (from 0), ``id``, ``distance``.
 
     Queries are a stated set. They are sent to the stored vectors in blocks of at most ``block_rows``, and each block's
     partial results are cut to ``n`` a query and task before the last ranking, so what is shuffled is the number of
     queries times ``n`` times the tasks. Equal distances are ranked by ``id``. places: rounds distances before ranking.
+    query_rows: how many queries there are, if known; else they are counted.
     """
-    count = queries.count()
+    count = queries.count() if query_rows is None else query_rows
     blocks = max(1, -(-count // block_rows))
     side = F.pmod(F.xxhash64(query_id), F.lit(blocks))
     parts = []
@@ -41,36 +42,39 @@ def nearest(queries: DataFrame, stored: DataFrame, n: int = 5, metric: str = "l2
     return found.withColumn("rank", rank - 1).where(F.col("rank") < n).select("query_id", "rank", "id", "distance")
 
 
-def postings(docs: DataFrame, id_: str = "id", text: str = "document") -> DataFrame:
-    """How often each document has each search token: ``term``, ``id``, ``tf``."""
-    return docs.select(F.col(id_).alias("id"), F.explode(T.tokens(F.col(text))).alias("term")).groupBy("term", "id").agg(F.count("*").alias("tf"))
+def term_statistics(docs: DataFrame, text: str = "document") -> tuple[DataFrame, int, float, float]:
+    """Okapi weights (``term``, ``idf``), the number of documents, their mean length, and the mean weight.
 
-
-def lengths(docs: DataFrame, id_: str = "id", text: str = "document") -> DataFrame:
-    """Each document's number of search tokens: ``id``, ``dl``."""
-    return docs.select(F.col(id_).alias("id"), F.size(T.tokens(F.col(text))).alias("dl"))
-
-
-def term_weights(posts: DataFrame, n_docs: int) -> tuple[DataFrame, float]:
-    """Okapi weights (``term``, ``idf``) and their mean before negative ones become a quarter of it."""
-    df = posts.groupBy("term").agg(F.count("*").alias("df"))
-    raw = df.withColumn("raw", F.log(F.lit(n_docs) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
+    Negative weights become a quarter of the mean before that. One pass counts the documents of each term and, in a row
+    of its own, documents and lengths; its result, a row per term, is kept for the caller's join.
+    """
+    found = T.tokens(F.col(text))
+    rows = docs.select(F.explode(F.concat(F.array(F.struct(F.lit(None).cast("string").alias("term"), F.size(found).cast("long").alias("dl"))), F.transform(F.array_distinct(found), lambda t: F.struct(t.alias("term"), F.lit(0).cast("long").alias("dl"))))).alias("x"))
+    counted = rows.groupBy("x.term").agg(F.count("*").alias("df"), F.sum("x.dl").alias("dl")).persist()
+    whole = counted.where("term is null").first()
+    n, length = (whole["df"], whole["dl"]) if whole else (0, 0)
+    raw = counted.where("term is not null").withColumn("raw", F.log(F.lit(n) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
     mean = raw.agg(F.avg("raw")).first()[0] or 0.0
-    return raw.select("term", F.when(F.col("raw") < 0, F.lit(EPSILON * mean)).otherwise(F.col("raw")).alias("idf")), mean
+    return raw.select("term", F.when(F.col("raw") < 0, F.lit(EPSILON * mean)).otherwise(F.col("raw")).alias("idf")), n, (length / n if length else 1.0), mean
 
 
-def bm25_scores(queries: DataFrame, docs: DataFrame, id_: str = "id", text: str = "document", query_id: str = "query_id", query: str = "query") -> tuple[DataFrame, float]:
+def bm25_scores(queries: DataFrame, docs: DataFrame, id_: str = "id", text: str = "document", query_id: str = "query_id", query: str = "query", broadcast_rows: int = 200_000) -> tuple[DataFrame, float]:
     """Okapi BM25 of the documents that share a term with a query (``query_id``, ``id``, ``score``), and the mean weight.
 
-    A term counts as often as the query repeats it. Statistics cover all documents; postings are joined with the
-    queries' terms alone.
+    A term counts as often as the query repeats it. Statistics cover all documents. The queries' terms are a stated set:
+    up to ``broadcast_rows`` of them are sent to the documents' tokens, more are joined by shuffling both.
     """
-    stats = lengths(docs, id_, text).agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl")).first()
-    posts = postings(docs, id_, text)
+    weights, _, avgdl, mean = term_statistics(docs, text)
     asked = queries.select(F.col(query_id).alias("query_id"), F.explode(T.tokens(F.col(query))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("times"))
-    weights, mean = term_weights(posts, stats["n"])
-    part = F.col("times") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.lit(stats["avgdl"] or 1.0)))
-    met = posts.join(asked.join(weights, "term"), "term").join(lengths(docs, id_, text), "id")
+    asked = asked.join(weights, "term").persist()
+    small = asked.count() <= broadcast_rows
+    # Tokens are an expression of several steps: made once a row, then counted and exploded.
+    made = docs.select(F.col(id_).alias("id"), F.explode(F.array(T.tokens(F.col(text)))).alias("t"))
+    rows = made.select("id", F.size("t").alias("dl"), F.explode("t").alias("term"))
+    sent = F.broadcast if small else lambda df: df
+    tf = rows.join(sent(asked.select("term").distinct()), "term", "left_semi").groupBy("id", "term").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
+    met = tf.join(sent(asked), "term")
+    part = F.col("times") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.lit(avgdl)))
     return met.groupBy("query_id", "id").agg(F.sum(part).alias("score")), mean
 
 

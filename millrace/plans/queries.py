@@ -145,7 +145,7 @@ def asked_vectors(spark, d, first: bool) -> DataFrame:
 
 
 def knn(first: bool, n: int, metric: str) -> Query:
-    return lambda spark, d: search.nearest(asked_vectors(spark, d, first), vectors(spark, d), n, metric, places=PLACES).select("query_id", *long("rank"), "id", (F.col("distance") + 0.0).alias("distance"))
+    return lambda spark, d: search.nearest(asked_vectors(spark, d, first), vectors(spark, d), n, metric, places=PLACES, query_rows=1 if first else None).select("query_id", *long("rank"), "id", (F.col("distance") + 0.0).alias("distance"))
 
 
 def stored_documents(spark, d) -> DataFrame:
