@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from millrace.llm.frequent import LAST, Frequent, often, sampled_texts
 from millrace.llm.neardup import WordHashes, mixed
 
 U = np.uint64
@@ -76,10 +77,26 @@ def levels(words: np.ndarray, doc: np.ndarray, rounds: int) -> Iterator[tuple[np
         yield sym, np.maximum.accumulate(lo), hi
 
 
-def keys(words: np.ndarray, doc: np.ndarray, starts: np.ndarray, window: int, rounds: int) -> np.ndarray:
-    """For each window start, the least symbol of the highest level that has one whose making lies inside the window."""
+def frequent_symbols(texts: list[str], rounds: int) -> Frequent:
+    """The symbols, of any level, that a sample of texts has often."""
+    hashes = WordHashes()
+    split = [t.encode().split() for t in texts]
+    words = np.fromiter((hashes[w] for t in split for w in t), U, sum(map(len, split)))
+    doc = np.repeat(np.arange(len(split)), [len(t) for t in split])
+    found = [sym for sym, _, _ in levels(words, doc, rounds)]
+    # A symbol that a level leaves as it was counts once.
+    values, n = zip(*(np.unique(f, return_counts=True) for f in found))
+    values, n = np.concatenate(values), np.concatenate(n)
+    return Frequent(np.unique(values[n >= often(len(texts))]), 1)
+
+
+def keys(words: np.ndarray, doc: np.ndarray, starts: np.ndarray, window: int, rounds: int, frequent: Frequent) -> np.ndarray:
+    """For each window start, a symbol whose making lies inside the window: the least of the highest level that has one.
+
+    Levels with only frequent symbols there are passed over, unless all are such.
+    """
     out = np.zeros(len(starts), U)
-    open_ = np.ones(len(starts), bool)
+    open_, blank = np.ones(len(starts), bool), np.ones(len(starts), bool)
     for sym, lo, hi in reversed(list(levels(words, doc, rounds))):
         if not open_.any():
             break
@@ -88,7 +105,7 @@ def keys(words: np.ndarray, doc: np.ndarray, starts: np.ndarray, window: int, ro
         a, b = np.searchsorted(lo, at, "left"), np.searchsorted(hi, at + window - 1, "right")
         some = b > a
         a, b = a[some], b[some]
-        least, table, width = np.empty(len(a), U), sym, 1
+        least, table, width = np.empty(len(a), U), frequent.last(sym), 1
         span = b - a
         while len(a):
             # Range minima by doubling: a range of width to 2 * width - 1 symbols is the least of two tables' entries.
@@ -99,18 +116,22 @@ def keys(words: np.ndarray, doc: np.ndarray, starts: np.ndarray, window: int, ro
             table = np.minimum(table[:-width], table[width:]) if len(table) > width else table
             width *= 2
         places = np.flatnonzero(open_)[some]
-        out[places] = least
-        open_[places] = False
+        better = blank[places] | (least < LAST)
+        out[places[better]] = least[better]
+        blank[places] = False
+        open_[places[least < LAST]] = False
     return out
 
 
-def repeated_words(docs: DataFrame, window: int = 50, rounds: int = 4, batch_words: int = 1_500_000) -> DataFrame:
+def repeated_words(docs: DataFrame, window: int = 50, rounds: int = 4, batch_words: int = 1_500_000, sample_rows: int = 2000, sample_chars: int = 20_000) -> DataFrame:
     """The windows of ``docs`` (``doc_id``, ``text``) that also start in a document of a smaller id: ``doc_id``, ``start``, ``length``.
 
     A row is a stretch of consecutive window starts. Words are what white space separates in the whole text; a window is
     ``window`` consecutive words of one document. Windows that already repeat within a batch of about ``batch_words``
     words (or one document) are settled there, and only one document's copy of each is sent on, so a passage in a third
-    of all documents sends a row per batch. What meets under a key is compared in turns of bounded memory, apart from a
+    of all documents sends a row per batch. Symbols that a sample of ``sample_rows`` documents has often are keys only where
+    there are no others, which keeps the different surroundings of such a passage apart; the sample decides nothing else.
+    What meets under a key is compared in turns of bounded memory, apart from a
     single key's rows. Rows with a null id or text are left out; rows that share an id are one document's, and do not
     repeat each other.
     """
@@ -144,7 +165,7 @@ def repeated_words(docs: DataFrame, window: int = 50, rounds: int = 4, batch_wor
         if not len(starts):
             return
         rolled_ = rolled(words, window)[starts]
-        key = keys(words, doc, starts, window, rounds)
+        key = keys(words, doc, starts, window, rounds, frequent)
         ids_ = np.array(ids, np.int64)
         done = settle(rolled_, ids_[owner])
         breaks = np.concatenate([[True], owner[1:] != owner[:-1]])
@@ -201,6 +222,7 @@ def repeated_words(docs: DataFrame, window: int = 50, rounds: int = 4, batch_wor
         if held:
             yield compare(held)
 
+    frequent = frequent_symbols(sampled_texts(docs, sample_rows, sample_chars), rounds)
     rows = docs.select("doc_id", "text").where("doc_id is not null and text is not null")
     sent = rows.mapInArrow(parse, "key long, doc_id long, start long, length long, hashes binary")
     sent = sent.repartition("key").sortWithinPartitions("key")

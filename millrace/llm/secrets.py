@@ -13,6 +13,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from millrace.llm.frequent import sampled_texts
+
 # Fixed values of the scan's rules.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
@@ -125,11 +127,7 @@ def fit_secrets(docs: DataFrame, sample_rows: int = 1000, sample_chars: int = 20
     for texts over ``sample_chars``; they are scanned whole like all others) and a short fixed list. The threshold is set on samples that the chains did not see, so that at most ``false_rate`` of ordinary
     ones pass, and never below 0.15 a character. Null ids and texts are not sampled; empty tables leave the fixed list.
     """
-    ids = [r[0] for r in docs.select("doc_id").where("doc_id is not null").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows).collect()]
-    sampled = docs.select("doc_id", "text").where(F.col("doc_id").isin(ids) & (F.length("text") <= sample_chars))
-    texts = sampled.groupBy("doc_id").agg(F.min("text").alias("text")).collect() if ids else []
-    texts.sort(key=lambda r: (r[0], r[1]))
-    words = sorted({w for r in texts for w in re.findall(r"[A-Za-z]{3,12}", r[1])})
+    words = sorted({w for t in sampled_texts(docs, sample_rows, sample_chars) for w in re.findall(r"[A-Za-z]{3,12}", t)})
     draw = random.Random(seed)
     alphabets = (string.ascii_letters + string.digits + "+/", string.ascii_letters + string.digits, "0123456789abcdef", string.ascii_uppercase + string.digits)
     pool = PLAIN + (draw.choices(words, k=len(PLAIN) * 3) if words else [])

@@ -19,6 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from millrace.llm.frequent import Frequent, often, sampled_texts
 from millrace.llm.recompression import rolled
 
 U = np.uint64
@@ -42,10 +43,17 @@ def spread(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return np.repeat(starts - (np.cumsum(counts) - counts), counts) + np.arange(counts.sum())
 
 
-def anchors(data: np.ndarray, sizes: np.ndarray, window: int) -> tuple[np.ndarray, ...]:
+def frequent_grams(texts: list[str]) -> Frequent:
+    """The grams that a sample of texts has often."""
+    grams = [rolled(BYTES[np.frombuffer(t.encode(), np.uint8)], GRAM) for t in texts]
+    return Frequent(np.concatenate(grams) if grams else np.empty(0, U), often(len(texts)))
+
+
+def anchors(data: np.ndarray, sizes: np.ndarray, window: int, frequent: Frequent) -> tuple[np.ndarray, ...]:
     """Of concatenated documents: each anchor's hash, position, and the first and last start of the windows it stands for.
 
-    A window's anchor is the leftmost of its grams with the least hash.
+    A window's anchor is the leftmost of its grams with the least hash, frequent grams coming after all others: where a
+    common passage meets other text, the anchors lie outside it or across its edge.
     """
     none = tuple(np.empty(0, t) for t in (U, np.int64, np.int64, np.int64))
     width = window - GRAM + 1
@@ -53,7 +61,7 @@ def anchors(data: np.ndarray, sizes: np.ndarray, window: int) -> tuple[np.ndarra
     full = np.maximum(sizes - window + 1, 0)
     if not full.any():
         return none
-    grams = rolled(BYTES[data], GRAM) | U(1)
+    grams = frequent.last(rolled(BYTES[data], GRAM)) | U(1)
     starts = spread(ends - sizes, full)
     least = np.zeros(len(grams), U)
     least[starts] = slide(grams, width, np.minimum)[starts]
@@ -113,7 +121,7 @@ def matching_spans(group: np.ndarray, right: np.ndarray, n_right: np.ndarray, le
     return reach, end
 
 
-def repeated_spans(docs: DataFrame, window: int, batch_bytes: int, turn_rows: int) -> DataFrame:
+def repeated_spans(docs: DataFrame, window: int, batch_bytes: int, turn_rows: int, frequent: Frequent) -> DataFrame:
     """Stretches (``k``, ``th``, ``start``, ``stop``) of repeated windows of keyed documents (``k``, ``th``, ``text``)."""
 
     def gathered(frames: Iterator[pa.RecordBatch], extra: int) -> Iterator[tuple[list, np.ndarray, np.ndarray]]:
@@ -135,7 +143,7 @@ def repeated_spans(docs: DataFrame, window: int, batch_bytes: int, turn_rows: in
     def find(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """The distinct anchors of each document and how often it has them."""
         for rows, data, sizes in gathered(frames, 0):
-            key, place, _, _ = anchors(data, sizes, window)
+            key, place, _, _ = anchors(data, sizes, window, frequent)
             doc = np.searchsorted(np.cumsum(sizes), place, "right")
             order = np.lexsort((key, doc))
             key, doc = key[order], doc[order]
@@ -151,7 +159,7 @@ def repeated_spans(docs: DataFrame, window: int, batch_bytes: int, turn_rows: in
         for rows, data, sizes in gathered(frames, 1):
             wanted = np.unique(np.concatenate([np.array(r[2], np.int64) for r in rows])).view(U)
             wanted.sort()
-            key, place, lo, hi = anchors(data, sizes, window)
+            key, place, lo, hi = anchors(data, sizes, window, frequent)
             at = np.minimum(np.searchsorted(wanted, key), len(wanted) - 1)
             keep = wanted[at] == key
             key, place, lo, hi = key[keep], place[keep], lo[keep], hi[keep]
@@ -237,7 +245,7 @@ def repeated_spans(docs: DataFrame, window: int, batch_bytes: int, turn_rows: in
     return around.repartition("key").sortWithinPartitions("key").mapInArrow(meet, SPAN)
 
 
-def remove_substrings(docs: DataFrame, window: int = 200, batch_bytes: int = 4_000_000, turn_rows: int = 40_000) -> DataFrame:
+def remove_substrings(docs: DataFrame, window: int = 200, batch_bytes: int = 4_000_000, turn_rows: int = 40_000, sample_rows: int = 2000, sample_chars: int = 20_000) -> DataFrame:
     """A row per row of ``docs`` (``doc_id``, ``text``): ``doc_id``, ``n_bytes``, ``n_removed``, ``n_spans``, ``kept`` (binary).
 
     Texts are UTF-8 bytes, a null one none. Every byte is removed that a string of ``window`` bytes covers which also
@@ -246,8 +254,9 @@ def remove_substrings(docs: DataFrame, window: int = 200, batch_bytes: int = 4_0
     binary.
 
     Documents are read in batches of ``batch_bytes`` (or one document); surroundings equal within a batch are settled
-    there, so a passage in a third of all documents sends a row per batch. Transforms are built in turns of about
-    ``turn_rows`` rows (or one anchor's). Repeated rows are documents of their own, and so repeat each other; rows are
+    there, so a passage in a third of all documents sends a row per batch. Grams that a sample of ``sample_rows`` documents
+    has often are anchors only where there are no others, which keeps the different surroundings of such a passage
+    apart; the sample decides nothing else. Transforms are built in turns of about ``turn_rows`` rows (or one anchor's). Repeated rows are documents of their own, and so repeat each other; rows are
     told apart by id and text, and a null id is allowed. No rows give no rows.
     """
     if window < 2 * GRAM:
@@ -256,7 +265,8 @@ def remove_substrings(docs: DataFrame, window: int = 200, batch_bytes: int = 4_0
     keyed = docs.select(F.coalesce("doc_id", F.lit(smallest)).alias("k"), F.coalesce("text", F.lit("")).alias("text"))
     keyed = keyed.select("k", F.xxhash64("text", "k").alias("th"), "text")
     placed = keyed.repartition("k", "th")
-    spans = repeated_spans(placed, window, batch_bytes, turn_rows).groupBy("k", "th").agg(F.sort_array(F.collect_set(F.struct("start", "stop"))).alias("s"))
+    frequent = frequent_grams(sampled_texts(docs, sample_rows, sample_chars))
+    spans = repeated_spans(placed, window, batch_bytes, turn_rows, frequent).groupBy("k", "th").agg(F.sort_array(F.collect_set(F.struct("start", "stop"))).alias("s"))
     spans = spans.select(F.col("k").alias("sk"), F.col("th").alias("sth"), F.col("s.start").alias("starts"), F.col("s.stop").alias("stops"))
     met = placed.join(spans, (F.col("k") == F.col("sk")) & (F.col("th") == F.col("sth")), "left").select("k", "text", "starts", "stops")
 
