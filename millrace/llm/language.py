@@ -11,6 +11,7 @@ import html
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -18,6 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm.common import cut
+from millrace.llm.frequent import least_hashed
 
 BINS = 1 << 16
 DROPPED = re.compile(r"<!--.*?-->|<(script|style)\b.*?</\1\s*>", re.IGNORECASE | re.DOTALL)
@@ -55,17 +57,21 @@ class LanguageModel:
 
 
 def fit_language(docs: DataFrame, sample_rows: int = 300, sample_chars: int = 20_000, most_languages: int = 200) -> LanguageModel:
-    """Counts trigrams of a bounded sample: ``sample_rows`` documents of each ``lang``, those with the smallest id hashes.
+    """Counts trigrams of a bounded sample: ``sample_rows`` documents of each ``lang`` at most,
+    those with the smallest id hashes, but for texts over ``sample_chars``.
 
-    docs: ``doc_id``, ``text``, ``lang``. Texts over ``sample_chars`` and null languages are not sampled. The
+    docs: ``doc_id``, ``text``, ``lang``; rows with a null are not sampled. The
     languages are the ``most_languages`` most frequent ones. An empty table gives a model without languages.
     """
-    known = docs.select("doc_id", "text", "lang").where("lang is not null and text is not null").where(F.length("text") <= sample_chars)
-    named = sorted(r["lang"] for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most_languages).collect())
+    known = docs.select("doc_id", "lang").where("lang is not null and doc_id is not null")
+    counts = {r["lang"]: r["count"] for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most_languages).collect()}
+    named = sorted(counts)
     table = np.full((BINS, len(named)), 0.02)
-    for k, lang in enumerate(named):
-        for row in known.where(F.col("lang") == lang).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows).select("text").toLocalIterator():
-            np.add.at(table[:, k], grams(row["text"]), 1)
+    if named:
+        picked = reduce(DataFrame.union, (least_hashed(known.where(F.col("lang") == x), sample_rows, counts[x]) for x in named)).distinct()
+        texts = docs.select("doc_id", "lang", "text").where(F.length("text") <= sample_chars)
+        for row in texts.join(F.broadcast(picked), ["doc_id", "lang"]).select("lang", "text").toLocalIterator():
+            np.add.at(table[:, named.index(row["lang"])], grams(row["text"]), 1)
     return LanguageModel(named, np.log(table / table.sum(axis=0)) if named else table)
 
 

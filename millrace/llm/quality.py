@@ -16,6 +16,8 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from millrace.llm.frequent import least_hashed
+
 LEVEL = 3
 
 
@@ -95,8 +97,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, usable: Column | None = None
     if len(counts) < 2:
         share = (counts.get(1, 0) + 0.5) / (total + 1)
         return QualityModel(b"\n" * 8, b"\n" * 8, np.array([np.log(share / (1 - share))] + [0.0] * 6))
-    draw = F.xxhash64("doc_id")
-    picks = [known.where(F.col("quality") == q).orderBy(draw, "doc_id").limit(sample_rows) for q in (0, 1)]
+    picks = [least_hashed(known.where(F.col("quality") == q), sample_rows, counts[q]) for q in (0, 1)]
     picked = picks[0].union(picks[1])
     rows = docs.select("doc_id", "text").where("text is not null").where(F.length("text") <= sample_chars).join(F.broadcast(picked), "doc_id").dropDuplicates(["doc_id"]).collect()
     rows.sort(key=lambda r: (hash_of(r["doc_id"]), r["doc_id"]))
