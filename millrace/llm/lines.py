@@ -59,22 +59,3 @@ def op6_lines(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     done = dedup_lines(docs)
     return done.select("doc_id", F.col("n_lines").cast("long").alias("n_lines"), F.col("n_removed").cast("long").alias("n_removed"), F.col("n_spans").cast("long").alias("n_spans"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
-
-
-SQL = """
-WITH l AS (
-  SELECT doc_id, string_split(text, chr(10)) AS lines FROM documents
-), w AS (
-  SELECT doc_id, lines, pos, lines[pos + 1] || chr(10) || lines[pos + 2] || chr(10) || lines[pos + 3] AS k
-  FROM (SELECT doc_id, lines, unnest(range(len(lines) - 2)) AS pos FROM l WHERE len(lines) >= 3)
-), r AS (
-  SELECT doc_id, pos, row_number() OVER (PARTITION BY k ORDER BY doc_id, pos) AS nth FROM w
-), c AS (
-  SELECT doc_id, list_sort(list_distinct(flatten(list([pos, pos + 1, pos + 2])))) AS gone FROM r WHERE nth > 1 GROUP BY doc_id
-)
-SELECT l.doc_id, CAST(len(lines) AS BIGINT) AS n_lines, CAST(coalesce(len(gone), 0) AS BIGINT) AS n_removed,
-  CAST(coalesce(len(list_filter(gone, lambda x: NOT list_contains(gone, x - 1))), 0) AS BIGINT) AS n_spans,
-  sha256(CASE WHEN gone IS NULL THEN array_to_string(lines, chr(10))
-    ELSE coalesce(array_to_string(list_transform(list_filter(range(len(lines)), lambda i: NOT list_contains(gone, i)), lambda i: lines[i + 1]), chr(10)), '') END) AS kept_sha256
-FROM l LEFT JOIN c USING (doc_id)
-"""

@@ -27,7 +27,7 @@ class WordHashes(dict):
     """64-bit hashes of words, remembered; emptied when large."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 1_000_000:
+        if len(self) > 500_000:
             self.clear()
         self[word] = value = xxhash.xxh3_64_intdigest(word)
         return value

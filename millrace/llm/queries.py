@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.llm import decontamination, language, lines, neardup, packing, quality, recompression, secrets, spotsigs, substrings
+from millrace.llm import decontamination, language, lines, neardup, oracles, packing, quality, recompression, secrets, spotsigs, substrings
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_spotsigs": spotsigs.op1_spotsigs,
@@ -21,4 +21,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_decontamination": decontamination.op10_decontamination,
 }
 
-ORACLES: dict[str, str] = {"op6_lines": lines.SQL}
+ORACLES: dict[str, str] = {
+    "op2_substrings": oracles.SUBSTRINGS,
+    "op3_minhash": oracles.MINHASH,
+    "op4_recompression": oracles.RECOMPRESSION,
+    "op6_lines": oracles.LINES,
+    "op10_decontamination": oracles.DECONTAMINATION,
+}

@@ -123,7 +123,7 @@ def keys(words: np.ndarray, doc: np.ndarray, starts: np.ndarray, window: int, ro
     return out
 
 
-def repeated_words(docs: DataFrame, window: int = 50, rounds: int = 4, batch_words: int = 1_500_000, sample_rows: int = 2000, sample_chars: int = 20_000) -> DataFrame:
+def repeated_words(docs: DataFrame, window: int = 50, rounds: int = 4, batch_words: int = 500_000, sample_rows: int = 2000, sample_chars: int = 20_000) -> DataFrame:
     """The windows of ``docs`` (``doc_id``, ``text``) that also start in a document of a smaller id: ``doc_id``, ``start``, ``length``.
 
     A row is a stretch of consecutive window starts. Words are what white space separates in the whole text; a window is
