@@ -245,7 +245,7 @@ def repeated_spans(docs: DataFrame, window: int, batch_bytes: int, turn_rows: in
     return around.repartition("key").sortWithinPartitions("key").mapInArrow(meet, SPAN)
 
 
-def remove_substrings(docs: DataFrame, window: int = 200, batch_bytes: int = 4_000_000, turn_rows: int = 40_000, sample_rows: int = 2000, sample_chars: int = 20_000) -> DataFrame:
+def remove_substrings(docs: DataFrame, window: int = 200, batch_bytes: int = 2_000_000, turn_rows: int = 40_000, sample_rows: int = 2000, sample_chars: int = 20_000) -> DataFrame:
     """A row per row of ``docs`` (``doc_id``, ``text``): ``doc_id``, ``n_bytes``, ``n_removed``, ``n_spans``, ``kept`` (binary).
 
     Texts are UTF-8 bytes, a null one none. Every byte is removed that a string of ``window`` bytes covers which also

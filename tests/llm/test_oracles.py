@@ -1,4 +1,5 @@
 import duckdb
+import pandas as pd
 import pytest
 
 from millrace.llm import queries as Q
@@ -13,7 +14,7 @@ def test_query_matches_sql(spark, name):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     want = con.sql(Q.ORACLES[name]).df()
     found = Q.QUERIES[name](spark, SF).toPandas()
-    clean = lambda v: None if v is None or v != v else str(int(v)) if isinstance(v, float) else str(v)
+    clean = lambda v: None if pd.isna(v) else str(int(v)) if isinstance(v, float) else str(v)
     rows = lambda frame: sorted(tuple(str(clean(v)) for v in row) for row in frame[sorted(frame.columns)].itertuples(index=False))
     assert sorted(found.columns) == sorted(want.columns) and rows(found) == rows(want)
 
