@@ -185,7 +185,12 @@ def near_components(docs: DataFrame, size: int = 5, similarity: tuple[int, int]
     def confirm(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for rows in groups(frames, 3):
-            full = [shingle_set(r[5], size, hashes) for r in rows]
+            # An id with several texts comes with each of them for each of its sets.
+            pairs = [(r, shingle_set(r[5], size, hashes)) for r in rows]
+            pairs = [(r, s) for r, s in pairs if xxhash.xxh3_128_digest(s.tobytes()) == r[6]]
+            rows, full = [r for r, _ in pairs], [s for _, s in pairs]
+            if len(rows) < 2:
+                continue
             signs = np.array([signature(s, a, b) for s in full])
             n = np.array([len(s) for s in full])
             forest, nodes, left, right = Forest(len(rows)), [r[3] for r in rows], [], []
@@ -210,7 +215,7 @@ def near_components(docs: DataFrame, size: int = 5, similarity: tuple[int, int]
     grouped = components(candidates)
     sizes = grouped.groupBy("root").count()
     members = grouped.join(sizes, "root").join(nodes.select("node", "set_id"), "node")
-    texts = docs.select(F.col("doc_id").alias("node"), "text").where("node is not null").join(members, "node").dropDuplicates(["node", "set_id"])
+    texts = docs.select(F.col("doc_id").alias("node"), "text").where("node is not null").join(members, "node").withColumn("th", F.xxhash64("text")).dropDuplicates(["node", "set_id", "th"])
     tasks = blocked(texts, "count", max(1, block // 4), "node").select("root", "i", "j", "node", "side", "text", "set_id")
     links = tasks.repartition("root", "i", "j").sortWithinPartitions("root", "i", "j", "node", "set_id").mapInArrow(confirm, "a long, b long")
     ids = found.where("set_id is not null and doc_id is not null").select("doc_id", "set_id").distinct().join(nodes.select("set_id", "node"), "set_id").select("doc_id", "node").distinct()

@@ -71,3 +71,11 @@ def test_connected_components(spark):
     found = {r["node"]: r["root"] for r in common.components(spark.createDataFrame(chain, "a long, b long")).collect()}
     assert found == {**{i: 100 for i in range(100, 161)}, 3: 3, 5: 3, 9: 3, 7: 7, 8: 7}
     assert common.components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_an_id_with_several_texts_loses_no_link(spark):
+    words = [f"w{i}" for i in range(120)]
+    rows = [(1, " ".join(words)), (1, "short"), (1, "another text of some words"), (1, " ".join(words)), (9, " ".join([*words[:60], "new", *words[61:]])), (7, "another text of some words")]
+    for order in (rows, rows[::-1]):
+        got = sorted(((r["doc_id"], r["n_shingles"], r["component_id"]) for r in neardup.near_components(spark.createDataFrame(order, "doc_id long, text string").repartition(3), 3, (85, 100)).collect()), key=repr)
+        assert got == [(1, 1, 1), (1, 118, 1), (1, 118, 1), (1, 3, 1), (7, 3, 1), (9, 118, 1)]
