@@ -23,8 +23,9 @@ class Tokenizer:
 
     The file's normaliser and splitter never join characters across ASCII white space, so a text's ids are those of
     its runs between such in turn; it lower-cases, so runs are looked up in lower case (but for texts that may hold a
-    special token, which is matched as written). New runs are encoded together: words of letters one after the other,
-    as their last ids tell where they end, and others with a mark between them that is a token of its own. The memory has two generations of ``most`` runs: as the younger fills up, it becomes the
+    special token, which is matched as written). New words of a to z go straight to the model; other new runs are encoded
+    together: words of letters one after the other, as their last ids tell where they end, and others with a mark between
+    them that is a token of its own. The memory has two generations of ``most`` runs: as the younger fills up, it becomes the
     older, and runs met again return to the younger.
     """
 
@@ -37,6 +38,7 @@ class Tokenizer:
         vocabulary = self.public.get_vocab()
         self.type = np.dtype("<u2" if max(end_id, *vocabulary.values()) < 1 << 16 else "<u4")
         self.end = np.array([end_id], self.type).tobytes()
+        self.codes = [np.array([i], self.type).tobytes() for i in range(max(vocabulary.values()) + 1)]
         self.known: dict[bytes, bytes] = {}
         self.older: dict[bytes, bytes] = {}
         self.mark = self.encoded(self.MARK)
@@ -51,20 +53,29 @@ class Tokenizer:
     def learn(self, runs: list[bytes]) -> None:
         """Remembers new runs: those of letters, with symbols after them or not, by their two parts, others as they are."""
         known = self.known
-        self.separate([r for r in runs if r.isalpha()], self.word_ends)
+        plain = {r for r in runs if r.isalpha() and r.islower()}
+        self.spell(plain)
         rest, parts = [], []
         for run in runs:
-            if not run.isalpha():
+            if run not in plain:
                 core = run.rstrip(SYMBOLS)
                 (parts if core.isalpha() or core.decode().isalpha() else rest).append((run, core))
         cores = {core for _, core in parts if core not in known}
         ends = {run[len(core) :] for run, core in parts if len(run) > len(core)}
-        self.separate(list(cores), self.word_ends)
+        plain = {c for c in cores if c.isalpha() and c.islower()}
+        self.spell(plain)
+        self.separate(list(cores - plain), self.word_ends)
         self.separate([r for r in {*ends, *(run for run, _ in rest)} if r not in known], None)
         for run, core in parts:
             if len(run) > len(core):
                 known[run] = known[core] + known[run[len(core) :]]
 
+    def spell(self, words: set[bytes]) -> None:
+        """Remembers words of a to z by the tokenizer's last step alone: the others leave such words as they are."""
+        step, codes, known = self.public.model.tokenize, self.codes, self.known
+        for word in words:
+            known[word] = b"".join([codes[t.id] for t in step(word.decode())])
+
     def separate(self, runs: list[bytes], ends: np.ndarray | None) -> None:
         """Remembers runs encoded together: told apart by the ids in ``ends``, or by marks put in between."""
         if ends is None:

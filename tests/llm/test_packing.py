@@ -38,7 +38,7 @@ def public():
     return Tokenizer.from_file(packing.word_bpe())
 
 
-TEXTS = ["<|startoftext|> A\x1cb É Straße ΑΣ É\x01x \x01 it's 3rd wide <|ENDOFTEXT|>", "\x01", "", None, "it's the&&& don' Éé… naïve— a1 1a \x01x ﬁ ① ª don't. l'été ''s 's", "x" * 5000, "a b " * 9000, "Å é 한글 한"]
+TEXTS = ["<| ABC Def, GHI!! ÄÖ. jkl <|endoftext|>mno PQR", "<|startoftext|> A\x1cb É Straße ΑΣ É\x01x \x01 it's 3rd wide <|ENDOFTEXT|>", "\x01", "", None, "it's the&&& don' Éé… naïve— a1 1a \x01x ﬁ ① ª don't. l'été ''s 's", "x" * 5000, "a b " * 9000, "Å é 한글 한"]
 
 
 def test_tokenizer_is_the_public_one(public):
