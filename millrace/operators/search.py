@@ -25,6 +25,13 @@ def nearest(queries: DataFrame, stored: DataFrame, n: int = 5, metric: str = "l2
     query_rows: how many queries there are, if known; else they are counted.
     """
     count = queries.count() if query_rows is None else query_rows
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "id"))
+    if count == 1:
+        # One query needs no grouping: each task keeps its best, and the best of those are taken in order.
+        one = queries.select(F.col(query_id).alias("query_id"), F.col(query_vec).alias("query_vec"))
+        d = V.distance(F.col("query_vec"), F.col("vec"), metric)
+        scored = stored.select(F.col(id_).alias("id"), F.col(vec).alias("vec")).crossJoin(F.broadcast(one)).select("query_id", "id", (d if places is None else F.round(d, places)).alias("distance"))
+        return scored.orderBy("distance", "id").limit(n).select("query_id", (rank - 1).alias("rank"), "id", "distance")
     blocks = max(1, -(-count // block_rows))
     side = F.pmod(F.xxhash64(query_id), F.lit(blocks))
     parts = []
@@ -38,7 +45,6 @@ def nearest(queries: DataFrame, stored: DataFrame, n: int = 5, metric: str = "l2
     found = parts[0]
     for part in parts[1:]:
         found = found.unionByName(part)
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "id"))
     return found.withColumn("rank", rank - 1).where(F.col("rank") < n).select("query_id", "rank", "id", "distance")
 
 
