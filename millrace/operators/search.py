@@ -16,6 +16,14 @@ def candidate_count(n: int, multiplier: int, stored: int) -> int:
     return min(max(n, n * multiplier), stored or 1)
 
 
+def best(rows: DataFrame, number: Column, n: int) -> DataFrame:
+    """The first ``n`` rows by a row number, with ``rank`` from 0.
+
+    The filter is on the number itself, so that each task drops what cannot be among them before the shuffle.
+    """
+    return rows.withColumn("_number", number).where(F.col("_number") <= n).withColumn("rank", F.col("_number") - 1)
+
+
 def nearest(queries: DataFrame, stored: DataFrame, n: int = 5, metric: str = "l2", id_: str = "id", vec: str = "embedding", query_id: str = "query_id", query_vec: str = "query_vec", block_rows: int = 2000, places: int | None = None, query_rows: int | None = None) -> DataFrame:
     """The ``n`` nearest of ``stored`` to each query: ``query_id``, ``rank`` (from 0), ``id``, ``distance``.
 
@@ -45,7 +53,7 @@ def nearest(queries: DataFrame, stored: DataFrame, n: int = 5, metric: str = "l2
     found = parts[0]
     for part in parts[1:]:
         found = found.unionByName(part)
-    return found.withColumn("rank", rank - 1).where(F.col("rank") < n).select("query_id", "rank", "id", "distance")
+    return best(found, rank, n).select("query_id", "rank", "id", "distance")
 
 
 def term_statistics(docs: DataFrame, text: str = "document") -> tuple[DataFrame, int, float, float]:
@@ -100,8 +108,8 @@ def bm25_top(queries: DataFrame, docs: DataFrame, n: int = 5, id_: str = "id", t
     asked = queries.select(F.col(query_id).alias("query_id")).distinct()
     filler = first.join(asked).join(scored, ["query_id", "id"], "left_anti").select("query_id", "id", "ord", F.lit(0.0).alias("score"))
     listed = scored.join(known, "id").select("query_id", "id", "ord", "score").unionByName(filler)
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "ord")) - 1
-    return listed.withColumn("rank", rank).where(F.col("rank") < n).select("query_id", "rank", "id", "score")
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "ord"))
+    return best(listed, rank, n).select("query_id", "rank", "id", "score")
 
 
 def fuse(vectors: DataFrame, keywords: DataFrame, n: int = 5, k: int = 60) -> DataFrame:
@@ -116,8 +124,7 @@ def fuse(vectors: DataFrame, keywords: DataFrame, n: int = 5, k: int = 60) -> Da
     share = lambda c: F.coalesce(1.0 / (F.lit(k) + F.col(c)), F.lit(0.0))
     scored = both.withColumn("score", share("vec_rank") + share("key_rank")).withColumn("distance", F.coalesce("distance", F.lit(0.0)))
     order = [F.desc("score"), F.asc_nulls_last("vec_rank"), F.asc_nulls_last("key_rank"), F.asc("id")]
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(*order)) - 1
-    return scored.withColumn("rank", rank).where(F.col("rank") < n).select("query_id", "rank", "id", "score", "distance")
+    return best(scored, F.row_number().over(Window.partitionBy("query_id").orderBy(*order)), n).select("query_id", "rank", "id", "score", "distance")
 
 
 def search(queries: DataFrame, chunks: DataFrame, n: int = 5, hybrid: bool = False, candidates: int = 3, k: int = 60, metric: str = "l2", make=V.HashEmbedder, order: str | None = None, places: int | None = None) -> DataFrame:
