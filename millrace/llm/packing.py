@@ -31,7 +31,7 @@ class Tokenizer:
 
     MARK = b"\x01"
 
-    def __init__(self, path: str, end_id: int, most: int = 1_000_000):
+    def __init__(self, path: str, end_id: int, most: int = 800_000):
         from tokenizers import Tokenizer as Public
 
         self.public, self.most = Public.from_file(path), most
