@@ -69,8 +69,7 @@ class SecretModel:
         out = []
         for m in CANDIDATE.finditer(text):
             token = m.group().strip("=-_/+")
-            digits = sum(c.isdigit() for c in token)
-            if len(token) >= 16 and 2 <= digits < len(token) and self.ratio(token) > self.threshold:
+            if len(token) >= 16 and self.ratio(token) > self.threshold:
                 at = m.start() + m.group().index(token)
                 out.append((at, 3, at + len(token)))
         return out
@@ -116,25 +115,37 @@ def identifiers(draw: random.Random, words: list[str], n: int) -> list[str]:
     return out
 
 
+def numbers(draw: random.Random, n: int) -> list[str]:
+    """Long ordinary numbers: account and serial numbers, and times to a fraction of a second."""
+    return [str(draw.randint(10**15, 10 ** draw.randint(16, 24))) if i % 2 else f"20{draw.randint(10, 29)}{draw.randint(1, 12):02}{draw.randint(1, 28):02}{draw.randint(0, 235959):06}{draw.randint(0, 999999):06}" for i in range(n)]
+
+
+#: The labelled random strings' alphabets: with digits, and of letters alone.
+ALPHABETS = (string.ascii_letters + string.digits + "+/", string.ascii_letters + string.digits, "0123456789abcdef", string.ascii_uppercase + string.digits, string.ascii_lowercase + string.digits, string.ascii_letters, string.ascii_lowercase, string.ascii_uppercase)
+
 #: Words of ordinary identifiers where the sampled documents give none.
 PLAIN = "user name value index count total first last item list map key data file path line text page view model table column result error request response server client session config option default handler manager service factory update create delete insert select order group number string object array buffer stream reader writer message event time date start end width height color style image button title content header footer section parent child node tree graph edge weight score rate limit offset batch sample train test build version release package module import export public private static final return".split()
 
 
 def fit_secrets(docs: DataFrame, sample_rows: int = 1000, sample_chars: int = 20_000, samples: int = 6000, seed: int = 7, false_rate: float = 0.0005) -> SecretModel:
-    """Trains the chains on labelled samples: generated random strings of four alphabets, and ordinary identifiers.
+    """Trains the chains on labelled samples: generated random strings of eight alphabets, three of them without
+    digits, and ordinary identifiers and long numbers. No other rule gates the candidates: what has 16 characters is
+    judged by the chains. Strings of digits alone come out as ordinary, as random digits and a serial number are alike.
 
     The identifiers' words come from ``sample_rows`` documents at most (those with the smallest hash of ``doc_id``, but
-    for texts over ``sample_chars``; they are scanned whole like all others) and a short fixed list. The threshold is set on samples that the chains did not see, so that at most ``false_rate`` of ordinary
-    ones pass, and never below 0.15 a character. Null ids and texts are not sampled; empty tables leave the fixed list.
+    for texts over ``sample_chars``; they are scanned whole like all others) and a short fixed list. The threshold is
+    set on samples that the chains did not see, so that at most ``false_rate`` of ordinary ones pass, whether of all
+    words, of the fixed list's alone or numbers, and never below 0.15 a character. Null ids and texts are not sampled;
+    empty tables leave the fixed list.
     """
     words = sorted({w for t in sampled_texts(docs, sample_rows, sample_chars) for w in re.findall(r"[A-Za-z]{3,12}", t)})
     draw = random.Random(seed)
-    alphabets = (string.ascii_letters + string.digits + "+/", string.ascii_letters + string.digits, "0123456789abcdef", string.ascii_uppercase + string.digits)
     pool = PLAIN + (draw.choices(words, k=len(PLAIN) * 3) if words else [])
-    plain = identifiers(draw, pool, samples)
-    model = SecretModel([chain(random_strings(draw, a, samples // 2)) for a in alphabets], chain(plain), 0.0)
-    fresh = sorted((model.ratio(t) for t in identifiers(draw, pool, samples)), reverse=True)
-    model.threshold = max(0.15, fresh[int(false_rate * len(fresh))] + 0.02)
+    plain = identifiers(draw, pool, samples) + numbers(draw, samples // 6)
+    model = SecretModel([chain(random_strings(draw, a, samples // 2)) for a in ALPHABETS], chain(plain), 0.0)
+    for fresh in (identifiers(draw, pool, samples), identifiers(draw, PLAIN, samples), numbers(draw, samples)):
+        ratios = sorted(map(model.ratio, fresh), reverse=True)
+        model.threshold = max(0.15, model.threshold, ratios[int(false_rate * len(ratios))] + 0.02)
     return model
 
 

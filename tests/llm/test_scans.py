@@ -121,6 +121,23 @@ def test_markov_models_tell_random_from_ordinary(secret_model):
     assert secret_model.spans(f"é {key} x") == [(2, 3, 42)]
 
 
+SHAPES = [string.ascii_letters + string.digits + "+/", string.ascii_letters + string.digits, string.ascii_uppercase + string.digits, "0123456789abcdef", string.ascii_letters, string.ascii_lowercase, string.ascii_uppercase]
+
+
+@pytest.mark.parametrize("size", [16, 20, 32])
+@pytest.mark.parametrize("alphabet", SHAPES)
+def test_random_strings_need_no_digits(secret_model, alphabet, size):
+    draw = random.Random(size)
+    keys = ["".join(draw.choices(alphabet, k=size)).replace("/", "a").replace("+", "b") for _ in range(300)]
+    assert sum(secret_model.spans(f"see {k} there") == [(4, 3, 4 + size)] for k in keys) >= 294
+
+
+def test_ordinary_strings_without_digits_pass(secret_model):
+    names = [n for n in secrets.identifiers(random.Random(98), secrets.PLAIN, 6000) if not any(c.isdigit() for c in n)]
+    assert len(names) > 2000 and sum(bool(secret_model.spans(n)) for n in names) <= 0.0015 * len(names)
+    assert sum(bool(secret_model.spans(n)) for n in secrets.numbers(random.Random(97), 2000)) <= 3
+
+
 @pytest.fixture(scope="module")
 def labelled(spark):
     draw = random.Random(3)
