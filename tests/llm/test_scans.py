@@ -138,6 +138,26 @@ def test_ordinary_strings_without_digits_pass(secret_model):
     assert sum(bool(secret_model.spans(n)) for n in secrets.numbers(random.Random(97), 2000)) <= 3
 
 
+RUNS = ["/static/media/images/profile/settings/account/holder/overview/{}", "https://example.com/account/overview/list?session_key={}&page=2", "the-quick-brown-fox-jumps-over-the-lazy-dog-and-runs-{}-to-the-river-side", "/api/users/{}/profile/settings/overview/list"]
+
+
+@pytest.mark.parametrize("run", RUNS)
+@pytest.mark.parametrize("alphabet", [SHAPES[1], SHAPES[3], SHAPES[5]])
+def test_random_stretches_of_long_runs(secret_model, run, alphabet):
+    draw, at = random.Random(20), run.index("{")
+    found = [secret_model.spans(run.format("".join(draw.choices(alphabet, k=20)))) for _ in range(200)]
+    assert secret_model.spans(run.format("name")) == []
+    assert sum(any(abs(s - at) <= 3 and abs(e - at - 20) <= 3 for s, _, e in f) for f in found) >= 190 and found.count([(at, 3, at + 20)]) >= 170
+
+
+def test_all_random_stretches_of_a_run(secret_model):
+    draw = random.Random(21)
+    keys = ["".join(draw.choices(SHAPES[1], k=32)) for _ in range(30)]
+    text = "".join(f"{k}/profile/settings/account/overview/" for k in keys)
+    assert len(secret_model.spans(text)) == 30 and sum((text.index(k), 3, text.index(k) + 32) in secret_model.spans(text) for k in keys) >= 26
+    assert secret_model.spans("a" * 15) == secret_model.spans("=" * 40) == secret_model.spans("/-_+" * 9) == []
+
+
 @pytest.fixture(scope="module")
 def labelled(spark):
     draw = random.Random(3)
