@@ -169,10 +169,19 @@ def rrf_fusion(spark, d):
     return fused.select("query_id", *long("rank"), "id", F.round("score", PLACES).alias("score"), "distance")
 
 
-def hybrid_search(spark, d):
+def hybrid(asked: DataFrame, spark, d) -> DataFrame:
     stored = stored_documents(spark, d).withColumn("embedding", V.embed(F.col("document")))
-    found = search.search(one_query(spark), stored, 5, hybrid=True, places=PLACES)
-    return found.select(*long("rank"), "id", F.round("score", PLACES).alias("score"), "distance")
+    found = search.search(asked, stored, 5, hybrid=True, places=PLACES)
+    return found.select("query_id", *long("rank"), "id", F.round("score", PLACES).alias("score"), "distance")
+
+
+def hybrid_search(spark, d):
+    return hybrid(one_query(spark), spark, d).drop("query_id")
+
+
+def hybrid_batch(spark, d):
+    """The stated set of documents, those with ids divisible by 20, as questions to all documents."""
+    return hybrid(documents(spark, d).where("doc_id % 20 = 0").select(F.col("doc_id").alias("query_id"), F.col("text").alias("query")), spark, d)
 
 
 def format_prompt(spark, d):
@@ -245,7 +254,7 @@ QUERIES: dict[str, Query] = {
     "consecutive_distance": consecutive_distance, "semantic_breakpoints": semantic_breakpoints, "chunk_semantic": chunk_semantic, "content_hash": content_hash,
     "config_fingerprint": config_fingerprint, "reindex_status": reindex_status, "stale_files": stale_files, "upsert_result": upsert_result, "run_summary": run_summary,
     "knn_l2": knn(True, 10, "l2"), "knn_batch": knn(False, 5, "l2"), "knn_cosine": knn(False, 5, "cosine"), "bm25_topk": bm25_topk, "rrf_fusion": rrf_fusion,
-    "hybrid_search": hybrid_search, "benchmark_retrieval": benchmark_retrieval, "format_prompt": format_prompt, "table_as_text": table_as_text, "row_prose": row_prose,
+    "hybrid_search": hybrid_search, "hybrid_batch": hybrid_batch, "benchmark_retrieval": benchmark_retrieval, "format_prompt": format_prompt, "table_as_text": table_as_text, "row_prose": row_prose,
     "html_text": html_text, "html_sections": html_sections, "collection_list": collection_list, "collection_stats": collection_stats, "ext_counts": ext_counts,
     "metadata_keys": metadata_keys, "collection_inspect": collection_inspect, "chat_log_summary": chat_log_summary,
 }

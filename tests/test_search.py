@@ -71,6 +71,19 @@ def test_search_embeds_the_hypothetical_text(spark):
     assert {r["id"] for r in both} == {"a", "b"}
 
 
+def test_hybrid_batch_asks_each_stated_document(spark, monkeypatch):
+    from millrace.plans import queries as plans
+
+    d = "/root/testdata/sf0.001"
+    asked = plans.documents(spark, d).where("doc_id % 20 = 0").select("doc_id", "text").collect()
+    found = plans.hybrid_batch(spark, d).collect()
+    assert sorted((r["query_id"], r["rank"]) for r in found) == sorted((a["doc_id"], k) for a in asked for k in range(5))
+    for a in asked[:2]:
+        monkeypatch.setattr(plans, "one_query", lambda spark, text=a["text"]: spark.createDataFrame([(0, text)], "query_id long, query string"))
+        alone = sorted(map(tuple, plans.hybrid_search(spark, d).collect()))
+        assert alone == sorted(tuple(r)[1:] for r in found if r["query_id"] == a["doc_id"])
+
+
 HIT = "query_id long, rank int, file_name string, chunk_id int, document string, page_number int, section_title string, source_url string, ingest_date timestamp"
 
 
