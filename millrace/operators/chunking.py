@@ -99,6 +99,25 @@ def adjacent_distances(rows: DataFrame, id_: str = "doc_id", pos: str = "pos", v
     return rows.withColumn("_after", after).withColumn("distance", F.when(F.col("_after").isNotNull(), V.cosine_distance(F.col(vec), F.col("_after")))).drop("_after")
 
 
+def ordered_distances(rows: DataFrame, id_: str, pos: str, vec: str = "vec") -> DataFrame:
+    """``adjacent_distances`` where few ids hold many rows each: ``pos`` is not null and unique within an id.
+
+    Rows are range-partitioned by both, so an id spreads over tasks; what ends a partition meets the first row of the
+    next one. Only the partitions' first places, as many as there are partitions, pass through the driver.
+    """
+    # Kept, as range bounds are drawn from a sample and both uses must see the same partitions.
+    placed = rows.repartitionByRange(F.col(id_), F.col(pos)).withColumn("_part", F.spark_partition_id()).persist()
+    order = Window.partitionBy("_part").orderBy(id_, pos)
+    here = F.struct(F.col(id_).alias("i"), F.col(vec).alias("v"))
+    heads = placed.groupBy("_part").agg(F.min_by(here, F.struct(id_, pos)).alias("_head"))
+    parts = sorted(r["_part"] for r in heads.select("_part").collect())
+    before = rows.sparkSession.createDataFrame(list(zip(parts[1:], parts)), "_part int, _before int")
+    closing = heads.join(F.broadcast(before), "_part").select(F.col("_before").alias("_part"), "_head")
+    found = placed.withColumn("_inside", F.lead(here).over(order)).join(F.broadcast(closing), "_part", "left").withColumn("_next", F.coalesce("_inside", "_head"))
+    same = F.col("_next.i").eqNullSafe(F.col(id_)) & F.col("_next").isNotNull()
+    return found.withColumn("distance", F.when(same & F.col("_next.v").isNotNull(), V.cosine_distance(F.col(vec), F.col("_next.v")))).drop("_part", "_inside", "_head", "_next")
+
+
 def semantic_breaks(rows: DataFrame, percentile: float = 95, id_: str = "doc_id", places: int | None = None) -> DataFrame:
     """``rows`` with ``distance``, the document's ``threshold`` and ``breaks``: whether a chunk ends here.
 

@@ -79,7 +79,7 @@ def context_window(spark, d):
 
 def consecutive_distance(spark, d):
     rows = table(spark, d, "embeddings").select("label", "vec_id", "embedding")
-    return chunking.adjacent_distances(rows, "label", "vec_id", "embedding").select("label", "vec_id", (F.round("distance", PLACES) + 0.0).alias("distance"))
+    return chunking.ordered_distances(rows, "label", "vec_id", "embedding").select("label", "vec_id", (F.round("distance", PLACES) + 0.0).alias("distance"))
 
 
 def semantic_breakpoints(spark, d):

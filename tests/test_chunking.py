@@ -80,3 +80,23 @@ def test_first_sentence_metadata(spark):
     found = spark.createDataFrame([(1, 0, "a", 0), (1, 1, "b", 9)], "doc_id long, chunk_id int, text string, first_sentence int")
     rows = C.first_sentence_metadata(found, docs).orderBy("chunk_id").collect()
     assert [(r["page_number"], r["section_title"]) for r in rows] == [(1, None), (2, "S")]
+
+
+@pytest.mark.parametrize("parts", [1, 7])
+def test_ordered_distances_spread_one_id_over_partitions(spark, parts):
+    given_ = [(k, p, [float(p % 7 + 1), float((k or 0) + 1)]) for k in (0, 1, None) for p in range(300 if k == 0 else 3)]
+    rows = spark.createDataFrame(given_, "label int, pos int, vec array<double>").repartition(3)
+    want = C.adjacent_distances(rows, "label", "pos").select("label", "pos", "distance")
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        found = C.ordered_distances(rows, "label", "pos").withColumn("task", F.spark_partition_id())
+        got = found.collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+    assert sorted(map(repr, want.collect())) == sorted(map(repr, (found.drop("task").select("label", "pos", "distance").collect())))
+    assert len({r["task"] for r in got if r["label"] == 0}) >= min(parts, 2)
+    assert C.ordered_distances(rows.limit(0), "label", "pos").count() == 0
