@@ -11,13 +11,16 @@ from millrace.llm.common import cut, let
 
 # Common words of English, German, French and Spanish, the anchors of the chains.
 COMMON = """
-a all an and are as at be but by can for from had has have he her his in is it not of on one or she so that the their
-there they this to was we were what which who will with you
-aber als am auch auf aus bei das dass dem den der des die durch ein eine einem einen einer er es für hat ich ihr ist mit
-nach nicht oder sich sie sind und von wie wir zu zum zur
-au aux avec ce cette comme dans de du elle en est et il je la le les leur mais ne nous ont ou par pas pour qu que qui se
-son sont sur un une vous
-al como con del donde el era esta este ha las lo los más no nos para pero por si sin su sus también todo y ya
+a about all also an and any are as at be because been but by can could did do does for from had has have he her his
+how i if in into is it its just like may more most no not of on one only or other our out over said she so some such
+than that the their them then there these they this to up was we were what when where which who will with would you your
+aber als am auch auf aus bei bis das dass dem den der des die durch ein eine einem einen einer eines er es für hat ich
+ihr im ist kann man mit nach nicht noch nur oder sein sich sie sind über um und uns von vor war wenn werden wie wir wird
+zu zum zur
+au aux avec ce ces cette comme dans de du elle en est et être il ils je la le les leur lui mais ne nous on ont ou par
+pas plus pour qu que qui sa se ses son sont sur un une vous à
+al con como del donde el ella entre era ese esta este está fue ha hay la las lo los más me mi muy ni nos o para pero
+por que se si sin sobre su sus también todo un una uno y ya
 """.split()
 
 LENGTH_RATIO = 0.05
@@ -77,6 +80,12 @@ def likeness(left: Column, right: Column, least: float = LENGTH_RATIO) -> Column
     return F.when((a == 0) & (b == 0), 1.0).when((a == 0) | (b == 0) | far | (F.least(a, b) < F.lit(least) * F.greatest(a, b)), 0.0).otherwise(let(both, lambda n: n / (a + b - n)))
 
 
+def jaccard(left: Column, right: Column) -> Column:
+    """The exact Jaccard likeness of a single pair, whatever the sets' lengths; two empty sets are alike (1)."""
+    a, b = F.size(left), F.size(right)
+    return F.when((a == 0) & (b == 0), 1.0).otherwise(let(F.size(F.array_intersect(left, right)), lambda n: n / (a + b - n)))
+
+
 def next_ids(docs: DataFrame, key: str) -> DataFrame:
     """Each distinct ``key`` with ``after``, the next smaller one; after the smallest comes the largest.
 
@@ -97,7 +106,7 @@ def fingerprint_edits(docs: DataFrame, chain: int = 2) -> DataFrame:
 
     The edited text has its last floor(n_chars / 3) code points replaced by the first as many (or all) of the next
     document, in descending order of id, the first after the last. Returns ``doc_id``, ``n_chars``, ``edited_sha256``,
-    ``fingerprint``, ``edited_fingerprint``, ``near_edited`` and ``near_next``, the likeness of the fingerprint to the
+    ``fingerprint``, ``edited_fingerprint``, ``near_edited`` and ``near_next``, the exact likeness of the fingerprint to the
     edited text's and the next document's, and ``n_signatures``. A null text is an empty one; a null id counts as
     smaller than all others and stays null; of rows that share an id, the least text is the next document's. A single id
     is its own next. No rows give no rows.
@@ -121,7 +130,7 @@ def fingerprint_edits(docs: DataFrame, chain: int = 2) -> DataFrame:
     rows = rows.select("k", "n_chars", "sigs", "next_sigs", F.sha2("edited", 256).alias("edited_sha256"), F.explode(F.array(signatures(F.col("edited"), chain))).alias("edited_sigs"))
     return rows.select(
         F.nullif(F.col("k"), F.lit(smallest)).alias("doc_id"), "n_chars", "edited_sha256", fingerprint(F.col("sigs")).alias("fingerprint"), fingerprint(F.col("edited_sigs")).alias("edited_fingerprint"),
-        likeness(F.col("sigs"), F.col("edited_sigs")).alias("near_edited"), likeness(F.col("sigs"), F.col("next_sigs")).alias("near_next"), F.size("sigs").cast("long").alias("n_signatures"),
+        jaccard(F.col("sigs"), F.col("edited_sigs")).alias("near_edited"), jaccard(F.col("sigs"), F.col("next_sigs")).alias("near_next"), F.size("sigs").cast("long").alias("n_signatures"),
     )
 
 

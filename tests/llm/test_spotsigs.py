@@ -71,6 +71,18 @@ def test_pruning_and_partitions(spark):
     assert all(abs(part[a] - part[b]) <= 1 for a in part for b in part if min(a, b) >= 0.8 * max(a, b))
 
 
+def test_a_short_document_within_a_long_next_one(spark):
+    words = [f"w{i}" for i in range(1500)]
+    rows = [(2, " ".join(words[:60])), (1, " ".join(words))]
+    near = next(r["near_next"] for r in S.fingerprint_edits(spark.createDataFrame(rows, "doc_id long, text string")).collect() if r["doc_id"] == 2)
+    a, b = signatures(rows[0][1]), signatures(rows[1][1])
+    assert 0 < near < S.LENGTH_RATIO and near == pytest.approx(len(a & b) / len(a | b))
+
+
+def test_common_words_are_whole():
+    assert {"also", "been", "could", "if", "into", "im", "um", "wird", "werden", "ces", "lui", "entre", "sobre"} <= COMMON
+
+
 def test_no_python_on_the_main_path(spark, docs):
     plan = S.fingerprint_edits(docs.select("doc_id", "text"))._jdf.queryExecution().executedPlan().toString()
     assert not regex.search("Python|Pandas|ArrowEval|MapIn", plan)
