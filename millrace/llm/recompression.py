@@ -1,9 +1,10 @@
 """Substring dedup by recompression: rounds name runs and pairs of tokens, and shared symbols reveal long repeats.
 
 Each round replaces runs of a symbol, then pairs of a left-class and a right-class symbol, by new symbols. Names are
-hashes of what they stand for, so they are the same in every document and task without a shared table. A symbol keeps
-the stretch of words that its making depended on; two equal windows contain the same symbols of such stretches inside
-them, so the least of the highest level is a key under which equal windows meet, and their hashes are compared there.
+hashes of what they stand for, so every document and task names alike. A symbol keeps the stretch of words that its
+making depended on; two equal windows contain the same symbols of such stretches inside them. The least of the highest
+level stands for the window: names are counted over all documents, windows are dropped whose symbol is in one document
+alone, and the others meet under it and are compared.
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from millrace.llm.common import stored
 from millrace.llm.frequent import LAST, Frequent, often, sampled_texts
 from millrace.llm.neardup import WordHashes, mixed
 
@@ -123,130 +125,179 @@ def keys(words: np.ndarray, doc: np.ndarray, starts: np.ndarray, window: int, ro
     return out
 
 
-def repeated_words(docs: DataFrame, window: int = 50, rounds: int = 4, batch_words: int = 500_000, sample_rows: int = 2000, sample_chars: int = 20_000) -> DataFrame:
+#: Kinds of rows that are sent: windows settled in their batch, stretches under a symbol, single windows under a common one.
+SETTLED, STRETCH, SINGLE = 0, 1, 2
+
+
+class Batch:
+    """The words of some documents, rows of (id, words, more ...), and the starts of their windows."""
+
+    def __init__(self, rows: list[tuple], window: int, hashes: WordHashes):
+        self.rows, self.window = rows, window
+        sizes = np.array([len(r[1]) for r in rows], np.int64)
+        self.ids = np.array([r[0] for r in rows], np.int64)
+        self.offsets = np.concatenate([[0], np.cumsum(sizes)])
+        self.words = np.fromiter(map(hashes.__getitem__, (w for r in rows for w in r[1])), U, int(self.offsets[-1]))
+        self.doc = np.repeat(np.arange(len(rows)), sizes)
+        full = np.maximum(sizes - window + 1, 0)
+        self.owner = np.repeat(np.arange(len(rows)), full)
+        self.starts = np.arange(full.sum()) - np.repeat(np.cumsum(full) - full, full) + self.offsets[self.owner]
+
+    def keys(self, rounds: int, frequent: Frequent) -> np.ndarray:
+        return keys(self.words, self.doc, self.starts, self.window, rounds, frequent) if len(self.starts) else np.empty(0, U)
+
+
+def repeats(key: np.ndarray, hashes: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """Whether each window, by its symbol and its hash, also has a smaller id."""
+    order = np.lexsort((ids, hashes, key))
+    k, h, d = key[order], hashes[order], ids[order]
+    new = np.concatenate([[True], (k[1:] != k[:-1]) | (h[1:] != h[:-1])]) if len(h) else np.empty(0, bool)
+    out = np.empty(len(h), bool)
+    out[order] = d > d[np.flatnonzero(new)][np.cumsum(new) - 1] if len(h) else False
+    return out
+
+
+def stretches(flags: np.ndarray, breaks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the runs of true flags that do not cross a break."""
+    if not len(flags):
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    begin = flags & np.concatenate([[True], ~flags[:-1] | breaks[1:]])
+    end = flags & np.concatenate([~flags[1:] | breaks[1:], [True]])
+    return np.flatnonzero(begin), np.flatnonzero(end) + 1
+
+
+def meeting(kind: int, begin: np.ndarray, end: np.ndarray, key: np.ndarray, hashes: np.ndarray, ids: np.ndarray, local: np.ndarray) -> pa.RecordBatch:
+    """Rows of one kind for stretches of windows: settled ones without hashes, single ones under their hash with their symbol's name."""
+    n = end - begin
+    where = np.repeat(begin - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum()) if len(n) else begin
+    data = b"" if kind == SETTLED else (key if kind == SINGLE else hashes)[where].tobytes()
+    ends = np.zeros(len(n) + 1, np.int32) if kind == SETTLED else np.concatenate([[0], np.cumsum(8 * n)]).astype(np.int32)
+    binary = pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(data)])
+    under = (hashes if kind == SINGLE else key)[begin].view(np.int64)
+    return pa.RecordBatch.from_arrays([pa.array(np.full(len(n), kind, np.int32)), pa.array(under), pa.array(ids[begin]), pa.array(local[begin]), pa.array(n), binary], names=["kind", "key", "doc_id", "start", "length", "hashes"])
+
+
+def compare(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+    """The stretches of repeated windows among those that meet in one turn, whole keys each."""
+    key, ids, start, n = (np.concatenate([p.column(k).to_numpy(zero_copy_only=False) for p in parts]) for k in range(1, 5))
+    hashes = np.frombuffer(b"".join(b"".join(p.column(5).to_pylist()) for p in parts), U)
+    row = np.repeat(np.arange(len(n)), n)
+    b, e = stretches(repeats(key[row], hashes, ids[row]), np.concatenate([[True], row[1:] != row[:-1]]))
+    first = np.cumsum(n) - n
+    return pa.RecordBatch.from_arrays([pa.array(ids[row[b]]), pa.array(start[row[b]] + b - first[row[b]]), pa.array(e - b)], names=["doc_id", "start", "length"])
+
+
+def later(singles: pa.RecordBatch, before: tuple | None) -> tuple[pa.RecordBatch, tuple]:
+    """Of single windows, sorted by hash, symbol and id, those after an equal one of a smaller id, and the last one's first.
+
+    before: hash, symbol and least id of what the rows before these ended in.
+    """
+    key, ids = singles.column(1).to_numpy(), singles.column(2).to_numpy()
+    names = np.frombuffer(b"".join(singles.column(5).to_pylist()), np.int64)
+    new = np.concatenate([[before is None or (key[0], names[0]) != before[:2]], (key[1:] != key[:-1]) | (names[1:] != names[:-1])])
+    heads = np.where(new, np.arange(len(key)), -1)
+    heads = np.maximum.accumulate(heads)
+    least = np.where(heads < 0, before[2] if before else 0, ids[np.maximum(heads, 0)])
+    out = pa.RecordBatch.from_arrays([singles.column(c) for c in (2, 3, 4)], names=["doc_id", "start", "length"]).filter(pa.array(ids > least))
+    return out, (key[-1], names[-1], int(least[-1]))
+
+
+def repeated_words(docs: DataFrame, window: int = 50, rounds: int = 4, batch_words: int = 500_000, sample_rows: int = 2000, sample_chars: int = 20_000, hot_docs: int = 20_000) -> DataFrame:
     """The windows of ``docs`` (``doc_id``, ``text``) that also start in a document of a smaller id: ``doc_id``, ``start``, ``length``.
 
     A row is a stretch of consecutive window starts. Words are what white space separates in the whole text; a window is
-    ``window`` consecutive words of one document. Windows that already repeat within a batch of about ``batch_words``
-    words (or one document) are settled there, and only one document's copy of each is sent on, so a passage in a third
-    of all documents sends a row per batch. Symbols that a sample of ``sample_rows`` documents has often are keys only where
-    there are no others, which keeps the different surroundings of such a passage apart; the sample decides nothing else.
-    What meets under a key is compared in turns of bounded memory, apart from a
-    single key's rows. Rows with a null id or text are left out; rows that share an id are one document's, and do not
-    repeat each other.
+    ``window`` consecutive words of one document.
+
+    First every document's symbols of up to ``rounds`` rounds that stand for a window are counted by name over all
+    documents, and windows are dropped whose symbol is in one document alone. What is left meets under its symbol, in
+    turns of bounded memory: two windows are the same if symbol and window hash are, 128 bits in all. Windows whose
+    symbol more than ``hot_docs`` documents have do not meet under it but each under its own hash, in order of the id,
+    so that only the one before is remembered and a common symbol's rows spread over tasks.
+
+    Windows that already repeat within a batch of about ``batch_words`` words (or one document) are settled there, and
+    only one document's copy of each is sent on, so a passage in a third of all documents sends a row per batch. Symbols
+    that a sample of ``sample_rows`` documents has often stand for windows only where there are no others, which keeps
+    the different surroundings of such a passage apart; the sample decides nothing else. Rows with a null id or text are
+    left out; rows that share an id are one document's, and do not repeat each other.
     """
+    if rounds < 1:
+        raise ValueError("at least one round must name symbols")
+    frequent = frequent_symbols(sampled_texts(docs, sample_rows, sample_chars), rounds)
+    rows = docs.select("doc_id", "text").where("doc_id is not null and text is not null")
 
-    def settle(hashes: np.ndarray, ids: np.ndarray) -> np.ndarray:
-        """Whether each window's hash also has a smaller id."""
-        order = np.lexsort((ids, hashes))
-        h, d = hashes[order], ids[order]
-        new = np.concatenate([[True], h[1:] != h[:-1]]) if len(h) else np.empty(0, bool)
-        least = d[np.flatnonzero(new)][np.cumsum(new) - 1]
-        out = np.empty(len(h), bool)
-        out[order] = d > least
-        return out
-
-    def stretches(flags: np.ndarray, breaks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Starts and ends of the runs of true flags that do not cross a break."""
-        if not len(flags):
-            return np.empty(0, np.int64), np.empty(0, np.int64)
-        begin = flags & np.concatenate([[True], ~flags[:-1] | breaks[1:]])
-        end = flags & np.concatenate([~flags[1:] | breaks[1:], [True]])
-        return np.flatnonzero(begin), np.flatnonzero(end) + 1
-
-    def send(ids: list[int], texts: list[list[bytes]], hashes: WordHashes) -> Iterator[pa.RecordBatch]:
-        sizes = np.array([len(t) for t in texts], np.int64)
-        offsets = np.concatenate([[0], np.cumsum(sizes)])
-        words = np.fromiter(map(hashes.__getitem__, (w for t in texts for w in t)), U, int(offsets[-1]))
-        doc = np.repeat(np.arange(len(texts)), sizes)
-        full = np.maximum(sizes - window + 1, 0)
-        owner = np.repeat(np.arange(len(texts)), full)
-        starts = np.arange(full.sum()) - np.repeat(np.cumsum(full) - full, full) + offsets[owner]
-        if not len(starts):
-            return
-        rolled_ = rolled(words, window)[starts]
-        key = keys(words, doc, starts, window, rounds, frequent)
-        ids_ = np.array(ids, np.int64)
-        done = settle(rolled_, ids_[owner])
-        breaks = np.concatenate([[True], owner[1:] != owner[:-1]])
-        for flags, cut_, blank in ((done, breaks, True), (~done, breaks | np.concatenate([[True], key[1:] != key[:-1]]), False)):
-            b, e = stretches(flags, cut_)
-            for at in range(0, len(b), 20_000):
-                bb, ee = b[at : at + 20_000], e[at : at + 20_000]
-                n = ee - bb
-                where = np.repeat(bb - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
-                data = b"" if blank else rolled_[where].tobytes()
-                ends = np.zeros(len(bb) + 1, np.int32) if blank else np.concatenate([[0], np.cumsum(8 * n)]).astype(np.int32)
-                binary = pa.Array.from_buffers(pa.binary(), len(bb), [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(data)])
-                local = starts[bb] - offsets[owner[bb]]
-                yield pa.RecordBatch.from_arrays([pa.array(key[bb].view(np.int64)), pa.array(ids_[owner[bb]]), pa.array(local), pa.array(n), binary], names=["key", "doc_id", "start", "length", "hashes"])
-
-    def parse(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, ids, texts, held = WordHashes(), [], [], 0
+    def batches(frames: Iterator[pa.RecordBatch]) -> Iterator[Batch]:
+        hashes, held, size = WordHashes(), [], 0
         for frame in frames:
             for at in range(0, frame.num_rows, 200):
-                part = frame.slice(at, 200)
-                for doc, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
-                    ids.append(doc)
-                    texts.append(text.encode().split())
-                    held += len(texts[-1])
-                    if held >= batch_words:
-                        yield from send(ids, texts, hashes)
-                        ids, texts, held = [], [], 0
-        if ids:
-            yield from send(ids, texts, hashes)
-
-    def compare(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
-        key, ids, start, n = (np.concatenate([p.column(k).to_numpy(zero_copy_only=False) for p in parts]) for k in range(4))
-        hashes = np.frombuffer(b"".join(b"".join(p.column(4).to_pylist()) for p in parts), U)
-        row = np.repeat(np.arange(len(n)), n)
-        flags = settle(hashes, ids[row])
-        b, e = stretches(flags, np.concatenate([[True], row[1:] != row[:-1]]))
-        first = np.cumsum(n) - n
-        return pa.RecordBatch.from_arrays([pa.array(ids[row[b]]), pa.array(start[row[b]] + b - first[row[b]]), pa.array(e - b)], names=["doc_id", "start", "length"])
+                for doc, text, *more in zip(*(c.to_pylist() for c in frame.slice(at, 200).columns)):
+                    held.append((doc, text.encode().split(), *more))
+                    size += len(held[-1][1])
+                    if size >= batch_words:
+                        yield Batch(held, window, hashes)
+                        held, size = [], 0
+        if held:
+            yield Batch(held, window, hashes)
+
+    def name(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The distinct symbols that stand for windows of each document."""
+        for batch in batches(frames):
+            key, owner = batch.keys(rounds, frequent), batch.owner
+            order = np.lexsort((key, owner))
+            key, owner = key[order], owner[order]
+            new = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (owner[1:] != owner[:-1])])) if len(key) else np.empty(0, np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(key[new].view(np.int64)), pa.array(batch.ids[owner[new]])], names=["name", "doc_id"])
+
+    def send(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches(frames):
+            shared, hot = (np.unique(np.concatenate([np.array(r[c], np.int64) for r in batch.rows])).view(U) for c in (2, 3))
+            key = batch.keys(rounds, frequent)
+            alive = np.flatnonzero(np.isin(key, shared))
+            key, owner, starts = key[alive], batch.owner[alive], batch.starts[alive]
+            hashes, ids, local = rolled(batch.words, window)[starts], batch.ids[owner], starts - batch.offsets[owner]
+            done, common = repeats(key, hashes, ids), np.isin(key, hot)
+            apart = np.concatenate([[True], (owner[1:] != owner[:-1]) | (starts[1:] != starts[:-1] + 1)]) if len(key) else np.empty(0, bool)
+            other = apart | np.concatenate([[True], key[1:] != key[:-1]]) if len(key) else apart
+            for kind, flags, breaks in ((SETTLED, done, apart), (STRETCH, ~done & ~common, other), (SINGLE, ~done & common, np.ones(len(key), bool))):
+                b, e = stretches(flags, breaks)
+                for at in range(0, len(b), 20_000):
+                    yield meeting(kind, b[at : at + 20_000], e[at : at + 20_000], key, hashes, ids, local)
 
     def meet(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """The rows come sorted by key; turns end where a key does."""
-        held, size, last = [], 0, None
+        """Settled stretches pass; others meet those of their key, sorted by it and the id."""
+        held, size, last, first = [], 0, None, None
         for frame in frames:
-            key = frame.column(0).to_numpy()
-            if size > 2_000_000:
-                other = np.flatnonzero(key != last)
-                if len(other):
-                    held.append(frame.slice(0, int(other[0])))
-                    yield compare(held)
-                    frame, held, size = frame.slice(int(other[0])), [], 0
-            held.append(frame)
-            size += int(np.sum(frame.column(3).to_numpy()))
-            last = frame.column(0)[frame.num_rows - 1].as_py() if frame.num_rows else last
+            kinds = frame.column(0).to_numpy()
+            bounds = [0, *np.searchsorted(kinds, [STRETCH, SINGLE]).tolist(), frame.num_rows]
+            settled, frame_, singles = (frame.slice(x, y - x) for x, y in zip(bounds, bounds[1:]))
+            if settled.num_rows:
+                yield settled.select(["doc_id", "start", "length"])
+            if frame_.num_rows:
+                key = frame_.column(1).to_numpy()
+                if size > 2_000_000:
+                    beyond = np.flatnonzero(key != last)
+                    if len(beyond):
+                        held.append(frame_.slice(0, int(beyond[0])))
+                        yield compare(held)
+                        frame_, held, size = frame_.slice(int(beyond[0])), [], 0
+                held.append(frame_)
+                size += int(np.sum(frame_.column(4).to_numpy()))
+                last = int(key[-1])
+            if singles.num_rows:
+                found, first = later(singles, first)
+                yield found
         if held:
             yield compare(held)
 
-    frequent = frequent_symbols(sampled_texts(docs, sample_rows, sample_chars), rounds)
-    rows = docs.select("doc_id", "text").where("doc_id is not null and text is not null")
-    sent = rows.mapInArrow(parse, "key long, doc_id long, start long, length long, hashes binary")
-    sent = sent.repartition("key").sortWithinPartitions("key")
-
-    def split(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Settled stretches pass, the others meet."""
-
-        def others() -> Iterator[pa.RecordBatch]:
-            for frame in frames:
-                blank = np.diff(np.frombuffer(frame.column(4).buffers()[1], np.int32)[frame.column(4).offset :][: frame.num_rows + 1]) == 0 if frame.num_rows else np.empty(0, bool)
-                if blank.any():
-                    ready.append(pa.RecordBatch.from_arrays([frame.column(k).filter(pa.array(blank)) for k in (1, 2, 3)], names=["doc_id", "start", "length"]))
-                rest = frame.filter(pa.array(~blank))
-                if rest.num_rows:
-                    yield rest
-
-        ready: list[pa.RecordBatch] = []
-        for out in meet(others()):
-            yield from ready
-            ready.clear()
-            yield out
-        yield from ready
-
-    return sent.mapInArrow(split, "doc_id long, start long, length long")
+    named, _ = stored(rows.mapInArrow(name, "name long, doc_id long"))
+    counts = named.groupBy("name").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"), F.count("*").alias("n"))
+    counts = counts.where("least < most").select("name", (F.col("n") > hot_docs).alias("hot"))
+    lists = named.join(counts, "name").groupBy(F.col("doc_id").alias("in_doc")).agg(F.collect_set("name").alias("names"), F.collect_set(F.when(F.col("hot"), F.col("name"))).alias("hot"))
+    placed = rows.repartition("doc_id")
+    # Which windows are settled depends on the batch, so a repeated task must see the same rows in the same order.
+    met = placed.join(lists, F.col("doc_id") == F.col("in_doc")).select("doc_id", "text", "names", "hot").sortWithinPartitions("doc_id", F.xxhash64("text"))
+    sent = met.mapInArrow(send, "kind int, key long, doc_id long, start long, length long, hashes binary")
+    order = ("kind", "key", "hashes", "doc_id", "start")
+    return sent.repartition("key").sortWithinPartitions(*order).mapInArrow(meet, "doc_id long, start long, length long")
 
 
 def remove_repeats(docs: DataFrame, window: int = 50, rounds: int = 4) -> DataFrame:

@@ -62,14 +62,21 @@ def brute_windows(rows, window):
     return out
 
 
-@pytest.mark.parametrize("window,rounds", [(50, 4), (50, 0), (7, 2), (3, 3)])
+@pytest.mark.parametrize("window,rounds", [(50, 4), (50, 6), (7, 2), (3, 3)])
 def test_word_windows(docs, rows, window, rounds):
     found = [tuple(r) for r in recompression.remove_repeats(docs, window, rounds).collect()]
     assert order(found) == order(brute_windows(rows, window)) and sum(r[2] for r in found) > 500
 
 
 def test_word_windows_in_small_batches(docs, rows):
-    spans = recompression.repeated_words(docs, 20, 3, batch_words=30).collect()
+    for hot in (20_000, 3):
+        check_small_batches(docs, rows, hot)
+    with pytest.raises(ValueError):
+        recompression.repeated_words(docs, 20, 0)
+
+
+def check_small_batches(docs, rows, hot):
+    spans = recompression.repeated_words(docs, 20, 3, batch_words=30, hot_docs=hot).collect()
     covered = defaultdict(set)
     for r in spans:
         covered[r["doc_id"]].update(range(r["start"], r["start"] + r["length"] + 19))
