@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 import string
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -67,6 +68,16 @@ def test_contamination(spark, docs, rows, shard, block):
     assert all((r["longest"], r["longest_at"]) == longest(texts[r["doc_id"]]) for r in found)
 
 
+def test_contamination_of_repeated_words(spark):
+    same = lambda n: " ".join(["word"] * n)
+    rows, items = [(1, same(100_000)), (2, same(12)), (3, "x " + same(13))], [(1, same(5000)), (2, same(40)), (3, same(5000) + " y")]
+    began = time.time()
+    found = decontamination.find_contamination(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    got = {r["doc_id"]: (r["n_words"], r["n_hit"], r["items"], r["longest"], r["longest_at"]) for r in found}
+    assert got == {1: (100_000, 100_000, ["1", "2", "3"], 5000, 0), 2: (12, 0, [], 0, None), 3: (14, 13, ["1", "2", "3"], 13, 1)}
+    assert time.time() - began < 60
+
+
 def test_contamination_edges(spark, docs, odd_docs, no_docs, wide_docs, rows):
     empty = spark.createDataFrame([], "item_id long, text string")
     assert decontamination.find_contamination(docs, empty).where("n_hit > 0 or n_items > 0").count() == 0
