@@ -173,7 +173,8 @@ def meeting(kind: int, begin: np.ndarray, end: np.ndarray, key: np.ndarray, hash
     data = b"" if kind == SETTLED else (key if kind == SINGLE else hashes)[where].tobytes()
     ends = np.zeros(len(n) + 1, np.int32) if kind == SETTLED else np.concatenate([[0], np.cumsum(8 * n)]).astype(np.int32)
     binary = pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(data)])
-    under = (hashes if kind == SINGLE else key)[begin].view(np.int64)
+    # Settled stretches meet nothing and spread over the tasks.
+    under = (mixed(ids.view(U)) if kind == SETTLED else hashes if kind == SINGLE else key)[begin].view(np.int64)
     return pa.RecordBatch.from_arrays([pa.array(np.full(len(n), kind, np.int32)), pa.array(under), pa.array(ids[begin]), pa.array(local[begin]), pa.array(n), binary], names=["kind", "key", "doc_id", "start", "length", "hashes"])
 
 
@@ -202,6 +203,12 @@ def later(singles: pa.RecordBatch, before: tuple | None) -> tuple[pa.RecordBatch
     return out, (key[-1], names[-1], int(least[-1]))
 
 
+def placed_by_id(docs: DataFrame) -> DataFrame:
+    """``docs`` as ``k`` (the id, a number for null ones), ``doc_id`` and ``text`` (a null one empty), partitioned by ``k``."""
+    k = F.coalesce("doc_id", F.lit(-(2**63)))
+    return docs.select(k.alias("k"), "doc_id", F.coalesce("text", F.lit("")).alias("text")).repartition("k")
+
+
 def repeated_words(docs: DataFrame, window: int = 50, rounds: int = 4, batch_words: int = 500_000, sample_rows: int = 2000, sample_chars: int = 20_000, hot_docs: int = 20_000) -> DataFrame:
     """The windows of ``docs`` (``doc_id``, ``text``) that also start in a document of a smaller id: ``doc_id``, ``start``, ``length``.
 
@@ -230,6 +237,8 @@ def repeated_words(docs: DataFrame, window: int = 50, rounds: int = 4, batch_wor
         for frame in frames:
             for at in range(0, frame.num_rows, 200):
                 for doc, text, *more in zip(*(c.to_pylist() for c in frame.slice(at, 200).columns)):
+                    if doc is None:
+                        continue
                     held.append((doc, text.encode().split(), *more))
                     size += len(held[-1][1])
                     if size >= batch_words:
@@ -292,9 +301,8 @@ def repeated_words(docs: DataFrame, window: int = 50, rounds: int = 4, batch_wor
     counts = named.groupBy("name").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"), F.count("*").alias("n"))
     counts = counts.where("least < most").select("name", (F.col("n") > hot_docs).alias("hot"))
     lists = named.join(counts, "name").groupBy(F.col("doc_id").alias("in_doc")).agg(F.collect_set("name").alias("names"), F.collect_set(F.when(F.col("hot"), F.col("name"))).alias("hot"))
-    placed = rows.repartition("doc_id")
     # Which windows are settled depends on the batch, so a repeated task must see the same rows in the same order.
-    met = placed.join(lists, F.col("doc_id") == F.col("in_doc")).select("doc_id", "text", "names", "hot").sortWithinPartitions("doc_id", F.xxhash64("text"))
+    met = placed_by_id(docs).join(lists, F.col("k") == F.col("in_doc")).select("doc_id", "text", "names", "hot").sortWithinPartitions("doc_id", F.xxhash64("text"))
     sent = met.mapInArrow(send, "kind int, key long, doc_id long, start long, length long, hashes binary")
     order = ("kind", "key", "hashes", "doc_id", "start")
     return sent.repartition("key").sortWithinPartitions(*order).mapInArrow(meet, "doc_id long, start long, length long")
@@ -309,17 +317,17 @@ def remove_repeats(docs: DataFrame, window: int = 50, rounds: int = 4) -> DataFr
     """
     found = repeated_words(docs, window, rounds).groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("start", "length"))).alias("spans"))
     spans = found.select(F.col("doc_id").alias("span_id"), F.col("spans.start").alias("starts"), F.col("spans.length").alias("lengths"))
-    both = docs.select("doc_id", "text").join(spans, F.col("doc_id") == F.col("span_id"), "left").select("doc_id", "text", "starts", "lengths")
+    both = placed_by_id(docs).join(spans, F.col("k") == F.col("span_id"), "left").select("doc_id", "text", "starts", "lengths")
 
     def apply(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for frame in frames:
             for at in range(0, frame.num_rows, 500):
                 rows = frame.slice(at, 500)
                 n, gone, kept = [], [], []
-                for text, starts, lengths in zip(*(rows.column(k).to_pylist() for k in (1, 2, 3))):
-                    words = (text or "").encode().split()
+                for doc, text, starts, lengths in zip(*(c.to_pylist() for c in rows.columns)):
+                    words = text.encode().split()
                     n.append(len(words))
-                    if starts:
+                    if starts and doc is not None:
                         left, end = [], 0
                         for s, k in zip(starts, lengths):
                             left += words[end:s] if s > end else []
