@@ -26,36 +26,77 @@ por que se si sin sobre su sus también todo un una uno y ya
 LENGTH_RATIO = 0.05
 
 
+#: A stretch of more characters than this between common words is signed at each of its words.
+LONG_STRETCH = 120
+
+
+def pieces(text: Column) -> Column:
+    """A text cut before each common word, as strings: the common word, then the content words after it, a space after each.
+
+    Words are runs of letters and digits, lower-cased. The first piece is headed by ``^``; pieces without content words
+    are left out.
+    """
+    words = F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+", -1), lambda w: w != "")
+    marked = F.array_join(F.transform(words, lambda w: F.when(w.isin(COMMON), F.concat(F.lit("#"), w)).otherwise(w)), " ")
+    return F.filter(F.split(F.concat(F.lit("#^ "), marked, F.lit(" ")), "#"), lambda p: F.instr(F.rtrim(p), " ") > 0)
+
+
+def anchored(cut_: Column, chain: int) -> Column:
+    """The chain of each piece: its common word and ``chain`` content words, over later common words, fewer at the end."""
+
+    def words_after(i: Column) -> list[Column]:
+        return [F.coalesce(F.substring_index(F.substring_index(F.get(cut_, i + k), " ", 2), " ", -1), F.lit("")) for k in range(1, chain)]
+
+    # Each later piece adds one word, which counts only where those before have too few.
+    return F.transform(cut_, lambda p, i: F.hash(F.substring_index(F.concat_ws(" ", F.rtrim(p), *words_after(i)), " ", chain + 1)))
+
+
+def unanchored(words: Column, chain: int) -> Column:
+    """The chains of ``chain`` + 1 words from each of ``words`` on, fewer at the end."""
+    return F.transform(words, lambda w, i: F.hash(F.lit("*"), F.array_join(F.slice(words, i + 1, F.lit(chain + 1)), " ")))
+
+
 def signatures(text: Column, chain: int = 2) -> Column:
     """The signatures (distinct 32-bit numbers) of a text, null counting as empty; a repeated chain gets one for each time.
 
-    Words are runs of letters and digits, lower-cased. Each common word that a content word follows anchors a signature:
-    the anchor and the next ``chain`` content words, over common words in between, fewer at the end. So do the start of
-    the text and, in stretches without common words (tables, other languages), each word after two more content words,
-    so that no part of a text goes unsigned. A text of common words alone takes all words as content; one without words has one signature of the
-    whole text; an empty text has none.
+    Each common word that a content word follows anchors a signature: the common word and the next ``chain`` content
+    words, over common words in between, fewer at the end. So does the start of the text. Only where there is no common
+    word to anchor one, in stretches of over ``LONG_STRETCH`` characters (tables, other languages), each word begins a
+    signature of plain words. A text of common words alone takes all words as content; one without words has one
+    signature of the whole text; an empty text has none.
     """
     text = F.coalesce(text, F.lit(""))
-    words = F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+", -1), lambda w: w != "")
+    plain = lambda p: let(F.split(F.rtrim(p), " "), lambda w: unanchored(F.slice(w, 2, F.greatest(F.size(w) - 1, F.lit(1))), chain))
 
-    def placed(w: Column) -> Column:
-        bare = lambda i: F.coalesce(~F.get(w, i).isin(COMMON), F.lit(False))
-        return F.transform(w, lambda x, i: F.struct(x.alias("w"), F.get(w, i - 1).alias("p"), ((i == 0) | ~bare(i - 1) | (bare(i - 2) & bare(i - 3))).alias("a")))
+    def of(cut_: Column) -> Column:
+        bare = F.filter(cut_, lambda p: F.length(p) > LONG_STRETCH)
+        both = F.when(F.size(bare) > 0, F.concat(anchored(cut_, chain), F.flatten(F.transform(bare, plain)))).otherwise(anchored(cut_, chain))
+        words = F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+", -1), lambda w: w != "")
+        return F.when(F.size(cut_) > 0, both).otherwise(let(words, lambda w: unanchored(w, chain)))
 
-    pairs = let(words, placed)
-    content = let(pairs, lambda p: let(F.filter(p, lambda e: ~e["w"].isin(COMMON)), lambda c: F.when(F.size(c) > 0, c).otherwise(p)))
+    def numbered(again: Column) -> Column:
+        """Of each run of equal chains in order, which had one before, all with their number."""
+        ends = let(F.filter(F.transform(again, lambda x, i: F.when((i == 0) | (F.get(again, i - 1) != x), i)), lambda i: i.isNotNull()), lambda starts: F.transform(starts, lambda b, j: F.struct(b.alias("b"), F.coalesce(F.get(starts, j + 1), F.size(again)).alias("e"))))
+        return F.flatten(F.transform(ends, lambda r: F.transform(F.sequence(F.lit(1), r["e"] - r["b"]), lambda k: F.hash(F.get(again, r["b"]), k))))
 
-    def chains(c: Column) -> Column:
-        return F.transform(c, lambda e, i: F.when((i == 0) | e["a"], F.hash(*[F.coalesce(x, F.lit("")) for x in (e["p"], *[F.get(c, i + k)["w"] for k in range(chain)])])))
+    def told_apart(s: Column) -> Column:
+        again = F.filter(s, lambda x, i: (i > 0) & (F.get(s, i - 1) == x))
+        return let(again, lambda a: F.when(F.size(a) == 0, s).otherwise(F.sort_array(F.array_distinct(F.concat(s, numbered(a))))))
+
+    whole = let(let(pieces(text), of), lambda s: F.when((F.size(s) > 0) | (text == ""), s).otherwise(F.array(F.hash(text))))
+    return let(F.sort_array(whole), told_apart)
+
+
+def anchored_share(text: Column, chain: int = 2) -> Column:
+    """The share of a text's chains, repeated ones counting each time, that a common word anchors; null without chains."""
+    text = F.coalesce(text, F.lit(""))
 
-    def counted(s: Column) -> Column:
-        """Of each run of equal chains in order, the first as it is and the others with their number."""
-        ends = let(F.filter(F.transform(s, lambda x, i: F.when((i == 0) | (F.get(s, i - 1) != x), i)), lambda i: i.isNotNull()), lambda starts: F.transform(starts, lambda b, j: F.struct(b.alias("b"), F.coalesce(F.get(starts, j + 1), F.size(s)).alias("e"))))
-        return F.flatten(F.transform(ends, lambda r: F.transform(F.sequence(F.lit(0), r["e"] - r["b"] - 1), lambda k: F.when(k == 0, F.get(s, r["b"])).otherwise(F.hash(F.get(s, r["b"]), k)))))
+    def share(cut_: Column) -> Column:
+        bare = F.aggregate(F.filter(cut_, lambda p: F.length(p) > LONG_STRETCH), F.lit(0), lambda a, p: a + F.size(F.split(F.rtrim(p), " ")) - 1)
+        starts = F.size(F.filter(cut_, lambda p: F.substring(p, 1, 1) == "^"))
+        return let(bare, lambda n: (F.size(cut_) - starts) / F.nullif(F.size(cut_) + n, F.lit(0)))
 
-    found = F.filter(let(content, chains), lambda s: s.isNotNull())
-    whole = let(found, lambda s: F.when((F.size(s) > 0) | (text == ""), s).otherwise(F.array(F.hash(text))))
-    return F.sort_array(F.array_distinct(let(F.sort_array(whole), counted)))
+    return let(pieces(text), share)
 
 
 def fingerprint(sigs: Column) -> Column:
@@ -118,7 +159,8 @@ def fingerprint_edits(docs: DataFrame, chain: int = 2) -> DataFrame:
     third = F.floor(F.char_length("text") / 3).cast("int")
     wants = base.groupBy("k").agg(F.max(third).alias("want"), F.count("*").alias("n"))
     needs = wants.join(after, "k").select(F.col("after").alias("nk"), F.col("k").alias("pk"), "want")
-    signed = base.repartition("k").withColumn("sigs", signatures(F.col("text"), chain))
+    # Signed before they are dealt, so that both sides of the join read the same exchange.
+    signed = base.withColumn("sigs", signatures(F.col("text"), chain)).repartition("k")
     nexts = signed
     if not wants.where("n > 1").isEmpty():
         nexts = signed.groupBy("k").agg(F.min(F.struct("text", "sigs")).alias("x")).select("k", "x.*")

@@ -10,14 +10,27 @@ from millrace.llm import spotsigs as S
 COMMON = set(S.COMMON)
 
 
+def chains(text, chain=2):
+    """(anchor, words) of each chain; None anchors those of stretches without common words."""
+    words = [w for w in regex.split(r"[^\p{L}\p{N}]+", (text or "").lower()) if w]
+    cut = [["^"]]
+    for w in words:
+        if w in COMMON:
+            cut.append([])
+        cut[-1].append(w)
+    cut = [p for p in cut if len(p) > 1]
+    plain = lambda ws: [(None, *ws[i : i + chain + 1]) for i in range(len(ws))]
+    if not cut:
+        return plain(words)
+    out = [x for p in cut if len(" ".join(p)) + 1 > S.LONG_STRETCH for x in plain(p[1:])]
+    for i, p in enumerate(cut):
+        later = [q[1] for q in cut[i + 1 : i + chain]]
+        out.append((p[0], *(p[1:] + later)[:chain]))
+    return out
+
+
 def signatures(text, chain=2):
-    text = text or ""
-    words = [w for w in regex.split(r"[^\p{L}\p{N}]+", text.lower()) if w]
-    bare = lambda i: i >= 0 and words[i] not in COMMON
-    all_ = [(w, words[i - 1] if i else "", i == 0 or not bare(i - 1) or (bare(i - 2) and bare(i - 3))) for i, w in enumerate(words)]
-    content = [e for e in all_ if e[0] not in COMMON] or all_
-    found = [(e[1], *[content[i + k][0] if i + k < len(content) else "" for k in range(chain)]) for i, e in enumerate(content) if i == 0 or e[2]]
-    return {(s, k) for s, n in Counter(found or ([text] if text else [])).items() for k in range(n)}
+    return {(s, k) for s, n in Counter(chains(text, chain) or ([text] if text else [])).items() for k in range(n)}
 
 
 def likeness(a, b):
@@ -63,6 +76,19 @@ def test_odd(spark, odd_docs, no_docs, wide_docs, rows):
     assert S.fingerprint_edits(alone).first()["near_next"] == 1.0
 
 
+def test_anchored_share(docs, rows):
+    found = docs.select("doc_id", S.anchored_share(F.col("text")).alias("s")).collect()
+    for r in found:
+        all_ = chains(dict(rows)[r["doc_id"]])
+        assert r["s"] is None and not [x for x in all_ if x[0]] or r["s"] == pytest.approx(sum(x[0] not in (None, "^") for x in all_) / len(all_))
+
+
+def test_most_signatures_of_prose_are_anchored(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    n = docs.select(S.anchored_share(F.col("text")).alias("s"), F.char_length("text").alias("n")).where("s is not null and n > 500")
+    assert n.agg(F.sum(F.col("s") * F.col("n")) / F.sum("n")).first()[0] > 0.8
+
+
 def test_pruning_and_partitions(spark):
     frame = spark.createDataFrame([([1], list(range(100))), ([1, 2, 3], [2, 3, 4]), ([], []), ([], [1])], "a array<int>, b array<int>")
     assert [r["x"] for r in frame.select(S.likeness(F.col("a"), F.col("b")).alias("x")).collect()] == [0.0, 0.5, 1.0, 0.0]
@@ -72,7 +98,7 @@ def test_pruning_and_partitions(spark):
 
 
 def test_a_short_document_within_a_long_next_one(spark):
-    words = [f"w{i}" for i in range(1500)]
+    words = [f"w{i}" for i in range(1500)]  # no common word among them
     rows = [(2, " ".join(words[:60])), (1, " ".join(words))]
     near = next(r["near_next"] for r in S.fingerprint_edits(spark.createDataFrame(rows, "doc_id long, text string")).collect() if r["doc_id"] == 2)
     a, b = signatures(rows[0][1]), signatures(rows[1][1])
