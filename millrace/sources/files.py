@@ -27,7 +27,10 @@ def scan_files(spark: SparkSession, root: str, extensions: tuple[str, ...] = EXT
 
 
 def csv_prose(text: str, delimiter: str = ",", header: bool = True, most: int | None = None) -> str:
-    """Rows of a CSV text as sentences, a line each; rows of more fields than the header make the file unreadable."""
+    """Rows of a CSV text as sentences, a line each; rows of more fields than the header make the file unreadable.
+
+    Without a header a blank line is a row without fields, a lone full stop; with one it is no row.
+    """
     out = []
     if header:
         for row in csv.DictReader(io.StringIO(text), delimiter=delimiter):
@@ -39,8 +42,7 @@ def csv_prose(text: str, delimiter: str = ",", header: bool = True, most: int |
                 break
     else:
         for row in csv.reader(io.StringIO(text), delimiter=delimiter):
-            if row:
-                out.append(", ".join(f"col_{i}: {v.strip()}" for i, v in enumerate(row)) + ".")
+            out.append(", ".join(f"col_{i}: {v.strip()}" for i, v in enumerate(row)) + ".")
             if most is not None and len(out) >= most:
                 break
     return "\n".join(out if most is None else out[:most])
@@ -49,8 +51,8 @@ def csv_prose(text: str, delimiter: str = ",", header: bool = True, most: int |
 def blocks_of(path: str, content: bytes, read_pages: PageReader | None = None) -> list[tuple[str, int | None, str | None, str]]:
     """(kind, page, section, text) of a file's blocks; kind ``split`` is to be cut in sentences, ``whole`` is not.
 
-    Text and Markdown must be UTF-8 (a bad byte fails the file), HTML takes replacement characters. Raises ValueError
-    for other extensions.
+    Text must be UTF-8 (a bad byte fails the file); HTML, Markdown and CSV take replacement characters. Raises
+    ValueError for other extensions.
     """
     kind = path.rsplit(".", 1)[-1].lower()
     if kind == "txt":
@@ -58,11 +60,11 @@ def blocks_of(path: str, content: bytes, read_pages: PageReader | None = None) -
     if kind in ("html", "htm"):
         return [("split", None, s, t) for s, t in markup.html_blocks(content.decode(errors="replace"))]
     if kind == "md":
-        return [("split", None, s, t) for s, t in markup.markdown_blocks(content.decode())]
+        return [("split", None, s, t) for s, t in markup.markdown_blocks(content.decode(errors="replace"))]
     if kind == "docx":
         return [("split", None, s, t) for s, t in markup.docx_blocks(content)]
     if kind == "csv":
-        return [("whole", None, None, line) for line in csv_prose(content.decode()).splitlines()]
+        return [("whole", None, None, line) for line in csv_prose(content.decode(errors="replace")).splitlines()]
     if kind == "pdf":
         if read_pages is None:
             raise ValueError("no reader for PDF files is installed")
@@ -81,7 +83,7 @@ def plain_text(path: str, content: bytes, read_pages: PageReader | None = None)
     if kind == "docx":
         return "\n".join(t for _, t in markup.docx_paragraphs(content) if t.strip())
     if kind == "md":
-        return markup.markdown_text(content.decode())
+        return markup.markdown_text(content.decode(errors="replace"))
     return "\n".join(t for _, _, _, t in blocks_of(path, content, read_pages))
 
 
@@ -130,8 +132,13 @@ def sentence_records(blocks: DataFrame) -> DataFrame:
 
 
 def sidecars(spark: SparkSession, root: str) -> DataFrame:
+    """The sidecars below ``root``, see ``sidecars_of``."""
+    return sidecars_of(spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root))
+
+
+def sidecars_of(files: DataFrame) -> DataFrame:
     """Metadata kept beside files as ``name.meta.json``: ``path`` of the file, ``meta`` (map). Bad ones give empty maps."""
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).where(F.col("path").endswith(".meta.json"))
+    found = files.where(F.col("path").endswith(".meta.json"))
     parsed = F.try_parse_json(F.col("content").cast("string"))
     fields = F.from_json(F.col("content").cast("string"), "map<string,string>")
     return found.select(F.regexp_replace("path", r"\.meta\.json$", "").alias("path"), F.when(parsed.isNotNull(), F.coalesce(fields, F.create_map().cast("map<string,string>"))).otherwise(F.create_map().cast("map<string,string>")).alias("meta"))

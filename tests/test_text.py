@@ -67,6 +67,27 @@ def test_html_blocks():
     assert markup.html_blocks(page) == [(None, "one two"), ("First  part", "three"), ("First  part", "four"), ("First  part", "five")]
 
 
+def test_html_rules():
+    # Pieces are joined by a space, and what is between them stays.
+    assert markup.html_blocks("<p><b>a</b> <i>b</i></p>") == [(None, "a   b")]
+    assert markup.html_blocks("<p>w<b>or</b>d</p>") == [(None, "w or d")]
+    # The end of an inner skipped element turns text on again.
+    assert markup.html_text("<head><script>x</script>seen</head>y") == "seeny"
+    assert markup.html_blocks("<p>before<h2>T</h2>after<br>more<td>cell") == [(None, "before"), ("T", "after"), ("T", "more"), ("T", "cell")]
+    assert markup.html_blocks("<h1>A</h1><h2> </h2><p>x</p><h3>B<div>C</div></h3>y") == [("A", "x"), ("B C", "y")]
+    assert markup.html_text("a<br/>b<li>c</li>d") == "a bc d" and markup.html_text("<tr><td>1</td><td>2</td></tr>3") == "12 3"
+    assert markup.html_blocks(None) == [] and markup.html_blocks("<p>y</p>x &am") == [(None, "y")]
+
+
+def test_bad_bytes():
+    bad = b"a,b\n1,\xff\n"
+    assert files.blocks_of("x.csv", bad) == [("whole", None, None, "a: 1, b: \ufffd.")]
+    assert files.blocks_of("x.md", b"# T\n\n\xff x") == [("split", None, "T", "\ufffd x")] and files.plain_text("x.md", b"\xff x") == "\ufffd x"
+    with pytest.raises(UnicodeDecodeError):
+        files.blocks_of("x.txt", bad)
+    assert files.csv_prose("1,2\n\n3,4\n", header=False, most=2) == "col_0: 1, col_1: 2.\n."
+
+
 def test_markdown_blocks():
     source = "intro **bold**\n\n# Head *one*\ntext\nmore\n\n```\ncode\n```\n- item\n- other\n\nUnder\n-----\n> said\n\n<div>\nraw\n</div>\n\nend"
     assert markup.markdown_blocks(source) == [(None, "intro **bold**"), ("Head one", "text\nmore"), ("Head one", "item"), ("Head one", "other"), ("Under", "said"), ("Under", "end")]
