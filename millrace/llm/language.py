@@ -11,25 +11,54 @@ import html
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.llm.common import cut
-from millrace.llm.frequent import least_hashed
+from millrace.llm.common import cut, let
 
 BINS = 1 << 16
-DROPPED = re.compile(r"<!--.*?-->|<(script|style)\b.*?</\1\s*>", re.IGNORECASE | re.DOTALL)
-TAG = re.compile(r"<[^>]*>")
-DECLARED = re.compile(r"<html\b[^>]*?\slang\s*=\s*[\"']?([A-Za-z]{2,8})", re.IGNORECASE)
+MARK = re.compile(r"<(?:(!--)|(script|style)\b)?", re.IGNORECASE)
+RAW_ENDS = {"!--": re.compile("-->"), "script": re.compile(r"</script\s*>", re.IGNORECASE), "style": re.compile(r"</style\s*>", re.IGNORECASE)}
+NAMED = re.compile(r"\s(?:xml:)?lang\s*=\s*[\"']?([A-Za-z]{2,8})", re.IGNORECASE)
+META = re.compile(r"(?=.*\shttp-equiv\s*=\s*[\"']?content-language).*?\scontent\s*=\s*[\"']?\s*([A-Za-z]{2,8})", re.IGNORECASE | re.DOTALL)
+#: Longer tags declare nothing.
+LONGEST_TAG = 4000
 
 
 def visible_text(page: str | None) -> str:
-    """The text of a page without scripts, styles, comments and tags; null gives an empty one."""
-    return html.unescape(TAG.sub(" ", DROPPED.sub(" ", page or "")))
+    """The text of a page without scripts, styles, comments and tags; null gives an empty one.
+
+    One walk from mark to mark. What is opened but never closed is text, but for its first character; whether a closing
+    mark follows is looked up once for each kind, so a page of unclosed marks takes no longer than others.
+    """
+    page, at, out, missing = page or "", 0, [], set()
+    while m := MARK.search(page, at):
+        out.append(page[at : m.start()])
+        kind = (m[1] or m[2] or "").lower()
+        end = RAW_ENDS[kind].search(page, m.end()) if kind and kind not in missing else None
+        if kind and not end:
+            missing.add(kind)
+        stop = end.end() if end else page.find(">", m.end()) + 1 if "" not in missing else 0
+        if not stop:
+            missing.add("")
+        at = stop or m.start() + 1
+    out.append(page[at:])
+    return html.unescape(" ".join(out))
+
+
+def declared_language(page: str | None) -> str | None:
+    """What a page declares, lower-cased: the ``lang`` or ``xml:lang`` of the html element, else a content-language meta element."""
+    page = page or ""
+    for element, pattern in (("<html", NAMED), ("<meta", META)):
+        for m in re.finditer(element + r"\b", page, re.IGNORECASE):
+            end = page.find(">", m.end(), m.end() + LONGEST_TAG)
+            found = pattern.match(page, m.end(), end) if element == "<meta" and end > 0 else pattern.search(page, m.end(), end) if end > 0 else None
+            if found:
+                return found[1].lower()
+    return None
 
 
 def grams(text: str) -> np.ndarray:
@@ -56,19 +85,22 @@ class LanguageModel:
         return self.temper * self.table[grams(text)].sum(axis=0)
 
 
-def fit_language(docs: DataFrame, sample_rows: int = 300, sample_chars: int = 20_000, most_languages: int = 200) -> LanguageModel:
+def fit_language(docs: DataFrame, sample_rows: int = 300, sample_chars: int = 20_000) -> LanguageModel:
     """Counts trigrams of a bounded sample: ``sample_rows`` documents of each ``lang`` at most,
     those with the smallest id hashes, but for texts over ``sample_chars``.
 
-    docs: ``doc_id``, ``text``, ``lang``; rows with a null are not sampled. The
-    languages are the ``most_languages`` most frequent ones. An empty table gives a model without languages.
+    docs: ``doc_id``, ``text``, ``lang``; rows with a null are not sampled. All languages of the table are kept. An
+    empty table gives a model without languages.
     """
     known = docs.select("doc_id", "lang").where("lang is not null and doc_id is not null")
-    counts = {r["lang"]: r["count"] for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most_languages).collect()}
+    counts = {r["lang"]: r["count"] for r in known.groupBy("lang").count().collect()}
     named = sorted(counts)
     table = np.full((BINS, len(named)), 0.02)
     if named:
-        picked = reduce(DataFrame.union, (least_hashed(known.where(F.col("lang") == x), sample_rows, counts[x]) for x in named)).distinct()
+        # Of each language about twice the rows wanted, by a bound on the hash, then those of the smallest hashes.
+        draw, rank = F.xxhash64("doc_id"), F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
+        sizes = docs.sparkSession.createDataFrame([(x, min(2**63 - 1, int(-(2**63) + 2 * (sample_rows + 50) / n * 2**64))) for x, n in counts.items()], "lang string, bound long")
+        picked = known.join(F.broadcast(sizes), "lang").where(draw <= F.col("bound")).withColumn("rank", rank).where(F.col("rank") <= sample_rows).select("doc_id", "lang").distinct()
         texts = docs.select("doc_id", "lang", "text").where(F.length("text") <= sample_chars)
         for row in texts.join(F.broadcast(picked), ["doc_id", "lang"]).select("lang", "text").toLocalIterator():
             np.add.at(table[:, named.index(row["lang"])], grams(row["text"]), 1)
@@ -85,7 +117,7 @@ def identify_languages(pages: DataFrame, model: LanguageModel, strength: float =
     """A row per row of ``pages`` (``page_id``, ``url``, ``html``) with its language and the evidence.
 
     Returns ``page_id``, ``lang`` (the likeliest, ties by name), ``probability``, ``text_lang`` (by text alone),
-    ``declared`` (of the html element, lower-cased, null without), ``suffix`` and ``host``. ``strength`` is the weight,
+    ``declared`` (see ``declared_language``), ``suffix`` and ``host``. ``strength`` is the weight,
     in pages, of what a prior is smoothed towards. A page's own posterior is taken out of the priors it meets. Hosts,
     however many pages they have, are summed with partial aggregation, and the sums are joined back by host, which
     adaptive execution splits. Null or empty html leaves the prior alone; a null url has an empty host, all such pages
@@ -98,8 +130,7 @@ def identify_languages(pages: DataFrame, model: LanguageModel, strength: float =
         for column in columns:
             found, declared = [], []
             for page in column.to_pylist():
-                m = DECLARED.search(page or "")
-                declared.append(m.group(1).lower() if m else None)
+                declared.append(declared_language(page))
                 found.append(model.evidence(visible_text(page)).tolist())
             yield pa.StructArray.from_arrays([pa.array(declared, pa.string()), pa.array(found, pa.list_(pa.float64()))], names=["declared", "ll"])
 
@@ -110,8 +141,8 @@ def identify_languages(pages: DataFrame, model: LanguageModel, strength: float =
     spread = lambda f: F.array(*[f(k) for k in range(n)])
 
     def softmax(values: Column) -> Column:
-        powers = F.transform(values, lambda v: F.exp(v - F.array_max(values)))
-        return F.transform(powers, lambda p: p / F.aggregate(powers, F.lit(0.0), lambda a, v: a + v))
+        powers = let(values, lambda vs: let(F.array_max(vs), lambda most: F.transform(vs, lambda v: F.exp(v - most))))
+        return let(powers, lambda ps: let(F.aggregate(ps, F.lit(0.0), lambda a, v: a + v), lambda n: F.transform(ps, lambda p: p / n)))
 
     rows = rows.withColumn("post", softmax(F.col("ll")))
     sums = [F.sum(F.col("post")[k]).alias(f"s{k}") for k in range(n)]
@@ -126,8 +157,8 @@ def identify_languages(pages: DataFrame, model: LanguageModel, strength: float =
     def smoothed(sums_: str, towards: Column) -> Column:
         """The shares of a group without the row itself, smoothed towards a wider group's."""
         others = F.zip_with(F.col(sums_), F.col("post"), lambda s, p: F.greatest(s - p, F.lit(0.0)))
-        size = F.aggregate(others, F.lit(0.0), lambda a, v: a + v)
-        return F.zip_with(others, towards, lambda s, t: (s + F.lit(strength) * t) / (size + F.lit(strength)))
+        size = lambda o: F.aggregate(o, F.lit(0.0), lambda a, v: a + v)
+        return let(others, lambda o: let(size(o), lambda n: F.zip_with(o, towards, lambda s, t: (s + F.lit(strength) * t) / (n + F.lit(strength)))))
 
     met = met.withColumn("prior", smoothed("suffix_sum", base)).withColumn("prior", smoothed("site_sum", F.col("prior"))).withColumn("prior", smoothed("host_sum", F.col("prior")))
     # How much likelier the declaration makes a language: its share among such pages to its share among all.

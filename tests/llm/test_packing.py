@@ -21,6 +21,20 @@ def test_first_fit_decreasing_is_first_fit(sizes):
     assert packing.first_fit_decreasing(sizes, 16) == [want[i] for i in range(len(sizes))]
 
 
+def test_memory_is_bounded_by_bytes(public):
+    import random
+
+    draw, mine = random.Random(8), packing.Tokenizer(packing.word_bpe(), 2, most_bytes=300_000)
+    run = lambda n: "".join(draw.choices("abcdefghijklmnop1234567890-_/", k=n)).encode()
+    for _ in range(12):
+        texts = [b" ".join(run(n) for n in (5, 9, 20, 20_000)) for _ in range(20)]
+        for text, ids in zip(texts, mine.ids(texts)):
+            assert np.frombuffer(ids, mine.type).tolist() == public.encode(text.decode(), add_special_tokens=False).ids + [2]
+        kept = [sum(len(r) + len(i) + mine.ENTRY for r, i in memory.items()) for memory in (mine.known, mine.older)]
+        assert mine.held == pytest.approx(kept[0], rel=0.2, abs=20_000) and max(kept) < 400_000
+        assert max(map(len, mine.known)) <= mine.LONG
+
+
 @given(st.lists(st.integers(1, 16), max_size=60))
 @settings(max_examples=60, deadline=None)
 def test_fill_covers_all_without_padding(sizes):
@@ -42,7 +56,7 @@ TEXTS = ["<| ABC Def, GHI!! ÄÖ. jkl <|endoftext|>mno PQR", "<|startoftext|> A\
 
 
 def test_tokenizer_is_the_public_one(public):
-    mine = packing.Tokenizer(packing.word_bpe(), 2, most=5)
+    mine = packing.Tokenizer(packing.word_bpe(), 2, most_bytes=500)
     for _ in range(2):
         for text, ids in zip(TEXTS, mine.ids([t if t is None else t.encode() for t in TEXTS])):
             assert np.frombuffer(ids, mine.type).tolist() == public.encode(text or "", add_special_tokens=False).ids + [2]

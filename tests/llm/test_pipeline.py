@@ -45,14 +45,14 @@ def test_stages_follow_brute_force(spark):
     assert sorted(map(tuple, P.run(spark, SF).drop("sequence_id", "offset", "ids").collect())) == sorted(map(tuple, packed.drop("sequence_id", "offset", "ids").collect()))
 
 
-@pytest.mark.parametrize("stage", [s for s, _ in P.STAGES[1:]])
+@pytest.mark.parametrize("stage", [s for s, _ in P.STAGES])
 def test_stages_take_odd_documents(spark, odd_docs, no_docs, stage):
-    more = {"lang": "string", "source": "string", "n_chars": "bigint", "pos": "int", "id": "string"}
+    more = {"lang": "string", "source": "string", "n_chars": "bigint", "pos": "int", "id": "string", "_quality": "double"}
     for frame in (odd_docs, no_docs):
         wide = frame.select("*", *[F.lit(None).cast(t).alias(c) for c, t in more.items()])
         out = dict(P.STAGES)[stage](spark, wide, SF)
         assert stage == "packing" or out.columns == wide.columns
-        assert (out.count() == 0) == (frame is no_docs)
+        assert stage == "quality" and out.count() <= frame.count() or (out.count() == 0) == (frame is no_docs)
 
 
 def test_registered():

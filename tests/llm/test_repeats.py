@@ -1,6 +1,7 @@
 """Substrings, word windows and lines against brute force."""
 
 import hashlib
+import random
 from collections import Counter, defaultdict
 
 import pytest
@@ -33,6 +34,22 @@ def test_substrings(docs, rows, window, batch, turn):
     assert order(found) == order(brute_substrings(rows, window)) and sum(r[2] for r in found) > 1000
 
 
+def test_substrings_with_runs_of_zero_bytes(spark):
+    draw = random.Random(4)
+    rows = [(i, "".join(draw.choice(["a", "\0" * draw.randint(1, 120), "xyz"]) for _ in range(draw.randint(1, 12)))) for i in range(60)]
+    found = [(r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], bytes(r["kept"])) for r in substrings.remove_substrings(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), 100, 500, 20).collect()]
+    assert order(found) == order(brute_substrings(rows, 100)) and sum(r[2] for r in found) > 100
+
+
+def test_very_long_texts(spark):
+    text = " ".join(f"w{i % 50_000}" for i in range(180_000))
+    rows = [(1, text), (2, text[300:]), (3, "short")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert {r["doc_id"]: r["n_removed"] for r in recompression.remove_repeats(frame).collect()} == {1: 0, 2: len(text[300:].split()), 3: 0} or text[299] != " "
+    assert {r["doc_id"]: r["n_removed"] == r["n_bytes"] for r in substrings.remove_substrings(frame).collect()} == {1: True, 2: True, 3: False}
+    assert lines.dedup_lines(frame).count() == 3
+
+
 def test_substrings_odd(odd_docs, no_docs, wide_docs, rows):
     given = [tuple(r) for r in odd_docs.collect()]
     found = [(r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], bytes(r["kept"])) for r in substrings.remove_substrings(odd_docs, 100).collect()]

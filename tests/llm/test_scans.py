@@ -1,6 +1,7 @@
 """Decontamination, secrets, quality and language against brute force and labelled texts."""
 
 import hashlib
+import itertools
 import random
 import re
 import string
@@ -226,6 +227,60 @@ def test_language_fuses_text_markup_and_host(spark, language_model):
     assert by[103]["host"] == "" and by[103]["declared"] is None and all(0 < r["probability"] <= 1 for r in found)
 
 
+def brute_posteriors(pages, model, strength=4.0):
+    """The fused posterior of (url, html) pages in numpy, one page at a time."""
+    import numpy as np
+
+    def parts(url):
+        m = re.match(r"[A-Za-z][A-Za-z0-9+.-]*://(?:[^/@?#]*@)?([^/:?#]*)", url or "")
+        host = m[1].lower() if m else ""
+        labels = host.split(".")
+        return host, ".".join(labels[-2:]) if len(labels) > 1 and all(labels[-2:]) else "", labels[-1]
+
+    soft = lambda v: np.exp(v - v.max()) / np.exp(v - v.max()).sum()
+    ll = [model.evidence(language.visible_text(p)) for _, p in pages]
+    post, keys = [soft(v) for v in ll], [(*parts(u), language.declared_language(p)) for u, p in pages]
+    base = (sum(post) + 1) / (len(pages) + len(model.languages))
+    out = []
+    for i, (host, site, suffix, mark) in enumerate(keys):
+        group = lambda same: sum((post[j] for j, k in enumerate(keys) if j != i and same(k)), np.zeros(len(base)))
+        smooth = lambda sums, to: (sums + strength * to) / (sums.sum() + strength)
+        prior = smooth(group(lambda k: k[2] == suffix), base)
+        prior = smooth(group(lambda k: k[1:3] == (site, suffix)), prior)
+        prior = smooth(group(lambda k: k[0] == host), prior)
+        out.append(soft(ll[i] + np.log(prior) + np.log(smooth(group(lambda k: k[3] == mark), base)) - np.log(base)))
+    return out
+
+
+def test_fusion_follows_brute_force_and_overrules_the_text(spark, language_model):
+    page = lambda lang, text: f"<html{f' lang={lang}' if lang else ''}><p>{text}</p></html>"
+    rows = [(i, f"http://{'ab'[i % 2]}.site.{lang}/x", page(lang, SPEECH[lang] * 2)) for i, lang in enumerate(["en", "de", "fr"] * 15)]
+    # A syllable that is English by a little where host or markup say otherwise, and text that outweighs both.
+    lean = {w: language_model.evidence(f"  {w} ") for k in (1, 2, 3) for w in map("".join, itertools.product("abcdehilmnorst", repeat=k))}
+    weak = next(w for w, v in lean.items() if language_model.languages[int(v.argmax())] == "en" and 0.02 < v.max() - v.min() < 1)
+    rows += [(200, "http://a.site.de/z", page(None, weak)), (201, "http://q.other.xx/", page("fr", weak)), (202, "http://a.site.de/y", page("de", SPEECH["en"] * 6)), (203, None, None)]
+    found = {r["page_id"]: r for r in language.identify_languages(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(5), language_model).collect()}
+    for (i, _, _), p in zip(rows, brute_posteriors([r[1:] for r in rows], language_model)):
+        assert found[i]["probability"] == pytest.approx(p.max()) and found[i]["lang"] == language_model.languages[int(p.argmax())]
+    assert [(found[i]["text_lang"], found[i]["lang"]) for i in (200, 201, 202)] == [("en", "de"), ("en", "fr"), ("en", "en")]
+
+
+def test_hostile_pages_take_linear_time():
+    began = time.time()
+    for piece in ("<", "<!--", "<script ", "<style", "<html ", "<html lang", "<meta http-equiv=content-language ", "<a b='", "&#"):
+        page = piece * (1_000_000 // len(piece))
+        language.visible_text(page), language.declared_language(page)
+    assert time.time() - began < 30
+    assert language.visible_text("a<b") == "a b" and language.visible_text("a<!-- x --> b <script>1</script >c<style>") == "a  b  c "
+    assert language.declared_language("<html xml:lang='De-at'>") == "de" and language.declared_language('<HTML><meta content="fr" http-equiv="Content-Language">') == "fr"
+    assert language.declared_language("<html><meta name=x content=fr>") is None
+
+
+def test_all_languages_are_kept(spark):
+    rows = [(i, f"word{i} text", f"l{i % 230:03}") for i in range(460)]
+    assert len(language.fit_language(spark.createDataFrame(rows, "doc_id long, text string, lang string"), sample_rows=1).languages) == 230
+
+
 def test_language_edges(spark, language_model, no_docs):
     none = spark.createDataFrame([], "page_id long, url string, html string")
     assert language.identify_languages(none, language_model).count() == 0
