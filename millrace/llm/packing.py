@@ -4,13 +4,13 @@ from __future__ import annotations
 
 import gc
 import os
-import sys
 import zlib
 from collections.abc import Callable, Iterator
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -25,16 +25,19 @@ class Tokenizer:
     its runs between such in turn; it lower-cases, so runs are looked up in lower case (but for texts that may hold a
     special token, which is matched as written). New words of a to z go straight to the model; other new runs are encoded
     together: words of letters one after the other, as their last ids tell where they end, and others with a mark between
-    them that is a token of its own. The memory has two generations of ``most`` runs: as the younger fills up, it becomes the
-    older, and runs met again return to the younger.
+    them that is a token of its own. The memory has two generations of ``most_bytes``: as the younger fills up, it becomes
+    the older, and runs met again return to the younger. Runs over ``LONG`` bytes are not remembered beyond a call, and
+    what is encoded together has ``TOGETHER`` bytes or is one run.
     """
 
-    MARK = b"\x01"
+    MARK, LONG, TOGETHER = b"\x01", 200, 200_000
+    #: About what an entry of the memory takes beside its bytes.
+    ENTRY = 180
 
-    def __init__(self, path: str, end_id: int, most: int = 800_000):
+    def __init__(self, path: str, end_id: int, most_bytes: int = 160_000_000):
         from tokenizers import Tokenizer as Public
 
-        self.public, self.most = Public.from_file(path), most
+        self.public, self.most_bytes, self.held = Public.from_file(path), most_bytes, 0
         vocabulary = self.public.get_vocab()
         self.type = np.dtype("<u2" if max(end_id, *vocabulary.values()) < 1 << 16 else "<u4")
         self.end = np.array([end_id], self.type).tobytes()
@@ -83,8 +86,9 @@ class Tokenizer:
                 if self.MARK in run:
                     self.known[run] = self.encoded(run).tobytes()
             runs = [r for r in runs if self.MARK not in r]
-        for at in range(0, len(runs), 2000):
-            part = runs[at : at + 2000]
+        turn = np.cumsum([len(r) for r in runs]) // self.TOGETHER
+        cuts = [0, *(np.flatnonzero(np.diff(turn)) + 1).tolist(), len(runs)]
+        for part in (runs[b:e] for b, e in zip(cuts, cuts[1:]) if e > b):
             if ends is None:
                 ids = self.encoded((b" " + self.MARK + b" ").join([*part, b""]))
                 stops, skip = np.flatnonzero(ids == self.mark[0]), 1
@@ -102,37 +106,46 @@ class Tokenizer:
     def ids(self, texts: list[bytes | None]) -> list[bytes]:
         """The ids of each UTF-8 text, the end id last, as numbers of ``type`` one after the other."""
         runs = [(t if b"<|" in t else t.lower()).split() if t else [] for t in texts]
-        if len(self.known) > self.most:
-            self.known, self.older = {}, self.known
+        if self.held > self.most_bytes:
+            self.known, self.older, self.held = {}, self.known, 0
         new, distinct = [], set(chain.from_iterable(runs))
         for run in distinct.difference(self.known):
             if run in self.older:
                 self.known[run] = self.older[run]
+                self.held += len(run) + len(self.known[run]) + self.ENTRY
             else:
                 new.append(run)
         # Nothing here is cyclic, and the collector would walk the whole memory time and again.
+        before = len(self.known)
         gc.disable()
-        self.learn(new)
-        gc.enable()
+        try:
+            self.learn(new)
+        finally:
+            gc.enable()
+        self.held += sum(len(r) + len(self.known[r]) for r in new) + self.ENTRY * (len(self.known) - before)
         get = dict(zip(distinct, map(self.known.__getitem__, distinct))).__getitem__  # small, unlike what is known
-        return [b"".join(map(get, x)) + self.end for x in runs]
+        out = [b"".join(map(get, x)) + self.end for x in runs]
+        for run in [r for r in new if len(r) > self.LONG]:
+            self.held -= len(run) + len(self.known.pop(run)) + self.ENTRY
+            self.known.pop(run.rstrip(SYMBOLS), None)
+        return out
+
+
+#: Tokenizers of this worker process, by path and end id.
+KEPT: dict[tuple[str, int], Tokenizer] = {}
 
 
 def worker_tokenizer(path: str, end_id: int) -> Tokenizer:
     """This worker process's tokenizer: tasks that run in it one after the other share what it remembers."""
-    import tokenizers
-
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    kept = vars(tokenizers).setdefault("_kept_by_packing", {})
-    if (path, end_id) not in kept:
-        kept[path, end_id] = Tokenizer(path, end_id)
-    return kept[path, end_id]
+    if (path, end_id) not in KEPT:
+        KEPT[path, end_id] = Tokenizer(path, end_id)
+    return KEPT[path, end_id]
 
 
 def forget_tokenizers() -> None:
     """Frees the memory of this worker's tokenizers, which later stages have no use for."""
-    if "tokenizers" in sys.modules:
-        vars(sys.modules["tokenizers"]).pop("_kept_by_packing", None)
+    KEPT.clear()
 
 
 def first_fit_decreasing(sizes: list[int], capacity: int) -> list[int]:
@@ -215,13 +228,24 @@ def pack_documents(docs: DataFrame, tokenizer_path: Callable[[], str], capacity:
     text = docs.select("doc_id", "text", draw.alias("grp"))
     parts = "doc_id long, grp long, start long, n long, doc_tokens long, ids binary"
 
+    def slices(frame: pa.RecordBatch) -> Iterator[tuple[int, int]]:
+        """Stretches of at most 500 rows and about 2 MB of text, or one row."""
+        at, held = 0, 0
+        for i, n in enumerate(pc.binary_length(frame.column(1)).fill_null(0).to_pylist()):
+            if i > at and (i - at == 500 or held + n > 2_000_000):
+                yield at, i - at
+                at, held = i, 0
+            held += n
+        if frame.num_rows:
+            yield at, frame.num_rows - at
+
     def tokenise(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         public = worker_tokenizer(tokenizer_path(), end_id)
         width = public.type.itemsize
         for frame in frames:
-            for at in range(0, frame.num_rows, 500):
+            for at, size in slices(frame):
                 out = []
-                part = frame.slice(at, 500)
+                part = frame.slice(at, size)
                 bodies = part.column(1).cast(pa.binary()).to_pylist()
                 for doc, ids, grp in zip(part.column(0).to_pylist(), public.ids(bodies), part.column(2).to_pylist()):
                     n = len(ids) // width
