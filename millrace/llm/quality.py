@@ -85,7 +85,8 @@ def fit_quality(docs: DataFrame, labels: DataFrame, usable: Column | None = None
     longer texts are left out of the sample (they are scored whole like all others). The calibration is fitted on
     sizes by dictionaries that leave out the fold of the text at hand, and weighted to the share of each class among
     all usable labels; the dictionaries kept are built from the whole sample.
-    Null ids, texts and labels are not learnt from; of conflicting labels of one id the lower holds. With a class
+    Null ids, texts and labels are not learnt from; of conflicting labels of one id the lower holds, of its texts
+    the least. With a class
     missing the model scores every text by the share of good labels, 0.5 with none at all.
     """
     known = labels.select("doc_id", "quality").where("doc_id is not null and quality in (0, 1)")
@@ -99,7 +100,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, usable: Column | None = None
         return QualityModel(b"\n" * 8, b"\n" * 8, np.array([np.log(share / (1 - share))] + [0.0] * 6))
     picks = [least_hashed(known.where(F.col("quality") == q), sample_rows, counts[q]) for q in (0, 1)]
     picked = picks[0].union(picks[1])
-    rows = docs.select("doc_id", "text").where("text is not null").where(F.length("text") <= sample_chars).join(F.broadcast(picked), "doc_id").dropDuplicates(["doc_id"]).collect()
+    rows = docs.select("doc_id", "text").where("text is not null").where(F.length("text") <= sample_chars).join(F.broadcast(picked), "doc_id").groupBy("doc_id", "quality").agg(F.min("text").alias("text")).collect()
     rows.sort(key=lambda r: (hash_of(r["doc_id"]), r["doc_id"]))
     texts = {q: [r["text"] for r in rows if r["quality"] == q] for q in (0, 1)}
     model = QualityModel(*(dictionary([t.encode() for t in texts[q] if t], dictionary_bytes) for q in (1, 0)))
