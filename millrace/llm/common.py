@@ -10,12 +10,17 @@ from pyspark.sql import functions as F
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, from ``spark.checkpoint.dir``; a temporary one only where that is unset."""
+    """The folder that driver and executors share, from ``spark.checkpoint.dir``; where that is unset, the context's, or in local mode a temporary one."""
     sc = spark.sparkContext
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         folder = sc._jsc.sc().getCheckpointDir()
-        folder = folder.get() if folder.isDefined() else f"file://{tempfile.mkdtemp(prefix='millrace-')}"
+        if folder.isDefined():
+            folder = folder.get()
+        elif sc.master.startswith("local"):
+            folder = f"file://{tempfile.mkdtemp(prefix='millrace-')}"
+        else:
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     if not sc._jsc.sc().getCheckpointDir().isDefined():
         sc.setCheckpointDir(folder)
     return folder

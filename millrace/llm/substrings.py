@@ -89,7 +89,8 @@ def matching_spans(group: np.ndarray, right: np.ndarray, n_right: np.ndarray, le
     the first ``n_right`` and ``n_left`` count. Rows without such a window get (0, 0).
     """
     reach, end = np.zeros(len(group), np.int64), np.zeros(len(group), np.int64)
-    rows = np.lexsort((np.ascontiguousarray(right).view(f"S{right.shape[1]}").ravel(), group))
+    # What is padded comes before a row that has real zeros there.
+    rows = np.lexsort((n_right, np.ascontiguousarray(right).view(f"S{right.shape[1]}").ravel(), group))
     same = right[rows[1:]] == right[rows[:-1]]
     lcp = np.where(same.all(axis=1), right.shape[1], same.argmin(axis=1))
     lcp = np.minimum(lcp, np.minimum(n_right[rows[1:]], n_right[rows[:-1]]))
@@ -171,6 +172,10 @@ def repeated_spans(docs: DataFrame, window: int, batch_bytes: int, turn_rows: in
             mark = np.fromiter((xxhash.xxh3_64_intdigest(raw[b:e]) for b, e in zip(lo.tolist(), stop.tolist())), U, len(lo))
             order = np.lexsort((place - lo, mark, key))
             same = (key[order][1:] == key[order][:-1]) & (mark[order][1:] == mark[order][:-1]) & ((place - lo)[order][1:] == (place - lo)[order][:-1])
+            # An equal hash is not enough: the bytes decide.
+            pairs = np.flatnonzero(same)
+            x, y = order[pairs], order[pairs + 1]
+            same[pairs] = [raw[a:b] == raw[c:d] for a, b, c, d in zip(lo[x].tolist(), stop[x].tolist(), lo[y].tolist(), stop[y].tolist())]
             first, again = order[np.concatenate([[True], ~same])] if len(order) else order, np.zeros(len(order), bool)
             again[order[1:][same]] = True
             again[order[:-1][same]] = True
