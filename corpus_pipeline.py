@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm.common import discard, stored
+from millrace.llm.common import discard, fresh, stored
 from millrace.llm.decontamination import contaminated, find_contamination
 from millrace.llm.lines import dedup_lines
 from millrace.llm.neardup import near_components
@@ -27,8 +27,8 @@ def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Learns from the labels of documents that are there and drops what the classifier rejects."""
-    model = fit_quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return score_quality(docs, model, "_quality").where(F.col("_quality") >= LEAST_QUALITY).drop("_quality")
+    model, score = fit_quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")), fresh(docs, "_quality")
+    return score_quality(docs, model, score).where(F.col(score) >= LEAST_QUALITY).drop(score)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
