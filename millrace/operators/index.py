@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
-from datetime import datetime
+from datetime import UTC, datetime
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -153,7 +153,8 @@ def refresh(store: Store, files: DataFrame, read: Callable[[DataFrame], DataFram
     """
     from millrace.sources.files import sentence_records
 
-    at = F.lit(now) if now else F.current_timestamp()
+    # Chunks and manifest are two jobs of one time.
+    at = F.lit(now or datetime.now(UTC))
     config = F.lit(fingerprint(settings))
     hashed = files.select("path", "content", T.content_hash(F.col("content")).alias("hash"))
     old, known = store.chunks(), store.manifest()

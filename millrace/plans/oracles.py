@@ -119,7 +119,35 @@ COLLECTIONS = f"""x AS (
 )
 """
 
+NATIONS = "(SELECT n_nationkey AS k, n_name AS n, r_regionkey AS r, r_name AS rn, row_number() OVER (PARTITION BY r_regionkey ORDER BY n_nationkey) AS i FROM nation JOIN region ON n_regionkey = r_regionkey)"
+REGIONS = "(SELECT r, rn, count(*) AS c FROM {0} GROUP BY ALL)".format(NATIONS)
+SOURCE_TEXT = f"SELECT 'docs/' || doc_id || '.txt' AS path, CAST(i - 1 AS BIGINT) AS idx, s[i] AS sentence FROM (SELECT doc_id, s, unnest(range(1, len(s) + 1)) AS i FROM ({SENT}))"
+SOURCE_CSV = f"""SELECT 'in/' || r || '.csv' AS path, CAST(i - 1 AS BIGINT) AS idx,
+  'key: ' || k || ', name: ' || n || CASE WHEN k % 2 = 0 THEN '' ELSE ', note: odd, indeed' END || '.' AS sentence FROM {NATIONS}"""
+SOURCE_MARKDOWN = f"""SELECT 'in/' || r || '.md' AS path, CAST(idx AS BIGINT) AS idx, sentence, section_title FROM (
+  SELECT r, 0 AS idx, 'First words.' AS sentence, NULL AS section_title FROM {REGIONS}
+  UNION ALL SELECT r, 2 * i - 1, '**' || n || '** is [here](x).', 'Region ' || rn FROM {NATIONS}
+  UNION ALL SELECT r, 2 * i, 'Its key is ' || k || '!', 'Region ' || rn FROM {NATIONS}
+  UNION ALL SELECT r, 2 * c + 1, 'Last.', 'Region ' || rn FROM {REGIONS})"""
+SOURCE_HTML = f"""SELECT 'in/' || r || '.html' AS path, CAST(idx AS BIGINT) AS idx, sentence, section_title FROM (
+  SELECT r, 0 AS idx, 'First words.' AS sentence, NULL AS section_title FROM {REGIONS}
+  UNION ALL SELECT r, i, n || '  has  key ' || k || '.', 'Region  ' || rn FROM {NATIONS}
+  UNION ALL SELECT r, c + 1, 'One.', 'Region  ' || rn FROM {REGIONS}
+  UNION ALL SELECT r, c + 2, 'Two.', 'Region  ' || rn FROM {REGIONS}
+  UNION ALL SELECT r, c + 3, 'Three & four', 'Region  ' || rn FROM {REGIONS})"""
+SIDECARS = """SELECT 'in/' || c_custkey || '.txt' AS path,
+  CASE c_custkey % 4 WHEN 0 THEN 'http://default' WHEN 1 THEN 'http://default' WHEN 2 THEN NULL ELSE 'http://x/' || c_custkey END AS source_url,
+  CAST(CASE c_custkey % 4 WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END AS BIGINT) AS fields FROM customer"""
+# Visible text of the pages by patterns: what is hidden up to the first end of a hidden element, scripts, comments, tags.
+HTML_TEXT = r"""SELECT page_id, trim(regexp_replace(replace(replace(replace(replace(replace(replace(
+  regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html,
+    '(?is)<head\b.*?</(style|script|head)\s*>', '', 'g'), '(?is)<(script|style)\b.*?</(script|style)\s*>', '', 'g'), '(?s)<!--.*?-->', '', 'g'),
+    '(?i)</(p|div|li|h[1-6]|tr|br)\s*>', ' ', 'g'), '<[^>]*>', '', 'g'),
+  '&copy;', '©'), '&middot;', '·'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&amp;', '&'), '\s+', ' ', 'g')) AS text FROM pages"""
+
 ORACLES: dict[str, str] = {
+    "source_text": SOURCE_TEXT, "source_csv": SOURCE_CSV, "source_markdown": SOURCE_MARKDOWN, "source_html": SOURCE_HTML, "sidecar_urls": SIDECARS,
+    "html_text": HTML_TEXT,
     "sentences": f"SELECT doc_id, CAST(pos AS BIGINT) AS pos, s[pos + 1] AS sentence FROM (SELECT doc_id, s, unnest(range(len(s))) AS pos FROM ({SENT}))",
     "chunk_sentence_window": windows(40, 5),
     "chunk_sentence_window_small": windows(3, 1),

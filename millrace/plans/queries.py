@@ -212,6 +212,47 @@ def html_sections(spark, d):
     return blocks.select("page_id", "pos", "b.section", "b.text")
 
 
+def source_records(made: DataFrame) -> DataFrame:
+    """Files made of table rows (``path``, ``content``) through the reader of their kind, as sentences."""
+    records = files.sentence_records(files.read_blocks(made.select("path", F.col("content").cast("binary").alias("content"))))
+    return records.select("path", *long("idx"), F.col("text").alias("sentence"), "section_title")
+
+
+def source_text(spark, d):
+    return source_records(documents(spark, d).select(F.format_string("docs/%d.txt", "doc_id").alias("path"), F.coalesce("text", F.lit("")).alias("content"))).drop("section_title")
+
+
+def by_region(spark, d, line, kind: str, head, tail) -> DataFrame:
+    """A file per region: ``line`` of each of its nations in order, between ``head`` and ``tail``."""
+    rows = table(spark, d, "nation").join(table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    body = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("n_nationkey", line.alias("line")))), lambda r: r["line"]), "")
+    return rows.groupBy("r_regionkey", "r_name").agg(body.alias("body")).select(F.format_string(f"in/%d.{kind}", "r_regionkey").alias("path"), F.concat(head, "body", tail).alias("content"))
+
+
+def source_csv(spark, d):
+    note = F.when(F.col("n_nationkey") % 2 == 0, "  ").otherwise('"odd, indeed"')
+    return source_records(by_region(spark, d, F.concat(F.col("n_nationkey").cast("string"), F.lit(", "), F.col("n_name"), F.lit(" ,"), note, F.lit("\n")), "csv", F.lit("key,name,note\n"), F.lit("\n"))).drop("section_title")
+
+
+def source_markdown(spark, d):
+    line = F.concat(F.lit("- **"), F.col("n_name"), F.lit("** is [here](x). Its key is "), F.col("n_nationkey").cast("string"), F.lit("!\n"))
+    return source_records(by_region(spark, d, line, "md", F.concat(F.lit("First words.\n\n# Region *"), F.col("r_name"), F.lit("*\n\n")), F.lit("\n```\nno text. at all\n```\nLast.\n")))
+
+
+def source_html(spark, d):
+    line = F.concat(F.lit("<p>"), F.col("n_name"), F.lit(" <i>has</i> key "), F.col("n_nationkey").cast("string"), F.lit(".</p><script>x. y</script>\n"))
+    return source_records(by_region(spark, d, line, "html", F.concat(F.lit("<head><title>no. text</title></head>First words.<h2>Region <b>"), F.col("r_name"), F.lit("</b></h2>")), F.lit("<ul><li>One. Two.<li>Three &amp; four</ul>")))
+
+
+def sidecar_urls(spark, d):
+    """Addresses from sidecars of customers: some name none, some an empty one, some are not JSON."""
+    key = F.col("c_custkey")
+    given = F.to_json(F.struct(F.concat(F.lit("http://x/"), key).alias("source_url"), F.col("c_mktsegment").alias("segment")))
+    body = F.when(key % 4 == 0, "not {json").when(key % 4 == 1, '{"segment": "none"}').when(key % 4 == 2, '{"source_url": ""}').otherwise(given)
+    made = table(spark, d, "customer").select(F.format_string("in/%d.txt.meta.json", "c_custkey").alias("path"), body.cast("binary").alias("content"))
+    return files.sidecars_of(made).select("path", files.source_url(F.col("meta"), "http://default").alias("source_url"), F.size("meta").cast("long").alias("fields"))
+
+
 def document_collections(spark, d) -> tuple[DataFrame, DataFrame]:
     """A collection per language: its manifest and its chunks of 40 sentences."""
     docs = documents(spark, d).select(F.col("lang").alias("collection"), F.concat(F.lit("docs/"), F.col("source"), F.lit("."), F.col("lang")).alias("folder"), "doc_id", chunking.sentence_windows(T.sentences(F.col("text"))).alias("c"), "source")
@@ -255,6 +296,7 @@ QUERIES: dict[str, Query] = {
     "config_fingerprint": config_fingerprint, "reindex_status": reindex_status, "stale_files": stale_files, "upsert_result": upsert_result, "run_summary": run_summary,
     "knn_l2": knn(True, 10, "l2"), "knn_batch": knn(False, 5, "l2"), "knn_cosine": knn(False, 5, "cosine"), "bm25_topk": bm25_topk, "rrf_fusion": rrf_fusion,
     "hybrid_search": hybrid_search, "hybrid_batch": hybrid_batch, "benchmark_retrieval": benchmark_retrieval, "format_prompt": format_prompt, "table_as_text": table_as_text, "row_prose": row_prose,
+    "source_text": source_text, "source_csv": source_csv, "source_markdown": source_markdown, "source_html": source_html, "sidecar_urls": sidecar_urls,
     "html_text": html_text, "html_sections": html_sections, "collection_list": collection_list, "collection_stats": collection_stats, "ext_counts": ext_counts,
     "metadata_keys": metadata_keys, "collection_inspect": collection_inspect, "chat_log_summary": chat_log_summary,
 }
