@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Callable, Iterator, Sequence
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -49,6 +50,19 @@ def distance(a: Column, b: Column, metric: str = "l2") -> Column:
     raise ValueError(f"unknown metric: {metric}")
 
 
+def distances(query: np.ndarray, vectors: np.ndarray, metric: str = "l2") -> np.ndarray:
+    """The distances of one vector to many, as ``distance`` gives them."""
+    if metric == "l2":
+        return ((vectors - query) ** 2).sum(axis=1)
+    inner = vectors @ query
+    if metric == "ip":
+        return 1 - inner
+    if metric == "cosine":
+        size = lambda v: np.where(v == 0, TINY, v)
+        return 1 - inner / (size(np.linalg.norm(vectors, axis=1)) * size(np.linalg.norm(query)))
+    raise ValueError(f"unknown metric: {metric}")
+
+
 class HashEmbedder:
     """Feature hashing: each search token counts in the bucket that its MD5 names; vectors have unit length.
 
@@ -66,11 +80,10 @@ class HashEmbedder:
         return self.known[token]
 
     def __call__(self, texts: list[str]) -> np.ndarray:
-        out = np.zeros((len(texts), self.dim))
-        for i, text in enumerate(texts):
-            buckets = [self.bucket(t) for t in (text or "").lower().split()]
-            if buckets:
-                out[i] = np.bincount(buckets, minlength=self.dim)
+        found = [[self.bucket(t) for t in (text or "").lower().split()] for text in texts]
+        row = np.repeat(np.arange(len(texts)), [len(f) for f in found])
+        cells = row * self.dim + np.fromiter(chain.from_iterable(found), np.int64, len(row))
+        out = np.bincount(cells, minlength=len(texts) * self.dim).reshape(-1, self.dim).astype(float)
         length = np.linalg.norm(out, axis=1, keepdims=True)
         return out / np.where(length == 0, 1, length)
 

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -118,34 +119,87 @@ def ordered_distances(rows: DataFrame, id_: str, pos: str, vec: str = "vec") ->
     return found.withColumn("distance", F.when(same & F.col("_next.v").isNotNull(), V.cosine_distance(F.col(vec), F.col("_next.v")))).drop("_part", "_inside", "_head", "_next")
 
 
-def semantic_breaks(rows: DataFrame, percentile: float = 95, id_: str = "doc_id", places: int | None = None) -> DataFrame:
-    """``rows`` with ``distance``, the document's ``threshold`` and ``breaks``: whether a chunk ends here.
+def context_distances(found: Column, make: Callable[[], V.Embedder] = V.HashEmbedder, batch: int = 64) -> Column:
+    """For each text of an array, the cosine distance of its vector to the next one's; null at the last.
 
-    The threshold is the interpolated percentile of the document's distances; only larger ones break. places: rounds
-    distance and threshold first, so that other engines' last digits change nothing.
+    A document is one row and stays where it is: vectors are made and compared in the task and never leave it.
     """
-    whole = Window.partitionBy(id_)
-    found = adjacent_distances(rows, id_)
-    if places is not None:
-        found = found.withColumn("distance", F.round("distance", places))
-    limit = F.percentile("distance", F.lit(percentile / 100)).over(whole)
-    found = found.withColumn("threshold", limit if places is None else F.round(limit, places))
-    return found.withColumn("breaks", F.coalesce(F.col("distance") > F.col("threshold"), F.lit(False)))
 
+    @F.arrow_udf("array<double>")
+    def run(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        embedder = make()
+        for column in columns:
+            ends, texts = np.cumsum([len(c or ()) for c in column.to_pylist()]), column.flatten().to_pylist()
+            vectors = np.array([v for i in range(0, len(texts), batch) for v in embedder(texts[i : i + batch])], float)
+            out: list = []
+            if len(vectors):
+                length = np.linalg.norm(vectors, axis=1)
+                length[length == 0] = V.TINY
+                out = (1 - np.einsum("ij,ij->i", vectors[:-1], vectors[1:]) / (length[:-1] * length[1:])).tolist() + [None]
+            for end in ends[ends > 0].tolist():
+                out[end - 1] = None
+            yield pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), pa.array(out, pa.float64()))
 
-def semantic_chunks(rows: DataFrame, percentile: float = 95, max_sentences: int = 0, id_: str = "doc_id", places: int | None = None) -> DataFrame:
-    """Chunks (``id_``, ``chunk_id``, ``text``, ``first_sentence``, ``n_sentences``) that end at semantic breaks.
+    return run(found)
 
-    rows: as from ``embedded_sentences``. max_sentences above 0 cuts longer chunks every so many sentences.
+
+def with_distances(docs: DataFrame, sents: str = "sentences", id_: str = "doc_id", buffer: int = 1, make: Callable[[], V.Embedder] = V.HashEmbedder) -> DataFrame:
+    """A row per document: ``id_``, ``sents`` (stripped, blank ones dropped), made once a row, and their ``distances``."""
+    clean = docs.select(id_, F.explode(F.array(stripped(F.col(sents)))).alias("sents"))
+    around = clean.select(id_, "sents", F.explode(F.array(contexts(F.col("sents"), buffer))).alias("around"))
+    return around.select(id_, "sents", context_distances(F.col("around"), make).alias("distances"))
+
+
+def percentile_of(values: Column, percentile: float) -> Column:
+    """The interpolated percentile of an array's numbers; null without any."""
+    known = F.sort_array(F.filter(values, lambda v: v.isNotNull()))
+
+    def between(v: Column) -> Column:
+        at = (F.size(v) - 1) * F.lit(percentile / 100)
+        low, high = F.get(v, F.floor(at).cast("int")), F.get(v, F.ceil(at).cast("int"))
+        return F.when(F.size(v) > 0, low + (high - low) * (at - F.floor(at)))
+
+    return let(known, between)
+
+
+def semantic_breaks(sents: Column, distances: Column, percentile: float = 95, places: int | None = None) -> Column:
+    """For each of ``sents`` (stripped, none blank) a struct of ``pos``, ``sentence``, ``distance`` and ``breaks``: whether a chunk ends here.
+
+    distances: as ``context_distances`` gives them. The threshold is the interpolated percentile of the document's
+    distances; only larger ones break. places: rounds distance and threshold first, so that other engines' last digits
+    change nothing.
+    """
+    rounded = (lambda c: c) if places is None else lambda c: F.round(c, places)
+
+    def marked(x: Column) -> Column:
+        found = F.transform(x["d"], rounded)
+        return let(
+            F.struct(found.alias("d"), rounded(percentile_of(found, percentile)).alias("limit")),
+            lambda y: F.transform(x["s"], lambda s, i: F.struct(i.alias("pos"), s.alias("sentence"), F.get(y["d"], i).alias("distance"), F.coalesce(F.get(y["d"], i) > y["limit"], F.lit(False)).alias("breaks"))),
+        )
+
+    return let(F.struct(sents.alias("s"), distances.alias("d")), marked)
+
+
+def semantic_chunks(sents: Column, distances: Column, percentile: float = 95, max_sentences: int = 0, places: int | None = None) -> Column:
+    """Chunks of ``sents`` that end at semantic breaks, as an array (``chunk_id``, ``text``, ``first_sentence``, ``n_sentences``).
+
+    max_sentences above 0 cuts longer chunks every so many sentences.
     """
-    broken = semantic_breaks(rows, percentile, id_, places)
-    before = Window.partitionBy(id_).orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
-    parts = broken.withColumn("seg", F.coalesce(F.sum(F.col("breaks").cast("int")).over(before), F.lit(0)))
-    inside = F.row_number().over(Window.partitionBy(id_, "seg").orderBy("pos")) - 1
-    parts = parts.withColumn("part", F.floor(inside / max_sentences).cast("int") if max_sentences > 0 else F.lit(0))
-    chunks = parts.groupBy(id_, "seg", "part").agg(F.sort_array(F.collect_list(F.struct("pos", "sentence"))).alias("s"), F.min("pos").alias("first_sentence"))
-    number = F.row_number().over(Window.partitionBy(id_).orderBy("first_sentence")) - 1
-    return chunks.select(id_, number.alias("chunk_id"), F.array_join("s.sentence", " ").alias("text"), "first_sentence", F.size("s").alias("n_sentences"))
+
+    def chunks(rows: Column) -> Column:
+        starts = F.transform(F.filter(rows, lambda r: (r["pos"] == 0) | F.get(rows, r["pos"] - 1)["breaks"]), lambda r: r["pos"])
+        if max_sentences > 0:
+            starts = let(starts, lambda a: F.flatten(F.transform(a, lambda b, j: F.sequence(b, F.coalesce(F.get(a, j + 1), F.size(rows)) - 1, F.lit(max_sentences)))))
+        text = F.transform(rows, lambda r: r["sentence"])
+
+        def chunk(a: Column, begin: Column, j: Column) -> Column:
+            n = F.coalesce(F.get(a, j + 1), F.size(rows)) - begin
+            return F.struct(j.alias("chunk_id"), F.array_join(F.slice(text, begin + 1, n), " ").alias("text"), begin.alias("first_sentence"), n.alias("n_sentences"))
+
+        return let(starts, lambda a: F.transform(a, lambda begin, j: chunk(a, begin, j)))
+
+    return let(semantic_breaks(sents, distances, percentile, places), chunks)
 
 
 def create_chunks(docs: DataFrame, method: str = "sentence", sents: str = "sentences", id_: str = "doc_id", size: int = 40, overlap: int = 5, make: Callable[[], V.Embedder] | None = None, percentile: float = 95, buffer: int = 1, max_sentences: int = 0, token_size: int = 512, token_overlap: int = 50) -> DataFrame:
@@ -157,7 +211,8 @@ def create_chunks(docs: DataFrame, method: str = "sentence", sents: str = "sente
     elif method == "semantic":
         if make is None:
             raise ValueError("semantic chunking needs an embedder")
-        return semantic_chunks(embedded_sentences(docs, sents, id_, buffer, make), percentile, max_sentences, id_).drop("n_sentences")
+        rows = with_distances(docs, sents, id_, buffer, make)
+        return rows.select(id_, F.inline(semantic_chunks(F.col("sents"), F.col("distances"), percentile, max_sentences))).drop("n_sentences")
     else:
         raise ValueError(f"unknown chunking method: {method}")
     return docs.select(id_, F.inline(chunks))

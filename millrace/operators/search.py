@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -24,11 +29,45 @@ def best(rows: DataFrame, number: Column, n: int) -> DataFrame:
     return rows.withColumn("_number", number).where(F.col("_number") <= n).withColumn("rank", F.col("_number") - 1)
 
 
+def met_in_batches(asked: DataFrame, stored: DataFrame, n: int, metric: str, places: int | None) -> DataFrame:
+    """Of each Arrow batch of ``stored`` (``id``, ``vec``) the ``n`` nearest to each query of one block, with ``distance``.
+
+    The block (``query_id``, ``query_vec``) is collected and travels to the tasks. Rows without a vector are no hits.
+    """
+    rows = asked.where("query_vec is not null").collect()
+    ids = pa.array([r["query_id"] for r in rows])
+    wanted = np.array([r["query_vec"] for r in rows], float)
+
+    def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for frame in frames:
+            frame = frame.filter(frame.column(1).is_valid())
+            if not frame.num_rows or not len(wanted):
+                continue
+            vectors = np.asarray(frame.column(1).flatten(), float).reshape(frame.num_rows, -1)
+            rank = np.empty(frame.num_rows, np.int64)
+            rank[pc.array_sort_indices(frame.column(0)).to_numpy()] = np.arange(frame.num_rows)
+            asks, hits, distances = [], [], []
+            for k, query in enumerate(wanted):
+                d = V.distances(query, vectors, metric)
+                d = d if places is None else np.round(d, places)
+                # All that tie with the n-th are ordered by id.
+                near = np.flatnonzero(d <= np.partition(d, n - 1)[n - 1]) if len(d) > n else np.arange(len(d))
+                near = near[np.lexsort((rank[near], d[near]))[:n]]
+                asks.append(np.full(len(near), k))
+                hits.append(near)
+                distances.append(d[near])
+            asks, hits = np.concatenate(asks), np.concatenate(hits)
+            yield pa.RecordBatch.from_arrays([ids.take(pa.array(asks)), frame.column(0).take(pa.array(hits)), pa.array(np.concatenate(distances))], names=["query_id", "id", "distance"])
+
+    kinds = asked.schema["query_id"].dataType.simpleString(), stored.schema["id"].dataType.simpleString()
+    return stored.mapInArrow(run, f"query_id {kinds[0]}, id {kinds[1]}, distance double")
+
+
 def nearest(queries: DataFrame, stored: DataFrame, n: int = 5, metric: str = "l2", id_: str = "id", vec: str = "embedding", query_id: str = "query_id", query_vec: str = "query_vec", block_rows: int = 2000, places: int | None = None, query_rows: int | None = None) -> DataFrame:
     """The ``n`` nearest of ``stored`` to each query: ``query_id``, ``rank`` (from 0), ``id``, ``distance``.
 
-    Queries are a stated set. They are sent to the stored vectors in blocks of at most ``block_rows``, and each block's
-    partial results are cut to ``n`` a query and task before the last ranking, so what is shuffled is the number of
+    Queries are a stated set. They are sent to the stored vectors in blocks of about ``block_rows``, and each block's
+    partial results are cut to ``n`` a query and batch, then task, before the last ranking, so what is shuffled is the number of
     queries times ``n`` times the tasks. Equal distances are ranked by ``id``. places: rounds distances before ranking.
     query_rows: how many queries there are, if known; else they are counted.
     """
@@ -45,11 +84,7 @@ def nearest(queries: DataFrame, stored: DataFrame, n: int = 5, metric: str = "l2
     parts = []
     for k in range(blocks):
         asked = queries.where(side == k).select(F.col(query_id).alias("query_id"), F.col(query_vec).alias("query_vec"))
-        packed = asked.agg(F.collect_list(F.struct("query_id", "query_vec")).alias("asked"))
-        d = V.distance(F.col("a.query_vec"), F.col("vec"), metric)
-        scored = stored.select(F.col(id_).alias("id"), F.col(vec).alias("vec")).crossJoin(F.broadcast(packed)).select("id", "vec", F.explode("asked").alias("a"))
-        scored = scored.select(F.col("a.query_id").alias("query_id"), "id", (d if places is None else F.round(d, places)).alias("distance"))
-        parts.append(scored)
+        parts.append(met_in_batches(asked, stored.select(F.col(id_).alias("id"), F.col(vec).alias("vec")), n, metric, places))
     found = parts[0]
     for part in parts[1:]:
         found = found.unionByName(part)

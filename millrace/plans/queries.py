@@ -83,13 +83,13 @@ def consecutive_distance(spark, d):
 
 
 def semantic_breakpoints(spark, d):
-    rows = chunking.embedded_sentences(with_sentences(spark, d))
-    return chunking.semantic_breaks(rows, 95, places=9).select("doc_id", *long("pos"), (F.round("distance", PLACES) + 0.0).alias("distance"), "breaks")
+    rows = chunking.with_distances(with_sentences(spark, d)).select("doc_id", F.inline(chunking.semantic_breaks(F.col("sents"), F.col("distances"), 95, places=9)))
+    return rows.select("doc_id", *long("pos"), (F.round("distance", PLACES) + 0.0).alias("distance"), "breaks")
 
 
 def chunk_semantic(spark, d):
-    rows = chunking.embedded_sentences(with_sentences(spark, d))
-    return chunking.semantic_chunks(rows, 95, places=9).select("doc_id", *long("chunk_id", "first_sentence", "n_sentences"), F.md5("text").alias("text_md5"))
+    rows = chunking.with_distances(with_sentences(spark, d)).select("doc_id", F.inline(chunking.semantic_chunks(F.col("sents"), F.col("distances"), 95, places=9)))
+    return rows.select("doc_id", *long("chunk_id", "first_sentence", "n_sentences"), F.md5("text").alias("text_md5"))
 
 
 def content_hash(spark, d):

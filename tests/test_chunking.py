@@ -56,9 +56,10 @@ def test_contexts(spark):
 
 def test_semantic_identical_and_cap(spark):
     docs = spark.createDataFrame([(1, ["same words"] * 5), (2, ["only"]), (3, [])], "doc_id long, sentences array<string>")
-    rows = C.embedded_sentences(docs)
-    assert {(r["doc_id"], r["n_sentences"]) for r in C.semantic_chunks(rows).collect()} == {(1, 5), (2, 1)}
-    assert sorted((r["chunk_id"], r["n_sentences"]) for r in C.semantic_chunks(rows, max_sentences=2).where("doc_id = 1").collect()) == [(0, 2), (1, 2), (2, 1)]
+    rows = C.with_distances(docs)
+    cut = lambda **more: rows.select("doc_id", F.inline(C.semantic_chunks(F.col("sents"), F.col("distances"), **more))).collect()
+    assert {(r["doc_id"], r["n_sentences"]) for r in cut()} == {(1, 5), (2, 1)}
+    assert sorted((r["chunk_id"], r["n_sentences"]) for r in cut(max_sentences=2) if r["doc_id"] == 1) == [(0, 2), (1, 2), (2, 1)]
 
 
 def test_zero_vector_is_far(spark):
