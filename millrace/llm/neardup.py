@@ -1,9 +1,11 @@
 """MinHash near-dedup by a signature-coordinate inverted join.
 
-Every distinct shingle set posts under the (coordinate, value) pairs of a prefix of its MinHash signature. Within a
-posting list, collisions over the whole signature are counted and pairs above a match threshold become candidates; a
-prefix suffices because a pair with enough matches must meet in one of its coordinates. Candidates are only kept as a
-spanning forest, and links are confirmed on full shingle sets within the groups that the candidates make.
+Every distinct shingle set posts under the (coordinate, value) pairs of a prefix of its MinHash signature. The sets that
+meet in a list are posted under all their coordinates, and the collisions of one set with the later ones are counted by
+merging its lists: the shortest lists, a prefix that a pair with enough matches cannot miss, are merged, the longest are
+only looked up for those found, and sets that are already linked are skipped. Pairs above a match threshold become
+candidates. Candidates are only kept as a spanning forest, and links are confirmed on full shingle sets within the groups
+that the candidates make.
 """
 
 from __future__ import annotations
@@ -78,20 +80,16 @@ def match_rule(similarity: float, coordinates: int, loss: float = 1e-6) -> tuple
     return least, min(prefix, coordinates - least + 1)
 
 
-class Forest:
-    """Union-find that remembers which unions joined something."""
+class Trees:
+    """Which rows are linked so far: rows of equal ``label``."""
 
-    def __init__(self, n: int):
-        self.up = list(range(n))
-
-    def root(self, x: int) -> int:
-        while self.up[x] != x:
-            self.up[x] = x = self.up[self.up[x]]
-        return x
+    def __init__(self, known: list[int]):
+        self.label = np.unique(known, return_inverse=True)[1]
 
     def join(self, x: int, y: int) -> bool:
-        x, y = self.root(x), self.root(y)
-        self.up[max(x, y)] = min(x, y)
+        """Links two rows; whether that joined something."""
+        x, y = self.label[x], self.label[y]
+        self.label[self.label == max(x, y)] = min(x, y)
         return x != y
 
 
@@ -109,22 +107,71 @@ def groups(frames: Iterator[pa.RecordBatch], keys: int) -> Iterator[list[tuple]]
         yield held
 
 
-def pairs_of(sides: list[int], first: int, second: int) -> Iterator[tuple[int, np.ndarray]]:
-    """For each row the later rows it must meet: all within one block, else those of the other block."""
-    sides_ = np.array(sides)
-    for i in range(len(sides)):
-        later = np.arange(i + 1, len(sides))
-        yield i, later if first == second else later[sides_[later] != sides[i]]
-
+def meetings(signs: np.ndarray, sides: list[int] | None, trees: Trees, least: int) -> Iterator[tuple[int, list[int]]]:
+    """For each row the later rows, not linked to it yet, that match it in ``least`` coordinates; with ``sides``, of another side.
 
-def blocked(rows: DataFrame, count: str, size: int, node: str) -> DataFrame:
-    """Adds ``i``, ``j``, ``side``: groups over ``size`` rows are cut in blocks, and each pair of blocks is a task of its own."""
-    b = F.ceil(F.col(count) / size)
-    rows = rows.withColumn("side", F.pmod(F.xxhash64(F.col(node), F.lit("block")), b).cast("int")).withColumn("blocks", b.cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    spread = rows.select("*", other)
+    The rows are posted under every (coordinate, value). Of a row's lists, the ``coordinates - least + 1`` shortest are
+    merged and counted from behind the row on; a match must be in one of them. The others only add to its count.
+    """
+    n, coordinates = signs.shape
+    other = None if sides is None else np.array(sides)
+    columns = np.ascontiguousarray(signs.T)
+    lists = np.argsort(columns, axis=1, kind="stable")
+    values = np.take_along_axis(columns, lists, 1)
+    ends = np.full((coordinates, n), n)
+    ends[:, :-1] = np.where(values[:, 1:] != values[:, :-1], np.arange(1, n), n)
+    ends = np.minimum.accumulate(ends[:, ::-1], axis=1)[:, ::-1]
+    place = np.empty_like(lists)
+    np.put_along_axis(place, lists, np.broadcast_to(np.arange(n), lists.shape), 1)
+    start, stop = place.T + 1, np.take_along_axis(ends, place, 1).T
+    for i in range(n - 1):
+        unlinked = trees.label != trees.label[i]
+        if not unlinked[i + 1 :].any():
+            continue
+        by = np.argsort(stop[i] - start[i])
+        short, long = by[: coordinates - least + 1], by[coordinates - least + 1 :]
+        merged = [lists[c, x:y] for c, x, y in zip(short.tolist(), start[i, short].tolist(), stop[i, short].tolist()) if x < y]
+        if not merged:
+            continue
+        hits = np.bincount(np.concatenate(merged), minlength=n) * unlinked
+        if other is not None:
+            hits *= other != other[i]
+        later = np.flatnonzero(hits)
+        if len(later):
+            found = later[hits[later] + (signs[np.ix_(later, long)] == signs[i, long]).sum(axis=1) >= least]
+            yield i, found.tolist()
+
+
+def dealt(rows: DataFrame, key: str, size: int) -> DataFrame:
+    """Adds ``i``, ``j``, ``side``: groups over ``size`` (column ``count``) rows are cut at random, each key in its own way; every row goes to one task."""
+    side = F.pmod(F.xxhash64("node", key, F.lit("cut")), F.ceil(F.col("count") / size)).cast("int")
+    return rows.withColumn("side", side).withColumn("i", F.col("side")).withColumn("j", F.col("side"))
+
+
+def met(rows: DataFrame, key: str, size: int) -> DataFrame:
+    """The tasks in which the rows (``node``, ``root``) of each ``key`` meet those of other roots; keys of one root are left out.
+
+    The rows of a key's most frequent root are not met with one another: they are cut into blocks, the others too, and
+    each of the others' blocks meets every block in a task of its own. Adds ``i``, ``j``, ``side``.
+    """
+    by_root = rows.groupBy(key, "root").count()
+    stats = by_root.groupBy(key).agg(F.sum("count").alias("all"), F.count("*").alias("roots"), F.max(F.struct("count", "root")).alias("most")).where("roots > 1")
+    small = F.col("all") <= size
+    first = F.when(small, 0).otherwise(F.ceil(F.col("most.count") / size)).cast("int")
+    rest = F.when(small, 1).otherwise(F.ceil((F.col("all") - F.col("most.count")) / size)).cast("int")
+    rows = rows.join(stats, key).withColumn("first", first).withColumn("rest", rest)
+    alike = (F.col("root") == F.col("most.root")) & ~small
+    draw = F.xxhash64("node", F.lit("block"))
+    rows = rows.withColumn("side", F.when(alike, F.pmod(draw, F.greatest("first", F.lit(1)))).otherwise(F.col("first") + F.pmod(draw, F.col("rest"))).cast("int"))
+    blocks = F.sequence(F.when(alike, F.col("first")).otherwise(0), F.col("first") + F.col("rest") - 1)
+    rows = rows.select("*", F.explode(blocks).alias("other"))
     # A block meets itself in the task (i, i), sent once; two different blocks meet in (i, j).
-    return spread.select("*", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j")).drop("other", "blocks")
+    return rows.withColumn("i", F.least("side", "other")).withColumn("j", F.greatest("side", "other"))
+
+
+def labelled(rows: DataFrame, linked: DataFrame) -> DataFrame:
+    """``rows`` with the ``root`` of their ``node`` among the components ``linked``, or the node."""
+    return rows.join(linked, "node", "left").withColumn("root", F.coalesce("root", "node"))
 
 
 def near_components(docs: DataFrame, size: int = 5, similarity: tuple[int, int] = (80, 100), coordinates: int = 64, block: int = 2000) -> DataFrame:
@@ -136,9 +183,12 @@ def near_components(docs: DataFrame, size: int = 5, similarity: tuple[int, int]
     id reachable over links, ``kept`` tells whether it is the row's own.
 
     Equal sets are one node and never expanded into pairs. A pair at the threshold is missed with a chance below 1e-6
-    (see ``match_rule``). Posting lists and candidate groups above ``block`` nodes are cut into blocks and each pair of
-    blocks is compared in a task of its own, so a task holds two blocks; what leaves a task is a spanning forest, never
-    all pairs. Texts without words are linked with nothing. A row with a null id is kept, with a null component, and
+    (see ``match_rule``). What leaves a task is a spanning forest, never all pairs. Posting lists above ``block`` nodes are
+    first cut at random, each list in its own way, so that a group of near copies becomes one component while every row
+    is sent once a list. Only lists that still hold several components go on: they are posted once more, under a second
+    coordinate, and in what is then common to several components the nodes outside the most frequent one meet all others,
+    block by block. Candidate groups above ``block / 4`` nodes are confirmed in the same two steps, cut twice at random.
+    So a task holds two blocks at most, and copies are not sent to one another's blocks. Texts without words are linked with nothing. A row with a null id is kept, with a null component, and
     links nothing by itself. Texts under one id are linked. Repeated rows get equal results; no rows give none.
     """
     least, prefix = match_rule(similarity[0] / similarity[1], coordinates)
@@ -165,63 +215,96 @@ def near_components(docs: DataFrame, size: int = 5, similarity: tuple[int, int]
             node = np.repeat(frame.column(0).to_numpy(zero_copy_only=False), prefix)
             yield pa.RecordBatch.from_arrays([pa.array(key.ravel()), pa.array(node)], names=["key", "node"])
 
+    def post_again(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # A pair of a list meets again in one of the next coordinates, by the rule of the first prefix.
+        for frame in frames:
+            key = frame.column(0).to_numpy()
+            signs = np.frombuffer(b"".join(frame.column(2).to_pylist()), np.uint32).reshape(-1, coordinates)
+            for k in range(1, prefix + 1):
+                at = ((key >> 32) + k) % coordinates
+                value = signs[np.arange(len(signs)), at].astype(U)
+                pair = mixed(mixed(key.astype(U) + U(k)) + value).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(pair), frame.column(1), frame.column(3)], names=["key", "node", "root"])
+
+    def edges(left: list[int], right: list[int]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], names=["a", "b"])
+
     def collide(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         left, right = [], []
         for rows in groups(frames, 3):
-            if len(rows) == 2 and rows[0][3] == rows[1][3]:
-                continue
-            signs = np.frombuffer(b"".join(r[5] for r in rows), np.uint32).reshape(-1, coordinates)
-            forest, nodes = Forest(len(rows)), [r[3] for r in rows]
-            for i, later in pairs_of([r[4] for r in rows], rows[0][1], rows[0][2]):
-                for j in later[(signs[later] == signs[i]).sum(axis=1) >= least].tolist():
-                    if forest.join(i, j):
+            nodes, sides, trees = [r[3] for r in rows], None if rows[0][1] == rows[0][2] else [r[4] for r in rows], Trees([r[5] for r in rows])
+            signs = np.frombuffer(b"".join(r[6] for r in rows), np.uint32).reshape(-1, coordinates)
+            for i, later in meetings(signs, sides, trees, least):
+                for j in later:
+                    if trees.join(i, j):
                         left.append(nodes[i])
                         right.append(nodes[j])
             if len(left) > 5000:
-                yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], names=["a", "b"])
+                yield edges(left, right)
                 left, right = [], []
-        yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], names=["a", "b"])
+        yield edges(left, right)
 
     def confirm(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for rows in groups(frames, 3):
             # An id with several texts comes with each of them for each of its sets.
-            pairs = [(r, shingle_set(r[5], size, hashes)) for r in rows]
-            pairs = [(r, s) for r, s in pairs if xxhash.xxh3_128_digest(s.tobytes()) == r[6]]
+            pairs = [(r, shingle_set(r[6], size, hashes)) for r in rows]
+            pairs = [(r, s) for r, s in pairs if xxhash.xxh3_128_digest(s.tobytes()) == r[7]]
             rows, full = [r for r, _ in pairs], [s for _, s in pairs]
             if len(rows) < 2:
                 continue
+            nodes, sides, trees = [r[3] for r in rows], None if rows[0][1] == rows[0][2] else [r[4] for r in rows], Trees([r[5] for r in rows])
             signs = np.array([signature(s, a, b) for s in full])
-            n = np.array([len(s) for s in full])
-            forest, nodes, left, right = Forest(len(rows)), [r[3] for r in rows], [], []
-            for i, later in pairs_of([r[4] for r in rows], rows[0][1], rows[0][2]):
-                later = later[(np.minimum(n[later], n[i]) * whole >= np.maximum(n[later], n[i]) * part)]
-                for j in later[(signs[later] == signs[i]).sum(axis=1) >= least].tolist():
-                    if forest.root(i) == forest.root(j):
+            left, right = [], []
+            for i, later in meetings(signs, sides, trees, least):
+                for j in later:
+                    if trees.label[i] == trees.label[j] or min(len(full[i]), len(full[j])) * whole < max(len(full[i]), len(full[j])) * part:
                         continue
                     both = len(np.intersect1d(full[i], full[j], assume_unique=True))
-                    if whole * both >= part * (n[i] + n[j] - both) and forest.join(i, j):
+                    if whole * both >= part * (len(full[i]) + len(full[j]) - both) and trees.join(i, j):
                         left.append(nodes[i])
                         right.append(nodes[j])
-            yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], names=["a", "b"])
+            yield edges(left, right)
+
+    def compared(tasks: DataFrame, key: str, *content: str) -> DataFrame:
+        """The links of the tasks, by signatures or, if there are texts, by full sets."""
+        rows = tasks.select(key, "i", "j", "node", "side", "root", *content).repartition(key, "i", "j")
+        return rows.sortWithinPartitions(key, "i", "j", "node", *content[1:]).mapInArrow(confirm if "text" in content else collide, "a long, b long")
+
+    def joined(first: DataFrame, more: DataFrame) -> DataFrame:
+        return components(first.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more))
 
     found = cut(docs.select("doc_id", "text").mapInArrow(sets, "doc_id long, n_shingles long, set_id binary, sig binary"))
     nodes = cut(found.where("set_id is not null and doc_id is not null").groupBy("set_id").agg(F.min("doc_id").alias("node"), F.first("sig").alias("sig")))
     signed = nodes.select("node", "sig")
     posts = signed.mapInArrow(post, "key long, node long")
-    shared = posts.join(posts.groupBy("key").count().where("count > 1"), "key")
-    lists = blocked(shared.join(signed, "node"), "count", block, "node").select("key", "i", "j", "node", "side", "sig")
-    candidates = lists.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "node").mapInArrow(collide, "a long, b long")
-    grouped = components(candidates)
-    sizes = grouped.groupBy("root").count()
-    members = grouped.join(sizes, "root").join(nodes.select("node", "set_id"), "node")
-    texts = docs.select(F.col("doc_id").alias("node"), "text").where("node is not null").join(members, "node").withColumn("th", F.xxhash64("text")).dropDuplicates(["node", "set_id", "th"])
-    tasks = blocked(texts, "count", max(1, block // 4), "node").select("root", "i", "j", "node", "side", "text", "set_id")
-    links = tasks.repartition("root", "i", "j").sortWithinPartitions("root", "i", "j", "node", "set_id").mapInArrow(confirm, "a long, b long")
+    counts = cut(posts.groupBy("key").count().where("count > 1"))
+    lists = posts.join(counts, "key").join(signed, "node").withColumn("root", F.col("node"))
+    grouped = components(compared(dealt(lists, "key", block), "key", "sig"))
+    large = counts.where(F.col("count") > block)
+    if not large.isEmpty():
+        rest = labelled(posts.join(large, "key"), grouped)
+        mixed_keys = rest.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x < y").select("key")
+        again = rest.join(mixed_keys, "key").join(signed, "node").select("key", "node", "sig", "root").mapInArrow(post_again, "key long, node long, root long")
+        grouped = joined(grouped, compared(met(again, "key", block).join(signed, "node"), "key", "sig"))
+
+    # A set of an id with several texts is confirmed on the text it comes from; ``group`` is a group of candidates.
+    some = max(1, block // 4)
+    members = grouped.withColumnRenamed("root", "group")
+    members = members.join(members.groupBy("group").count(), "group").join(nodes.select("node", "set_id"), "node")
+    texts = docs.select(F.col("doc_id").alias("node"), "text").join(members.select("node").distinct(), "node", "left_semi")
+    texts = texts.withColumn("th", F.xxhash64("text")).dropDuplicates(["node", "th"])
+    twice = F.explode(F.when(F.col("count") > some, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0))))
+    tasks = members.select("*", twice.alias("turn")).withColumn("task", F.xxhash64("group", "turn")).withColumn("root", F.col("node"))
+    linked = components(compared(dealt(tasks, "task", some).join(texts, "node"), "task", "text", "set_id"))
+    large = members.where(F.col("count") > some)
+    if not large.isEmpty():
+        tasks = met(labelled(large, linked), "group", some)
+        linked = joined(linked, compared(tasks.join(texts, "node"), "group", "text", "set_id"))
     ids = found.where("set_id is not null and doc_id is not null").select("doc_id", "set_id").distinct().join(nodes.select("set_id", "node"), "set_id").select("doc_id", "node").distinct()
     several = ids.groupBy("doc_id").agg(F.min("node").alias("a"), F.count("*").alias("n")).where("n > 1")
     same_id = ids.join(several, "doc_id").select("a", F.col("node").alias("b"))
-    linked = components(links.union(same_id))
+    linked = joined(linked, same_id)
     final = nodes.select("set_id", "node").join(linked, "node", "left").select("set_id", F.coalesce("root", "node").alias("root"))
     own = F.when(F.col("doc_id").isNotNull(), F.coalesce("root", "doc_id"))
     out = found.select("doc_id", "n_shingles", "set_id").join(final, "set_id", "left").select("doc_id", "n_shingles", own.alias("component_id"))

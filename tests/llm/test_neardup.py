@@ -49,6 +49,33 @@ def test_a_chain_of_near_copies_is_one_group(spark):
         assert got == brute(rows, 3, 85, 100)
 
 
+def test_a_large_group_of_near_copies_is_not_sent_to_its_own_blocks(spark, monkeypatch):
+    def text(i):
+        words = [f"w{k}" for k in range(120)]
+        words[i % 117] = f"new{i}"
+        return " ".join(words)
+
+    frame = spark.createDataFrame([(i, text(i)) for i in range(20_000)], "doc_id long, text string").repartition(8)
+    sent, met = [], neardup.met
+    monkeypatch.setattr(neardup, "met", lambda *a: sent.append(met(*a)) or sent[-1])
+    got = neardup.near_components(frame, 3, (85, 100)).groupBy("component_id").count().collect()
+    assert {r["component_id"]: r["count"] for r in got} == {0: 20_000}
+    assert len(sent) == 2 and all(f.isEmpty() for f in sent)
+
+
+def test_rows_of_the_most_frequent_component_meet_only_others(spark):
+    rows = [("a", i, 0) for i in range(50)] + [("a", 50 + i, 50 + i) for i in range(9)] + [("b", i, 0) for i in range(30)] + [("c", 1, 1), ("c", 2, 2)]
+    tasks = neardup.met(spark.createDataFrame(rows, "key string, node long, root long"), "key", 5).collect()
+    assert {t["key"] for t in tasks} == {"a", "c"}
+    at = {}
+    for t in tasks:
+        at.setdefault((t["key"], t["i"], t["j"]), []).append((t["node"], t["side"], t["root"]))
+    seen = {(k[0], *sorted((x, y))) for k, g in at.items() for x, s, _ in g for y, o, _ in g if x != y and (k[1] == k[2] or s != o)}
+    roots = {(k, n): r for k, n, r in rows}
+    assert {(k, x, y) for k, x, y in seen if roots[k, x] != roots[k, y]} == {(k, x, y) for k, x, r in rows for l, y, q in rows if k == l and x < y and r != q}
+    assert not any(k == "a" and x < 50 and y < 50 for k, x, y in seen)
+
+
 def test_odd(odd_docs, no_docs, wide_docs, rows):
     found = [tuple(r) for r in neardup.near_components(odd_docs, 3, (85, 100)).collect()]
     assert len(found) == odd_docs.count()
