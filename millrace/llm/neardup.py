@@ -293,7 +293,7 @@ def near_components(docs: DataFrame, size: int = 5, similarity: tuple[int, int]
     members = grouped.withColumnRenamed("root", "group")
     members = members.join(members.groupBy("group").count(), "group").join(nodes.select("node", "set_id"), "node")
     texts = docs.select(F.col("doc_id").alias("node"), "text").join(members.select("node").distinct(), "node", "left_semi")
-    texts = texts.withColumn("th", F.xxhash64("text")).dropDuplicates(["node", "th"])
+    texts = cut(texts.withColumn("th", F.xxhash64("text")).dropDuplicates(["node", "th"]))
     twice = F.explode(F.when(F.col("count") > some, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0))))
     tasks = members.select("*", twice.alias("turn")).withColumn("task", F.xxhash64("group", "turn")).withColumn("root", F.col("node"))
     linked = components(compared(dealt(tasks, "task", some).join(texts, "node"), "task", "text", "set_id"))
