@@ -80,6 +80,22 @@ def match_rule(similarity: float, coordinates: int, loss: float = 1e-6) -> tuple
     return least, min(prefix, coordinates - least + 1)
 
 
+def second_prefix(similarity: float, prefix: int, loss: float = 1e-6) -> int:
+    """How many next coordinates a list's rows are posted under again: with fewer, a pair at ``similarity`` is missed with ``loss / 10`` chance or more.
+
+    A pair is missed only if each coordinate of the prefix that it shares is followed by that many which it does not.
+    """
+    for count in range(1, prefix + 1):
+        # The chance of what led here, by how many of the next coordinates must differ.
+        must = [1.0] + [0.0] * count
+        for _ in range(prefix):
+            differ = [m * (1 - similarity) for m in must]
+            must = [differ[0] + differ[1], *differ[2:], must[0] * similarity]
+        if sum(m * (1 - similarity) ** k for k, m in enumerate(must)) < loss / 10:
+            return count
+    return prefix
+
+
 class Trees:
     """Which rows are linked so far: rows of equal ``label``."""
 
@@ -183,7 +199,7 @@ def near_components(docs: DataFrame, size: int = 5, similarity: tuple[int, int]
     id reachable over links, ``kept`` tells whether it is the row's own.
 
     Equal sets are one node and never expanded into pairs. A pair at the threshold is missed with a chance below 1e-6
-    (see ``match_rule``). What leaves a task is a spanning forest, never all pairs. Posting lists above ``block`` nodes are
+    (see ``match_rule``, ``second_prefix``). What leaves a task is a spanning forest, never all pairs. Posting lists above ``block`` nodes are
     first cut at random, each list in its own way, so that a group of near copies becomes one component while every row
     is sent once a list. Only lists that still hold several components go on: they are posted once more, under a second
     coordinate, and in what is then common to several components the nodes outside the most frequent one meet all others,
@@ -192,6 +208,7 @@ def near_components(docs: DataFrame, size: int = 5, similarity: tuple[int, int]
     links nothing by itself. Texts under one id are linked. Repeated rows get equal results; no rows give none.
     """
     least, prefix = match_rule(similarity[0] / similarity[1], coordinates)
+    following = second_prefix(similarity[0] / similarity[1], prefix)
     a, b = coefficients(coordinates)
     part, whole = similarity
 
@@ -216,11 +233,11 @@ def near_components(docs: DataFrame, size: int = 5, similarity: tuple[int, int]
             yield pa.RecordBatch.from_arrays([pa.array(key.ravel()), pa.array(node)], names=["key", "node"])
 
     def post_again(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # A pair of a list meets again in one of the next coordinates, by the rule of the first prefix.
+        # A pair meets again in one of the next coordinates of one of its lists.
         for frame in frames:
             key = frame.column(0).to_numpy()
             signs = np.frombuffer(b"".join(frame.column(2).to_pylist()), np.uint32).reshape(-1, coordinates)
-            for k in range(1, prefix + 1):
+            for k in range(1, following + 1):
                 at = ((key >> 32) + k) % coordinates
                 value = signs[np.arange(len(signs)), at].astype(U)
                 pair = mixed(mixed(key.astype(U) + U(k)) + value).view(np.int64)

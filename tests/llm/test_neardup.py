@@ -93,6 +93,21 @@ def test_rule_misses_less_than_one_in_a_million():
         assert sum(comb(64, k) * s**k * (1 - s) ** (64 - k) for k in range(least)) < 1e-6 and (1 - s) ** prefix < 1e-8
 
 
+def test_second_prefix_is_the_least_that_misses_less_than_one_in_ten_million():
+    def missed(s, prefix, count):
+        total = 0.0
+        for same in itertools.product((True, False), repeat=prefix):
+            must = {k for i in range(prefix) if same[i] for k in range(i + 1, i + 1 + count)}
+            if not any(k < prefix and same[k] for k in must):
+                total += s ** sum(same) * (1 - s) ** (prefix - sum(same) + sum(k >= prefix for k in must))
+        return total
+
+    for s in (0.8, 0.85, 0.95):
+        prefix = neardup.match_rule(s, 64)[1]
+        count = neardup.second_prefix(s, prefix)
+        assert missed(s, prefix, count) < 1e-7 and (count == 1 or missed(s, prefix, count - 1) >= 1e-7)
+
+
 def test_connected_components(spark):
     chain = [(i, i + 1) for i in range(100, 160)] + [(5, 3), (3, 3), (9, 5), (None, 4), (7, 8), (8, 7)]
     found = {r["node"]: r["root"] for r in common.components(spark.createDataFrame(chain, "a long, b long")).collect()}
