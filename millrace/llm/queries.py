@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.llm import decontamination, language, lines, neardup, oracles, packing, quality, recompression, secrets, spotsigs, substrings
+from millrace.llm import decontamination, infill, language, lines, mixing, neardup, oracles, packing, quality, recompression, runs, secrets, spotsigs, substrings
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_spotsigs": spotsigs.op1_spotsigs,
@@ -19,6 +19,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_packing": packing.op8_packing,
     "op9_quality": quality.op9_quality,
     "op10_decontamination": decontamination.op10_decontamination,
+    "op11_runs": runs.op11_runs,
+    "op12_mixing": mixing.op12_mixing,
+    "op13_infill": infill.op13_infill,
 }
 
 ORACLES: dict[str, str] = {
@@ -27,4 +30,6 @@ ORACLES: dict[str, str] = {
     "op4_recompression": oracles.RECOMPRESSION,
     "op6_lines": oracles.LINES,
     "op10_decontamination": oracles.DECONTAMINATION,
+    "op12_mixing": oracles.MIXING,
+    "op13_infill": oracles.INFILL,
 }
