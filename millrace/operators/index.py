@@ -1,19 +1,18 @@
-"""Incremental index: what changed, new chunks, and collections kept as Parquet tables with a manifest."""
+"""Incremental index: what changed, new chunks, and collections kept as a log of Parquet tables with a manifest."""
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 from datetime import UTC, datetime
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.utils import AnalysisException
 
 from millrace.config import Settings
 from millrace.functions import text as T
 from millrace.functions import vectors as V
-from millrace.operators import chunking
+from millrace.operators import chunking, keywords, search
+from millrace.operators.tables import Log, Table, Version
 
 CHUNKS = "collection string, id string, document string, embedding array<double>, file_name string, path string, chunk_id int, ingest_date timestamp, source_url string, page_number int, section_title string"
 MANIFEST = "collection string, path string, hash string, config_fingerprint string, chunk_ids array<string>, indexed_at timestamp"
@@ -85,39 +84,45 @@ def build_chunks(records: DataFrame, settings: Settings, collection: str, now: C
     )
 
 
+#: What a store holds: chunks and the manifest of their files, and the keyword index.
+TABLES = {"chunks": Table(CHUNKS, ("collection",), ("id",)), "manifest": Table(MANIFEST, ("collection",), ("path",)), **keywords.TABLES}
+KINDS = {"id": ("collection", "id"), "path": ("collection", "path")}
+
+
 class Store:
-    """Collections below a folder: tables of chunks and manifest, written as new versions and switched at the end.
+    """Collections below a folder, kept as a log of changes (``tables.Log``).
 
-    A version is a folder of its own; the table named ``current`` holds the number of the one that counts, so readers
-    and failed writers never see half of a version. One writer at a time.
+    Adding a file writes what the file has; readers see a version as a whole and keep it while others write. indexed:
+    every change also brings the stored keyword index up to date. number: reads are of that version, not of the latest.
     """
 
-    def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root = spark, root.rstrip("/")
+    def __init__(self, spark: SparkSession, root: str, indexed: bool = False, number: int | None = None):
+        self.spark, self.root, self.indexed, self.number = spark, root.rstrip("/"), indexed, number
+        self.log = Log(spark, root, TABLES, KINDS)
 
-    def version(self) -> str | None:
-        try:
-            row = self.spark.read.schema("version string, at timestamp").parquet(f"{self.root}/current").orderBy(F.desc("at"), F.desc("version")).first()
-        except AnalysisException:
-            return None
-        return row["version"] if row else None
+    def at(self, number: int) -> Store:
+        """The store as of an older version."""
+        return Store(self.spark, self.root, self.indexed, number)
 
-    def table(self, name: str, schema: str) -> DataFrame:
-        version = self.version()
-        if version is None:
-            return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(schema).parquet(f"{self.root}/{version}/{name}")
+    def now(self) -> Version:
+        return self.log.version(self.number)
 
-    def chunks(self, collection: str | None = None) -> DataFrame:
-        found = self.table("chunks", CHUNKS)
-        return found if collection is None else found.where(F.col("collection") == collection)
+    def version(self) -> int | None:
+        return self.now().number or None
 
-    def manifest(self, collection: str | None = None) -> DataFrame:
-        found = self.table("manifest", MANIFEST)
+    def table(self, name: str, collection: str | None, version: Version | None) -> DataFrame:
+        found = self.log.read(name, version or self.now())
         return found if collection is None else found.where(F.col("collection") == collection)
 
+    def chunks(self, collection: str | None = None, version: Version | None = None) -> DataFrame:
+        return self.table("chunks", collection, version)
+
+    def manifest(self, collection: str | None = None, version: Version | None = None) -> DataFrame:
+        return self.table("manifest", collection, version)
+
     def collections(self) -> DataFrame:
-        return self.manifest().select("collection").union(self.chunks().select("collection")).distinct()
+        version = self.now()
+        return self.manifest(version=version).select("collection").union(self.chunks(version=version).select("collection")).distinct()
 
     def exists(self, collection: str) -> bool:
         return not self.collections().where(F.col("collection") == collection).isEmpty()
@@ -127,12 +132,36 @@ class Store:
             raise ValueError(f"no such collection: {collection}")
         return self.chunks(collection)
 
-    def write(self, chunks: DataFrame, manifest: DataFrame) -> str:
-        version = uuid.uuid4().hex
-        chunks.select(*[c.split()[0] for c in CHUNKS.split(", ")]).write.partitionBy("collection").parquet(f"{self.root}/{version}/chunks")
-        manifest.select(*[c.split()[0] for c in MANIFEST.split(", ")]).write.partitionBy("collection").parquet(f"{self.root}/{version}/manifest")
-        self.spark.range(1).select(F.lit(version).alias("version"), F.current_timestamp().alias("at")).coalesce(1).write.mode("append").parquet(f"{self.root}/current")
-        return version
+    def put(self, since: Version, chunks: DataFrame | None = None, removed: DataFrame | None = None, replaced: DataFrame | None = None, entries: Callable[[DataFrame], DataFrame] | None = None) -> int:
+        """One change on top of a version, as the next one.
+
+        chunks: rows to add; of rows there already, those of the same id must be among ``removed``. removed:
+        (``collection``, ``id``) of chunks to go; replaced: (``collection``, ``path``) of manifest entries to go; entries:
+        makes the new manifest entries from the chunks as stored. Refused with ``Conflict`` if the version is no longer the latest.
+        """
+        with self.log.change(since) as change:
+            empty = self.spark.createDataFrame([], CHUNKS)
+            stored = empty if chunks is None else change.add("chunks", chunks)
+            gone = None
+            if removed is not None:
+                change.remove("id", removed)
+                gone = self.chunks(version=since).join(removed.select("collection", "id").distinct(), ["collection", "id"], "left_semi")
+            if self.indexed:
+                keywords.update(change, stored, gone)
+            if replaced is not None:
+                change.remove("path", replaced)
+            if entries is not None:
+                change.add("manifest", entries(stored))
+        return change.base.number + 1
+
+    def upsert(self, chunks: DataFrame) -> int:
+        """Adds chunks; those of the same collection and id are replaced. Of repeated ids one row stays."""
+        one = chunks.dropDuplicates(["collection", "id"])
+        return self.put(self.now(), one, one.select("collection", "id"))
+
+    def delete(self, keys: DataFrame) -> int:
+        """Removes the chunks of these keys (``collection``, ``id``)."""
+        return self.put(self.now(), removed=keys)
 
     def drop(self, collection: str, confirm: str) -> None:
         """Removes a collection with its manifest; ``confirm`` must repeat its name."""
@@ -140,8 +169,27 @@ class Store:
             raise ValueError("the confirmation does not match the collection's name")
         if not self.exists(collection):
             raise ValueError(f"no such collection: {collection}")
-        other = F.col("collection") != collection
-        self.write(self.chunks().where(other), self.manifest().where(other))
+        with self.log.change(self.now()) as change:
+            change.clear(collection)
+
+    def compact(self, whole: bool = False) -> int | None:
+        return self.log.compact(whole)
+
+    def vacuum(self, keep: int = 1, grace: float = 3600) -> int:
+        return self.log.vacuum(keep, grace)
+
+    def keywords(self, collection: str) -> keywords.Keywords:
+        return keywords.Keywords(self.log, collection, self.now())
+
+    def search(self, queries: DataFrame, collection: str, n: int = 5, hybrid: bool = False, candidates: int = 3, k: int = 60, metric: str = "l2", make: Callable[[], V.Embedder] = V.HashEmbedder, places: int | None = None) -> DataFrame:
+        """The hits for ``queries`` as ``search.search`` ranks them, with what is stored of them: ``query_id``, ``rank``, ``id``,
+        ``distance`` (and ``score`` with ``hybrid``), ``document``, ``file_name``, ``path``, ``chunk_id``, ``ingest_date``,
+        ``source_url``, ``page_number``, ``section_title``. Keywords are looked up in the stored index where there is one."""
+        chunks, words = self.open(collection), None
+        if hybrid and self.indexed:
+            words = lambda asked, wide: self.keywords(collection).top(asked, wide, places=places)
+        hits = search.search(queries, chunks, n, hybrid, candidates, k, metric, make, places=places, keywords=words)
+        return hits.join(chunks.drop("collection", "embedding"), "id")
 
 
 def refresh(store: Store, files: DataFrame, read: Callable[[DataFrame], DataFrame], collection: str, settings: Settings = Settings(), make: Callable[[], V.Embedder] = V.HashEmbedder, now: datetime | None = None, urls: DataFrame | None = None) -> dict[str, int]:
@@ -153,12 +201,10 @@ def refresh(store: Store, files: DataFrame, read: Callable[[DataFrame], DataFram
     """
     from millrace.sources.files import sentence_records
 
-    # Chunks and manifest are two jobs of one time.
     at = F.lit(now or datetime.now(UTC))
-    config = F.lit(fingerprint(settings))
+    config, since = F.lit(fingerprint(settings)), store.now()
     hashed = files.select("path", "content", T.content_hash(F.col("content")).alias("hash"))
-    old, known = store.chunks(), store.manifest()
-    mine = known.where(F.col("collection") == collection)
+    mine = store.manifest(collection, since)
     status = file_status(hashed.select("path", "hash"), mine, config).cache()
     counts = {r["status"]: r["count"] for r in status.groupBy("status").count().collect()}
     gone = stale(mine, hashed)
@@ -176,16 +222,16 @@ def refresh(store: Store, files: DataFrame, read: Callable[[DataFrame], DataFram
         summary["failed"] += n
     done = todo.join(failed, "path", "left_anti").select(F.lit(collection).alias("collection"), "path", "hash")
     new = build_chunks(sentence_records(blocks), settings, collection, at, make, urls)
-    replaced = done.select("collection", "path").union(gone.select("collection", "path"))
-    keep = delete(old, replaced, ("collection", "path"))
-    entries = manifest_entries(new, done, config, at)
-    store.write(upsert(keep, new), delete(known, replaced, ("collection", "path")).unionByName(entries))
+    replace(store, since, new, done, gone.select(F.lit(collection).alias("collection"), "path"), config, at)
     status.unpersist()
     blocks.unpersist()
     return summary
 
 
-def latest(rows: DataFrame, keys: tuple[str, ...], version: str) -> DataFrame:
-    """Of rows with equal keys the one of the highest version."""
-    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc(version)))
-    return rows.withColumn("_rank", rank).where("_rank = 1").drop("_rank")
+def replace(store: Store, since: Version, new: DataFrame, done: DataFrame, gone: DataFrame, config: Column, at: Column) -> int:
+    """Commits the chunks ``new`` of the files ``done`` (``collection``, ``path``, ``hash``) in place of what these files and
+    those ``gone`` (``collection``, ``path``) had. Only what the manifest lists is removed, so a new file removes nothing."""
+    known = store.manifest(version=since)
+    replaced = known.join(done.select("collection", "path").union(gone.select("collection", "path")).distinct(), ["collection", "path"], "left_semi")
+    ids = replaced.select("collection", F.explode("chunk_ids").alias("id"))
+    return store.put(since, new, ids, replaced.select("collection", "path"), lambda stored: manifest_entries(stored, done, config, at))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -12,8 +12,7 @@ from pyspark.sql import functions as F
 
 from millrace.functions import text as T
 from millrace.functions import vectors as V
-
-K1, B, EPSILON = 1.5, 0.75, 0.25
+from millrace.operators.keywords import B, EPSILON, K1, filled
 
 
 def candidate_count(n: int, multiplier: int, stored: int) -> int:
@@ -131,20 +130,13 @@ def bm25_top(queries: DataFrame, docs: DataFrame, n: int = 5, id_: str = "id", t
     """The ``n`` best documents for each query by BM25: ``query_id``, ``rank`` (from 0), ``id``, ``score``.
 
     Documents without a query term score 0 and fill the list up where it is short; ties keep the order of ``order``
-    (insertion order of the store; by default ``id_``). places: rounds scores before ranking. As no score is negative
-    while the mean weight is not, a list is filled from the first ``n`` documents in that order; only otherwise (most
-    terms in most documents) all documents are paired with the queries.
+    (insertion order of the store; by default ``id_``). places: rounds scores before ranking.
     """
     scored, mean = bm25_scores(queries, docs, id_, text, query_id, query)
     if places is not None:
         scored = scored.withColumn("score", F.round("score", places))
     known = docs.select(F.col(id_).alias("id"), F.col(order or id_).alias("ord"))
-    first = known.orderBy("ord").limit(n) if mean >= 0 else known
-    asked = queries.select(F.col(query_id).alias("query_id")).distinct()
-    filler = first.join(asked).join(scored, ["query_id", "id"], "left_anti").select("query_id", "id", "ord", F.lit(0.0).alias("score"))
-    listed = scored.join(known, "id").select("query_id", "id", "ord", "score").unionByName(filler)
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "ord"))
-    return best(listed, rank, n).select("query_id", "rank", "id", "score")
+    return filled(queries.select(F.col(query_id).alias("query_id")), scored.join(known, "id"), known, n, mean < 0)
 
 
 def fuse(vectors: DataFrame, keywords: DataFrame, n: int = 5, k: int = 60) -> DataFrame:
@@ -162,12 +154,13 @@ def fuse(vectors: DataFrame, keywords: DataFrame, n: int = 5, k: int = 60) -> Da
     return best(scored, F.row_number().over(Window.partitionBy("query_id").orderBy(*order)), n).select("query_id", "rank", "id", "score", "distance")
 
 
-def search(queries: DataFrame, chunks: DataFrame, n: int = 5, hybrid: bool = False, candidates: int = 3, k: int = 60, metric: str = "l2", make=V.HashEmbedder, order: str | None = None, places: int | None = None) -> DataFrame:
+def search(queries: DataFrame, chunks: DataFrame, n: int = 5, hybrid: bool = False, candidates: int = 3, k: int = 60, metric: str = "l2", make=V.HashEmbedder, order: str | None = None, places: int | None = None, keywords: Callable[[DataFrame, int], DataFrame] | None = None) -> DataFrame:
     """Searches stored ``chunks`` (``id``, ``document``, ``embedding``, more) for ``queries`` (``query_id``, ``query``).
 
     A column ``embed_text``, where it is there and not empty, is embedded in place of the query; keywords always come
     from the query. With ``hybrid`` both rankings are fused, over ``candidates`` times ``n`` hits each. Returns
-    ``query_id``, ``rank`` (from 0), ``id``, ``distance`` and, with ``hybrid``, ``score``.
+    ``query_id``, ``rank`` (from 0), ``id``, ``distance`` and, with ``hybrid``, ``score``. keywords: ranks by keywords in
+    place of ``bm25_top``, from queries and the number of hits (a stored index).
     """
     text = F.coalesce(F.nullif(F.col("embed_text"), F.lit("")), F.col("query")) if "embed_text" in queries.columns else F.col("query")
     asked = queries.select("query_id", "query", V.embed(text, make).alias("query_vec"))
@@ -175,4 +168,5 @@ def search(queries: DataFrame, chunks: DataFrame, n: int = 5, hybrid: bool = Fal
         return nearest(asked, chunks, n, metric, places=places)
     wide = candidate_count(n, candidates, chunks.count())
     found = nearest(asked, chunks, wide, metric, places=places)
-    return fuse(found, bm25_top(queries, chunks, wide, order=order, places=places), n, k)
+    words = keywords(queries, wide) if keywords else bm25_top(queries, chunks, wide, order=order, places=places)
+    return fuse(found, words, n, k)

@@ -30,17 +30,16 @@ def watch(spark: SparkSession, folder: str, store: index.Store, collection: str,
 
     def take(batch: DataFrame, _: int) -> None:
         hashed = batch.select("path", "content", T.content_hash(F.col("content")).alias("hash"))
-        known, config, at = store.manifest(collection), F.lit(index.fingerprint(settings)), F.lit(datetime.now(UTC))
-        todo = index.file_status(hashed.select("path", "hash"), known, config).where("status <> 'skipped'")
+        since = store.now()
+        config, at = F.lit(index.fingerprint(settings)), F.lit(datetime.now(UTC))
+        todo = index.file_status(hashed.select("path", "hash"), store.manifest(collection, since), config).where("status <> 'skipped'")
         if todo.isEmpty():
             return
         blocks = read(hashed.join(todo.select("path"), "path", "left_semi").select("path", "content")).cache()
         failed = blocks.where("kind = 'error'").select("path").distinct()
         done = todo.join(failed, "path", "left_anti").select(F.lit(collection).alias("collection"), "path", "hash")
         new = index.build_chunks(sentence_records(blocks), settings, collection, at, make, urls)
-        keys = ("collection", "path")
-        entries = index.manifest_entries(new, done, config, at)
-        store.write(index.upsert(index.delete(store.chunks(), done, keys), new), index.delete(store.manifest(), done, keys).unionByName(entries))
+        index.replace(store, since, new, done, done.select("collection", "path").limit(0), config, at)
         blocks.unpersist()
 
     return wanted.writeStream.foreachBatch(take).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
