@@ -13,7 +13,10 @@ from millrace.operators.ordering import kept, numbered
 from millrace.operators.tables import Change, Log, Table, Version
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
-BUCKETS = 64
+#: Divisions of the terms by hash. Within one, files are sorted by term, so a reader skips most of what it does not ask for.
+BUCKETS = 16
+#: So many query terms are also given to the scan as a filter.
+FILTERED = 1000
 #: Removals by id apply to postings after they are laid out, so postings have no removals of their own as a table.
 TABLES = {
     "postings": Table("collection string, bucket int, term string, cell string, n int, most int, least int, docs array<struct<id:string,tf:int,dl:int>>", ("collection", "bucket")),
@@ -75,12 +78,13 @@ def update(change: Change, added: DataFrame, removed: DataFrame | None = None, c
 
     one = new.select("collection", "dl", F.col("counts.term").alias("term"), F.lit(1).alias("sign"))
     if removed is not None:
-        gone = counted(removed)
+        gone = kept(counted(removed))
         one = one.unionByName(gone.select("collection", "dl", F.col("counts.term").alias("term"), F.lit(-1).alias("sign")))
     totals = one.groupBy("collection").agg(F.sum("sign").alias("docs"), F.sum(F.col("sign") * F.col("dl")).alias("words"))
     change.add("corpus", totals.select("collection", F.inline(F.array(*[F.struct(F.lit(w).alias("what"), F.col(w).cast("long").alias("total")) for w in ("docs", "words")]))))
-    terms = one.select("collection", F.explode("term").alias("term"), "sign").groupBy("collection", "term").agg(F.sum("sign").alias("df")).where("df <> 0")
-    delta = change.add("terms", terms.withColumn("bucket", bucket(F.col("term"))))
+    terms = one.select("collection", F.explode("term").alias("term"), "sign").groupBy("collection", "term").agg(F.sum("sign").alias("df")).where("df <> 0").withColumn("bucket", bucket(F.col("term")))
+    # A file a bucket: there are as many rows as different terms.
+    delta = change.add("terms", terms.repartition("collection", "bucket").sortWithinPartitions("collection", "bucket", "term"))
     before = log.read("terms", base).select("collection", "bucket", "term", F.col("df").alias("old"))
     met = delta.join(before, ["collection", "bucket", "term"], "left").select("collection", F.coalesce("old", F.lit(0)).alias("old"), "df")
     moves = met.select("collection", F.inline(F.array(F.struct(F.col("old").alias("df"), F.lit(-1).alias("terms")), F.struct((F.col("old") + F.col("df")).alias("df"), F.lit(1).alias("terms")))))
@@ -104,23 +108,26 @@ class Keywords:
     def weighed(self, queries: DataFrame, query_id: str, query: str) -> DataFrame:
         """The queries' terms (``query_id``, ``term``, ``bucket``, ``weight``), repeats counted; ``self.avgdl`` and ``self.mean`` are set.
 
-        Of the terms' counts only the buckets of the queries' terms are read. The mean weight, which negative weights are
+        Of counts and postings only the buckets of the queries' terms are read, and in them, if these are few, the row groups that may have one. The mean weight, which negative weights are
         replaced by a quarter of, follows from the number of terms of each count.
         """
         asked = queries.select(F.col(query_id).alias("query_id"), F.explode(T.tokens(F.col(query))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("times"))
         asked = kept(asked.withColumn("bucket", bucket(F.col("term"))))
         self.buckets = sorted(r["bucket"] for r in asked.select("bucket").distinct().collect())
+        few = asked.select("term").distinct().limit(FILTERED + 1).collect()
+        terms = [r["term"] for r in few] if len(few) <= FILTERED else None
+        self.wanted = F.col("bucket").isin(self.buckets) & (F.col("term").isin(terms) if terms is not None else F.lit(True))
         totals = {r["what"]: r["total"] for r in self.read("corpus").collect()}
         n = totals.get("docs", 0)
         self.avgdl = totals["words"] / n if totals.get("words") else 1.0
         raw = lambda df: F.log(F.lit(n) - df + 0.5) - F.log(df + 0.5)
         self.mean = self.read("spread").agg(F.sum(F.col("terms") * raw(F.col("df"))) / F.sum("terms")).first()[0] or 0.0
-        known = self.read("terms").where(F.col("bucket").isin(self.buckets)).select("term", raw(F.col("df")).alias("raw"))
+        known = self.read("terms").where(self.wanted).select("term", raw(F.col("df")).alias("raw"))
         idf = F.when(F.col("raw") < 0, F.lit(EPSILON * self.mean)).otherwise(F.col("raw"))
         return kept(asked.join(known, "term").select("query_id", "term", "bucket", (F.col("times") * idf).alias("weight")))
 
     def postings(self) -> DataFrame:
-        return self.read("postings", removed=False).where(F.col("bucket").isin(self.buckets))
+        return self.read("postings", removed=False).where(self.wanted)
 
     def bounds(self, asked: DataFrame) -> DataFrame:
         """No document of a cell scores more than ``bound`` for a query: ``query_id``, ``cell``, ``bound``, ``blocks``, ``entries``. The lists themselves are not read."""

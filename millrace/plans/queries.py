@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,6 +14,7 @@ from millrace.functions import vectors as V
 from millrace.operators import admin, chunking, index, prompt, search
 from millrace.plans.oracles import ORACLES  # noqa: F401
 from millrace.sources import files
+from millrace.sources.storage import shared_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUESTION = "the nature of that and this"
@@ -184,6 +186,57 @@ def hybrid_batch(spark, d):
     return hybrid(documents(spark, d).where("doc_id % 20 = 0").select(F.col("doc_id").alias("query_id"), F.col("text").alias("query")), spark, d)
 
 
+def stored_rows(found: DataFrame, id_, text) -> DataFrame:
+    """Rows as chunks of the collection ``docs``, without vectors."""
+    made = found.select(F.lit("docs").alias("collection"), id_.alias("id"), text.alias("document"))
+    names = [c.split() for c in index.CHUNKS.split(", ")]
+    return made.select(*[F.col(n) if n in made.columns else F.lit(None).cast(t).alias(n) for n, t in names])
+
+
+def numbered_documents(spark, d, which: str = "true", text=None) -> DataFrame:
+    return stored_rows(documents(spark, d).where(which), F.format_string("%012d", "doc_id"), F.col("text") if text is None else text)
+
+
+def new_store(spark, indexed: bool = False) -> index.Store:
+    return index.Store(spark, f"{shared_folder(spark)}/store-{uuid.uuid4().hex}", indexed)
+
+
+def store_state(spark, d):
+    """A store's rows after adds, updates, removals, a merge and a removal, and as the first version still has them."""
+    store = new_store(spark)
+    store.upsert(numbered_documents(spark, d))
+    store.upsert(numbered_documents(spark, d, "lang = 'fr'", F.reverse("text")))
+    store.delete(numbered_documents(spark, d, "lang = 'de'").select("collection", "id"))
+    store.compact()
+    store.upsert(stored_rows(table(spark, d, "pages"), F.format_string("page-%d", "page_id"), F.col("html")))
+    store.delete(numbered_documents(spark, d, "doc_id % 10 = 3").select("collection", "id"))
+    rows = lambda s, which: s.chunks("docs").select(F.lit(which).alias("version"), "id", F.md5(F.coalesce("document", F.lit(""))).alias("document_md5"))
+    return rows(store, "last").unionByName(rows(store.at(1), "first"))
+
+
+def changed_store(spark, d) -> index.Store:
+    """An indexed store of all documents, brought there in steps: French texts were others first, pages came and went."""
+    store = new_store(spark, True)
+    early = numbered_documents(spark, d, text=F.when(F.col("lang") == "fr", F.concat_ws(" ", F.lit("first version"), F.substring("text", 1, 200))).otherwise(F.col("text")))
+    store.upsert(early.unionByName(stored_rows(table(spark, d, "pages"), F.format_string("page-%d", "page_id"), F.col("html"))))
+    store.upsert(numbered_documents(spark, d, "lang = 'fr'"))
+    store.delete(stored_rows(table(spark, d, "pages"), F.format_string("page-%d", "page_id"), F.lit("")).select("collection", "id"))
+    return store
+
+
+def keyword_index_topk(spark, d):
+    """``bm25_topk`` from a stored index after adds, updates and removals."""
+    found = changed_store(spark, d).keywords("docs").top(one_query(spark), 15, places=PLACES)
+    return found.select(*long("rank"), F.col("id").cast("long").alias("id"), "score")
+
+
+def keyword_index_benchmark(spark, d):
+    """``benchmark_retrieval`` from a stored index after adds, updates and removals."""
+    asked = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
+    found = changed_store(spark, d).keywords("docs").top(asked, 5, places=PLACES)
+    return found.select("query_id", *long("rank"), F.col("id").cast("long").alias("id"), "score")
+
+
 def format_prompt(spark, d):
     hits = search.bm25_top(one_query(spark), stored_documents(spark, d), 5, places=PLACES)
     docs = documents(spark, d).select(F.col("doc_id").alias("id"), F.col("text").alias("document"), F.col("source").alias("file_name"), F.col("doc_id").alias("chunk_id"), F.lit(None).cast("int").alias("page_number"), F.col("lang").alias("section_title"), F.lit("").alias("source_url"), F.lit(None).cast("timestamp").alias("ingest_date"))
@@ -295,7 +348,8 @@ QUERIES: dict[str, Query] = {
     "consecutive_distance": consecutive_distance, "semantic_breakpoints": semantic_breakpoints, "chunk_semantic": chunk_semantic, "content_hash": content_hash,
     "config_fingerprint": config_fingerprint, "reindex_status": reindex_status, "stale_files": stale_files, "upsert_result": upsert_result, "run_summary": run_summary,
     "knn_l2": knn(True, 10, "l2"), "knn_batch": knn(False, 5, "l2"), "knn_cosine": knn(False, 5, "cosine"), "bm25_topk": bm25_topk, "rrf_fusion": rrf_fusion,
-    "hybrid_search": hybrid_search, "hybrid_batch": hybrid_batch, "benchmark_retrieval": benchmark_retrieval, "format_prompt": format_prompt, "table_as_text": table_as_text, "row_prose": row_prose,
+    "hybrid_search": hybrid_search, "hybrid_batch": hybrid_batch, "benchmark_retrieval": benchmark_retrieval, "store_state": store_state,
+    "keyword_index_topk": keyword_index_topk, "keyword_index_benchmark": keyword_index_benchmark, "format_prompt": format_prompt, "table_as_text": table_as_text, "row_prose": row_prose,
     "source_text": source_text, "source_csv": source_csv, "source_markdown": source_markdown, "source_html": source_html, "sidecar_urls": sidecar_urls,
     "html_text": html_text, "html_sections": html_sections, "collection_list": collection_list, "collection_stats": collection_stats, "ext_counts": ext_counts,
     "metadata_keys": metadata_keys, "collection_inspect": collection_inspect, "chat_log_summary": chat_log_summary,
