@@ -192,6 +192,7 @@ SELECT n_regionkey, string_agg(CASE WHEN k = 1 AND n > 1 THEN line || chr(10) ||
     "chat_log_summary": "SELECT conv_id, turn, role, substr(text, 1, 50) AS summary FROM conversations",
 }
 ORACLES["keyword_index_topk"], ORACLES["keyword_index_benchmark"] = ORACLES["bm25_topk"], ORACLES["benchmark_retrieval"]
+ORACLES["knn_cells"] = ORACLES["knn_batch"]
 ORACLES["store_state"] = """SELECT 'first' AS version, printf('%012d', doc_id) AS id, md5(coalesce(text, '')) AS document_md5 FROM documents
 UNION ALL SELECT 'last', printf('%012d', doc_id), md5(coalesce(CASE WHEN lang = 'fr' THEN reverse(text) ELSE text END, '')) FROM documents WHERE lang IS DISTINCT FROM 'de' AND doc_id % 10 <> 3
 UNION ALL SELECT 'last', 'page-' || page_id, md5(coalesce(html, '')) FROM pages"""

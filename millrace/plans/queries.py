@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from millrace.config import Settings
 from millrace.functions import text as T
 from millrace.functions import vectors as V
-from millrace.operators import admin, chunking, index, prompt, search
+from millrace.operators import admin, cells, chunking, index, prompt, search
 from millrace.plans.oracles import ORACLES  # noqa: F401
 from millrace.sources import files
 from millrace.sources.storage import shared_folder
@@ -150,6 +150,12 @@ def knn(first: bool, n: int, metric: str) -> Query:
     return lambda spark, d: search.nearest(asked_vectors(spark, d, first), vectors(spark, d), n, metric, places=PLACES, query_rows=1 if first else None).select("query_id", *long("rank"), "id", (F.col("distance") + 0.0).alias("distance"))
 
 
+def knn_cells(spark, d):
+    """``knn_batch`` from an index of cells, searched exactly."""
+    found = cells.VectorCells(vectors(spark, d)).nearest(asked_vectors(spark, d, False), 5, places=PLACES)
+    return found.select("query_id", *long("rank"), "id", (F.col("distance") + 0.0).alias("distance"))
+
+
 def stored_documents(spark, d) -> DataFrame:
     return documents(spark, d).select(F.col("doc_id").alias("id"), F.col("text").alias("document"))
 
@@ -347,7 +353,7 @@ QUERIES: dict[str, Query] = {
     "chunk_token_budget": budget_chunks(512, 50), "chunk_token_budget_no_overlap": budget_chunks(64, 0), "context_window": context_window,
     "consecutive_distance": consecutive_distance, "semantic_breakpoints": semantic_breakpoints, "chunk_semantic": chunk_semantic, "content_hash": content_hash,
     "config_fingerprint": config_fingerprint, "reindex_status": reindex_status, "stale_files": stale_files, "upsert_result": upsert_result, "run_summary": run_summary,
-    "knn_l2": knn(True, 10, "l2"), "knn_batch": knn(False, 5, "l2"), "knn_cosine": knn(False, 5, "cosine"), "bm25_topk": bm25_topk, "rrf_fusion": rrf_fusion,
+    "knn_l2": knn(True, 10, "l2"), "knn_batch": knn(False, 5, "l2"), "knn_cosine": knn(False, 5, "cosine"), "knn_cells": knn_cells, "bm25_topk": bm25_topk, "rrf_fusion": rrf_fusion,
     "hybrid_search": hybrid_search, "hybrid_batch": hybrid_batch, "benchmark_retrieval": benchmark_retrieval, "store_state": store_state,
     "keyword_index_topk": keyword_index_topk, "keyword_index_benchmark": keyword_index_benchmark, "format_prompt": format_prompt, "table_as_text": table_as_text, "row_prose": row_prose,
     "source_text": source_text, "source_csv": source_csv, "source_markdown": source_markdown, "source_html": source_html, "sidecar_urls": sidecar_urls,
