@@ -196,3 +196,7 @@ ORACLES["knn_cells"] = ORACLES["knn_batch"]
 ORACLES["store_state"] = """SELECT 'first' AS version, printf('%012d', doc_id) AS id, md5(coalesce(text, '')) AS document_md5 FROM documents
 UNION ALL SELECT 'last', printf('%012d', doc_id), md5(coalesce(CASE WHEN lang = 'fr' THEN reverse(text) ELSE text END, '')) FROM documents WHERE lang IS DISTINCT FROM 'de' AND doc_id % 10 <> 3
 UNION ALL SELECT 'last', 'page-' || page_id, md5(coalesce(html, '')) FROM pages"""
+_FILES = """SELECT doc_id // 50 AS doc_id, string_agg(CASE WHEN doc_id // 50 % 3 = 0 THEN 'Changed. ' ELSE '' END || coalesce(text, '') || chr(10), '' ORDER BY doc_id) AS text
+FROM documents WHERE doc_id // 50 % 5 <> 1 GROUP BY doc_id // 50"""
+ORACLES["refresh_files"] = f"""WITH w AS ({windows(40, 5).replace("FROM documents", f"FROM ({_FILES})")})
+SELECT doc_id AS grp, chunk_id, text_md5 AS document_md5, count(*) OVER (PARTITION BY doc_id) AS n_chunks, CAST(64 AS BIGINT) AS dim FROM w"""

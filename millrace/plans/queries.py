@@ -192,6 +192,26 @@ def hybrid_batch(spark, d):
     return hybrid(documents(spark, d).where("doc_id % 20 = 0").select(F.col("doc_id").alias("query_id"), F.col("text").alias("query")), spark, d)
 
 
+def write_texts(rows: DataFrame, root: str) -> None:
+    """A text file for each fifty consecutive ids, the documents in order, each ended by a newline; files of the same ids are replaced."""
+    made = rows.select(F.floor(F.col("doc_id") / 50).alias("grp"), "doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    dealt = made.repartition("grp").sortWithinPartitions("grp", "doc_id").select("grp", "text")
+    dealt.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("grp").text(root)
+
+
+def refresh_files(spark, d):
+    """Documents as files on disk, through scan, readers, sentences, chunks and store: what a second run leaves after some files changed and others went."""
+    root, store, docs = f"{shared_folder(spark)}/files-{uuid.uuid4().hex}", new_store(spark), documents(spark, d)
+    write_texts(docs, root)
+    index.refresh(store, files.scan_files(spark, root), files.read_blocks, "files")
+    write_texts(docs.where("floor(doc_id / 50) % 3 = 0").withColumn("text", F.concat(F.lit("Changed. "), F.coalesce("text", F.lit("")))), root)
+    grp = F.regexp_extract("path", r"grp=(\d+)", 1).cast("long")
+    index.refresh(store, files.scan_files(spark, root).where(grp % 5 != 1), files.read_blocks, "files")
+    chunks = store.chunks("files")
+    known = store.manifest("files").select("path", F.size("chunk_ids").cast("long").alias("n_chunks"))
+    return chunks.join(known, "path").select(grp.alias("grp"), *long("chunk_id"), F.md5("document").alias("document_md5"), "n_chunks", F.size("embedding").cast("long").alias("dim"))
+
+
 def stored_rows(found: DataFrame, id_, text) -> DataFrame:
     """Rows as chunks of the collection ``docs``, without vectors."""
     made = found.select(F.lit("docs").alias("collection"), id_.alias("id"), text.alias("document"))
@@ -354,7 +374,7 @@ QUERIES: dict[str, Query] = {
     "consecutive_distance": consecutive_distance, "semantic_breakpoints": semantic_breakpoints, "chunk_semantic": chunk_semantic, "content_hash": content_hash,
     "config_fingerprint": config_fingerprint, "reindex_status": reindex_status, "stale_files": stale_files, "upsert_result": upsert_result, "run_summary": run_summary,
     "knn_l2": knn(True, 10, "l2"), "knn_batch": knn(False, 5, "l2"), "knn_cosine": knn(False, 5, "cosine"), "knn_cells": knn_cells, "bm25_topk": bm25_topk, "rrf_fusion": rrf_fusion,
-    "hybrid_search": hybrid_search, "hybrid_batch": hybrid_batch, "benchmark_retrieval": benchmark_retrieval, "store_state": store_state,
+    "hybrid_search": hybrid_search, "hybrid_batch": hybrid_batch, "benchmark_retrieval": benchmark_retrieval, "store_state": store_state, "refresh_files": refresh_files,
     "keyword_index_topk": keyword_index_topk, "keyword_index_benchmark": keyword_index_benchmark, "format_prompt": format_prompt, "table_as_text": table_as_text, "row_prose": row_prose,
     "source_text": source_text, "source_csv": source_csv, "source_markdown": source_markdown, "source_html": source_html, "sidecar_urls": sidecar_urls,
     "html_text": html_text, "html_sections": html_sections, "collection_list": collection_list, "collection_stats": collection_stats, "ext_counts": ext_counts,
