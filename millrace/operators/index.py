@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.config import Settings
+from millrace.functions import boundaries
 from millrace.functions import text as T
 from millrace.functions import vectors as V
 from millrace.operators import chunking, keywords, search
@@ -192,12 +193,13 @@ class Store:
         return hits.join(chunks.drop("collection", "embedding"), "id")
 
 
-def refresh(store: Store, files: DataFrame, read: Callable[[DataFrame], DataFrame], collection: str, settings: Settings = Settings(), make: Callable[[], V.Embedder] = V.HashEmbedder, now: datetime | None = None, urls: DataFrame | None = None) -> dict[str, int]:
+def refresh(store: Store, files: DataFrame, read: Callable[[DataFrame], DataFrame], collection: str, settings: Settings = Settings(), make: Callable[[], V.Embedder] = V.HashEmbedder, now: datetime | None = None, urls: DataFrame | None = None, model: DataFrame | None = None) -> dict[str, int]:
     """Brings a collection up to date with ``files`` (``path``, ``content``) and says what was done.
 
     read: gives the blocks of files (as ``sources.files.read_blocks``). Only new and changed files are read; chunks of
     gone files go. New rows are built before old ones are dropped, and a file that cannot be read keeps the chunks and
-    the entry it had. An unchanged folder writes nothing.
+    the entry it had. An unchanged folder writes nothing. model: learnt sentence boundaries (``boundaries.learn``), of
+    which those of ``settings.data_language`` hold.
     """
     from millrace.sources.files import sentence_records
 
@@ -221,7 +223,8 @@ def refresh(store: Store, files: DataFrame, read: Callable[[DataFrame], DataFram
         summary[kind] -= n
         summary["failed"] += n
     done = todo.join(failed, "path", "left_anti").select(F.lit(collection).alias("collection"), "path", "hash")
-    new = build_chunks(sentence_records(blocks), settings, collection, at, make, urls)
+    cut = T.sentences if model is None else boundaries.rule(model, settings.data_language)
+    new = build_chunks(sentence_records(blocks, cut), settings, collection, at, make, urls)
     replace(store, since, new, done, gone.select(F.lit(collection).alias("collection"), "path"), config, at)
     status.unpersist()
     blocks.unpersist()

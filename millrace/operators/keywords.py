@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
 from millrace.functions import text as T
-from millrace.operators.ordering import kept, numbered
+from millrace.operators.ordering import discard, kept, numbered
 from millrace.operators.tables import Change, Log, Table, Version
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
@@ -17,78 +19,119 @@ K1, B, EPSILON = 1.5, 0.75, 0.25
 BUCKETS = 16
 #: So many query terms are also given to the scan as a filter.
 FILTERED = 1000
-#: Removals by id apply to postings after they are laid out, so postings have no removals of their own as a table.
+#: Tokens that are laid out together, or one document.
+SLICE = 1_000_000
+#: A cell is a group of documents; postings name a document by its place in its cell.
 TABLES = {
-    "postings": Table("collection string, bucket int, term string, cell string, n int, most int, least int, docs array<struct<id:string,tf:int,dl:int>>", ("collection", "bucket")),
-    "lengths": Table("collection string, id string, dl int", ("collection",), ("id",)),
+    "postings": Table("collection string, bucket int, term string, cell string, n int, most int, least int, at array<int>, tf array<int>, dl array<int>", ("collection", "bucket")),
+    "cells": Table("collection string, cell string, ids array<string>", ("collection",), masked=("id", "cell", "ids")),
     "terms": Table("collection string, bucket int, term string, df long", ("collection", "bucket"), added="df"),
     "spread": Table("collection string, df long, terms long", added="terms"),
     "corpus": Table("collection string, what string, total long", added="total"),
 }
-COUNTS = ArrayType(StructType([StructField("term", StringType()), StructField("tf", IntegerType())]))
+BUILT = "collection string, term string, cell string, n int, most int, least int, at array<int>, tf array<int>, dl array<int>, ids array<string>, words long"
 
 
 def bucket(term: Column) -> Column:
     return F.pmod(F.xxhash64(term), F.lit(BUCKETS)).cast("int")
 
 
-@F.arrow_udf(COUNTS)
-def term_counts(tokens: pa.Array) -> pa.Array:
-    """Each distinct token of a list with its count."""
-    coded = tokens.flatten().dictionary_encode()
-    n = max(1, len(coded.dictionary))
-    doc = np.repeat(np.arange(len(tokens)), tokens.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))
-    cells, tf = np.unique(doc * n + coded.indices.to_numpy(zero_copy_only=False), return_counts=True)
-    rows = pa.StructArray.from_arrays([coded.dictionary.take(pa.array(cells % n)), pa.array(tf, pa.int32())], names=["term", "tf"])
-    return pa.ListArray.from_arrays(pa.array(np.searchsorted(cells, np.arange(len(tokens) + 1) * n), pa.int32()), rows)
+def lists(values: np.ndarray, offsets: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values, pa.int32()))
+
 
+def built(chunks: DataFrame, cell_docs: int) -> DataFrame:
+    """Cells and postings of ``chunks`` (``collection``, ``id``, ``document``), made where the chunks are read, without a shuffle.
+
+    Of each batch of documents (bounded by their tokens), those of like length make a cell of ``cell_docs`` at most, so a cell's bounds are close. A
+    row without a term is a cell (``ids``, and ``words`` in all), the others are a term's postings in one cell, in order
+    of the place (``at``), with the greatest count and the least length.
+    """
+
+    def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for frame in frames:
+            sizes, at = np.cumsum(frame.column("tokens").value_lengths().to_numpy(zero_copy_only=False)), 0
+            while at < frame.num_rows:
+                stop = max(at + 1, int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + SLICE, "right")))
+                part = frame.slice(at, min(stop - at, 4 * cell_docs))
+                at += part.num_rows
+                names = part.column("collection").to_pylist()
+                for name in sorted(set(names)):
+                    yield block(name, part.filter(pa.array([n == name for n in names])))
+
+    def block(name: str, part: pa.RecordBatch) -> pa.RecordBatch:
+        tokens = part.column("tokens")
+        size = tokens.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+        order = np.argsort(size, kind="stable")
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        cells = -(-len(order) // cell_docs)
+        coded = tokens.flatten().dictionary_encode()
+        spot = np.repeat(place, size)
+        key, tf = np.unique(coded.indices.to_numpy(zero_copy_only=False).astype(np.int64) * cells * cell_docs + spot, return_counts=True)
+        at, dl = key % cell_docs, size[order][key % (cells * cell_docs)]
+        first = np.flatnonzero(np.append(True, key[1:] // cell_docs != key[:-1] // cell_docs)) if len(key) else np.zeros(0, np.int64)
+        offsets = np.append(first, len(key))
+        label = pa.array([uuid.uuid4().hex[:16] for _ in range(cells)])
+        group = key[first] // cell_docs
+        terms = coded.dictionary.take(pa.array(group // cells)) if len(first) else pa.array([], pa.string())
+        most = np.maximum.reduceat(tf, first) if len(first) else first
+        least = np.minimum.reduceat(dl, first) if len(first) else first
+        ends = np.minimum(np.arange(cells + 1) * cell_docs, len(order))
+        ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), part.column("id").take(pa.array(order)))
+        words = np.add.reduceat(size[order], ends[:-1]) if cells else np.zeros(0, np.int64)
+        k, none = len(first), lambda t, n: pa.nulls(n, t)
+        ints, texts = pa.list_(pa.int32()), pa.list_(pa.string())
+        both = lambda x, y: pa.concat_arrays([x, y])
+        columns = [
+            pa.array([name] * (k + cells)), both(terms, none(pa.string(), cells)), both(label.take(pa.array(group % max(1, cells))), label),
+            both(pa.array(np.diff(offsets), pa.int32()), pa.array(np.diff(ends), pa.int32())), both(pa.array(most, pa.int32()), none(pa.int32(), cells)), both(pa.array(least, pa.int32()), none(pa.int32(), cells)),
+            *[both(lists(v, offsets), none(ints, cells)) for v in (at, tf, dl)], both(none(texts, k), ids), both(none(pa.int64(), k), pa.array(words, pa.int64())),
+        ]
+        return pa.RecordBatch.from_arrays(columns, names=[c.split()[0] for c in BUILT.split(", ")])
 
-def counted(chunks: DataFrame) -> DataFrame:
-    """``collection``, ``id``, ``dl`` and ``counts`` of stored chunks."""
     made = chunks.select("collection", "id", F.explode(F.array(T.tokens(F.col("document")))).alias("tokens"))
-    return made.select("collection", "id", F.size("tokens").alias("dl"), term_counts("tokens").alias("counts"))
+    return made.mapInArrow(run, BUILT)
 
 
-def celled(docs: DataFrame, run: str, cell_docs: int) -> DataFrame:
-    """``docs`` with ``cell``: about ``cell_docs`` documents of like length of one change, so that a cell's bounds are close."""
-    size = F.floor(2 * F.log2(F.col("dl") + 1.0)).cast("int")
-    sized = docs.withColumn("_size", size)
-    counts = sized.groupBy("_size").agg(F.ceil(F.count("*") / cell_docs).cast("int").alias("_cells"))
-    cell = F.concat_ws("-", F.lit(run[:12]), F.col("_size"), F.pmod(F.xxhash64("id"), F.col("_cells")))
-    return sized.join(F.broadcast(counts), "_size").withColumn("cell", cell).drop("_size", "_cells")
+def totals(made: DataFrame, sign: int) -> tuple[DataFrame, DataFrame]:
+    """Of what ``built`` gave: documents and words of each collection, and documents of each term, as differences."""
+    whole = made.where("term is null").select("collection", F.inline(F.array(F.struct(F.lit("docs").alias("what"), F.col("n").cast("long").alias("total")), F.struct(F.lit("words").alias("what"), F.col("words").alias("total")))))
+    return whole.withColumn("total", sign * F.col("total")), made.where("term is not null").select("collection", "term", (sign * F.col("n")).cast("long").alias("df"))
 
 
 def update(change: Change, added: DataFrame, removed: DataFrame | None = None, cell_docs: int = 1024, file_docs: int = 500_000) -> None:
     """Brings the index to what a change makes of its store: ``added`` chunks and ``removed`` ones (``collection``, ``id``, ``document``).
 
-    The caller removes the same ids from the store. Postings go to buckets by their term's hash, a frequent term is cut by
-    cells of about ``cell_docs`` documents, and a bucket's cells are dealt over a file for each ``file_docs`` documents.
-    Document counts of terms, and the number of terms of each count, are changed by differences; of the stored counts
-    only those of the terms at hand are read. A null document has no tokens.
+    The caller removes the same ids from the store. Postings go to buckets by their term's hash; a frequent term is one
+    row for each cell, and a bucket's cells are dealt over a file for each ``file_docs`` documents. Document counts of
+    terms, and the number of terms of each count, are changed by differences. A null document has no tokens.
     """
     log, base = change.log, change.base
-    new = kept(celled(counted(added), change.run, cell_docs))
-    change.add("lengths", new)
-    deals = max(1, -(-new.count() // file_docs))
-    flat = new.select("collection", "id", "dl", "cell", F.inline("counts")).withColumn("bucket", bucket(F.col("term"))).withColumn("_deal", F.pmod(F.xxhash64("cell"), F.lit(deals)))
-    # One exchange serves both the grouping and the files, a bucket's part each.
-    dealt = flat.repartition("collection", "bucket", "_deal")
-    posted = dealt.groupBy("collection", "bucket", "_deal", "term", "cell").agg(F.count("*").cast("int").alias("n"), F.max("tf").alias("most"), F.min("dl").alias("least"), F.sort_array(F.collect_list(F.struct("id", "tf", "dl"))).alias("docs"))
-    change.add("postings", posted.drop("_deal").sortWithinPartitions("collection", "bucket", "term", "cell"))
-
-    one = new.select("collection", "dl", F.col("counts.term").alias("term"), F.lit(1).alias("sign"))
+    new = kept(built(added, cell_docs))
+    change.add("cells", new.where("term is null"))
+    corpus, terms = totals(new, 1)
+    docs = new.where("term is null").agg(F.sum("n")).first()[0] or 0
+    deals = max(1, -(-docs // file_docs))
+    posted = new.where("term is not null").withColumn("bucket", bucket(F.col("term")))
+    dealt = posted.repartition(F.col("collection"), F.col("bucket"), F.pmod(F.xxhash64("cell"), F.lit(deals)))
+    change.add("postings", dealt.sortWithinPartitions("collection", "bucket", "term", "cell"))
+    gone = None
     if removed is not None:
-        gone = kept(counted(removed))
-        one = one.unionByName(gone.select("collection", "dl", F.col("counts.term").alias("term"), F.lit(-1).alias("sign")))
-    totals = one.groupBy("collection").agg(F.sum("sign").alias("docs"), F.sum(F.col("sign") * F.col("dl")).alias("words"))
-    change.add("corpus", totals.select("collection", F.inline(F.array(*[F.struct(F.lit(w).alias("what"), F.col(w).cast("long").alias("total")) for w in ("docs", "words")]))))
-    terms = one.select("collection", F.explode("term").alias("term"), "sign").groupBy("collection", "term").agg(F.sum("sign").alias("df")).where("df <> 0").withColumn("bucket", bucket(F.col("term")))
+        gone = kept(built(removed, cell_docs))
+        less, fewer = totals(gone, -1)
+        corpus, terms = corpus.unionByName(less), terms.unionByName(fewer)
+    change.add("corpus", corpus.groupBy("collection", "what").agg(F.sum("total").alias("total")))
+    counts = terms.groupBy("collection", "term").agg(F.sum("df").alias("df")).where("df <> 0").withColumn("bucket", bucket(F.col("term")))
     # A file a bucket: there are as many rows as different terms.
-    delta = change.add("terms", terms.repartition("collection", "bucket").sortWithinPartitions("collection", "bucket", "term"))
+    delta = change.add("terms", counts.repartition("collection", "bucket").sortWithinPartitions("collection", "bucket", "term"))
     before = log.read("terms", base).select("collection", "bucket", "term", F.col("df").alias("old"))
     met = delta.join(before, ["collection", "bucket", "term"], "left").select("collection", F.coalesce("old", F.lit(0)).alias("old"), "df")
     moves = met.select("collection", F.inline(F.array(F.struct(F.col("old").alias("df"), F.lit(-1).alias("terms")), F.struct((F.col("old") + F.col("df")).alias("df"), F.lit(1).alias("terms")))))
     change.add("spread", moves.where("df > 0").groupBy("collection", "df").agg(F.sum("terms").alias("terms")).where("terms <> 0"))
+    for table in (new, gone):
+        if table is not None:
+            discard(table)
 
 
 def saturation(tf: Column, dl: Column, avgdl: float) -> Column:
@@ -138,10 +181,18 @@ class Keywords:
     def scores(self, asked: DataFrame, cells: DataFrame) -> DataFrame:
         """The scores (``query_id``, ``id``, ``score``) of the documents in chosen cells (``query_id``, ``cell``) that still exist."""
         wanted = asked.join(cells.select("query_id", "cell"), "query_id")
-        met = self.postings().select("collection", "seq", "term", "cell", "docs").join(wanted, ["term", "cell"])
-        rows = met.select("collection", "seq", "query_id", "weight", F.inline("docs"))
-        alive = self.log.without_removed(rows, self.version.parts, ("id",), self.version.cleared)
-        return alive.groupBy("query_id", "id").agg(F.sum(F.col("weight") * saturation(F.col("tf"), F.col("dl"), self.avgdl)).alias("score"))
+        met = self.postings().select("term", "cell", "at", "tf", "dl").join(wanted, ["term", "cell"])
+        rows = met.select("query_id", "cell", "weight", F.inline(F.arrays_zip("at", "tf", "dl")))
+        sums = rows.groupBy("query_id", "cell", "at").agg(F.sum(F.col("weight") * saturation(F.col("tf"), F.col("dl"), self.avgdl)).alias("score"))
+        named = sums.join(self.read("cells", removed=False), "cell").select("collection", "seq", "query_id", F.get("ids", F.col("at")).alias("id"), "score")
+        return self.alive(named).select("query_id", "id", "score")
+
+    def alive(self, rows: DataFrame) -> DataFrame:
+        """Rows (``collection``, ``id``, ``seq``) of documents that still exist."""
+        return self.log.without_removed(rows.where("id is not null"), self.version.parts, ("id",), self.version.cleared)
+
+    def ids(self) -> DataFrame:
+        return self.alive(self.read("cells", removed=False).select("collection", "seq", F.explode("ids").alias("id"))).select("id")
 
     def top(self, queries: DataFrame, n: int = 5, query_id: str = "query_id", query: str = "query", places: int | None = None, first: int = 4, prune: bool = True) -> DataFrame:
         """The ``n`` best documents for each query: ``query_id``, ``rank`` (from 0), ``id``, ``score``; ties by id.
@@ -164,7 +215,7 @@ class Keywords:
         scored = self.scores(asked, self.work.where("chosen"))
         if places is not None:
             scored = scored.withColumn("score", F.round("score", places))
-        known = self.read("lengths").select("id", F.col("id").alias("ord"))
+        known = self.ids().select("id", F.col("id").alias("ord"))
         return filled(queries.select(F.col(query_id).alias("query_id")), scored.withColumn("ord", F.col("id")), known, n, self.mean < 0)
 
 

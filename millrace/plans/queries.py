@@ -244,8 +244,9 @@ def changed_store(spark, d) -> index.Store:
     """An indexed store of all documents, brought there in steps: French texts were others first, pages came and went."""
     store = new_store(spark, True)
     early = numbered_documents(spark, d, text=F.when(F.col("lang") == "fr", F.concat_ws(" ", F.lit("first version"), F.substring("text", 1, 200))).otherwise(F.col("text")))
-    store.upsert(early.unionByName(stored_rows(table(spark, d, "pages"), F.format_string("page-%d", "page_id"), F.col("html"))))
-    store.upsert(numbered_documents(spark, d, "lang = 'fr'"))
+    store.put(store.now(), early.unionByName(stored_rows(table(spark, d, "pages"), F.format_string("page-%d", "page_id"), F.col("html"))))
+    french = numbered_documents(spark, d, "lang = 'fr'")
+    store.put(store.now(), french, french.select("collection", "id"))
     store.delete(stored_rows(table(spark, d, "pages"), F.format_string("page-%d", "page_id"), F.lit("")).select("collection", "id"))
     return store
 
