@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.functions import text as T
+from millrace.operators.ordering import kept
 
 # Fixed values of the published method: the chance of a period after an abbreviation, and the thresholds.
 AFTER_ABBREVIATION, ABBREVIATION, STARTER, COLLOCATION = 0.99, 0.3, 30.0, 7.88
@@ -75,14 +76,15 @@ def abbreviations(counts: DataFrame) -> DataFrame:
 def learn(docs: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
     """The model of a corpus: ``lang``, ``kind`` (``abbreviation``, ``starter``, ``collocation``), ``term``, ``other`` (of a collocation), ``score``.
 
-    Two grouped counts over all tokens, the second of the pairs around sentence marks alone. A starter follows the end of
+    Two grouped counts over all tokens, the second of the pairs around sentence marks alone; both, a row per type and per
+    pair, are kept in the shared folder. A starter follows the end of
     a sentence far more often than chance, ends after abbreviations, initials and numbers aside; a collocation is a pair
     with a period between, the first an abbreviation, an initial or a number. A null language is one of its own (empty).
     """
     rows = occurrences(docs, text, lang)
-    counts = type_counts(rows)
-    short = abbreviations(counts)
-    pairs = rows.where("mark is not null and next <> ''").groupBy("lang", "mark", "type", "next").agg(F.count("*").alias("n"))
+    counts = kept(type_counts(rows))
+    short = kept(abbreviations(counts))
+    pairs = kept(rows.where("mark is not null and next <> ''").groupBy("lang", "mark", "type", "next").agg(F.count("*").alias("n")))
     marked = pairs.join(short.select("lang", F.col("term").alias("type"), F.lit(True).alias("short")), ["lang", "type"], "left")
     loose = F.coalesce("short", F.lit(False)) | (F.char_length("type") == 1) | (F.col("type") == NUMBER)
     known = counts.select("lang", F.col("type").alias("next"), F.col("n").alias("c2"), "words")

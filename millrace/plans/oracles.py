@@ -200,3 +200,64 @@ _FILES = """SELECT doc_id // 50 AS doc_id, string_agg(CASE WHEN doc_id // 50 % 3
 FROM documents WHERE doc_id // 50 % 5 <> 1 GROUP BY doc_id // 50"""
 ORACLES["refresh_files"] = f"""WITH w AS ({windows(40, 5).replace("FROM documents", f"FROM ({_FILES})")})
 SELECT doc_id AS grp, chunk_id, text_md5 AS document_md5, count(*) OVER (PARTITION BY doc_id) AS n_chunks, CAST(64 AS BIGINT) AS dim FROM w"""
+
+
+def _bare(x: str) -> str:
+    return rf"lower(regexp_replace(regexp_replace({x}, '^[^\p{{L}}\p{{N}}]+', ''), '[^\p{{L}}\p{{N}}.]+$', ''))"
+
+
+def _kind(x: str) -> str:
+    word = rf"regexp_replace({_bare(x)}, '\.$', '')"
+    return rf"CASE WHEN regexp_matches({word}, '^[\p{{N}}.,]+$') THEN '##' ELSE {word} END"
+
+
+def _share(k: str, n: str, p: str) -> str:
+    return f"((CASE WHEN {k} = 0 THEN 0 ELSE {k} * ln({p}) END) + (CASE WHEN {n} - {k} = 0 THEN 0 ELSE ({n} - {k}) * ln(1 - ({p})) END))"
+
+
+_RATIO = f"""-2 * ({_share("c12", "c1", "c2 / words")} + {_share("(c2 - c12)", "(words - c1)", "c2 / words")} - {_share("c12", "c1", "c12 / c1")} - {_share("(c2 - c12)", "(words - c1)", "(c2 - c12) / (words - c1)")})"""
+_SENTENCE_MODEL = rf"""x AS (
+  SELECT coalesce(lang, '') AS lang, list_filter(regexp_split_to_array(coalesce(text, ''), '\s+'), lambda t: t <> '') AS w FROM documents
+), t AS (
+  SELECT lang, {_kind("w[i]")} AS type, ends_with({_bare("w[i]")}, '.') AS dot, nullif(regexp_extract(w[i], '([.!?])[^\p{{L}}\p{{N}}.!?]*$', 1), '') AS mark, CASE WHEN i < len(w) THEN {_kind("w[i + 1]")} END AS after_
+  FROM (SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM x)
+), o AS (
+  SELECT * FROM t WHERE type <> ''
+), c AS (
+  SELECT *, sum(n) OVER (PARTITION BY lang)::DOUBLE AS words, sum(dots) OVER (PARTITION BY lang)::DOUBLE AS periods FROM (SELECT lang, type, count(*)::DOUBLE AS n, count(*) FILTER (dot)::DOUBLE AS dots FROM o GROUP BY ALL)
+), a AS (
+  SELECT lang, type, -2 * ({_share("dots", "n", "periods / words")} - {_share("dots", "n", "0.99::DOUBLE")}) * exp(-len(replace(type, '.', ''))) * (len(type) - len(replace(type, '.', '')) + 1) * pow(len(replace(type, '.', '')), dots - n) AS score
+  FROM c WHERE dots > 0 AND type <> '##' AND regexp_matches(type, '\p{{L}}')
+), s AS (
+  SELECT * FROM a WHERE score >= 0.3
+), p AS (
+  SELECT o.lang, mark, o.type, after_, count(*)::DOUBLE AS n, any_value(s.type IS NOT NULL OR len(o.type) = 1 OR o.type = '##') AS loose FROM o LEFT JOIN s ON s.lang = o.lang AND s.type = o.type WHERE mark IS NOT NULL AND after_ <> '' GROUP BY ALL
+), e AS (
+  SELECT lang, after_, sum(n)::DOUBLE AS c12 FROM p WHERE mark <> '.' OR NOT loose GROUP BY ALL
+), m AS (
+  SELECT e.lang, after_ AS term, c12, sum(c12) OVER (PARTITION BY e.lang)::DOUBLE AS c1, c.n AS c2, words FROM e JOIN c ON c.lang = e.lang AND c.type = after_
+), k AS (
+  SELECT p.lang, p.type AS term, after_ AS other, sum(p.n)::DOUBLE AS c12, any_value(b.n) AS c1, any_value(c.n) AS c2, any_value(c.words) AS words
+  FROM p JOIN c b ON b.lang = p.lang AND b.type = p.type JOIN c ON c.lang = p.lang AND c.type = after_ WHERE mark = '.' AND loose GROUP BY p.lang, p.type, after_
+), r AS (
+  SELECT lang, 'abbreviation' AS kind, type AS term, NULL::VARCHAR AS other, score FROM s
+  UNION ALL SELECT * FROM (SELECT lang, 'starter', term, NULL::VARCHAR, {_RATIO} AS score FROM m WHERE c12 * words > c1 * c2 AND regexp_matches(term, '^\p{{L}}')) WHERE score >= 30
+  UNION ALL SELECT * FROM (SELECT lang, 'collocation', term, other, {_RATIO} AS score FROM k WHERE c12 > 1 AND c12 * words > c1 * c2) WHERE score >= 7.88
+)
+"""
+ORACLES["sentence_model"] = f"WITH {_SENTENCE_MODEL} SELECT lang, kind, term, other, round(score, 6) AS score FROM r"
+ORACLES["learnt_sentences"] = rf"""WITH {_SENTENCE_MODEL}, y AS (
+  SELECT doc_id, coalesce(lang, '') AS lang, i, z[i] AS piece, z[i - 1] AS before
+  FROM (SELECT doc_id, lang, z, unnest(range(1, len(z) + 1)) AS i FROM (SELECT doc_id, lang, string_split(regexp_replace(coalesce(text, ''), '([.!?])(\s)', '\1' || chr(31) || '\2', 'g'), chr(31)) AS z FROM documents))
+), f AS (
+  SELECT *, {_bare("last_")} AS b, {_kind("last_")} AS type, {_kind("word")} AS first_, regexp_matches(word, '^[^\p{{L}}\p{{N}}]*\p{{Lu}}') AS upper_, regexp_matches(word, '^[^\p{{L}}\p{{N}}]*\p{{Ll}}') AS lower_
+  FROM (SELECT *, regexp_extract(before, '(\S+)$', 1) AS last_, regexp_extract(piece, '^\s*(\S+)', 1) AS word FROM y)
+), h AS (
+  SELECT f.*, NOT coalesce(ends_with(b, '.'), false) OR NOT CASE WHEN l.term IS NOT NULL THEN true WHEN v.term IS NOT NULL OR regexp_matches(f.type, '^\p{{L}}$') THEN NOT (upper_ AND u.term IS NOT NULL) WHEN f.type = '##' THEN lower_ ELSE false END AS begins
+  FROM f LEFT JOIN r l ON l.kind = 'collocation' AND l.lang = f.lang AND l.term = f.type AND l.other = first_
+  LEFT JOIN r v ON v.kind = 'abbreviation' AND v.lang = f.lang AND v.term = f.type LEFT JOIN r u ON u.kind = 'starter' AND u.lang = f.lang AND u.term = first_
+), g AS (
+  SELECT doc_id, n, regexp_replace(string_agg(piece, '' ORDER BY i), '^\s+', '') AS sentence
+  FROM (SELECT doc_id, i, piece, sum(CASE WHEN i = 1 OR begins THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) AS n FROM h) GROUP BY doc_id, n
+)
+SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY n) - 1 AS pos, sentence FROM g WHERE regexp_matches(sentence, '\S')"""

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.config import Settings
+from millrace.functions import boundaries
 from millrace.functions import text as T
 from millrace.functions import vectors as V
 from millrace.operators import admin, cells, chunking, index, prompt, search
@@ -54,6 +55,18 @@ def sentences(spark, d):
     return with_sentences(spark, d).select("doc_id", F.posexplode("sentences").alias("pos", "sentence")).select("doc_id", *long("pos"), "sentence")
 
 
+def sentence_model(spark, d):
+    """Abbreviations, sentence starters and collocations learnt from all documents, by language."""
+    return boundaries.learn(documents(spark, d)).select("lang", "kind", "term", "other", F.round("score", PLACES).alias("score"))
+
+
+def learnt_sentences(spark, d):
+    """The sentences of all documents by the model learnt from them."""
+    docs = documents(spark, d).select("doc_id", "text", "lang")
+    found = boundaries.sentences(docs, boundaries.learn(docs))
+    return found.select("doc_id", F.posexplode("sentences").alias("pos", "sentence")).select("doc_id", *long("pos"), "sentence")
+
+
 def window_chunks(size: int, overlap: int) -> Query:
     def run(spark, d):
         found = with_sentences(spark, d).select("doc_id", F.inline(chunking.sentence_windows(F.col("sentences"), size, overlap)))
@@ -370,7 +383,7 @@ def chat_log_summary(spark, d):
 
 
 QUERIES: dict[str, Query] = {
-    "sentences": sentences, "chunk_sentence_window": window_chunks(40, 5), "chunk_sentence_window_small": window_chunks(3, 1), "token_estimate": token_estimate,
+    "sentences": sentences, "chunk_sentence_window": window_chunks(40, 5), "chunk_sentence_window_small": window_chunks(3, 1), "token_estimate": token_estimate, "sentence_model": sentence_model, "learnt_sentences": learnt_sentences,
     "chunk_token_budget": budget_chunks(512, 50), "chunk_token_budget_no_overlap": budget_chunks(64, 0), "context_window": context_window,
     "consecutive_distance": consecutive_distance, "semantic_breakpoints": semantic_breakpoints, "chunk_semantic": chunk_semantic, "content_hash": content_hash,
     "config_fingerprint": config_fingerprint, "reindex_status": reindex_status, "stale_files": stale_files, "upsert_result": upsert_result, "run_summary": run_summary,
