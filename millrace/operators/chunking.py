@@ -68,17 +68,18 @@ def budget_ranges(counts: pa.Array, most: pa.Array, overlap: pa.Array) -> pa.Arr
     return pa.array(out, pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())])))
 
 
-def token_chunks(sents: Column, most: int = 512, overlap: int = 50, count: Callable[[Column], Column] = T.token_estimate, drop_tail_repeats: bool = False) -> Column:
+def token_chunks(sents: Column, most: int = 512, overlap: int = 50, count: Callable[[Column], Column] = T.token_estimate, drop_tail_repeats: bool = False, counts: Callable[[Column], Column] | None = None) -> Column:
     """Chunks of sentences within a token budget, as an array.
 
     Sentences are stripped, blank ones dropped. A chunk takes sentences while they fit ``most``, at least one; the next
     starts with as many of its last sentences as fit ``overlap``, but after its first. So the tail of a document is given
     again in ever shorter chunks while it fits the overlap; ``drop_tail_repeats`` leaves out chunks that the one before
-    holds whole.
+    holds whole. count: the tokens of a sentence; counts: those of an array of sentences, in its place (as
+    ``encodings.exact_counts`` gives).
     """
 
     def cut(s: Column) -> Column:
-        ranges = budget_ranges(F.transform(s, count), F.lit(most), F.lit(overlap))
+        ranges = budget_ranges(counts(s) if counts else F.transform(s, count), F.lit(most), F.lit(overlap))
         return let(ranges, lambda r: F.filter(r, lambda x, i: (i == 0) | (x["stop"] > F.get(r, i - 1)["stop"])) if drop_tail_repeats else r)
 
     clean = stripped(sents)
@@ -202,12 +203,15 @@ def semantic_chunks(sents: Column, distances: Column, percentile: float = 95, ma
     return let(semantic_breaks(sents, distances, percentile, places), chunks)
 
 
-def create_chunks(docs: DataFrame, method: str = "sentence", sents: str = "sentences", id_: str = "doc_id", size: int = 40, overlap: int = 5, make: Callable[[], V.Embedder] | None = None, percentile: float = 95, buffer: int = 1, max_sentences: int = 0, token_size: int = 512, token_overlap: int = 50) -> DataFrame:
-    """Chunks of ``docs`` by ``sentence``, ``semantic`` or ``token``: ``id_``, ``chunk_id``, ``text``, ``first_sentence``."""
+def create_chunks(docs: DataFrame, method: str = "sentence", sents: str = "sentences", id_: str = "doc_id", size: int = 40, overlap: int = 5, make: Callable[[], V.Embedder] | None = None, percentile: float = 95, buffer: int = 1, max_sentences: int = 0, token_size: int = 512, token_overlap: int = 50, counts: Callable[[Column], Column] | None = None) -> DataFrame:
+    """Chunks of ``docs`` by ``sentence``, ``semantic`` or ``token``: ``id_``, ``chunk_id``, ``text``, ``first_sentence``.
+
+    counts: exact token counts of arrays of sentences; without it they are estimated.
+    """
     if method == "sentence":
         chunks = sentence_windows(F.col(sents), size, overlap)
     elif method == "token":
-        chunks = token_chunks(F.col(sents), token_size, token_overlap)
+        chunks = token_chunks(F.col(sents), token_size, token_overlap, counts=counts)
     elif method == "semantic":
         if make is None:
             raise ValueError("semantic chunking needs an embedder")

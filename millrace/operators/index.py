@@ -64,7 +64,7 @@ def manifest_entries(chunks: DataFrame, files: DataFrame, config: Column, now: C
     return rows.select("collection", "path", "hash", config.alias("config_fingerprint"), F.coalesce("chunk_ids", F.array().cast("array<string>")).alias("chunk_ids"), now.alias("indexed_at"))
 
 
-def build_chunks(records: DataFrame, settings: Settings, collection: str, now: Column, make: Callable[[], V.Embedder] = V.HashEmbedder, urls: DataFrame | None = None) -> DataFrame:
+def build_chunks(records: DataFrame, settings: Settings, collection: str, now: Column, make: Callable[[], V.Embedder] = V.HashEmbedder, urls: DataFrame | None = None, counts: Callable[[Column], Column] | None = None) -> DataFrame:
     """Stored chunks of sentence ``records`` (``path``, ``idx``, ``text``, ``page_number``, ``section_title``).
 
     urls: ``path``, ``source_url``. Ids are made of the whole path, so files of one name in two folders stay apart.
@@ -72,7 +72,7 @@ def build_chunks(records: DataFrame, settings: Settings, collection: str, now: C
     packed = records.groupBy("path").agg(F.sort_array(F.collect_list(F.struct("idx", "text", "page_number", "section_title"))).alias("records"))
     docs = packed.select("path", F.transform("records", lambda r: r["text"]).alias("sentences"), "records")
     s = settings
-    cut = chunking.create_chunks(docs, s.chunking_method, "sentences", "path", s.chunk_size, s.overlap_size, make, s.semantic_breakpoint_percentile, s.semantic_buffer_size, s.semantic_max_chunk_sentences, s.token_chunk_size, s.token_chunk_overlap)
+    cut = chunking.create_chunks(docs, s.chunking_method, "sentences", "path", s.chunk_size, s.overlap_size, make, s.semantic_breakpoint_percentile, s.semantic_buffer_size, s.semantic_max_chunk_sentences, s.token_chunk_size, s.token_chunk_overlap, counts)
     rows = chunking.first_sentence_metadata(cut, docs, "records", "path")
     if urls is not None:
         rows = rows.join(urls.select("path", F.nullif("source_url", F.lit("")).alias("source_url")), "path", "left")
@@ -193,13 +193,13 @@ class Store:
         return hits.join(chunks.drop("collection", "embedding"), "id")
 
 
-def refresh(store: Store, files: DataFrame, read: Callable[[DataFrame], DataFrame], collection: str, settings: Settings = Settings(), make: Callable[[], V.Embedder] = V.HashEmbedder, now: datetime | None = None, urls: DataFrame | None = None, model: DataFrame | None = None) -> dict[str, int]:
+def refresh(store: Store, files: DataFrame, read: Callable[[DataFrame], DataFrame], collection: str, settings: Settings = Settings(), make: Callable[[], V.Embedder] = V.HashEmbedder, now: datetime | None = None, urls: DataFrame | None = None, model: DataFrame | None = None, counts: Callable[[Column], Column] | None = None) -> dict[str, int]:
     """Brings a collection up to date with ``files`` (``path``, ``content``) and says what was done.
 
     read: gives the blocks of files (as ``sources.files.read_blocks``). Only new and changed files are read; chunks of
     gone files go. New rows are built before old ones are dropped, and a file that cannot be read keeps the chunks and
     the entry it had. An unchanged folder writes nothing. model: learnt sentence boundaries (``boundaries.learn``), of
-    which those of ``settings.data_language`` hold.
+    which those of ``settings.data_language`` hold. counts: exact token counts by the encoding ``settings.token_encoding``.
     """
     from millrace.sources.files import sentence_records
 
@@ -208,11 +208,11 @@ def refresh(store: Store, files: DataFrame, read: Callable[[DataFrame], DataFram
     hashed = files.select("path", "content", T.content_hash(F.col("content")).alias("hash"))
     mine = store.manifest(collection, since)
     status = file_status(hashed.select("path", "hash"), mine, config).cache()
-    counts = {r["status"]: r["count"] for r in status.groupBy("status").count().collect()}
+    by_status = {r["status"]: r["count"] for r in status.groupBy("status").count().collect()}
     gone = stale(mine, hashed)
     n_gone = gone.count()
     todo = status.where("status <> 'skipped'")
-    summary = {"new": counts.get("new", 0), "updated": counts.get("updated", 0), "skipped": counts.get("skipped", 0), "failed": 0, "removed": n_gone}
+    summary = {"new": by_status.get("new", 0), "updated": by_status.get("updated", 0), "skipped": by_status.get("skipped", 0), "failed": 0, "removed": n_gone}
     if not n_gone and not summary["new"] and not summary["updated"]:
         status.unpersist()
         return summary
@@ -224,7 +224,7 @@ def refresh(store: Store, files: DataFrame, read: Callable[[DataFrame], DataFram
         summary["failed"] += n
     done = todo.join(failed, "path", "left_anti").select(F.lit(collection).alias("collection"), "path", "hash")
     cut = T.sentences if model is None else boundaries.rule(model, settings.data_language)
-    new = build_chunks(sentence_records(blocks, cut), settings, collection, at, make, urls)
+    new = build_chunks(sentence_records(blocks, cut), settings, collection, at, make, urls, counts)
     replace(store, since, new, done, gone.select(F.lit(collection).alias("collection"), "path"), config, at)
     status.unpersist()
     blocks.unpersist()

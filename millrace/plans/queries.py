@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.config import Settings
-from millrace.functions import boundaries
+from millrace.functions import boundaries, encodings
 from millrace.functions import text as T
 from millrace.functions import vectors as V
 from millrace.operators import admin, cells, chunking, index, prompt, search
@@ -87,6 +87,20 @@ def budget_chunks(most: int, overlap: int) -> Query:
     return run
 
 
+def byte_bpe() -> tuple[str, str]:
+    """The installed public encoding's file and pattern."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+
+
+def chunk_token_exact(spark, d):
+    """Chunks of 512 tokens, 50 shared, with each sentence counted by the encoding."""
+    counts = encodings.exact_counts(byte_bpe)
+    found = with_sentences(spark, d).select("doc_id", F.inline(chunking.token_chunks(F.col("sentences"), 512, 50, counts=counts)))
+    return found.select("doc_id", *long("chunk_id", "first_sentence"), F.md5("text").alias("text_md5"))
+
+
 def context_window(spark, d):
     clean = with_sentences(spark, d).select("doc_id", chunking.stripped(F.col("sentences")).alias("s"))
     return clean.select("doc_id", F.posexplode(chunking.contexts(F.col("s"), 1)).alias("pos", "context")).select("doc_id", *long("pos"), "context")
@@ -384,7 +398,7 @@ def chat_log_summary(spark, d):
 
 QUERIES: dict[str, Query] = {
     "sentences": sentences, "chunk_sentence_window": window_chunks(40, 5), "chunk_sentence_window_small": window_chunks(3, 1), "token_estimate": token_estimate, "sentence_model": sentence_model, "learnt_sentences": learnt_sentences,
-    "chunk_token_budget": budget_chunks(512, 50), "chunk_token_budget_no_overlap": budget_chunks(64, 0), "context_window": context_window,
+    "chunk_token_budget": budget_chunks(512, 50), "chunk_token_budget_no_overlap": budget_chunks(64, 0), "chunk_token_exact": chunk_token_exact, "context_window": context_window,
     "consecutive_distance": consecutive_distance, "semantic_breakpoints": semantic_breakpoints, "chunk_semantic": chunk_semantic, "content_hash": content_hash,
     "config_fingerprint": config_fingerprint, "reindex_status": reindex_status, "stale_files": stale_files, "upsert_result": upsert_result, "run_summary": run_summary,
     "knn_l2": knn(True, 10, "l2"), "knn_batch": knn(False, 5, "l2"), "knn_cosine": knn(False, 5, "cosine"), "knn_cells": knn_cells, "bm25_topk": bm25_topk, "rrf_fusion": rrf_fusion,
