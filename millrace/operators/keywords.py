@@ -21,15 +21,16 @@ BUCKETS = 16
 FILTERED = 1000
 #: Tokens that are laid out together, or one document.
 SLICE = 1_000_000
-#: A cell is a group of documents; postings name a document by its place in its cell.
+#: A cell is a group of documents; postings name a document by its place in its cell. Rows of bucket -1 are the cells.
+POSTINGS = "collection string, bucket int, term string, cell string, n int, most int, least int, at array<int>, tf array<int>, dl array<int>, ids array<string>, words long"
 TABLES = {
-    "postings": Table("collection string, bucket int, term string, cell string, n int, most int, least int, at array<int>, tf array<int>, dl array<int>", ("collection", "bucket")),
-    "cells": Table("collection string, cell string, ids array<string>", ("collection",), masked=("id", "cell", "ids")),
+    "postings": Table(POSTINGS, ("collection", "bucket"), masked=("id", "cell", "ids")),
     "terms": Table("collection string, bucket int, term string, df long", ("collection", "bucket"), added="df"),
     "spread": Table("collection string, df long, terms long", added="terms"),
     "corpus": Table("collection string, what string, total long", added="total"),
 }
-BUILT = "collection string, term string, cell string, n int, most int, least int, at array<int>, tf array<int>, dl array<int>, ids array<string>, words long"
+BUILT = ", ".join(c for c in POSTINGS.split(", ") if c != "bucket int")
+CELLS = "bucket = -1"
 
 
 def bucket(term: Column) -> Column:
@@ -95,30 +96,27 @@ def built(chunks: DataFrame, cell_docs: int) -> DataFrame:
 
 
 def totals(made: DataFrame, sign: int) -> tuple[DataFrame, DataFrame]:
-    """Of what ``built`` gave: documents and words of each collection, and documents of each term, as differences."""
+    """Of cells and postings: documents and words of each collection, and documents of each term, as differences."""
     whole = made.where("term is null").select("collection", F.inline(F.array(F.struct(F.lit("docs").alias("what"), F.col("n").cast("long").alias("total")), F.struct(F.lit("words").alias("what"), F.col("words").alias("total")))))
     return whole.withColumn("total", sign * F.col("total")), made.where("term is not null").select("collection", "term", (sign * F.col("n")).cast("long").alias("df"))
 
 
-def update(change: Change, added: DataFrame, removed: DataFrame | None = None, cell_docs: int = 1024, file_docs: int = 500_000) -> None:
+def update(change: Change, added: DataFrame, removed: DataFrame | None = None, cell_docs: int = 1024, task_bytes: int = 64_000_000) -> None:
     """Brings the index to what a change makes of its store: ``added`` chunks and ``removed`` ones (``collection``, ``id``, ``document``).
 
-    The caller removes the same ids from the store. Postings go to buckets by their term's hash; a frequent term is one
-    row for each cell, and a bucket's cells are dealt over a file for each ``file_docs`` documents. Document counts of
-    terms, and the number of terms of each count, are changed by differences. A null document has no tokens.
+    The caller removes the same ids from the store. Postings are written where the chunks are read, without a shuffle, to
+    buckets by their term's hash and sorted by term there; a frequent term is one row for each cell. So that a bucket's
+    files are few, tasks read about ``task_bytes`` of what the change has written so far. Document counts of terms, and
+    the number of terms of each count, are changed by differences. A null document has no tokens.
     """
     log, base = change.log, change.base
-    new = kept(built(added, cell_docs))
-    change.add("cells", new.where("term is null"))
+    size = sum(p["bytes"] for p in change.parts if p["seq"] == change.seq)
+    tasks = max(log.spark.sparkContext.defaultParallelism, size // task_bytes)
+    made = built(added.coalesce(tasks), cell_docs).withColumn("bucket", F.when(F.col("term").isNull(), -1).otherwise(bucket(F.col("term"))))
+    new = change.add("postings", made.sortWithinPartitions("collection", "bucket", "term", "cell"))
     corpus, terms = totals(new, 1)
-    docs = new.where("term is null").agg(F.sum("n")).first()[0] or 0
-    deals = max(1, -(-docs // file_docs))
-    posted = new.where("term is not null").withColumn("bucket", bucket(F.col("term")))
-    dealt = posted.repartition(F.col("collection"), F.col("bucket"), F.pmod(F.xxhash64("cell"), F.lit(deals)))
-    change.add("postings", dealt.sortWithinPartitions("collection", "bucket", "term", "cell"))
-    gone = None
     if removed is not None:
-        gone = kept(built(removed, cell_docs))
+        gone = kept(built(removed, cell_docs).select("collection", "term", "n", "words"))
         less, fewer = totals(gone, -1)
         corpus, terms = corpus.unionByName(less), terms.unionByName(fewer)
     change.add("corpus", corpus.groupBy("collection", "what").agg(F.sum("total").alias("total")))
@@ -129,9 +127,8 @@ def update(change: Change, added: DataFrame, removed: DataFrame | None = None, c
     met = delta.join(before, ["collection", "bucket", "term"], "left").select("collection", F.coalesce("old", F.lit(0)).alias("old"), "df")
     moves = met.select("collection", F.inline(F.array(F.struct(F.col("old").alias("df"), F.lit(-1).alias("terms")), F.struct((F.col("old") + F.col("df")).alias("df"), F.lit(1).alias("terms")))))
     change.add("spread", moves.where("df > 0").groupBy("collection", "df").agg(F.sum("terms").alias("terms")).where("terms <> 0"))
-    for table in (new, gone):
-        if table is not None:
-            discard(table)
+    if removed is not None:
+        discard(gone)
 
 
 def saturation(tf: Column, dl: Column, avgdl: float) -> Column:
@@ -184,15 +181,19 @@ class Keywords:
         met = self.postings().select("term", "cell", "at", "tf", "dl").join(wanted, ["term", "cell"])
         rows = met.select("query_id", "cell", "weight", F.inline(F.arrays_zip("at", "tf", "dl")))
         sums = rows.groupBy("query_id", "cell", "at").agg(F.sum(F.col("weight") * saturation(F.col("tf"), F.col("dl"), self.avgdl)).alias("score"))
-        named = sums.join(self.read("cells", removed=False), "cell").select("collection", "seq", "query_id", F.get("ids", F.col("at")).alias("id"), "score")
+        named = sums.join(self.cells(), "cell").select("collection", "seq", "query_id", F.get("ids", F.col("at")).alias("id"), "score")
         return self.alive(named).select("query_id", "id", "score")
 
     def alive(self, rows: DataFrame) -> DataFrame:
         """Rows (``collection``, ``id``, ``seq``) of documents that still exist."""
         return self.log.without_removed(rows.where("id is not null"), self.version.parts, ("id",), self.version.cleared)
 
+    def cells(self) -> DataFrame:
+        return self.read("postings", removed=False).where(CELLS).select("collection", "seq", "cell", "ids")
+
     def ids(self) -> DataFrame:
-        return self.alive(self.read("cells", removed=False).select("collection", "seq", F.explode("ids").alias("id"))).select("id")
+        """The ids of all documents that still exist."""
+        return self.alive(self.cells().select("collection", "seq", F.explode("ids").alias("id"))).select("id")
 
     def top(self, queries: DataFrame, n: int = 5, query_id: str = "query_id", query: str = "query", places: int | None = None, first: int = 4, prune: bool = True) -> DataFrame:
         """The ``n`` best documents for each query: ``query_id``, ``rank`` (from 0), ``id``, ``score``; ties by id.

@@ -24,7 +24,7 @@ class Table:
 
     schema: its columns. folders: the columns its parts are divided by. removed_by: the kinds of removals that apply to
     it. added: for a table of counts that add up, the column that is summed over rows equal in all others; such rows are
-    never removed but balanced by negative ones. masked: for a table whose rows list keys, a kind of removal, the column
+    never removed but balanced by negative ones. masked: for a table with rows that list keys, a kind of removal, the column
     that tells rows apart and the list; who reads it passes over keys that are removed, and merging makes them null.
     """
 
@@ -128,12 +128,13 @@ class Log:
     def without_listed(self, found: DataFrame, parts: list[dict], table: Table) -> DataFrame:
         """Rows that list keys, those that are removed made null."""
         kind, row, column = table.masked
-        keys = self.kinds[kind]
+        keys, others = self.kinds[kind], found.where(F.col(column).isNull())
+        found = found.where(F.col(column).isNotNull())
         listed = found.select(*[c for c in found.columns if c != column], F.explode(column).alias(keys[-1])).where(F.col(keys[-1]).isNotNull())
         live = self.without_removed(listed, parts, (kind,)).groupBy(row).agg(F.collect_set(keys[-1]).alias("_live"))
         none = F.array().cast(dict(found.dtypes)[column])
         met = found.join(live, row, "left").withColumn(column, F.transform(column, lambda x: F.when(F.array_contains(F.coalesce("_live", none), x), x)))
-        return met.select(*found.columns)
+        return met.select(*found.columns).unionByName(others)
 
     def read(self, name: str, version: Version | None = None, removed: bool = True) -> DataFrame:
         """The rows of a table as of a version (the latest by default), counts summed. removed: False keeps rows that are gone, with ``seq``."""
