@@ -208,18 +208,21 @@ def create_chunks(docs: DataFrame, method: str = "sentence", sents: str = "sente
 
     counts: exact token counts of arrays of sentences; without it they are estimated.
     """
-    if method == "sentence":
-        chunks = sentence_windows(F.col(sents), size, overlap)
-    elif method == "token":
-        chunks = token_chunks(F.col(sents), token_size, token_overlap, counts=counts)
-    elif method == "semantic":
+    if method == "semantic":
         if make is None:
             raise ValueError("semantic chunking needs an embedder")
         rows = with_distances(docs, sents, id_, buffer, make)
         return rows.select(id_, F.inline(semantic_chunks(F.col("sents"), F.col("distances"), percentile, max_sentences))).drop("n_sentences")
-    else:
-        raise ValueError(f"unknown chunking method: {method}")
-    return docs.select(id_, F.inline(chunks))
+    return docs.select(id_, F.inline(chunk_arrays(F.col(sents), method, size, overlap, token_size, token_overlap, counts)))
+
+
+def chunk_arrays(sents: Column, method: str = "sentence", size: int = 40, overlap: int = 5, token_size: int = 512, token_overlap: int = 50, counts: Callable[[Column], Column] | None = None) -> Column:
+    """The chunks of a document's sentences by ``sentence`` or ``token``, as an array."""
+    if method == "sentence":
+        return sentence_windows(sents, size, overlap)
+    if method == "token":
+        return token_chunks(sents, token_size, token_overlap, counts=counts)
+    raise ValueError(f"unknown chunking method: {method}")
 
 
 def first_sentence_metadata(chunks: DataFrame, docs: DataFrame, records: str = "records", id_: str = "doc_id") -> DataFrame:

@@ -72,8 +72,14 @@ def build_chunks(records: DataFrame, settings: Settings, collection: str, now: C
     packed = records.groupBy("path").agg(F.sort_array(F.collect_list(F.struct("idx", "text", "page_number", "section_title"))).alias("records"))
     docs = packed.select("path", F.transform("records", lambda r: r["text"]).alias("sentences"), "records")
     s = settings
-    cut = chunking.create_chunks(docs, s.chunking_method, "sentences", "path", s.chunk_size, s.overlap_size, make, s.semantic_breakpoint_percentile, s.semantic_buffer_size, s.semantic_max_chunk_sentences, s.token_chunk_size, s.token_chunk_overlap, counts)
-    rows = chunking.first_sentence_metadata(cut, docs, "records", "path")
+    if s.chunking_method == "semantic":
+        cut = chunking.create_chunks(docs, "semantic", "sentences", "path", make=make, percentile=s.semantic_breakpoint_percentile, buffer=s.semantic_buffer_size, max_sentences=s.semantic_max_chunk_sentences)
+        rows = chunking.first_sentence_metadata(cut, docs, "records", "path")
+    else:
+        # Chunks take their first sentence's metadata where they are cut: the sentences are not met a second time.
+        first = lambda c: F.get("records", F.least(c["first_sentence"], F.size("records") - 1))
+        chunks = chunking.chunk_arrays(F.col("sentences"), s.chunking_method, s.chunk_size, s.overlap_size, s.token_chunk_size, s.token_chunk_overlap, counts)
+        rows = docs.select("path", F.inline(F.transform(chunks, lambda c: F.struct(c["chunk_id"].alias("chunk_id"), c["text"].alias("text"), first(c)["page_number"].alias("page_number"), first(c)["section_title"].alias("section_title")))))
     if urls is not None:
         rows = rows.join(urls.select("path", F.nullif("source_url", F.lit("")).alias("source_url")), "path", "left")
     else:
