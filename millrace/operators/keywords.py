@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -175,25 +176,55 @@ class Keywords:
         part = F.greatest("weight", F.lit(0.0)) * saturation(F.col("most"), F.col("least"), self.avgdl)
         return heads.join(asked, "term").groupBy("query_id", "cell").agg(F.sum(part).alias("bound"), F.count("*").alias("blocks"), F.sum("n").alias("entries"))
 
-    def scores(self, asked: DataFrame, cells: DataFrame) -> DataFrame:
-        """The scores (``query_id``, ``id``, ``score``) of the documents in chosen cells (``query_id``, ``cell``) that still exist."""
+    def scores(self, asked: DataFrame, cells: DataFrame, n: int | None, places: int | None = None) -> DataFrame:
+        """The scores (``query_id``, ``id``, ``score``) of the documents in chosen cells (``query_id``, ``cell``) that still exist; of each cell the ``n`` best, or all.
+
+        A query's lists of one cell come together as they are stored and are added up there, so what is shuffled is lists,
+        and what leaves a cell is at most ``n`` rows a query.
+        """
         wanted = asked.join(cells.select("query_id", "cell"), "query_id")
         met = self.postings().select("term", "cell", "at", "tf", "dl").join(wanted, ["term", "cell"])
-        rows = met.select("query_id", "cell", "weight", F.inline(F.arrays_zip("at", "tf", "dl")))
-        sums = rows.groupBy("query_id", "cell", "at").agg(F.sum(F.col("weight") * saturation(F.col("tf"), F.col("dl"), self.avgdl)).alias("score"))
-        named = sums.join(self.cells(), "cell").select("collection", "seq", "query_id", F.get("ids", F.col("at")).alias("id"), "score")
-        return self.alive(named).select("query_id", "id", "score")
-
-    def alive(self, rows: DataFrame) -> DataFrame:
-        """Rows (``collection``, ``id``, ``seq``) of documents that still exist."""
-        return self.log.without_removed(rows.where("id is not null"), self.version.parts, ("id",), self.version.cleared)
+        lists_ = met.groupBy("query_id", "cell").agg(F.collect_list(F.struct("at", "tf", "dl", "weight")).alias("lists"))
+        named = lists_.join(self.cells(), "cell")
+        return named.select("query_id", F.inline(self.added("lists", "ids", n, places)))
+
+    def added(self, lists_: str, ids: str, n: int | None, places: int | None) -> Column:
+        avgdl = self.avgdl
+
+        @F.arrow_udf("array<struct<id: string, score: double>>")
+        def run(columns: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+            for found, known in columns:
+                inner = found.flatten()
+                size = inner.field("at").value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+                per_row = found.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+                flat = {c: inner.field(c).flatten().to_numpy(zero_copy_only=False).astype(float) for c in ("tf", "dl")}
+                begin = np.concatenate([[0], np.cumsum(known.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))])
+                row = np.repeat(np.repeat(np.arange(len(found)), per_row), size)
+                part = np.repeat(inner.field("weight").to_numpy(zero_copy_only=False), size) * flat["tf"] * (K1 + 1) / (flat["tf"] + K1 * (1 - B + B * flat["dl"] / avgdl))
+                spot, which = np.unique(begin[row] + inner.field("at").flatten().to_numpy(zero_copy_only=False), return_inverse=True)
+                score = np.bincount(which, weights=part, minlength=len(spot))
+                score = score if places is None else np.round(score, places)
+                id_ = known.flatten().take(pa.array(spot))
+                live = id_.is_valid().to_numpy(zero_copy_only=False)
+                row, score, id_ = (np.searchsorted(begin, spot, "right") - 1)[live], score[live], id_.filter(pa.array(live))
+                rank = np.empty(len(id_), np.int64)
+                rank[pc.array_sort_indices(id_).to_numpy()] = np.arange(len(id_))
+                order = np.lexsort((rank, -score, row))
+                first = np.searchsorted(row[order], np.arange(len(found)))
+                kept_ = order if n is None else order[np.arange(len(order)) - first[row[order]] < n]
+                ends = np.searchsorted(row[kept_], np.arange(len(found) + 1))
+                yield pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays([id_.take(pa.array(kept_)), pa.array(score[kept_])], names=["id", "score"]))
+
+        return run(lists_, ids)
 
     def cells(self) -> DataFrame:
-        return self.read("postings", removed=False).where(CELLS).select("collection", "seq", "cell", "ids")
+        """The cells' lists of ids, null where a document is gone."""
+        rows = self.log.without_removed(self.read("postings", removed=False).where(CELLS).select("collection", "seq", "cell", "ids"), self.version.parts, (), self.version.cleared)
+        return self.log.without_listed(rows, self.version.parts, TABLES["postings"]).select("cell", "ids")
 
     def ids(self) -> DataFrame:
         """The ids of all documents that still exist."""
-        return self.alive(self.cells().select("collection", "seq", F.explode("ids").alias("id"))).select("id")
+        return self.cells().select(F.explode("ids").alias("id")).where("id is not null")
 
     def top(self, queries: DataFrame, n: int = 5, query_id: str = "query_id", query: str = "query", places: int | None = None, first: int = 4, prune: bool = True) -> DataFrame:
         """The ``n`` best documents for each query: ``query_id``, ``rank`` (from 0), ``id``, ``score``; ties by id.
@@ -209,13 +240,12 @@ class Keywords:
         if prune:
             lead = bounds.withColumn("_at", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("bound"), "cell"))).where(F.col("_at") <= first)
             order = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))
-            least = self.scores(asked, lead).withColumn("_at", order).where(F.col("_at") <= n).where(F.col("_at") == n).select("query_id", F.col("score").alias("least"))
+            least = self.scores(asked, lead, n).withColumn("_at", order).where(F.col("_at") <= n).where(F.col("_at") == n).select("query_id", F.col("score").alias("least"))
             self.work = kept(bounds.join(least, "query_id", "left").withColumn("chosen", F.col("least").isNull() | (F.col("bound") >= F.col("least") - slack)))
         else:
             self.work = bounds.withColumn("chosen", F.lit(True))
-        scored = self.scores(asked, self.work.where("chosen"))
-        if places is not None:
-            scored = scored.withColumn("score", F.round("score", places))
+        # Where weights are negative, a document that is left out could pass for one without the terms.
+        scored = self.scores(asked, self.work.where("chosen"), None if self.mean < 0 else n, places)
         known = self.ids().select("id", F.col("id").alias("ord"))
         return filled(queries.select(F.col(query_id).alias("query_id")), scored.withColumn("ord", F.col("id")), known, n, self.mean < 0)
 

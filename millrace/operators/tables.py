@@ -128,13 +128,15 @@ class Log:
     def without_listed(self, found: DataFrame, parts: list[dict], table: Table) -> DataFrame:
         """Rows that list keys, those that are removed made null."""
         kind, row, column = table.masked
-        keys, others = self.kinds[kind], found.where(F.col(column).isNull())
-        found = found.where(F.col(column).isNotNull())
-        listed = found.select(*[c for c in found.columns if c != column], F.explode(column).alias(keys[-1])).where(F.col(keys[-1]).isNotNull())
-        live = self.without_removed(listed, parts, (kind,)).groupBy(row).agg(F.collect_set(keys[-1]).alias("_live"))
-        none = F.array().cast(dict(found.dtypes)[column])
-        met = found.join(live, row, "left").withColumn(column, F.transform(column, lambda x: F.when(F.array_contains(F.coalesce("_live", none), x), x)))
-        return met.select(*found.columns).unionByName(others)
+        keys = self.kinds[kind]
+        if not any(p["table"] == f"removed_{kind}" for p in parts):
+            return found
+        listed = found.select(*[c for c in found.columns if c in (*keys, row, "seq") and c != column], F.explode(column).alias(keys[-1]))
+        names = [f"_{k}" for k in keys]
+        met = listed.join(self.removals(parts, kind, names, listed), [F.col(k) == F.col(n) for k, n in zip(keys, names)])
+        dead = met.where(F.col("seq") < F.col("_removed")).groupBy(row).agg(F.collect_set(keys[-1]).alias("_dead"))
+        left = F.transform(column, lambda x: F.when(~F.array_contains("_dead", x), x))
+        return found.join(dead, row, "left").withColumn(column, F.when(F.col("_dead").isNull(), F.col(column)).otherwise(left)).select(*found.columns)
 
     def read(self, name: str, version: Version | None = None, removed: bool = True) -> DataFrame:
         """The rows of a table as of a version (the latest by default), counts summed. removed: False keeps rows that are gone, with ``seq``."""

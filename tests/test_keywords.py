@@ -104,7 +104,7 @@ def test_only_the_terms_buckets_are_read(spark, changed):
     index_ = store.keywords("c")
     queries = spark.createDataFrame([(1, "w7")], "query_id long, query string")
     asked = index_.weighed(queries, "query_id", "query")
-    plan = index_.scores(asked, index_.bounds(asked))._jdf.queryExecution().executedPlan().toString()
+    plan = index_.scores(asked, index_.bounds(asked), 5)._jdf.queryExecution().executedPlan().toString()
     assert index_.buckets == [r[0] for r in spark.sql("select pmod(xxhash64('w7'), 16)").collect()] and "PushedFilters: [In(term" in plan.replace("IsNotNull(term), ", "") or "EqualTo(term" in plan
     assert "PartitionFilters: [isnotnull(bucket" in plan.replace("isnotnull(collection#", "x") or "bucket#" in plan
     files = {f for f in index_.postings().inputFiles()}
