@@ -222,7 +222,10 @@ def refresh(store: Store, files: DataFrame, read: Callable[[DataFrame], DataFram
     if not n_gone and not summary["new"] and not summary["updated"]:
         status.unpersist()
         return summary
-    blocks = read(hashed.join(todo.select("path"), "path", "left_semi").select("path", "content")).cache()
+    # Contents are not shuffled to be met with a list of paths of a known length.
+    listed = todo.select("path")
+    listed = F.broadcast(listed) if summary["new"] + summary["updated"] <= 1_000_000 else listed
+    blocks = read(hashed.join(listed, "path", "left_semi").select("path", "content")).cache()
     failed = blocks.where("kind = 'error'").select("path").distinct()
     bad = {r["status"]: r["count"] for r in todo.join(failed, "path", "left_semi").groupBy("status").count().collect()}
     for kind, n in bad.items():
