@@ -21,7 +21,7 @@ BUCKETS = 16
 #: So many query terms are also given to the scan as a filter.
 FILTERED = 1000
 #: Tokens that are laid out together, or one document.
-SLICE = 1_000_000
+SLICE = 400_000
 #: A cell is a group of documents; postings name a document by its place in its cell. Rows of bucket -1 are the cells.
 POSTINGS = "collection string, bucket int, term string, cell string, n int, most int, least int, at array<int>, tf array<int>, dl array<int>, ids array<string>, words long"
 TABLES = {
