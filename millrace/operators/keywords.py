@@ -102,7 +102,7 @@ def totals(made: DataFrame, sign: int) -> tuple[DataFrame, DataFrame]:
     return whole.withColumn("total", sign * F.col("total")), made.where("term is not null").select("collection", "term", (sign * F.col("n")).cast("long").alias("df"))
 
 
-def update(change: Change, added: DataFrame, removed: DataFrame | None = None, cell_docs: int = 1024, task_bytes: int = 64_000_000) -> None:
+def update(change: Change, added: DataFrame, removed: DataFrame | None = None, cell_docs: int = 1024, task_bytes: int = 16_000_000) -> None:
     """Brings the index to what a change makes of its store: ``added`` chunks and ``removed`` ones (``collection``, ``id``, ``document``).
 
     The caller removes the same ids from the store. Postings are written where the chunks are read, without a shuffle, to
