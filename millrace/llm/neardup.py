@@ -1,11 +1,11 @@
 """MinHash near-dedup by a signature-coordinate inverted join.
 
-Every distinct shingle set posts under the (coordinate, value) pairs of a prefix of its MinHash signature. The sets that
-meet in a list are posted under all their coordinates, and the collisions of one set with the later ones are counted by
-merging its lists: the shortest lists, a prefix that a pair with enough matches cannot miss, are merged, the longest are
-only looked up for those found, and sets that are already linked are skipped. Pairs above a match threshold become
-candidates. Candidates are only kept as a spanning forest, and links are confirmed on full shingle sets within the groups
-that the candidates make.
+Every distinct shingle set posts its document under the (coordinate, value) pairs of its MinHash signature. Pairs that one
+set has alone cannot collide and are dropped; of the others a set keeps its rarest as a prefix that no partner with enough
+matches can miss. The collisions of one set with the later ones of a list are counted by merging the sets' lists: the
+shortest, again a prefix, are merged, the longest are only looked up for those found, and sets that are already linked are
+skipped. Pairs above a match threshold become candidates, kept as a spanning forest, and links are confirmed on full
+shingle sets within the groups that the candidates make; large groups meet under their rarest shingles.
 """
 
 from __future__ import annotations
@@ -68,32 +68,14 @@ def signature(shingles: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (least >> U(32)).astype(np.uint32)
 
 
-def match_rule(similarity: float, coordinates: int, loss: float = 1e-6) -> tuple[int, int]:
-    """(least matches, prefix length): either test misses a pair at ``similarity`` with less than ``loss`` chance."""
+def least_matches(similarity: float, coordinates: int, loss: float = 1e-6) -> int:
+    """The most matches that a pair at ``similarity`` falls short of with less than ``loss`` chance."""
     below, least = 0.0, 0
     while True:
         below += comb(coordinates, least) * similarity**least * (1 - similarity) ** (coordinates - least)
         if below >= loss:
-            break
+            return least
         least += 1
-    prefix = next(p for p in range(1, coordinates + 1) if (1 - similarity) ** p < loss / 1000)
-    return least, min(prefix, coordinates - least + 1)
-
-
-def second_prefix(similarity: float, prefix: int, loss: float = 1e-6) -> int:
-    """How many next coordinates a list's rows are posted under again: with fewer, a pair at ``similarity`` is missed with ``loss / 10`` chance or more.
-
-    A pair is missed only if each coordinate of the prefix that it shares is followed by that many which it does not.
-    """
-    for count in range(1, prefix + 1):
-        # The chance of what led here, by how many of the next coordinates must differ.
-        must = [1.0] + [0.0] * count
-        for _ in range(prefix):
-            differ = [m * (1 - similarity) for m in must]
-            must = [differ[0] + differ[1], *differ[2:], must[0] * similarity]
-        if sum(m * (1 - similarity) ** k for k, m in enumerate(must)) < loss / 10:
-            return count
-    return prefix
 
 
 class Trees:
@@ -158,6 +140,19 @@ def meetings(signs: np.ndarray, sides: list[int] | None, trees: Trees, least: in
             yield i, found.tolist()
 
 
+def rarest(shingles: np.ndarray, often: np.ndarray, counts: np.ndarray, part: int, whole: int) -> tuple[np.ndarray, np.ndarray]:
+    """The set's prefix in the order of ``counts`` (of the sorted shingles ``often``; 0 for others), then hash, and which of it is outer.
+
+    Sets that have ``part / whole`` of their union in common share a shingle of both prefixes, and at the first such one
+    not both are outer: what is left of them from there on would be too little.
+    """
+    n = len(shingles)
+    at = np.minimum(np.searchsorted(often, shingles), max(0, len(often) - 1))
+    count = np.where(often[at] == shingles, counts[at], 0) if len(often) else np.zeros(n, np.int64)
+    order = np.lexsort((mixed(shingles), count))[: n + (-part * n) // whole + 1]
+    return shingles[order], (whole + part) * (n - np.arange(len(order))) < 2 * part * n
+
+
 def dealt(rows: DataFrame, key: str, size: int) -> DataFrame:
     """Adds ``i``, ``j``, ``side``: groups over ``size`` (column ``count``) rows are cut at random, each key in its own way; every row goes to one task."""
     side = F.pmod(F.xxhash64("node", key, F.lit("cut")), F.ceil(F.col("count") / size)).cast("int")
@@ -167,18 +162,25 @@ def dealt(rows: DataFrame, key: str, size: int) -> DataFrame:
 def met(rows: DataFrame, key: str, size: int) -> DataFrame:
     """The tasks in which the rows (``node``, ``root``) of each ``key`` meet those of other roots; keys of one root are left out.
 
-    The rows of a key's most frequent root are not met with one another: they are cut into blocks, the others too, and
-    each of the others' blocks meets every block in a task of its own. Adds ``i``, ``j``, ``side``.
+    Rows need not meet within a key's most frequent root, nor, if there is a column ``outer``, among those for which it is
+    true. The larger of these classes is not met with itself: it is cut into blocks, the others too, and each of the
+    others' blocks meets every block in a task of its own. Keys whose rows are all outer are left out. Adds ``i``, ``j``, ``side``.
     """
-    by_root = rows.groupBy(key, "root").count()
-    stats = by_root.groupBy(key).agg(F.sum("count").alias("all"), F.count("*").alias("roots"), F.max(F.struct("count", "root")).alias("most")).where("roots > 1")
+    if "outer" not in rows.columns:
+        rows = rows.withColumn("outer", F.lit(False))
+    by_root = rows.groupBy(key, "root").agg(F.count("*").alias("count"), F.count_if("outer").alias("outers"))
+    stats = by_root.groupBy(key).agg(
+        F.sum("count").alias("all"), F.count("*").alias("roots"), F.max(F.struct("count", "root")).alias("most"), F.sum("outers").alias("outers")
+    )
+    stats = stats.where("roots > 1 and outers < all").withColumn("far", F.col("outers") > F.col("most.count"))
+    stats = stats.withColumn("idle", F.greatest("outers", "most.count"))
     small = F.col("all") <= size
-    first = F.when(small, 0).otherwise(F.ceil(F.col("most.count") / size)).cast("int")
-    rest = F.when(small, 1).otherwise(F.ceil((F.col("all") - F.col("most.count")) / size)).cast("int")
-    rows = rows.join(stats, key).withColumn("first", first).withColumn("rest", rest)
-    alike = (F.col("root") == F.col("most.root")) & ~small
+    first = F.when(small, 0).otherwise(F.ceil(F.col("idle") / size)).cast("int")
+    rest = F.when(small, 1).otherwise(F.ceil((F.col("all") - F.col("idle")) / size)).cast("int")
+    rows = rows.join(stats.drop("outers"), key).withColumn("first", first).withColumn("rest", rest)
+    alike = F.when(F.col("far"), F.col("outer")).otherwise(F.col("root") == F.col("most.root")) & ~small
     draw = F.xxhash64("node", F.lit("block"))
-    rows = rows.withColumn("side", F.when(alike, F.pmod(draw, F.greatest("first", F.lit(1)))).otherwise(F.col("first") + F.pmod(draw, F.col("rest"))).cast("int"))
+    rows = rows.withColumn("side", F.when(alike, F.pmod(draw, F.greatest("first", F.lit(1)))).otherwise(F.col("first") + F.pmod(draw, F.greatest("rest", F.lit(1)))).cast("int"))
     blocks = F.sequence(F.when(alike, F.col("first")).otherwise(0), F.col("first") + F.col("rest") - 1)
     rows = rows.select("*", F.explode(blocks).alias("other"))
     # A block meets itself in the task (i, i), sent once; two different blocks meet in (i, j).
@@ -199,16 +201,19 @@ def near_components(docs: DataFrame, size: int = 5, similarity: tuple[int, int]
     id reachable over links, ``kept`` tells whether it is the row's own.
 
     Equal sets are one node and never expanded into pairs. A pair at the threshold is missed with a chance below 1e-6
-    (see ``match_rule``, ``second_prefix``). What leaves a task is a spanning forest, never all pairs. Posting lists above ``block`` nodes are
-    first cut at random, each list in its own way, so that a group of near copies becomes one component while every row
-    is sent once a list. Only lists that still hold several components go on: they are posted once more, under a second
-    coordinate, and in what is then common to several components the nodes outside the most frequent one meet all others,
-    block by block. Candidate groups above ``block / 4`` nodes are confirmed in the same two steps, cut twice at random.
+    (see ``least_matches``). What leaves a task is a spanning forest, never all pairs. The (coordinate, value) pairs of all
+    sets are counted; a set with fewer than the least matches among those that others have too is done with, the others
+    post under their rarest, so that what a common passage brings is posted last, if at all. Lists above ``block`` nodes
+    are first cut at random, each list in its own way, under a few of each set's rarest, so that a group of near copies
+    becomes one component while every row is sent a few times. Only lists that still hold several components go on: in
+    them the nodes outside the most frequent one meet all others, block by block. Candidate groups above ``block / 4``
+    nodes are first cut twice at random. Where several components are left in one, its nodes meet under the rarest of
+    their shingles, as many as a link cannot miss; rare is what a sample of the group's nodes has seldom, which orders
+    shingles and decides no result. Keys at which all have too little left for a link (``rarest``) are left out.
     So a task holds two blocks at most, and copies are not sent to one another's blocks. Texts without words are linked with nothing. A row with a null id is kept, with a null component, and
     links nothing by itself. Texts under one id are linked. Repeated rows get equal results; no rows give none.
     """
-    least, prefix = match_rule(similarity[0] / similarity[1], coordinates)
-    following = second_prefix(similarity[0] / similarity[1], prefix)
+    least = least_matches(similarity[0] / similarity[1], coordinates)
     a, b = coefficients(coordinates)
     part, whole = similarity
 
@@ -227,21 +232,35 @@ def near_components(docs: DataFrame, size: int = 5, similarity: tuple[int, int]
 
     def post(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for frame in frames:
-            signs = np.frombuffer(b"".join(frame.column(1).to_pylist()), np.uint32).reshape(-1, coordinates)[:, :prefix]
-            key = (np.arange(prefix, dtype=np.int64) << 32) + signs.astype(np.int64)
-            node = np.repeat(frame.column(0).to_numpy(zero_copy_only=False), prefix)
-            yield pa.RecordBatch.from_arrays([pa.array(key.ravel()), pa.array(node)], names=["key", "node"])
+            signs = np.frombuffer(b"".join(frame.column(1).to_pylist()), np.uint32).reshape(-1, coordinates)
+            key = (np.arange(coordinates, dtype=np.int64) << 32) + signs.astype(np.int64)
+            number = np.repeat(frame.column(0).to_numpy(zero_copy_only=False), coordinates)
+            yield pa.RecordBatch.from_arrays([pa.array(key.ravel()), pa.array(number)], names=["key", "no"])
+
+    def parts(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = WordHashes()
+        for frame in frames:
+            for group, text in zip(frame.column(0).to_pylist(), frame.column(1).to_pylist()):
+                s = shingle_set(text, size, hashes).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(s), group)), pa.array(s)], names=["group", "s"])
 
-    def post_again(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # A pair meets again in one of the next coordinates of one of its lists.
+    def prefixes(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes, now, seen = WordHashes(), None, None
         for frame in frames:
-            key = frame.column(0).to_numpy()
-            signs = np.frombuffer(b"".join(frame.column(2).to_pylist()), np.uint32).reshape(-1, coordinates)
-            for k in range(1, following + 1):
-                at = ((key >> 32) + k) % coordinates
-                value = signs[np.arange(len(signs)), at].astype(U)
-                pair = mixed(mixed(key.astype(U) + U(k)) + value).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(pair), frame.column(1), frame.column(3)], names=["key", "node", "root"])
+            for group, chunk, node, root, set_id, text, often, counts in zip(*(c.to_pylist() for c in frame.columns)):
+                if (group, chunk) != now:
+                    now, seen = (group, chunk), (np.empty(0, U), np.empty(0, np.int64))
+                if node is None:
+                    often = np.array(often, np.int64).view(U)
+                    by = np.argsort(often)
+                    seen = often[by], np.array(counts, np.int64)[by]
+                    continue
+                s = shingle_set(text, size, hashes)
+                if xxhash.xxh3_128_digest(s.tobytes()) == set_id:
+                    keys, outer = rarest(s, *seen, part, whole)
+                    keys = mixed(keys + mixed(np.array([group], np.int64).view(U))).view(np.int64)
+                    n = len(keys)
+                    yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array([node] * n, pa.int64()), pa.array([root] * n, pa.int64()), pa.array([set_id] * n, pa.binary()), pa.array(outer)], names=["key", "node", "root", "set_id", "outer"])
 
     def edges(left: list[int], right: list[int]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], names=["a", "b"])
@@ -292,18 +311,18 @@ def near_components(docs: DataFrame, size: int = 5, similarity: tuple[int, int]
         return components(first.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more))
 
     found = cut(docs.select("doc_id", "text").mapInArrow(sets, "doc_id long, n_shingles long, set_id binary, sig binary"))
-    nodes = cut(found.where("set_id is not null and doc_id is not null").groupBy("set_id").agg(F.min("doc_id").alias("node"), F.first("sig").alias("sig")))
-    signed = nodes.select("node", "sig")
-    posts = signed.mapInArrow(post, "key long, node long")
-    counts = cut(posts.groupBy("key").count().where("count > 1"))
-    lists = posts.join(counts, "key").join(signed, "node").withColumn("root", F.col("node"))
-    grouped = components(compared(dealt(lists, "key", block), "key", "sig"))
-    large = counts.where(F.col("count") > block)
-    if not large.isEmpty():
-        rest = labelled(posts.join(large, "key"), grouped)
-        mixed_keys = rest.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x < y").select("key")
-        again = rest.join(mixed_keys, "key").join(signed, "node").select("key", "node", "sig", "root").mapInArrow(post_again, "key long, node long, root long")
-        grouped = joined(grouped, compared(met(again, "key", block).join(signed, "node"), "key", "sig"))
+    nodes = found.where("set_id is not null and doc_id is not null").groupBy("set_id").agg(F.min("doc_id").alias("node"), F.first("sig").alias("sig"))
+    nodes = cut(nodes.withColumn("no", F.xxhash64("set_id")))
+    posts = nodes.select("no", "sig").mapInArrow(post, "key long, no long")
+    shared = posts.groupBy("key").count().where("count > 1")
+    # Two sets with enough matches have the first they share, rare ones first, among all but the last ``least - 1`` of either.
+    own = posts.join(shared, "key").groupBy("no").agg(F.sort_array(F.collect_list(F.struct("count", "key"))).alias("own")).where(F.size("own") >= least)
+    rare = cut(own.select("no", F.posexplode(F.slice("own", 1, F.size("own") - least + 1)).alias("place", "own")).select("no", "place", "own.key"))
+    lists = rare.join(rare.groupBy("key").count().where("count > 1"), "key").join(nodes.select("no", "node", "sig"), "no").withColumn("root", F.col("node"))
+    grouped = components(compared(dealt(lists.where(F.col("place") < 4), "key", block), "key", "sig"))
+    rest = labelled(rare.join(nodes.select("no", "node"), "no").select("key", "node", "no"), grouped)
+    tasks = met(rest, "key", block).join(nodes.select("no", "sig"), "no")
+    grouped = joined(grouped, compared(tasks, "key", "sig"))
 
     # A set of an id with several texts is confirmed on the text it comes from; ``group`` is a group of candidates.
     some = max(1, block // 4)
@@ -314,10 +333,20 @@ def near_components(docs: DataFrame, size: int = 5, similarity: tuple[int, int]
     twice = F.explode(F.when(F.col("count") > some, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0))))
     tasks = members.select("*", twice.alias("turn")).withColumn("task", F.xxhash64("group", "turn")).withColumn("root", F.col("node"))
     linked = components(compared(dealt(tasks, "task", some).join(texts, "node"), "task", "text", "set_id"))
-    large = members.where(F.col("count") > some)
+    large = labelled(members.where(F.col("count") > some), linked)
+    several = large.groupBy("group").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x < y").select("group")
+    large = cut(large.join(several, "group").select("group", "node", "root", "set_id", "count"))
     if not large.isEmpty():
-        tasks = met(labelled(large, linked), "group", some)
-        linked = joined(linked, compared(tasks.join(texts, "node"), "group", "text", "set_id"))
+        sample = large.where(F.expr("pmod(xxhash64(node, 'sample'), count) < 64")).select("group", "node").join(texts, "node")
+        often = sample.select("group", "text").mapInArrow(parts, "group long, s long").groupBy("group", "s").count().where("count > 1")
+        often = often.groupBy("group").agg(F.collect_list(F.struct("s", "count")).alias("often"))
+        chunks = F.ceil(F.col("count") / some).cast("int")
+        told = large.groupBy("group").agg(F.max("count").alias("count")).join(often, "group").select("group", F.explode(F.sequence(F.lit(0), chunks - 1)).alias("chunk"), "often")
+        told = told.select("group", "chunk", F.col("often.s").alias("often"), F.col("often.count").alias("counts"))
+        those = large.withColumn("chunk", F.pmod(F.xxhash64("node", F.lit("chunk")), chunks).cast("int")).join(texts, "node")
+        rows = those.select("group", "chunk", "node", "root", "set_id", "text").unionByName(told, allowMissingColumns=True).repartition("group", "chunk")
+        keyed = cut(rows.sortWithinPartitions("group", "chunk", F.asc_nulls_first("node")).mapInArrow(prefixes, "key long, node long, root long, set_id binary, outer boolean"))
+        linked = joined(linked, compared(met(keyed, "key", some).join(texts, "node"), "key", "text", "set_id"))
     ids = found.where("set_id is not null and doc_id is not null").select("doc_id", "set_id").distinct().join(nodes.select("set_id", "node"), "set_id").select("doc_id", "node").distinct()
     several = ids.groupBy("doc_id").agg(F.min("node").alias("a"), F.count("*").alias("n")).where("n > 1")
     same_id = ids.join(several, "doc_id").select("a", F.col("node").alias("b"))

@@ -1,6 +1,7 @@
 import itertools
 import re
 
+import numpy as np
 import pytest
 
 from millrace.llm import common, neardup
@@ -60,7 +61,63 @@ def test_a_large_group_of_near_copies_is_not_sent_to_its_own_blocks(spark, monke
     monkeypatch.setattr(neardup, "met", lambda *a: sent.append(met(*a)) or sent[-1])
     got = neardup.near_components(frame, 3, (85, 100)).groupBy("component_id").count().collect()
     assert {r["component_id"]: r["count"] for r in got} == {0: 20_000}
-    assert len(sent) == 2 and all(f.isEmpty() for f in sent)
+    assert len(sent) == 1 and sent[0].isEmpty()
+
+
+def test_what_meets_of_documents_that_share_a_passage_does_not_grow_with_its_square(spark, monkeypatch):
+    passage = " ".join(f"p{k}" for k in range(200))
+
+    def text(i):
+        own = " ".join(f"d{i}w{k}" for k in range(60))
+        return passage + " " + own if i % 2 else own + " " + passage
+
+    def copy(i):
+        return text(i).replace(f"d{i}w30", "other")
+
+    sent, met = [], neardup.met
+    monkeypatch.setattr(neardup, "met", lambda *a: sent.append(met(*a)) or sent[-1])
+    made = []
+    for n in (400, 1600):
+        sent.clear()
+        frame = spark.createDataFrame([(i, text(i)) for i in range(n)] + [(n + i, copy(i)) for i in range(20)], "doc_id long, text string").repartition(4)
+        got = {r["doc_id"]: r["component_id"] for r in neardup.near_components(frame, 3, (85, 100), block=100).collect()}
+        assert got == {i: i if i < n else i - n for i in range(n + 20)}
+        made.append(sum(f.count() for f in sent))
+    assert made[1] < 5 * made[0] + 2000
+
+
+def test_many_subgroups_in_a_large_candidate_group_lose_no_link(spark):
+    def text(i, edits):
+        words = [f"p{k}" for k in range(70)] + [f"s{i % 12}w{k}" for k in range(50)]
+        for k in edits:
+            words[k] = f"e{i}"
+        return " ".join(words)
+
+    rows = [(i, text(i, [(7 * i) % 120] + [(11 * i + 3) % 120] * (i % 3 == 0))) for i in range(120)]
+    for block in (2000, 40, 12):
+        frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+        got = sorted(((r["doc_id"], r["n_shingles"], r["component_id"]) for r in neardup.near_components(frame, 3, (85, 100), block=block).collect()), key=repr)
+        assert got == brute(rows, 3, 85, 100)
+
+
+def test_linked_sets_meet_in_their_prefixes_where_one_is_not_outer():
+    draw = np.random.default_rng(5)
+    linked = 0
+    for _ in range(3000):
+        whole = np.unique(draw.integers(0, 2**60, int(draw.integers(1, 60)), np.uint64))
+        x, y = (np.unique(np.where(draw.random(len(whole)) < 0.06, draw.integers(0, 2**60, len(whole), np.uint64), whole)) for _ in "xy")
+        x = x[draw.random(len(x)) < 0.97] if len(x) > 3 else x
+        if not len(x) or not len(y):
+            continue
+        often = np.sort(draw.choice(whole, len(whole) // 2, replace=False))
+        counts = draw.integers(2, 5, len(often))
+        both = len(np.intersect1d(x, y))
+        if 100 * both >= 85 * (len(x) + len(y) - both):
+            (a, far_a), (b, far_b) = neardup.rarest(x, often, counts, 85, 100), neardup.rarest(y, often, counts, 85, 100)
+            met = [k for k in a.tolist() if k in set(b.tolist())]
+            assert any(not (far_a[a.tolist().index(k)] and far_b[b.tolist().index(k)]) for k in met)
+            linked += 1
+    assert linked > 500
 
 
 def test_rows_of_the_most_frequent_component_meet_only_others(spark):
@@ -76,6 +133,17 @@ def test_rows_of_the_most_frequent_component_meet_only_others(spark):
     assert not any(k == "a" and x < 50 and y < 50 for k, x, y in seen)
 
 
+def test_outer_rows_meet_only_others(spark):
+    rows = [("a", i, i % 7, i > 2) for i in range(40)] + [("b", i, i, True) for i in range(30)] + [("c", 1, 1, False), ("c", 2, 2, True)]
+    tasks = neardup.met(spark.createDataFrame(rows, "key string, node long, root long, outer boolean"), "key", 5).collect()
+    at = {}
+    for t in tasks:
+        at.setdefault((t["key"], t["i"], t["j"]), []).append((t["node"], t["side"]))
+    seen = {(k[0], *sorted((x, y))) for k, g in at.items() for x, s in g for y, o in g if x != y and (k[1] == k[2] or s != o)}
+    assert {k for k, _, _ in seen} == {"a", "c"} and ("c", 1, 2) in seen
+    assert {s for s in seen if s[0] == "a"} == {("a", x, y) for x in range(3) for y in range(x + 1, 40)}
+
+
 def test_odd(odd_docs, no_docs, wide_docs, rows):
     found = [tuple(r) for r in neardup.near_components(odd_docs, 3, (85, 100)).collect()]
     assert len(found) == odd_docs.count()
@@ -89,23 +157,9 @@ def test_rule_misses_less_than_one_in_a_million():
     from math import comb
 
     for s in (0.8, 0.85, 0.95):
-        least, prefix = neardup.match_rule(s, 64)
-        assert sum(comb(64, k) * s**k * (1 - s) ** (64 - k) for k in range(least)) < 1e-6 and (1 - s) ** prefix < 1e-8
-
-
-def test_second_prefix_is_the_least_that_misses_less_than_one_in_ten_million():
-    def missed(s, prefix, count):
-        total = 0.0
-        for same in itertools.product((True, False), repeat=prefix):
-            must = {k for i in range(prefix) if same[i] for k in range(i + 1, i + 1 + count)}
-            if not any(k < prefix and same[k] for k in must):
-                total += s ** sum(same) * (1 - s) ** (prefix - sum(same) + sum(k >= prefix for k in must))
-        return total
-
-    for s in (0.8, 0.85, 0.95):
-        prefix = neardup.match_rule(s, 64)[1]
-        count = neardup.second_prefix(s, prefix)
-        assert missed(s, prefix, count) < 1e-7 and (count == 1 or missed(s, prefix, count - 1) >= 1e-7)
+        least = neardup.least_matches(s, 64)
+        below = [sum(comb(64, k) * s**k * (1 - s) ** (64 - k) for k in range(n)) for n in (least, least + 1)]
+        assert below[0] < 1e-6 <= below[1]
 
 
 def test_connected_components(spark):
