@@ -333,9 +333,12 @@ def near_components(docs: DataFrame, size: int = 5, similarity: tuple[int, int]
     twice = F.explode(F.when(F.col("count") > some, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0))))
     tasks = members.select("*", twice.alias("turn")).withColumn("task", F.xxhash64("group", "turn")).withColumn("root", F.col("node"))
     linked = components(compared(dealt(tasks, "task", some).join(texts, "node"), "task", "text", "set_id"))
+    ids = found.where("set_id is not null and doc_id is not null").select("doc_id", "set_id").distinct().join(nodes.select("set_id", "node"), "set_id").select("doc_id", "node").distinct()
+    several = ids.groupBy("doc_id").agg(F.min("node").alias("a"), F.count("*").alias("n")).where("n > 1")
+    more = ids.join(several, "doc_id").select("a", F.col("node").alias("b"))
     large = labelled(members.where(F.col("count") > some), linked)
-    several = large.groupBy("group").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x < y").select("group")
-    large = cut(large.join(several, "group").select("group", "node", "root", "set_id", "count"))
+    mixed_groups = large.groupBy("group").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x < y").select("group")
+    large = cut(large.join(mixed_groups, "group").select("group", "node", "root", "set_id", "count"))
     if not large.isEmpty():
         sample = large.where(F.expr("pmod(xxhash64(node, 'sample'), count) < 64")).select("group", "node").join(texts, "node")
         often = sample.select("group", "text").mapInArrow(parts, "group long, s long").groupBy("group", "s").count().where("count > 1")
@@ -346,11 +349,8 @@ def near_components(docs: DataFrame, size: int = 5, similarity: tuple[int, int]
         those = large.withColumn("chunk", F.pmod(F.xxhash64("node", F.lit("chunk")), chunks).cast("int")).join(texts, "node")
         rows = those.select("group", "chunk", "node", "root", "set_id", "text").unionByName(told, allowMissingColumns=True).repartition("group", "chunk")
         keyed = cut(rows.sortWithinPartitions("group", "chunk", F.asc_nulls_first("node")).mapInArrow(prefixes, "key long, node long, root long, set_id binary, outer boolean"))
-        linked = joined(linked, compared(met(keyed, "key", some).join(texts, "node"), "key", "text", "set_id"))
-    ids = found.where("set_id is not null and doc_id is not null").select("doc_id", "set_id").distinct().join(nodes.select("set_id", "node"), "set_id").select("doc_id", "node").distinct()
-    several = ids.groupBy("doc_id").agg(F.min("node").alias("a"), F.count("*").alias("n")).where("n > 1")
-    same_id = ids.join(several, "doc_id").select("a", F.col("node").alias("b"))
-    linked = joined(linked, same_id)
+        more = more.union(compared(met(keyed, "key", some).join(texts, "node"), "key", "text", "set_id"))
+    linked = joined(linked, more)
     final = nodes.select("set_id", "node").join(linked, "node", "left").select("set_id", F.coalesce("root", "node").alias("root"))
     own = F.when(F.col("doc_id").isNotNull(), F.coalesce("root", "doc_id"))
     out = found.select("doc_id", "n_shingles", "set_id").join(final, "set_id", "left").select("doc_id", "n_shingles", own.alias("component_id"))
