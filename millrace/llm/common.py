@@ -49,25 +49,31 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """Connected components of undirected ``edges`` (``a``, ``b``, long): rows ``node``, ``root``, the smallest node reachable.
 
     Alternating large-star and small-star steps: the number of edges never grows, each step is two shuffles with
-    map-side minima, and nothing is collected. Each round is cut to the shared checkpoint folder. Nulls and self
-    loops are ignored; no edges give no rows.
+    map-side minima, and nothing is collected. Each round is a table in the shared checkpoint folder; the one before is
+    deleted, and its shuffles are released. Nulls and self loops are ignored; no edges give no rows.
     """
+    spark = edges.sparkSession
 
     def digest(df: DataFrame) -> tuple:
         return tuple(df.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b")), F.sum(F.xxhash64("b", "a").bitwiseAND(F.lit(0xFFFFFFFF)))).first())
 
-    now = cut(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a > b").distinct())
-    before = digest(now)
-    for _ in range(rounds):
-        if not before[0]:
-            break
+    def stars(now: DataFrame) -> DataFrame:
         both = now.union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e"))
-        new = cut(small.select("e.a", "e.b").where("a > b").distinct())
-        now, after = new, digest(new)
+        return small.select("e.a", "e.b").where("a > b").distinct()
+
+    now, path = stored(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a > b").distinct())
+    before = digest(now)
+    for _ in range(rounds):
+        if not before[0]:
+            break
+        new, to = stored(stars(now))
+        discard(spark, path)
+        release(spark)
+        now, path, after = new, to, digest(new)
         if after == before:
             break
         before = after
@@ -88,3 +94,8 @@ def discard(spark: SparkSession, path: str) -> None:
     """Deletes a table that ``stored`` made."""
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
+
+
+def release(spark: SparkSession) -> None:
+    """Lets go of the shuffle files of plans that are no longer referred to, which Spark does when the driver's memory is collected."""
+    spark.sparkContext._jvm.System.gc()

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import components, cut
+from millrace.llm.common import components, discard, release, stored
 
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 U = np.uint64
@@ -307,17 +307,25 @@ def near_components(docs: DataFrame, size: int = 5, similarity: tuple[int, int]
         rows = tasks.select(key, "i", "j", "node", "side", "root", *content).repartition(key, "i", "j")
         return rows.sortWithinPartitions(key, "i", "j", "node", *content[1:]).mapInArrow(confirm if "text" in content else collide, "a long, b long")
 
+    spark, spent = docs.sparkSession, []
+
+    def kept(rows: DataFrame) -> DataFrame:
+        """The rows as a table in the shared checkpoint folder, for this call only."""
+        table, path = stored(rows)
+        spent.append(path)
+        return table
+
     def joined(first: DataFrame, more: DataFrame) -> DataFrame:
         return components(first.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more))
 
-    found = cut(docs.select("doc_id", "text").mapInArrow(sets, "doc_id long, n_shingles long, set_id binary, sig binary"))
+    found, _ = stored(docs.select("doc_id", "text").mapInArrow(sets, "doc_id long, n_shingles long, set_id binary, sig binary"))
     nodes = found.where("set_id is not null and doc_id is not null").groupBy("set_id").agg(F.min("doc_id").alias("node"), F.first("sig").alias("sig"))
-    nodes = cut(nodes.withColumn("no", F.xxhash64("set_id")))
+    nodes, _ = stored(nodes.withColumn("no", F.xxhash64("set_id")))
     posts = nodes.select("no", "sig").mapInArrow(post, "key long, no long")
     shared = posts.groupBy("key").count().where("count > 1")
     # Two sets with enough matches have the first they share, rare ones first, among all but the last ``least - 1`` of either.
     own = posts.join(shared, "key").groupBy("no").agg(F.sort_array(F.collect_list(F.struct("count", "key"))).alias("own")).where(F.size("own") >= least)
-    rare = cut(own.select("no", F.posexplode(F.slice("own", 1, F.size("own") - least + 1)).alias("place", "own")).select("no", "place", "own.key"))
+    rare = kept(own.select("no", F.posexplode(F.slice("own", 1, F.size("own") - least + 1)).alias("place", "own")).select("no", "place", "own.key"))
     lists = rare.join(rare.groupBy("key").count().where("count > 1"), "key").join(nodes.select("no", "node", "sig"), "no").withColumn("root", F.col("node"))
     grouped = components(compared(dealt(lists.where(F.col("place") < 4), "key", block), "key", "sig"))
     rest = labelled(rare.join(nodes.select("no", "node"), "no").select("key", "node", "no"), grouped)
@@ -329,7 +337,7 @@ def near_components(docs: DataFrame, size: int = 5, similarity: tuple[int, int]
     members = grouped.withColumnRenamed("root", "group")
     members = members.join(members.groupBy("group").count(), "group").join(nodes.select("node", "set_id"), "node")
     texts = docs.select(F.col("doc_id").alias("node"), "text").join(members.select("node").distinct(), "node", "left_semi")
-    texts = cut(texts.withColumn("th", F.xxhash64("text")).dropDuplicates(["node", "th"]))
+    texts = kept(texts.withColumn("th", F.xxhash64("text")).dropDuplicates(["node", "th"]))
     twice = F.explode(F.when(F.col("count") > some, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0))))
     tasks = members.select("*", twice.alias("turn")).withColumn("task", F.xxhash64("group", "turn")).withColumn("root", F.col("node"))
     linked = components(compared(dealt(tasks, "task", some).join(texts, "node"), "task", "text", "set_id"))
@@ -338,7 +346,7 @@ def near_components(docs: DataFrame, size: int = 5, similarity: tuple[int, int]
     more = ids.join(several, "doc_id").select("a", F.col("node").alias("b"))
     large = labelled(members.where(F.col("count") > some), linked)
     mixed_groups = large.groupBy("group").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x < y").select("group")
-    large = cut(large.join(mixed_groups, "group").select("group", "node", "root", "set_id", "count"))
+    large = kept(large.join(mixed_groups, "group").select("group", "node", "root", "set_id", "count"))
     if not large.isEmpty():
         sample = large.where(F.expr("pmod(xxhash64(node, 'sample'), count) < 64")).select("group", "node").join(texts, "node")
         often = sample.select("group", "text").mapInArrow(parts, "group long, s long").groupBy("group", "s").count().where("count > 1")
@@ -348,9 +356,12 @@ def near_components(docs: DataFrame, size: int = 5, similarity: tuple[int, int]
         told = told.select("group", "chunk", F.col("often.s").alias("often"), F.col("often.count").alias("counts"))
         those = large.withColumn("chunk", F.pmod(F.xxhash64("node", F.lit("chunk")), chunks).cast("int")).join(texts, "node")
         rows = those.select("group", "chunk", "node", "root", "set_id", "text").unionByName(told, allowMissingColumns=True).repartition("group", "chunk")
-        keyed = cut(rows.sortWithinPartitions("group", "chunk", F.asc_nulls_first("node")).mapInArrow(prefixes, "key long, node long, root long, set_id binary, outer boolean"))
+        keyed = kept(rows.sortWithinPartitions("group", "chunk", F.asc_nulls_first("node")).mapInArrow(prefixes, "key long, node long, root long, set_id binary, outer boolean"))
         more = more.union(compared(met(keyed, "key", some).join(texts, "node"), "key", "text", "set_id"))
     linked = joined(linked, more)
+    for path in spent:
+        discard(spark, path)
+    release(spark)
     final = nodes.select("set_id", "node").join(linked, "node", "left").select("set_id", F.coalesce("root", "node").alias("root"))
     own = F.when(F.col("doc_id").isNotNull(), F.coalesce("root", "doc_id"))
     out = found.select("doc_id", "n_shingles", "set_id").join(final, "set_id", "left").select("doc_id", "n_shingles", own.alias("component_id"))
