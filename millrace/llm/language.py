@@ -24,8 +24,7 @@ MARK = re.compile(r"<(?:(!--)|(script|style)\b)?", re.IGNORECASE)
 RAW_ENDS = {"!--": re.compile("-->"), "script": re.compile(r"</script\s*>", re.IGNORECASE), "style": re.compile(r"</style\s*>", re.IGNORECASE)}
 NAMED = re.compile(r"\s(?:xml:)?lang\s*=\s*[\"']?([A-Za-z]{2,8})", re.IGNORECASE)
 META = re.compile(r"(?=.*\shttp-equiv\s*=\s*[\"']?content-language).*?\scontent\s*=\s*[\"']?\s*([A-Za-z]{2,8})", re.IGNORECASE | re.DOTALL)
-#: Longer tags declare nothing.
-LONGEST_TAG = 4000
+ELEMENTS = [(re.compile(r"<html\b", re.IGNORECASE), NAMED.search), (re.compile(r"<meta\b", re.IGNORECASE), META.match)]
 
 
 def visible_text(page: str | None) -> str:
@@ -50,14 +49,17 @@ def visible_text(page: str | None) -> str:
 
 
 def declared_language(page: str | None) -> str | None:
-    """What a page declares, lower-cased: the ``lang`` or ``xml:lang`` of the html element, else a content-language meta element."""
+    """What a page declares, lower-cased: the ``lang`` or ``xml:lang`` of the html element, else a content-language meta element.
+
+    A tag ends at the next ``>``, however far; one without declares nothing. Each walk goes from tag to tag, so no part is read twice.
+    """
     page = page or ""
-    for element, pattern in (("<html", NAMED), ("<meta", META)):
-        for m in re.finditer(element + r"\b", page, re.IGNORECASE):
-            end = page.find(">", m.end(), m.end() + LONGEST_TAG)
-            found = pattern.match(page, m.end(), end) if element == "<meta" and end > 0 else pattern.search(page, m.end(), end) if end > 0 else None
-            if found:
+    for element, look in ELEMENTS:
+        at = 0
+        while (m := element.search(page, at)) and (end := page.find(">", m.end())) >= 0:
+            if found := look(page, m.end(), end):
                 return found[1].lower()
+            at = end
     return None
 
 

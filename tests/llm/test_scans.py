@@ -274,6 +274,13 @@ def test_hostile_pages_take_linear_time():
     assert language.visible_text("a<b") == "a b" and language.visible_text("a<!-- x --> b <script>1</script >c<style>") == "a  b  c "
     assert language.declared_language("<html xml:lang='De-at'>") == "de" and language.declared_language('<HTML><meta content="fr" http-equiv="Content-Language">') == "fr"
     assert language.declared_language("<html><meta name=x content=fr>") is None
+    for n in (3_900, 4_100, 300_000):
+        assert language.declared_language(f"<html data-x='{'y' * n}' lang=de>") == "de"
+        assert language.declared_language(f"<html><meta http-equiv=content-language data-x='{'y' * n}' content='es'>") == "es"
+    began = time.process_time()
+    for page in ("<meta " * 200_000, "<html " * 200_000 + ">", "<meta http-equiv " * 100_000 + ">", "<html lang " * 100_000 + ">" + "<meta>" * 100_000):
+        assert language.declared_language(page) is None
+    assert time.process_time() - began < 5
 
 
 def test_all_languages_are_kept(spark):
