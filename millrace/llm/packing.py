@@ -211,6 +211,10 @@ def fill(sizes: list[int], capacity: int) -> list[list[tuple[int, int, int]]]:
     return done
 
 
+#: ``sequence_id`` is the group's number, then so many bits for that of the sequence in its group.
+GROUP_BITS = 36
+
+
 def pack_documents(docs: DataFrame, tokenizer_path: Callable[[], str], capacity: int = 4096, end_id: int = 2, group_rows: int = 4000, group_tokens: int = 4_000_000) -> DataFrame:
     """Packs all ``docs`` (``doc_id``, ``text``) into sequences of at most ``capacity`` tokens.
 
@@ -218,7 +222,8 @@ def pack_documents(docs: DataFrame, tokenizer_path: Callable[[], str], capacity:
     ``start``, ``length``, ``ids`` (little-endian unsigned 32-bit, binary), ``ids_crc32``, ``doc_tokens``,
     ``sequence_id``, ``offset``. Full sequences are cut off long documents where they are tokenised; the remainders go
     to random groups of about ``group_rows`` documents, drawn by a hash of the id and the text, and each group is
-    packed on its own. A group is packed in turns of ``group_tokens`` tokens at most, so its memory is bounded.
+    packed on its own. A group is packed in turns of ``group_tokens`` tokens at most, so its memory is bounded; its
+    sequences are numbered through all turns.
     A null text is an empty one: its document is the end id alone. A null id stays null; repeated rows are packed each
     for itself (in the group of their shared hash). No rows give no rows.
     """
@@ -255,15 +260,18 @@ def pack_documents(docs: DataFrame, tokenizer_path: Callable[[], str], capacity:
                 names = ["doc_id", "grp", "start", "n", "doc_tokens", "ids"]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), [pa.int64()] * 5 + [pa.binary()])], names=names)
 
-    def lay(key: int, items: list[tuple], turn: int, plan: list[list[tuple[int, int, int]]], first: int) -> list[tuple]:
+    def lay(key: int, items: list[tuple], plan: list[list[tuple[int, int, int]]], first: int) -> list[tuple]:
+        """The pieces of sequences numbered from ``first`` in their group."""
         out = []
+        if first + len(plan) > 1 << GROUP_BITS:
+            raise OverflowError("more sequences in a group than sequence_id has room for")
         for number, pieces in enumerate(plan, first):
             offset = 0
             for item, start, length in pieces:
                 doc, begin, n, tokens, ids = items[item]
                 width = len(ids) // n
                 part = np.frombuffer(ids[start * width : (start + length) * width], f"<u{width}").astype("<u4").tobytes()
-                out.append((doc, begin + start, length, part, zlib.crc32(part), tokens, (key << 32) + (turn << 20) + number, offset))
+                out.append((doc, begin + start, length, part, zlib.crc32(part), tokens, (key << GROUP_BITS) + number, offset))
                 offset += length
         return out
 
@@ -273,14 +281,16 @@ def pack_documents(docs: DataFrame, tokenizer_path: Callable[[], str], capacity:
     def place(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """The rows come sorted by group; one group's turn is held at a time."""
         forget_tokenizers()
-        now, held, tokens, turn = None, [], 0, 0
+        now, held, tokens, first = None, [], 0, 0
 
         def close() -> Iterator[pa.RecordBatch]:
             """The pieces of the turn, a few sequences at a time."""
+            nonlocal first
             plan = fill([r[2] for r in held], capacity)
             for at in range(0, len(plan), 50):
-                out = lay(now, held, turn, plan[at : at + 50], at)
+                out = lay(now, held, plan[at : at + 50], first + at)
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names=names)
+            first += len(plan)
 
         for frame in frames:
             for at in range(0, frame.num_rows, 500):
@@ -288,7 +298,7 @@ def pack_documents(docs: DataFrame, tokenizer_path: Callable[[], str], capacity:
                 for grp, *row in zip(*(part.column(c).to_pylist() for c in ("grp", "doc_id", "start", "n", "doc_tokens", "ids"))):
                     if held and (grp != now or tokens >= group_tokens):
                         yield from close()
-                        turn, held, tokens = (turn + 1 if grp == now else 0), [], 0
+                        first, held, tokens = (first if grp == now else 0), [], 0
                     now = grp
                     held.append(tuple(row))
                     tokens += row[2]

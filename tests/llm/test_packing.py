@@ -83,6 +83,20 @@ def test_round_trip(spark, docs, rows, public, group_rows, group_tokens):
         assert [r["offset"] for r in parts] == np.cumsum([0, *(r["length"] for r in parts)])[:-1].tolist() and (total == 4096 or total < 4096 and total & (total - 1) == 0)
 
 
+def test_equal_rows_in_many_turns_share_no_place(spark):
+    frame = spark.range(9000).selectExpr("7L doc_id", "'a b c d e' text")
+    found = packing.pack_documents(frame, packing.word_bpe, capacity=16, group_rows=50, group_tokens=8)
+    assert found.groupBy("sequence_id", "offset").count().where("count > 1").isEmpty()
+    assert found.agg({"length": "sum"}).first()[0] == found.where("start = 0").agg({"doc_tokens": "sum"}).first()[0]
+
+
+def test_a_group_without_room_for_its_sequences_fails(spark, monkeypatch):
+    monkeypatch.setattr(packing, "GROUP_BITS", 3)
+    frame = spark.range(9).selectExpr("id doc_id", "'a b c d e f g h' text")
+    with pytest.raises(Exception, match="more sequences in a group"):
+        packing.pack_documents(frame, packing.word_bpe, capacity=4).collect()
+
+
 def test_edges(odd_docs, no_docs, wide_docs, rows):
     assert packing.pack_documents(no_docs, packing.word_bpe).count() == 0
     assert packing.pack_documents(odd_docs, packing.word_bpe).where("start = 0").count() == odd_docs.count()
