@@ -88,16 +88,29 @@ class HashEmbedder:
         return out / np.where(length == 0, 1, length)
 
 
-def embed(text: Column, make: Callable[[], Embedder] = HashEmbedder, batch: int = 64, flatten_newlines: bool = False) -> Column:
+#: The embedder that this worker process has built, by name.
+BUILT: dict[str, Embedder] = {}
+
+
+def worker_model(name: str, make: Callable[[], Embedder]) -> Embedder:
+    """The embedder of that name, built once in a process, for all of its tasks; one of another name takes its place."""
+    if name not in BUILT:
+        BUILT.clear()
+        BUILT[name] = make()
+    return BUILT[name]
+
+
+def embed(text: Column, make: Callable[[], Embedder] = HashEmbedder, batch: int = 64, flatten_newlines: bool = False, name: str | None = None) -> Column:
     """Vectors (array of doubles) of a text column by an embedder.
 
     make: builds the embedder, once for each task, so that a model loads where it runs. Texts go to it in order, at most
     ``batch`` at a time; null counts as empty. flatten_newlines: newlines become spaces first, as remote services want.
+    name: the embedder is kept under it for later tasks of the same worker process.
     """
 
     @F.arrow_udf("array<double>")
     def run(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        embedder = make()
+        embedder = worker_model(name, make) if name else make()
         for column in columns:
             texts = [(t or "").replace("\n", " ") if flatten_newlines else t or "" for t in column.to_pylist()]
             found = [np.asarray(v, float) for i in range(0, len(texts), batch) for v in embedder(texts[i : i + batch])]

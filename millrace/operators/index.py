@@ -13,6 +13,7 @@ from millrace.functions import boundaries
 from millrace.functions import text as T
 from millrace.functions import vectors as V
 from millrace.operators import chunking, keywords, search
+from millrace.operators.embedding_cache import EmbeddingCache
 from millrace.operators.tables import Log, Table, Version
 
 CHUNKS = "collection string, id string, document string, embedding array<double>, file_name string, path string, chunk_id int, ingest_date timestamp, source_url string, page_number int, section_title string"
@@ -65,7 +66,13 @@ def manifest_entries(chunks: DataFrame, files: DataFrame, config: Column, now: C
 
 
 def build_chunks(records: DataFrame, settings: Settings, collection: str, now: Column, make: Callable[[], V.Embedder] = V.HashEmbedder, urls: DataFrame | None = None, counts: Callable[[Column], Column] | None = None) -> DataFrame:
-    """Stored chunks of sentence ``records`` (``path``, ``idx``, ``text``, ``page_number``, ``section_title``).
+    """``chunk_rows`` with their vectors."""
+    rows = chunk_rows(records, settings, collection, now, make, urls, counts)
+    return rows.withColumn("embedding", V.embed(F.col("document"), make, settings.embedding_batch_size))
+
+
+def chunk_rows(records: DataFrame, settings: Settings, collection: str, now: Column, make: Callable[[], V.Embedder] = V.HashEmbedder, urls: DataFrame | None = None, counts: Callable[[Column], Column] | None = None) -> DataFrame:
+    """Chunks, without vectors, of sentence ``records`` (``path``, ``idx``, ``text``, ``page_number``, ``section_title``).
 
     urls: ``path``, ``source_url``. Ids are made of the whole path, so files of one name in two folders stay apart.
     """
@@ -86,7 +93,7 @@ def build_chunks(records: DataFrame, settings: Settings, collection: str, now: C
         rows = rows.withColumn("source_url", F.nullif(F.lit(s.source_url), F.lit("")))
     return rows.select(
         F.lit(collection).alias("collection"), T.chunk_name(F.col("path"), F.col("chunk_id")).alias("id"), F.col("text").alias("document"),
-        V.embed(F.col("text"), make, s.embedding_batch_size).alias("embedding"), T.base_name(F.col("path")).alias("file_name"), "path", "chunk_id",
+        T.base_name(F.col("path")).alias("file_name"), "path", "chunk_id",
         now.alias("ingest_date"), "source_url", "page_number", "section_title",
     )
 
@@ -199,13 +206,14 @@ class Store:
         return hits.join(chunks.drop("collection", "embedding"), "id")
 
 
-def refresh(store: Store, files: DataFrame, read: Callable[[DataFrame], DataFrame], collection: str, settings: Settings = Settings(), make: Callable[[], V.Embedder] = V.HashEmbedder, now: datetime | None = None, urls: DataFrame | None = None, model: DataFrame | None = None, counts: Callable[[Column], Column] | None = None) -> dict[str, int]:
+def refresh(store: Store, files: DataFrame, read: Callable[[DataFrame], DataFrame], collection: str, settings: Settings = Settings(), make: Callable[[], V.Embedder] = V.HashEmbedder, now: datetime | None = None, urls: DataFrame | None = None, model: DataFrame | None = None, counts: Callable[[Column], Column] | None = None, cache: EmbeddingCache | None = None) -> dict[str, int]:
     """Brings a collection up to date with ``files`` (``path``, ``content``) and says what was done.
 
     read: gives the blocks of files (as ``sources.files.read_blocks``). Only new and changed files are read; chunks of
     gone files go. New rows are built before old ones are dropped, and a file that cannot be read keeps the chunks and
     the entry it had. An unchanged folder writes nothing. model: learnt sentence boundaries (``boundaries.learn``), of
     which those of ``settings.data_language`` hold. counts: exact token counts by the encoding ``settings.token_encoding``.
+    cache: chunks take their vectors from it, by its model, and only texts that it does not know are embedded.
     """
     from millrace.sources.files import sentence_records
 
@@ -233,10 +241,17 @@ def refresh(store: Store, files: DataFrame, read: Callable[[DataFrame], DataFram
         summary["failed"] += n
     done = todo.join(failed, "path", "left_anti").select(F.lit(collection).alias("collection"), "path", "hash")
     cut = T.sentences if model is None else boundaries.rule(model, settings.data_language)
-    new = build_chunks(sentence_records(blocks, cut), settings, collection, at, make, urls, counts)
+    records, made = sentence_records(blocks, cut), None
+    if cache is None:
+        new = build_chunks(records, settings, collection, at, make, urls, counts)
+    else:
+        made = chunk_rows(records, settings, collection, at, make, urls, counts).cache()
+        new = cache.embedded(made, "document")
     replace(store, since, new, done, gone.select(F.lit(collection).alias("collection"), "path"), config, at)
     status.unpersist()
     blocks.unpersist()
+    if made is not None:
+        made.unpersist()
     return summary
 
 

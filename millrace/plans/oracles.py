@@ -200,6 +200,8 @@ _FILES = """SELECT doc_id // 50 AS doc_id, string_agg(CASE WHEN doc_id // 50 % 3
 FROM documents WHERE doc_id // 50 % 5 <> 1 GROUP BY doc_id // 50"""
 ORACLES["refresh_files"] = f"""WITH w AS ({windows(40, 5).replace("FROM documents", f"FROM ({_FILES})")})
 SELECT doc_id AS grp, chunk_id, text_md5 AS document_md5, count(*) OVER (PARTITION BY doc_id) AS n_chunks, CAST(64 AS BIGINT) AS dim FROM w"""
+ORACLES["cached_embeddings"] = """SELECT sha256(coalesce(text, '')) AS key, CAST(CASE WHEN coalesce(bool_or(lang <> 'de'), false) THEN 1 ELSE 2 END AS BIGINT) AS run,
+  count(*) AS documents, CAST(64 AS BIGINT) AS dim FROM documents GROUP BY 1"""
 
 
 def _bare(x: str) -> str:

@@ -13,6 +13,7 @@ from millrace.functions import boundaries, encodings
 from millrace.functions import text as T
 from millrace.functions import vectors as V
 from millrace.operators import admin, cells, chunking, index, prompt, search
+from millrace.operators.embedding_cache import EmbeddingCache
 from millrace.plans.oracles import ORACLES  # noqa: F401
 from millrace.sources import files
 from millrace.sources.storage import shared_folder
@@ -239,6 +240,15 @@ def refresh_files(spark, d):
     return chunks.join(known, "path").select(grp.alias("grp"), *long("chunk_id"), F.md5("document").alias("document_md5"), "n_chunks", F.size("embedding").cast("long").alias("dim"))
 
 
+def cached_embeddings(spark, d):
+    """Vectors of all documents from a cache that has those of other languages than German: which run embedded a text, and how many documents share it."""
+    cache, docs = EmbeddingCache(spark, f"{shared_folder(spark)}/vectors-{uuid.uuid4().hex}", "hash"), documents(spark, d).select("doc_id", "lang", "text")
+    cache.add(docs.where("lang <> 'de'"))
+    found = cache.embedded(docs).select(cache.key(F.col("text")).alias("key"), F.size("embedding").alias("dim"))
+    runs = cache.log.read("vectors", removed=False).select("key", F.col("seq").alias("run"))
+    return found.groupBy("key").agg(F.count("*").alias("documents"), F.min("dim").alias("dim")).join(runs, "key").select("key", *long("run", "documents", "dim"))
+
+
 def stored_rows(found: DataFrame, id_, text) -> DataFrame:
     """Rows as chunks of the collection ``docs``, without vectors."""
     made = found.select(F.lit("docs").alias("collection"), id_.alias("id"), text.alias("document"))
@@ -402,7 +412,7 @@ QUERIES: dict[str, Query] = {
     "consecutive_distance": consecutive_distance, "semantic_breakpoints": semantic_breakpoints, "chunk_semantic": chunk_semantic, "content_hash": content_hash,
     "config_fingerprint": config_fingerprint, "reindex_status": reindex_status, "stale_files": stale_files, "upsert_result": upsert_result, "run_summary": run_summary,
     "knn_l2": knn(True, 10, "l2"), "knn_batch": knn(False, 5, "l2"), "knn_cosine": knn(False, 5, "cosine"), "knn_cells": knn_cells, "bm25_topk": bm25_topk, "rrf_fusion": rrf_fusion,
-    "hybrid_search": hybrid_search, "hybrid_batch": hybrid_batch, "benchmark_retrieval": benchmark_retrieval, "store_state": store_state, "refresh_files": refresh_files,
+    "hybrid_search": hybrid_search, "hybrid_batch": hybrid_batch, "benchmark_retrieval": benchmark_retrieval, "store_state": store_state, "refresh_files": refresh_files, "cached_embeddings": cached_embeddings,
     "keyword_index_topk": keyword_index_topk, "keyword_index_benchmark": keyword_index_benchmark, "format_prompt": format_prompt, "table_as_text": table_as_text, "row_prose": row_prose,
     "source_text": source_text, "source_csv": source_csv, "source_markdown": source_markdown, "source_html": source_html, "sidecar_urls": sidecar_urls,
     "html_text": html_text, "html_sections": html_sections, "collection_list": collection_list, "collection_stats": collection_stats, "ext_counts": ext_counts,
