@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -12,7 +13,11 @@ from pyspark.sql import functions as F
 
 from millrace.functions import text as T
 from millrace.functions import vectors as V
-from millrace.operators.keywords import B, EPSILON, K1, filled
+from millrace.operators.keywords import B, EPSILON, K1
+from millrace.operators.ordering import kept
+
+#: Scores held at once; products of single entries made at once; a term is dense where one in so many pairs of query and document has it.
+CELLS, PAIRS, DENSE = 2_000_000, 2_000_000, 50
 
 
 def candidate_count(n: int, multiplier: int, stored: int) -> int:
@@ -79,15 +84,15 @@ def nearest(queries: DataFrame, stored: DataFrame, n: int = 5, metric: str = "l2
         scored = stored.select(F.col(id_).alias("id"), F.col(vec).alias("vec")).crossJoin(F.broadcast(one)).select("query_id", "id", (d if places is None else F.round(d, places)).alias("distance"))
         return scored.orderBy("distance", "id").limit(n).select("query_id", (rank - 1).alias("rank"), "id", "distance")
     blocks = max(1, -(-count // block_rows))
-    side = F.pmod(F.xxhash64(query_id), F.lit(blocks))
+    side = F.pmod(F.xxhash64("query_id"), F.lit(blocks))
+    asked, rows = queries.select(F.col(query_id).alias("query_id"), F.col(query_vec).alias("query_vec")), stored.select(F.col(id_).alias("id"), F.col(vec).alias("vec"))
+    if blocks > 1:
+        asked, rows = kept(asked), kept(rows)
     parts = []
     for k in range(blocks):
-        asked = queries.where(side == k).select(F.col(query_id).alias("query_id"), F.col(query_vec).alias("query_vec"))
-        parts.append(met_in_batches(asked, stored.select(F.col(id_).alias("id"), F.col(vec).alias("vec")), n, metric, places))
-    found = parts[0]
-    for part in parts[1:]:
-        found = found.unionByName(part)
-    return best(found, rank, n).select("query_id", "rank", "id", "distance")
+        found = best(met_in_batches(asked.where(side == k), rows, n, metric, places), rank, n).select("query_id", "rank", "id", "distance")
+        parts.append(found if blocks == 1 else kept(found))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def term_statistics(docs: DataFrame, text: str = "document") -> tuple[DataFrame, int, float, float]:
@@ -106,37 +111,109 @@ def term_statistics(docs: DataFrame, text: str = "document") -> tuple[DataFrame,
     return raw.select("term", F.when(F.col("raw") < 0, F.lit(EPSILON * mean)).otherwise(F.col("raw")).alias("idf")), n, (length / n if length else 1.0), mean
 
 
-def bm25_scores(queries: DataFrame, docs: DataFrame, id_: str = "id", text: str = "document", query_id: str = "query_id", query: str = "query", broadcast_rows: int = 200_000) -> tuple[DataFrame, float]:
-    """Okapi BM25 of the documents that share a term with a query (``query_id``, ``id``, ``score``), and the mean weight.
+def scored_in_batches(asked: DataFrame, queries: DataFrame, docs: DataFrame, n: int, avgdl: float, places: int | None) -> DataFrame:
+    """The ``n`` best documents of each task for each query of one block: ``query_id``, ``id``, ``ord``, ``score``.
 
-    A term counts as often as the query repeats it. Statistics cover all documents. The queries' terms are a stated set:
-    up to ``broadcast_rows`` of them are sent to the documents' tokens, more are joined by shuffling both.
+    asked: ``query_id``, ``term``, ``weight``; it and the block's ``queries`` (``query_id``) are collected and travel to the tasks.
+    docs: ``id``, ``ord``, ``tokens``. A slice of documents and the block are two sparse matrices; terms that most of both
+    have are multiplied as dense ones. No score leaves the task but those of its best, documents that score 0 included.
     """
-    weights, _, avgdl, mean = term_statistics(docs, text)
-    asked = queries.select(F.col(query_id).alias("query_id"), F.explode(T.tokens(F.col(query))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("times"))
-    asked = asked.join(weights, "term").persist()
-    small = asked.count() <= broadcast_rows
-    # Tokens are an expression of several steps: made once a row, then counted and exploded.
-    made = docs.select(F.col(id_).alias("id"), F.explode(F.array(T.tokens(F.col(text)))).alias("t"))
-    rows = made.select("id", F.size("t").alias("dl"), F.explode("t").alias("term"))
-    sent = F.broadcast if small else lambda df: df
-    tf = rows.join(sent(asked.select("term").distinct()), "term", "left_semi").groupBy("id", "term").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
-    met = tf.join(sent(asked), "term")
-    part = F.col("times") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.lit(avgdl)))
-    return met.groupBy("query_id", "id").agg(F.sum(part).alias("score")), mean
-
-
-def bm25_top(queries: DataFrame, docs: DataFrame, n: int = 5, id_: str = "id", text: str = "document", order: str | None = None, query_id: str = "query_id", query: str = "query", places: int | None = None) -> DataFrame:
+    met, known = asked.toArrow(), queries.toArrow().column(0).combine_chunks()
+    coded = met.column("term").combine_chunks().dictionary_encode()
+    vocabulary, term = coded.dictionary, coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    by_term = np.argsort(term, kind="stable")
+    ask = pc.index_in(met.column("query_id").combine_chunks(), value_set=known).to_numpy(zero_copy_only=False)[by_term].astype(np.int64)
+    weight = met.column("weight").to_numpy()[by_term]
+    begin = np.searchsorted(term[by_term], np.arange(len(vocabulary) + 1))
+    cells, pairs, dense_from = CELLS, PAIRS, DENSE
+
+    def scores(tokens: pa.Array) -> np.ndarray:
+        """Of each query and document of a slice."""
+        size = tokens.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+        out = np.zeros((len(known), len(size)))
+        found = pc.index_in(tokens.flatten(), value_set=vocabulary)
+        held = found.is_valid().to_numpy(zero_copy_only=False)
+        code, doc = found.drop_null().to_numpy().astype(np.int64), np.repeat(np.arange(len(size)), size)[held]
+        key, tf = np.unique(code * len(size) + doc, return_counts=True)
+        code, doc = key // max(1, len(size)), key % max(1, len(size))
+        part = tf * (K1 + 1) / (tf + K1 * (1 - B + B * size[doc] / avgdl))
+        times = begin[code + 1] - begin[code]
+        terms, count = np.unique(code, return_counts=True)
+        dense = terms[count * (begin[terms + 1] - begin[terms]) * dense_from > out.size]
+        if len(dense):
+            place = np.full(len(vocabulary), -1)
+            place[dense] = np.arange(len(dense))
+            left, right = np.zeros((len(known), len(dense))), np.zeros((len(dense), len(size)))
+            for at in dense:
+                left[ask[begin[at] : begin[at + 1]], place[at]] = weight[begin[at] : begin[at + 1]]
+            thick = place[code] >= 0
+            right[place[code[thick]], doc[thick]] = part[thick]
+            out = left @ right
+            code, doc, part, times = code[~thick], doc[~thick], part[~thick], times[~thick]
+        flat, upto = out.reshape(-1), np.cumsum(times)
+        at = 0
+        while at < len(code):
+            stop = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + pairs, "right")))
+            n_ = times[at:stop]
+            entry = np.repeat(begin[code[at:stop]] - (np.cumsum(n_) - n_), n_) + np.arange(n_.sum())
+            np.add.at(flat, ask[entry] * len(size) + np.repeat(doc[at:stop], n_), weight[entry] * np.repeat(part[at:stop], n_))
+            at = stop
+        return out if places is None else np.round(out, places)
+
+    def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best_, least = None, np.full(len(known), -np.inf)
+        for frame in frames if len(known) else ():
+            for part in slices(frame, max(1, cells // len(known))):
+                found = scores(part.column("tokens"))
+                if part.num_rows > n:
+                    least = np.maximum(least, -np.partition(-found, n - 1, axis=1)[:, n - 1])
+                row, col = np.nonzero(found >= least[:, None])
+                new = pa.table([pa.array(row), part.column("id").take(pa.array(col)), part.column("ord").take(pa.array(col)), pa.array(found[row, col])], names=["query", "id", "ord", "score"])
+                best_ = new if best_ is None else pa.concat_tables([best_, new])
+                best_ = best_.take(pc.sort_indices(best_, [("query", "ascending"), ("score", "descending"), ("ord", "ascending")]))
+                row = best_.column("query").to_numpy()
+                place = np.arange(len(row)) - np.searchsorted(row, row)
+                best_ = best_.filter(pa.array(place < n)).combine_chunks()
+                last = place == n - 1
+                least[row[last]] = np.maximum(least[row[last]], best_.column("score").to_numpy()[place[place < n] == n - 1])
+        if best_ is not None:
+            yield from best_.set_column(0, "query_id", known.take(best_.column("query").combine_chunks())).to_batches(10_000)
+
+    types = dict(docs.dtypes)
+    return docs.mapInArrow(run, f"query_id {dict(queries.dtypes)['query_id']}, id {types['id']}, ord {types['ord']}, score double")
+
+
+def slices(frame: pa.RecordBatch, most: int, tokens: int = 400_000) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch of at most so many rows and, but for a single longer row, ``tokens``."""
+    sizes, at = np.cumsum(frame.column("tokens").value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)), 0
+    while at < frame.num_rows:
+        stop = max(at + 1, int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + tokens, "right")))
+        part = frame.slice(at, min(stop - at, most))
+        yield part
+        at += part.num_rows
+
+
+def bm25_top(queries: DataFrame, docs: DataFrame, n: int = 5, id_: str = "id", text: str = "document", order: str | None = None, query_id: str = "query_id", query: str = "query", places: int | None = None, block_rows: int = 2000, block_terms: int = 1_000_000) -> DataFrame:
     """The ``n`` best documents for each query by BM25: ``query_id``, ``rank`` (from 0), ``id``, ``score``.
 
-    Documents without a query term score 0 and fill the list up where it is short; ties keep the order of ``order``
-    (insertion order of the store; by default ``id_``). places: rounds scores before ranking.
+    A term counts as often as the query repeats it. Statistics cover all documents. Documents without a query term score
+    0; ties keep the order of ``order`` (insertion order of the store; by default ``id_``). places: rounds scores before
+    ranking. Queries are a stated set and go to the documents in blocks of about ``block_rows`` queries and
+    ``block_terms`` terms of theirs; of several, the result of each is kept before the next. A task sends on its ``n`` best a query.
     """
-    scored, mean = bm25_scores(queries, docs, id_, text, query_id, query)
-    if places is not None:
-        scored = scored.withColumn("score", F.round("score", places))
-    known = docs.select(F.col(id_).alias("id"), F.col(order or id_).alias("ord"))
-    return filled(queries.select(F.col(query_id).alias("query_id")), scored.join(known, "id"), known, n, mean < 0)
+    weights, _, avgdl, _ = term_statistics(docs, text)
+    ids = queries.select(F.col(query_id).alias("query_id")).distinct()
+    times = queries.select(F.col(query_id).alias("query_id"), F.explode(T.tokens(F.col(query))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("times"))
+    asked = kept(times.join(weights, "term").select("query_id", "term", (F.col("times") * F.col("idf")).alias("weight")))
+    blocks = max(1, -(-ids.count() // block_rows), -(-asked.count() // block_terms))
+    rows = docs.select(F.col(id_).alias("id"), F.col(order or id_).alias("ord"), F.explode(F.array(T.tokens(F.col(text)))).alias("tokens"))
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "ord"))
+    parts = []
+    for k in range(blocks):
+        mine = F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == k
+        found = best(scored_in_batches(asked.where(mine), ids.where(mine), rows, n, avgdl, places), rank, n).select("query_id", "rank", "id", "score")
+        parts.append(found if blocks == 1 else kept(found))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def fuse(vectors: DataFrame, keywords: DataFrame, n: int = 5, k: int = 60) -> DataFrame:

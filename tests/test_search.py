@@ -1,4 +1,5 @@
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -130,3 +131,29 @@ def test_responder_prepares_once():
     ready = []
     model = P.Responder(lambda p: iter([p[-1], "", "!"]), "{data}|{query}", lambda: ready.append(1))
     assert model.respond("d", "q") == "q!" and list(model.chunks("d", "z")) == ["z", "!"] and ready == [1]
+
+
+@pytest.mark.parametrize("dense", [0, 50, 10**9])
+def test_bm25_in_blocks_and_slices_against_brute_force(spark, monkeypatch, dense):
+    draw = random.Random(4)
+    words = [f"w{k}" for k in range(60)]
+    docs = [(i, " ".join(draw.choices(words, [1 / (k + 1) for k in range(60)], k=draw.choice([0, 1, 5, 40])))) for i in range(120)]
+    asked = [(i, docs[i][1]) for i in range(0, 120, 10)] + [(500, "nothing here"), (501, None), (502, "w0 w0 w59")]
+    for name, value in (("CELLS", 60), ("PAIRS", 7), ("DENSE", dense)):
+        monkeypatch.setattr(S, name, value)
+    q, d = spark.createDataFrame(asked, "query_id long, query string"), spark.createDataFrame(docs, "id long, document string").repartition(3)
+    for more in ({}, {"block_rows": 4}, {"block_terms": 30}):
+        rows = S.bm25_top(q, d, 6, places=6, **more).collect()
+        found = {(r["query_id"], r["rank"]): (r["id"], r["score"]) for r in rows}
+        assert len(found) == len(rows) == 6 * len(asked)
+        for i, text in asked:
+            want = okapi(docs, text or "")
+            order = sorted(want, key=lambda x: (-round(want[x], 6), x))[:6]
+            assert [found[i, k][0] for k in range(6)] == order and [found[i, k][1] for k in range(6)] == pytest.approx([want[x] for x in order], abs=1e-6)
+
+
+def test_what_keyword_search_shuffles_does_not_grow_with_the_pairs(spark):
+    asked, docs = spark.range(40).selectExpr("id AS query_id", "'a b c' AS query"), spark.range(4000).selectExpr("id", "concat('a b c d', id) AS document").repartition(2)
+    weights = spark.createDataFrame([(i, t, 1.0) for i in range(40) for t in "abc"], "query_id long, term string, weight double")
+    sent = S.scored_in_batches(weights, asked.select("query_id"), docs.select("id", F.col("id").alias("ord"), F.split("document", " ").alias("tokens")), 3, 4.0, 6)
+    assert sent.count() == 40 * 3 * 2
