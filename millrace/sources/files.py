@@ -153,10 +153,14 @@ def source_url(meta: Column, default: str = "") -> Column:
     return F.nullif(given, F.lit(""))
 
 
-@F.arrow_udf(StringType())
-def html_text(pages: pa.Array) -> pa.Array:
-    """The visible text of pages."""
-    return pa.array([markup.html_text(p) for p in pages.to_pylist()], pa.string())
+def html_text(pages: Column, open_references: bool = True) -> Column:
+    """The visible text of pages, as ``markup.html_text`` gives it."""
+
+    @F.arrow_udf(StringType())
+    def run(found: pa.Array) -> pa.Array:
+        return pa.array([markup.html_text(p, open_references) for p in found.to_pylist()], pa.string())
+
+    return run(pages)
 
 
 @F.arrow_udf(ArrayType(StructType([StructField("section", StringType()), StructField("text", StringType())])))

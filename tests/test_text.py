@@ -99,3 +99,17 @@ def test_csv_prose():
     assert files.csv_prose("a\n1\n2\n", most=1) == "a: 1."
     with pytest.raises(ValueError):
         files.csv_prose("a\n1,2\n")
+
+
+def test_html_text_equals_its_sql_where_references_are_cut_off(spark, tmp_path):
+    import duckdb
+
+    from millrace.plans import queries as plans
+
+    pages = ["<title>x&amp</title></head><h1>one&amp;&amp</h1><p>two &copy three &lt;b&gt; &amp;amp; a & b &", "<p>&copy; R&D &middot;</p>&amp", "<script>a &amp b</script>c&ampd"]
+    spark.createDataFrame(list(enumerate(pages)), "page_id long, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    found = {r["page_id"]: r["text"] for r in plans.html_text(spark, str(tmp_path)).collect()}
+    with duckdb.connect() as db:
+        db.execute(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
+        assert found == dict(db.execute(plans.ORACLES["html_text"]).fetchall())
+    assert markup.html_text("one&amp;&amp</h1>") == "one&&"
