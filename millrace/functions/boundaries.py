@@ -31,13 +31,15 @@ def kind(token: Column) -> Column:
 
 
 def occurrences(docs: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
-    """A row per token: ``lang``, ``type``, ``dot``, ``mark`` (``.``, ``!`` or ``?`` at its end, else null), ``next`` (type of the next token of the document)."""
+    """Tokens as written and how often each occurs: ``lang``, ``w``, ``after`` (the next token of the document, for tokens with a sentence mark in them alone), ``n``.
+
+    What the patterns make of a token is worked out for these rows, once a different token or pair, not once an occurrence.
+    """
     words = F.filter(F.split(F.coalesce(F.col(text), F.lit("")), f"{T.SPACE}+"), lambda w: w != "")
     made = docs.select(F.coalesce(lang, F.lit("")).alias("lang"), F.explode(F.array(words)).alias("w"))
-    known = made.select("lang", "w", F.explode(F.array(F.transform("w", bare))).alias("b"))
-    rows = known.select("lang", F.posexplode(F.arrays_zip(F.col("w").alias("w"), F.col("b").alias("b"), F.slice("b", 2, F.size("b")).alias("after"))).alias("at", "t"))
-    mark = F.regexp_extract("t.w", r"([.!?])[^\p{L}\p{N}.!?]*$", 1)
-    return rows.select("lang", kind(F.col("t.b")).alias("type"), F.col("t.b").endswith(".").alias("dot"), F.nullif(mark, F.lit("")).alias("mark"), kind(F.col("t.after")).alias("next")).where("type <> ''")
+    marked = lambda w: w.contains(".") | w.contains("!") | w.contains("?")
+    known = made.select("lang", F.explode(F.transform("w", lambda w, i: F.struct(w.alias("w"), F.when(marked(w), F.get("w", i + 1)).alias("after")))).alias("t"))
+    return known.groupBy("lang", F.col("t.w").alias("w"), F.col("t.after").alias("after")).agg(F.count("*").alias("n"))
 
 
 def log_share(k: Column, n: Column, p: Column) -> Column:
@@ -53,12 +55,21 @@ def likelihood(c1: Column, c2: Column, c12: Column, n: Column) -> Column:
 
 
 def type_counts(rows: DataFrame) -> DataFrame:
-    """``lang``, ``type``, ``dots`` (times with a period), ``n`` (times in all), ``words`` and ``periods`` of the language."""
-    counts = rows.groupBy("lang", "type").agg(F.count_if("dot").alias("dots"), F.count("*").alias("n"))
+    """Of ``occurrences``: ``lang``, ``type``, ``dots`` (times with a period), ``n`` (times in all), ``words`` and ``periods`` of the language."""
+    tokens = rows.groupBy("lang", "w").agg(F.sum("n").alias("n")).select("lang", "n", F.explode(F.array(bare(F.col("w")))).alias("b"))
+    typed = tokens.select("lang", "n", kind(F.col("b")).alias("type"), F.col("b").endswith(".").alias("dot")).where("type <> ''")
+    counts = typed.groupBy("lang", "type").agg(F.sum(F.when(F.col("dot"), F.col("n")).otherwise(0)).alias("dots"), F.sum("n").alias("n"))
     whole = counts.groupBy("lang").agg(F.sum("n").alias("words"), F.sum("dots").alias("periods"))
     return counts.join(F.broadcast(whole), "lang")
 
 
+def mark_pairs(rows: DataFrame) -> DataFrame:
+    """Of ``occurrences``, the pairs around a sentence mark: ``lang``, ``mark`` (``.``, ``!`` or ``?`` at the first one's end), ``type``, ``next``, ``n``."""
+    mark = F.nullif(F.regexp_extract("w", r"([.!?])[^\p{L}\p{N}.!?]*$", 1), F.lit(""))
+    found = rows.where("after is not null").select("lang", "n", mark.alias("mark"), kind(bare(F.col("w"))).alias("type"), kind(bare(F.col("after"))).alias("next"))
+    return found.where("mark is not null and type <> '' and next <> ''").groupBy("lang", "mark", "type", "next").agg(F.sum("n").alias("n"))
+
+
 def abbreviations(counts: DataFrame) -> DataFrame:
     """Types that stand before a period far more often than chance: ``lang``, ``term``, ``score``.
 
@@ -76,15 +87,15 @@ def abbreviations(counts: DataFrame) -> DataFrame:
 def learn(docs: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
     """The model of a corpus: ``lang``, ``kind`` (``abbreviation``, ``starter``, ``collocation``), ``term``, ``other`` (of a collocation), ``score``.
 
-    Two grouped counts over all tokens, the second of the pairs around sentence marks alone; both, a row per type and per
-    pair, are kept in the shared folder. A starter follows the end of
+    One grouped count over all tokens as written, and from it those of types and of the pairs around sentence marks; all
+    are kept in the shared folder. A starter follows the end of
     a sentence far more often than chance, ends after abbreviations, initials and numbers aside; a collocation is a pair
     with a period between, the first an abbreviation, an initial or a number. A null language is one of its own (empty).
     """
-    rows = occurrences(docs, text, lang)
+    rows = kept(occurrences(docs, text, lang))
     counts = kept(type_counts(rows))
     short = kept(abbreviations(counts))
-    pairs = kept(rows.where("mark is not null and next <> ''").groupBy("lang", "mark", "type", "next").agg(F.count("*").alias("n")))
+    pairs = kept(mark_pairs(rows))
     marked = pairs.join(short.select("lang", F.col("term").alias("type"), F.lit(True).alias("short")), ["lang", "type"], "left")
     loose = F.coalesce("short", F.lit(False)) | (F.char_length("type") == 1) | (F.col("type") == NUMBER)
     known = counts.select("lang", F.col("type").alias("next"), F.col("n").alias("c2"), "words")
@@ -123,15 +134,24 @@ def cut(text: Column, abbreviations_: Column, starters: Column, collocations: Co
     pieces = F.split(F.coalesce(text, F.lit("")), rf"(?<=[.!?])(?={T.SPACE})", -1)
     has = lambda array, x: F.coalesce(F.array_contains(array, x), F.lit(False))
 
-    def boundary(before: Column, after: Column) -> Column:
-        last = bare(F.regexp_extract(before, r"(?U)(\S+)$", 1))
+    let = lambda value, body: F.get(F.transform(F.array(value), body), 0)
+
+    def held(last: Column, after: Column) -> Column:
         word = F.regexp_extract(after, r"(?U)^\s*(\S+)", 1)
-        first, type_ = kind(bare(word)), kind(last)
-        upper = word.rlike(r"^[^\p{L}\p{N}]*\p{Lu}")
-        held = F.when(has(collocations, F.concat(type_, F.lit(" "), first)), True)
-        held = held.when(has(abbreviations_, type_) | type_.rlike(r"^\p{L}$"), ~(upper & has(starters, first)))
-        held = held.when(type_ == NUMBER, word.rlike(r"^[^\p{L}\p{N}]*\p{Ll}")).otherwise(False)
-        return ~last.endswith(".") | ~held
+
+        def found(x: Column) -> Column:
+            type_, word, first = x["type"], x["word"], x["first"]
+            upper = word.rlike(r"^[^\p{L}\p{N}]*\p{Lu}")
+            out = F.when(has(collocations, F.concat(type_, F.lit(" "), first)), True)
+            out = out.when(has(abbreviations_, type_) | type_.rlike(r"^\p{L}$"), ~(upper & has(starters, first)))
+            return out.when(type_ == NUMBER, word.rlike(r"^[^\p{L}\p{N}]*\p{Ll}")).otherwise(False)
+
+        return let(word, lambda w: let(F.struct(kind(last).alias("type"), w.alias("word"), kind(bare(w)).alias("first")), found))
+
+    def boundary(before: Column, after: Column) -> Column:
+        # No token reaches over a space: what the pattern looks through is short.
+        last = bare(F.regexp_extract(F.substring_index(before, " ", -1), r"(?U)(\S+)$", 1))
+        return let(last, lambda x: F.when(x.endswith("."), ~held(x, after)).otherwise(True))
 
     def joined(p: Column) -> Column:
         starts = F.filter(F.sequence(F.lit(0), F.size(p) - 1), lambda i: (i == 0) | boundary(F.get(p, i - 1), F.get(p, i)))

@@ -132,3 +132,9 @@ def test_no_texts_and_models_that_are_not_sent(spark, corpus, model):
     assert rows(B.sentences(corpus, model)) == rows(B.sentences(corpus, model, broadcast_terms=0))
     odd = corpus.withColumns({c: F.lit("x") for c in ("abbreviation", "kind", "term", "type")})
     assert rows(B.sentences(odd, B.learn(odd))) == rows(B.sentences(corpus, model))
+
+
+def test_patterns_are_worked_out_once_a_different_token(spark):
+    rows = spark.createDataFrame([("the cat sat. The dog!", "en")] * 300, "text string, lang string").repartition(3)
+    found = {(r["w"], r["after"]): r["n"] for r in B.occurrences(rows).collect()}
+    assert found == {("the", None): 300, ("cat", None): 300, ("sat.", "The"): 300, ("The", None): 300, ("dog!", None): 300}
