@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -50,22 +51,24 @@ def contexts(sents: Column, buffer: int = 1) -> Column:
 
 @F.arrow_udf(RANGES)
 def budget_ranges(counts: pa.Array, most: pa.Array, overlap: pa.Array) -> pa.Array:
-    out = []
-    for row, budget, shared in zip(counts.to_pylist(), most.to_pylist(), overlap.to_pylist()):
-        ranges, i, n = [], 0, len(row or ())
+    starts, stops, ends = array("i"), array("i"), array("i", [0])
+    for cell, budget, shared in zip(counts, most.to_pylist(), overlap.to_pylist()):
+        row = cell.as_py() or []
+        i, n = 0, len(row)
         while i < n:
             j, used = i + 1, row[i]
             while j < n and used + row[j] <= budget:
                 used += row[j]
                 j += 1
-            ranges.append({"start": i, "stop": j})
+            starts.append(i)
+            stops.append(j)
             k, back = j, 0
             while k - 1 > i and back + row[k - 1] <= shared:
                 k -= 1
                 back += row[k]
             i = k if shared > 0 else j
-        out.append(ranges)
-    return pa.array(out, pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())])))
+        ends.append(len(starts))
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays([pa.array(starts, pa.int32()), pa.array(stops, pa.int32())], names=["start", "stop"]))
 
 
 def token_chunks(sents: Column, most: int = 512, overlap: int = 50, count: Callable[[Column], Column] = T.token_estimate, drop_tail_repeats: bool = False, counts: Callable[[Column], Column] | None = None) -> Column:
@@ -130,16 +133,20 @@ def context_distances(found: Column, make: Callable[[], V.Embedder] = V.HashEmbe
     def run(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
         embedder = make()
         for column in columns:
-            ends, texts = np.cumsum([len(c or ()) for c in column.to_pylist()]), column.flatten().to_pylist()
-            vectors = np.array([v for i in range(0, len(texts), batch) for v in embedder(texts[i : i + batch])], float)
-            out: list = []
-            if len(vectors):
+            ends, texts = np.cumsum(column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)), column.flatten()
+            out, last = np.full(len(texts), np.nan), None
+            # Only a batch of texts and vectors is held as Python objects, and the vector before it.
+            for i in range(0, len(texts), batch):
+                made = np.asarray(embedder([t or "" for t in texts.slice(i, batch).to_pylist()]), float)
+                vectors = made if last is None else np.concatenate([last, made])
                 length = np.linalg.norm(vectors, axis=1)
                 length[length == 0] = V.TINY
-                out = (1 - np.einsum("ij,ij->i", vectors[:-1], vectors[1:]) / (length[:-1] * length[1:])).tolist() + [None]
-            for end in ends[ends > 0].tolist():
-                out[end - 1] = None
-            yield pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), pa.array(out, pa.float64()))
+                at = i + len(made) - len(vectors)
+                out[at : i + len(made) - 1] = 1 - np.einsum("ij,ij->i", vectors[:-1], vectors[1:]) / (length[:-1] * length[1:])
+                last = made[-1:]
+            closing = np.zeros(len(texts), bool)
+            closing[ends[ends > 0] - 1] = True
+            yield pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), pa.array(out, pa.float64(), mask=closing))
 
     return run(found)
 

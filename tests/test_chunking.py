@@ -101,3 +101,32 @@ def test_ordered_distances_spread_one_id_over_partitions(spark, parts):
     assert sorted(map(repr, want.collect())) == sorted(map(repr, (found.drop("task").select("label", "pos", "distance").collect())))
     assert len({r["task"] for r in got if r["label"] == 0}) >= min(parts, 2)
     assert C.ordered_distances(rows.limit(0), "label", "pos").count() == 0
+
+
+def held(monkeypatch, module, make, columns):
+    """What the Arrow function that ``make`` defines gives for columns, and the most bytes that Python and numpy hold meanwhile."""
+    import tracemalloc
+
+    grabbed = []
+    with monkeypatch.context() as m:
+        m.setattr(module.F, "arrow_udf", lambda kind: lambda f: grabbed.append(f) or (lambda *_: None))
+        make()
+    tracemalloc.start()
+    found = list(grabbed[0](iter(columns)))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    return found[0], peak
+
+
+def test_distances_of_a_batch_are_made_a_few_texts_at_a_time(monkeypatch):
+    import numpy as np
+    import pyarrow as pa
+
+    rows = [[f"w{i} v{k % 7} u{i % k}" for k in range(1, n + 1)] for i, n in enumerate([0, 1, 150, 64, 65, 2])]
+    found, _ = held(monkeypatch, C, lambda: C.context_distances(None), [pa.array([*rows, None])])
+    for s, d in zip([*rows, []], found.to_pylist()):
+        v = np.array(V.HashEmbedder()(s)).reshape(len(s), 64)
+        assert d == pytest.approx([1 - float(v[k] @ v[k + 1]) for k in range(len(s) - 1)] + [None] * bool(s))
+    many = pa.array([[f"{i} {k} " * 20 for k in range(100)] for i in range(200)])
+    _, peak = held(monkeypatch, C, lambda: C.context_distances(None, lambda: lambda texts: np.ones((len(texts), 64))), [many])
+    assert peak < 2_000_000
