@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+from array import array
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -24,7 +25,7 @@ def encoding(path: str, pattern: str):
     return KEPT[path]
 
 
-def exact_counts(find: Callable[[], tuple[str, str]], most: int = 2_000_000) -> Callable[[Column], Column]:
+def exact_counts(find: Callable[[], tuple[str, str]], most: int = 200_000) -> Callable[[Column], Column]:
     """Counts the tokens of each text of an array column, exactly as the encoding splits that text.
 
     find: called on the executors, gives the file of ranks and the pattern that splits texts into words. Texts are encoded
@@ -37,14 +38,15 @@ def exact_counts(find: Callable[[], tuple[str, str]], most: int = 2_000_000) ->
         def run(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
             known = encoding(*find())
             for column in columns:
-                sizes, held, waiting = [], 0, []
-                for text in column.flatten().to_pylist():
-                    waiting.append(text or "")
-                    held += len(waiting[-1])
-                    if held >= most:
-                        sizes += map(len, known.encode_ordinary_batch(waiting, num_threads=1))
-                        held, waiting = 0, []
-                sizes += map(len, known.encode_ordinary_batch(waiting, num_threads=1))
+                sizes, held, waiting, texts = array("i"), 0, [], column.flatten()
+                for at in range(0, len(texts), 1000):
+                    for text in texts.slice(at, 1000).to_pylist():
+                        waiting.append(text or "")
+                        held += len(waiting[-1])
+                        if held >= most:
+                            sizes.extend(map(len, known.encode_ordinary_batch(waiting, num_threads=1)))
+                            held, waiting = 0, []
+                sizes.extend(map(len, known.encode_ordinary_batch(waiting, num_threads=1)))
                 ends = pa.array([0, *column.value_lengths().fill_null(0).to_pylist()], pa.int64()).to_numpy().cumsum()
                 yield pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(sizes, pa.int32()))
 

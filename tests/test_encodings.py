@@ -69,3 +69,18 @@ def test_refresh_counts_exactly(spark, tmp_path):
     count = public()
     documents = [r["document"] for r in store.chunks("c").orderBy("chunk_id").collect()]
     assert len(documents) > 1 and all(count(t) <= 8 + 2 for t in documents)
+
+
+def test_a_batch_is_encoded_a_few_texts_at_a_time(monkeypatch):
+    import types
+
+    import pyarrow as pa
+
+    from millrace.functions import encodings
+    from tests.test_chunking import held
+
+    monkeypatch.setattr(encodings, "encoding", lambda *_: types.SimpleNamespace(encode_ordinary_batch=lambda texts, num_threads: [t.split() for t in texts]))
+    monkeypatch.setattr(encodings.F, "when", lambda *_: None)
+    texts = pa.array([[f"{i} {k} " * 20 for k in range(100)] for i in range(200)])
+    found, peak = held(monkeypatch, encodings, lambda: encodings.exact_counts(lambda: ("", ""))(types.SimpleNamespace(isNotNull=lambda: None)), [texts])
+    assert found.to_pylist() == [[40] * 100] * 200 and peak < 4_000_000
