@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 from millrace.operators.ordering import kept, numbered
 
 BLOCK, QUERIES, DEAL = 256, 128, 16
+#: Rows of a query and a cell that are laid out at a time.
+REACHED = 10_000
 
 
 def matrix(column: pa.Array) -> np.ndarray:
@@ -115,7 +117,7 @@ class VectorCells:
                     far = np.sqrt(squares(matrix(part.column("vec")), centres))
                     far[:, count == 0] = np.inf
                     least = part.column("least").to_numpy(zero_copy_only=False)
-                    rows, cells = [], []
+                    rows, cells, held = [], [], 0
                     for k in range(part.num_rows):
                         if np.isnan(least[k]):
                             order = far[k].argsort(kind="stable")
@@ -126,10 +128,17 @@ class VectorCells:
                             near = np.flatnonzero(far[k] - radius <= np.sqrt(least[k]) * (1 + 1e-9) + 1e-9)
                         rows.append(np.repeat(k, deals[near].sum()))
                         cells.append(np.repeat(near, deals[near]))
-                    row, cell = np.concatenate(rows), np.concatenate(cells)
-                    deal = dealt(cell, row)
-                    taken = part.take(pa.array(row))
-                    yield pa.RecordBatch.from_arrays([*taken.columns, pa.array(cell, pa.int32()), pa.array(deal, pa.int32())], names=[*part.schema.names, "cell", "deal"])
+                        held += len(rows[-1])
+                        # A query may reach every cell: its vector is repeated for a few queries at a time.
+                        if held >= REACHED or k == part.num_rows - 1:
+                            yield from laid(part, np.concatenate(rows), np.concatenate(cells))
+                            rows, cells, held = [], [], 0
+
+        def laid(part: pa.RecordBatch, row: np.ndarray, cell: np.ndarray) -> Iterator[pa.RecordBatch]:
+            deal = dealt(cell, row)
+            for at in range(0, len(row), REACHED):
+                taken = part.take(pa.array(row[at : at + REACHED]))
+                yield pa.RecordBatch.from_arrays([*taken.columns, pa.array(cell[at : at + REACHED], pa.int32()), pa.array(deal[at : at + REACHED], pa.int32())], names=[*part.schema.names, "cell", "deal"])
 
         def dealt(cell: np.ndarray, row: np.ndarray) -> np.ndarray:
             """0, 1, … within each stretch of one cell of one query."""

@@ -93,3 +93,28 @@ def test_copies_ties_nulls_and_few_rows(spark):
     assert found(none.nearest(asked(spark, [[1.5]]), 5)) == {}
     nulls = spark.createDataFrame([(1, None), (2, [1.0])], "query_id long, query_vec array<float>")
     assert set(found(few.nearest(nulls, 1))) == {(2, 0)}
+
+
+def test_what_reaches_every_cell_is_laid_out_in_bounded_batches(spark, monkeypatch):
+    import numpy as np
+
+    from millrace.operators import cells
+
+    monkeypatch.setattr(cells, "REACHED", 100)
+    index = object.__new__(cells.VectorCells)
+    index.centres, index.n, index.radius, index.deals = np.random.default_rng(1).normal(size=(40, 4)), np.full(40, 9), np.full(40, 9.0), np.array([3] + [1] * 39)
+    asked, batches = [(k, [float(k), 0.0, 0.0, 1.0], 1e9) for k in range(50)], []
+
+    class Rows:
+        dtypes = [("query", "bigint"), ("vec", "array<double>"), ("least", "double")]
+
+        def mapInArrow(self, run, schema):
+            import pyarrow as pa
+
+            frame = pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*asked)], names=["query", "vec", "least"])
+            batches.extend(run([frame]))
+
+    index.reached(Rows(), 5, 2)
+    assert max(b.num_rows for b in batches) <= 100
+    found = sorted((q, c, d) for b in batches for q, c, d in zip(*[b.column(x).to_pylist() for x in ("query", "cell", "deal")]))
+    assert found == sorted((k, c, d) for k in range(50) for c in range(40) for d in range(index.deals[c]))
