@@ -72,11 +72,12 @@ def build_chunks(records: DataFrame, settings: Settings, collection: str, now: C
 
 
 def chunk_rows(records: DataFrame, settings: Settings, collection: str, now: Column, make: Callable[[], V.Embedder] = V.HashEmbedder, urls: DataFrame | None = None, counts: Callable[[Column], Column] | None = None) -> DataFrame:
-    """Chunks, without vectors, of sentence ``records`` (``path``, ``idx``, ``text``, ``page_number``, ``section_title``).
+    """Chunks, without vectors, of sentence ``records`` (``path``, ``idx``, ``text``, ``page_number``, ``section_title``), or of files with theirs as arrays (``path``, ``records``).
 
     urls: ``path``, ``source_url``. Ids are made of the whole path, so files of one name in two folders stay apart.
     """
-    packed = records.groupBy("path").agg(F.sort_array(F.collect_list(F.struct("idx", "text", "page_number", "section_title"))).alias("records"))
+    whole = "records" in records.columns
+    packed = records.where(F.size("records") > 0) if whole else records.groupBy("path").agg(F.sort_array(F.collect_list(F.struct("idx", "text", "page_number", "section_title"))).alias("records"))
     docs = packed.select("path", F.transform("records", lambda r: r["text"]).alias("sentences"), "records")
     s = settings
     if s.chunking_method == "semantic":
@@ -215,7 +216,7 @@ def refresh(store: Store, files: DataFrame, read: Callable[[DataFrame], DataFram
     which those of ``settings.data_language`` hold. counts: exact token counts by the encoding ``settings.token_encoding``.
     cache: chunks take their vectors from it, by its model, and only texts that it does not know are embedded.
     """
-    from millrace.sources.files import sentence_records
+    from millrace.sources.files import sentence_arrays
 
     at = F.lit(now or datetime.now(UTC))
     config, since = F.lit(fingerprint(settings)), store.now()
@@ -241,7 +242,7 @@ def refresh(store: Store, files: DataFrame, read: Callable[[DataFrame], DataFram
         summary["failed"] += n
     done = todo.join(failed, "path", "left_anti").select(F.lit(collection).alias("collection"), "path", "hash")
     cut = T.sentences if model is None else boundaries.rule(model, settings.data_language)
-    records, made = sentence_records(blocks, cut), None
+    records, made = sentence_arrays(blocks, cut), None
     if cache is None:
         new = build_chunks(records, settings, collection, at, make, urls, counts)
     else:

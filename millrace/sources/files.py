@@ -128,10 +128,14 @@ def sentence_records(blocks: DataFrame, sentences: Callable[[Column], Column] =
 
     sentences: cuts a block (``boundaries.rule`` gives the one of a language learnt from a corpus).
     """
+    return sentence_arrays(blocks, sentences).select("path", F.posexplode("records").alias("idx", "r")).select("path", "idx", "r.text", "r.page_number", "r.section_title")
+
+
+def sentence_arrays(blocks: DataFrame, sentences: Callable[[Column], Column] = T.sentences) -> DataFrame:
+    """A row per file with the sentences of ``sentence_records`` in order: ``path``, ``records`` (``text``, ``page_number``, ``section_title``)."""
     per = F.when(F.col("kind") == "split", sentences(F.col("block"))).otherwise(F.filter(F.array("block"), lambda b: ~T.is_blank(b)))
     rows = blocks.where("kind <> 'error'").select("path", "pos", F.transform(per, lambda s: F.struct(s.alias("text"), F.col("page_number"), F.col("section_title"))).alias("records"))
-    files = rows.groupBy("path").agg(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("pos", "records"))), lambda r: r["records"])).alias("records"))
-    return files.select("path", F.posexplode("records").alias("idx", "r")).select("path", "idx", "r.text", "r.page_number", "r.section_title")
+    return rows.groupBy("path").agg(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("pos", "records"))), lambda r: r["records"])).alias("records"))
 
 
 def sidecars(spark: SparkSession, root: str) -> DataFrame:

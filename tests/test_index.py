@@ -131,3 +131,17 @@ def test_settings():
     assert resolve(None, True) and not resolve(False, True)
     assert [result_count(x) for x in (None, 0, "7", "x", -3)] == [5, 1, 7, 5, 1]
     assert index.fingerprint(Settings()) != index.fingerprint(Settings(embedding_model="other"))
+
+
+def test_files_become_chunks_without_their_sentences_being_shuffled_again(spark):
+    from millrace.config import Settings
+    from millrace.operators import index
+    from millrace.sources import files as S
+
+    made = spark.createDataFrame([("a.txt", bytearray(b"One. Two! Three? Four.")), ("b.md", bytearray(b"# H\n\nFive. Six.\n\n- Seven.\n")), ("c.txt", bytearray(b" \n"))], "path string, content binary")
+    blocks, now = S.read_blocks(made), F.lit("2024-01-02").cast("timestamp")
+    rows = lambda records: index.chunk_rows(records, Settings(chunk_size=2, overlap_size=1), "c", now)
+    whole = rows(S.sentence_arrays(blocks))
+    assert sorted(map(tuple, whole.collect()), key=str) == sorted(map(tuple, rows(S.sentence_records(blocks)).collect()), key=str) and whole.count() == 7
+    plan = whole._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Aggregate") == 1 and "explode" not in plan
