@@ -13,11 +13,11 @@ from pyspark.sql import functions as F
 
 from millrace.functions import text as T
 from millrace.functions import vectors as V
-from millrace.operators.keywords import B, EPSILON, K1
+from millrace.operators.keywords import B, DENSE, EPSILON, K1, PAIRS, Weights
 from millrace.operators.ordering import kept
 
-#: Scores held at once; products of single entries made at once; a term is dense where one in so many pairs of query and document has it.
-CELLS, PAIRS, DENSE = 2_000_000, 2_000_000, 50
+#: Scores held at once.
+CELLS = 2_000_000
 
 
 def candidate_count(n: int, multiplier: int, stored: int) -> int:
@@ -118,46 +118,17 @@ def scored_in_batches(asked: DataFrame, queries: DataFrame, docs: DataFrame, n:
     docs: ``id``, ``ord``, ``tokens``. A slice of documents and the block are two sparse matrices; terms that most of both
     have are multiplied as dense ones. No score leaves the task but those of its best, documents that score 0 included.
     """
-    met, known = asked.toArrow(), queries.toArrow().column(0).combine_chunks()
-    coded = met.column("term").combine_chunks().dictionary_encode()
-    vocabulary, term = coded.dictionary, coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-    by_term = np.argsort(term, kind="stable")
-    ask = pc.index_in(met.column("query_id").combine_chunks(), value_set=known).to_numpy(zero_copy_only=False)[by_term].astype(np.int64)
-    weight = met.column("weight").to_numpy()[by_term]
-    begin = np.searchsorted(term[by_term], np.arange(len(vocabulary) + 1))
-    cells, pairs, dense_from = CELLS, PAIRS, DENSE
+    known = queries.toArrow().column(0).combine_chunks()
+    weights, cells = Weights(asked, known, PAIRS, DENSE), CELLS
 
     def scores(tokens: pa.Array) -> np.ndarray:
         """Of each query and document of a slice."""
         size = tokens.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
-        out = np.zeros((len(known), len(size)))
-        found = pc.index_in(tokens.flatten(), value_set=vocabulary)
-        held = found.is_valid().to_numpy(zero_copy_only=False)
-        code, doc = found.drop_null().to_numpy().astype(np.int64), np.repeat(np.arange(len(size)), size)[held]
+        code, doc = weights.code(tokens.flatten()), np.repeat(np.arange(len(size)), size)
+        code, doc = code[code >= 0], doc[code >= 0]
         key, tf = np.unique(code * len(size) + doc, return_counts=True)
         code, doc = key // max(1, len(size)), key % max(1, len(size))
-        part = tf * (K1 + 1) / (tf + K1 * (1 - B + B * size[doc] / avgdl))
-        times = begin[code + 1] - begin[code]
-        terms, count = np.unique(code, return_counts=True)
-        dense = terms[count * (begin[terms + 1] - begin[terms]) * dense_from > out.size]
-        if len(dense):
-            place = np.full(len(vocabulary), -1)
-            place[dense] = np.arange(len(dense))
-            left, right = np.zeros((len(known), len(dense))), np.zeros((len(dense), len(size)))
-            for at in dense:
-                left[ask[begin[at] : begin[at + 1]], place[at]] = weight[begin[at] : begin[at + 1]]
-            thick = place[code] >= 0
-            right[place[code[thick]], doc[thick]] = part[thick]
-            out = left @ right
-            code, doc, part, times = code[~thick], doc[~thick], part[~thick], times[~thick]
-        flat, upto = out.reshape(-1), np.cumsum(times)
-        at = 0
-        while at < len(code):
-            stop = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + pairs, "right")))
-            n_ = times[at:stop]
-            entry = np.repeat(begin[code[at:stop]] - (np.cumsum(n_) - n_), n_) + np.arange(n_.sum())
-            np.add.at(flat, ask[entry] * len(size) + np.repeat(doc[at:stop], n_), weight[entry] * np.repeat(part[at:stop], n_))
-            at = stop
+        out = weights.added(code, doc, tf * (K1 + 1) / (tf + K1 * (1 - B + B * size[doc] / avgdl)), len(size))
         return out if places is None else np.round(out, places)
 
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

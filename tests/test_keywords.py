@@ -168,3 +168,41 @@ def test_no_documents(spark, tmp_path):
     store.upsert(chunk(spark, []))
     queries = spark.createDataFrame([(1, "x")], "query_id long, query string")
     assert store.keywords("c").top(queries, 3).collect() == []
+
+
+def test_rare_terms_of_a_cell_share_rows(spark, tmp_path):
+    """Rows are as many as slots and frequent terms of the cells, not as terms: a term that few documents have is no row of its own."""
+    rows = [(f"d{i:03}", " ".join(["common", f"often{i % 2}", *[f"t{i}x{k}" for k in range(100)]])) for i in range(200)]
+    store = index.Store(spark, str(tmp_path / "store"), indexed=True)
+    store.upsert(chunk(spark, rows))
+    stored = store.log.read("postings").where("bucket >= 0")
+    cells = store.log.read("postings").where("bucket = -1").count()
+    assert stored.select(F.explode("terms").alias("t")).distinct().count() == 20003 and stored.count() <= cells * (keywords.SLOTS + 3)
+    assert {r["term"] for r in stored.where("term is not null").collect()} <= {"common", "often0", "often1"}
+    found = store.keywords("c").top(spark.createDataFrame([(1, "t7x3 often0"), (2, "T9X99")], "query_id long, query string"), 2, places=9).collect()
+    want = {1: okapi(rows, "t7x3 often0"), 2: okapi(rows, "t9x99")}
+    assert sorted((r["query_id"], r["rank"], r["id"]) for r in found) == sorted((k, n, i) for k, w in want.items() for n, i in enumerate(sorted(w, key=lambda i: (-round(w[i], 9), i))[:2]))
+
+
+def test_a_list_is_shuffled_once_for_all_queries(spark, changed):
+    """Lists meet by cell, whatever the number of queries, and blocks of queries give what all together do."""
+    store, _, words = changed
+    index_ = store.keywords("c")
+    queries = spark.createDataFrame(ask(spark, random.Random(8), words), "query_id long, query string")
+    asked = index_.weighed(queries, "query_id", "query")
+    cells = index_.bounds(asked)
+    whole = index_.scores(asked, cells, 5, 9)
+    assert "hashpartitioning(query_id" not in whole._jdf.queryExecution().executedPlan().toString().split("MapInArrow")[1].split("bucket#")[0]
+    rows = lambda df: sorted(map(tuple, df.collect()))
+    assert rows(whole) == rows(index_.scores(asked, cells, 5, 9, block_rows=4)) and whole.count()
+
+
+def test_words_are_the_search_tokens(spark):
+    import pyarrow as pa
+
+    texts = [" a  b ", None, "", "\t", "x y z\x1fq　", "Aİ ΣΣ", "a​b﻿ c᠎d"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "n int, t string")
+    lowered = [r["t"] for r in docs.orderBy("n").select(F.lower("t").alias("t")).collect()]
+    want = [r["t"] for r in docs.orderBy("n").select(keywords.T.tokens(F.col("t")).alias("t")).collect()]
+    flat, size = keywords.words(pa.array(lowered, pa.string()))
+    assert size.tolist() == [len(w) for w in want] and flat.to_pylist() == [t for w in want for t in w]
