@@ -159,8 +159,8 @@ class Store:
             stored = empty if chunks is None else change.add("chunks", chunks)
             gone = None
             if removed is not None and since.parts:
-                change.remove("id", removed)
-                gone = self.chunks(version=since).join(removed.select("collection", "id").distinct(), ["collection", "id"], "left_semi")
+                keys = change.remove("id", removed)
+                gone = self.chunks(version=since).join(keys, ["collection", "id"], "left_semi")
             if self.indexed:
                 keywords.update(change, stored, gone)
             if replaced is not None and since.parts:

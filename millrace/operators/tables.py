@@ -253,9 +253,12 @@ class Change:
         part = self.put(name, rows.select(*table.columns), table.folders)
         return self.log.rows([part] if part else [], name, table.schema).select(*table.columns)
 
-    def remove(self, kind: str, keys: DataFrame) -> None:
-        """Removes, of all tables that the kind applies to, the rows of these keys that were there before this change."""
-        self.put(f"removed_{kind}", keys.select(*self.log.kinds[kind]).distinct(), ())
+    def remove(self, kind: str, keys: DataFrame) -> DataFrame:
+        """Removes, of all tables that the kind applies to, the rows of these keys that were there before this change; gives the keys as stored, to be sent to rows if they are few."""
+        found = keys.select(*self.log.kinds[kind]).distinct()
+        part = self.put(f"removed_{kind}", found, ())
+        stored = self.log.rows([part] if part else [], f"removed_{kind}", ", ".join(f"{c} {t}" for c, t in found.dtypes)).select(*found.columns)
+        return F.broadcast(stored) if (part or {"bytes": 0})["bytes"] <= self.log.broadcast_bytes else stored
 
     def clear(self, collection: str) -> None:
         """Removes all rows of a collection that were there before this change; nothing is written for it."""

@@ -206,3 +206,17 @@ def test_words_are_the_search_tokens(spark):
     want = [r["t"] for r in docs.orderBy("n").select(keywords.T.tokens(F.col("t")).alias("t")).collect()]
     flat, size = keywords.words(pa.array(lowered, pa.string()))
     assert size.tolist() == [len(w) for w in want] and flat.to_pylist() == [t for w in want for t in w]
+
+
+def test_texts_are_not_shuffled_for_a_few_removals(spark, tmp_path, monkeypatch):
+    store = index.Store(spark, str(tmp_path / "store"), indexed=True)
+    store.upsert(chunk(spark, [(f"d{i}", f"x y{i}") for i in range(20)]))
+    plans, made = [], keywords.built
+    monkeypatch.setattr(keywords, "built", lambda chunks, *a: plans.append(chunks._jdf.queryExecution().sparkPlan().toString()) or made(chunks, *a))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        store.delete(spark.createDataFrame([("c", "d3"), ("c", "none")], "collection string, id string"))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "BroadcastHashJoin" in plans[-1] and "SortMergeJoin" not in plans[-1]
+    assert sorted(r["id"] for r in store.keywords("c").ids().collect()) == sorted(f"d{i}" for i in range(20) if i != 3)
