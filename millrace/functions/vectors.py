@@ -63,6 +63,34 @@ def distances(query: np.ndarray, vectors: np.ndarray, metric: str = "l2") -> np.
     raise ValueError(f"unknown metric: {metric}")
 
 
+def paired_distances(queries: np.ndarray, vectors: np.ndarray, metric: str = "l2") -> np.ndarray:
+    """The distance of each row to the row of the same number."""
+    if metric == "l2":
+        return ((vectors - queries) ** 2).sum(axis=1)
+    inner = np.einsum("ij,ij->i", vectors, queries)
+    if metric == "ip":
+        return 1 - inner
+    if metric == "cosine":
+        size = lambda v: np.where(v == 0, TINY, v)
+        return 1 - inner / (size(np.linalg.norm(vectors, axis=1)) * size(np.linalg.norm(queries, axis=1)))
+    raise ValueError(f"unknown metric: {metric}")
+
+
+def all_distances(queries: np.ndarray, vectors: np.ndarray, metric: str = "l2") -> tuple[np.ndarray, np.ndarray]:
+    """About how far all vectors (rows) are from all queries (columns), as one product of matrices, and what it may be wrong by, a number a query."""
+    size, long = np.linalg.norm(queries, axis=1), np.linalg.norm(vectors, axis=1)
+    error = 1e-12 * vectors.shape[1]
+    if metric == "l2":
+        left = np.column_stack([vectors, long**2, np.ones(len(vectors))])
+        return left @ np.column_stack([-2 * queries, np.ones(len(queries)), size**2]).T, error * (size + long.max(initial=0)) ** 2
+    if metric == "ip":
+        return 1 - vectors @ queries.T, error * (1 + size * long.max(initial=0))
+    if metric == "cosine":
+        unit = lambda v, s: v / np.where(s == 0, TINY, s)[:, None]
+        return 1 - unit(vectors, long) @ unit(queries, size).T, np.full(len(queries), 2 * error)
+    raise ValueError(f"unknown metric: {metric}")
+
+
 class HashEmbedder:
     """Feature hashing: each search token counts in the bucket that its MD5 names; vectors have unit length.
 

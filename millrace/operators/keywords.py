@@ -29,7 +29,7 @@ SLICE = 6_000_000
 #: A term that so many documents of a cell have is a row of its own there.
 ALONE = 64
 #: Products of single entries made at once; a term is dense where one in so many pairs of query and document has it.
-PAIRS, DENSE = 2_000_000, 50
+PAIRS, DENSE = 2_000_000, 250
 #: A cell is a group of documents; postings name a document by its place in its cell. Rows of bucket -1 are the cells: the documents' ids and lengths.
 #: Other rows have ``terms`` of a cell: ``n`` documents each, with the greatest count and the least length, from ``start`` in the lists ``at`` and ``tf``.
 POSTINGS = "collection string, bucket int, slot int, term string, cell string, terms array<string>, start array<int>, n array<int>, most array<int>, least array<int>, at array<int>, tf array<int>, ids array<string>, dl array<int>"
@@ -233,34 +233,43 @@ class Weights:
     def added(self, code: np.ndarray, doc: np.ndarray, part: np.ndarray, docs: int) -> np.ndarray:
         """The scores of each query and each of ``docs`` documents, from entries: a term's number, a document's, the part of the weight.
 
-        Both are sparse matrices; terms that most of both have are multiplied as dense ones.
+        Both are sparse matrices; terms that many of both have are multiplied as dense ones. A document's scores lie
+        together and its entries are added up one document after another, so that sums stay near.
         """
-        out = np.zeros((len(self.queries), docs))
+        many = len(self.queries)
         ask, weight, begin = self.ask, self.weight, self.begin
         held = code >= 0
         code, doc, part = code[held], doc[held], part[held]
+        if np.any(doc[1:] < doc[:-1]):
+            by = np.argsort(doc, kind="stable")
+            code, doc, part = code[by], doc[by], part[by]
         times = begin[code + 1] - begin[code]
-        terms, count = np.unique(code, return_counts=True)
-        dense = terms[count * (begin[terms + 1] - begin[terms]) * self.dense > out.size]
+        count = np.bincount(code, minlength=len(self.vocabulary))
+        dense = np.flatnonzero(count * np.diff(begin) * self.dense > docs * many)
         if len(dense):
             place = np.full(len(self.vocabulary), -1)
             place[dense] = np.arange(len(dense))
-            left, right = np.zeros((len(self.queries), len(dense))), np.zeros((len(dense), docs))
-            for at in dense:
-                left[ask[begin[at] : begin[at + 1]], place[at]] = weight[begin[at] : begin[at + 1]]
+            left, right = np.zeros((many, len(dense))), np.zeros((docs, len(dense)))
+            n_ = begin[dense + 1] - begin[dense]
+            its = np.repeat(begin[dense] - (np.cumsum(n_) - n_), n_) + np.arange(n_.sum())
+            left[ask[its], np.repeat(np.arange(len(dense)), n_)] = weight[its]
             thick = place[code] >= 0
-            right[place[code[thick]], doc[thick]] = part[thick]
-            out = left @ right
+            right[doc[thick], place[code[thick]]] = part[thick]
+            out = right @ left.T
             code, doc, part, times = code[~thick], doc[~thick], part[~thick], times[~thick]
+        else:
+            out = np.zeros((docs, many))
         flat, upto = out.reshape(-1), np.cumsum(times)
         at = 0
         while at < len(code):
             stop = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + self.pairs, "right")))
             n_ = times[at:stop]
             entry = np.repeat(begin[code[at:stop]] - (np.cumsum(n_) - n_), n_) + np.arange(n_.sum())
-            np.add.at(flat, ask[entry] * docs + np.repeat(doc[at:stop], n_), weight[entry] * np.repeat(part[at:stop], n_))
+            first, last = doc[at], doc[stop - 1] + 1
+            key = ask[entry] + np.repeat((doc[at:stop] - first) * many, n_)
+            flat[first * many : last * many] += np.bincount(key, weight[entry] * np.repeat(part[at:stop], n_), (last - first) * many)
             at = stop
-        return out
+        return out.T
 
 
 class Keywords:

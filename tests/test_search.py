@@ -157,3 +157,40 @@ def test_what_keyword_search_shuffles_does_not_grow_with_the_pairs(spark):
     weights = spark.createDataFrame([(i, t, 1.0) for i in range(40) for t in "abc"], "query_id long, term string, weight double")
     sent = S.scored_in_batches(weights, asked.select("query_id"), docs.select("id", F.col("id").alias("ord"), F.split("document", " ").alias("tokens")), 3, 4.0, 6)
     assert sent.count() == 40 * 3 * 2
+
+
+def test_texts_are_cut_once_for_all_blocks_of_queries(spark):
+    read = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def seen(text):
+        read.add(1)
+        return text
+
+    docs = spark.range(40).select("id", seen(F.concat(F.lit("a b c"), F.col("id") % 7)).alias("document"))
+    asked = spark.range(12).selectExpr("id AS query_id", "concat('a c', id) AS query")
+    many = S.bm25_top(asked, docs, 3, places=6, block_rows=2).collect()
+    assert read.value == 40
+    assert sorted(map(tuple, many)) == sorted(map(tuple, S.bm25_top(asked, docs, 3, places=6).collect()))
+
+
+@pytest.mark.parametrize("metric", ["l2", "cosine", "ip"])
+def test_nearest_of_a_task_in_slices_against_brute_force(spark, monkeypatch, metric):
+    draw = random.Random(5)
+    data = [(i, [draw.choice([-1.0, 0.0, 0.5, 3.0]) for _ in range(3)]) for i in draw.sample(range(900), 300)] + [(1000, None)]
+    stored, asked = spark.createDataFrame(data, "id long, vec array<double>").repartition(2), spark.createDataFrame(data[:9] + [(-1, None)], "query_id long, query_vec array<double>")
+    monkeypatch.setattr(S, "CELLS", 100)
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "40")
+    try:
+        assert S.met_in_batches(asked, stored, 4, metric, 6).count() == 9 * 4 * 2
+        found = S.nearest(asked, stored, 4, metric, vec="vec", places=6).collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
+    size = lambda v: math.sqrt(sum(x * x for x in v)) or 1e-10
+    inner = lambda a, b: sum(x * y for x, y in zip(a, b))
+    far = {"l2": lambda a, b: sum((x - y) ** 2 for x, y in zip(a, b)), "ip": lambda a, b: 1 - inner(a, b), "cosine": lambda a, b: 1 - inner(a, b) / (size(a) * size(b))}[metric]
+    for q, v in data[:9]:
+        want = sorted((round(far(v, w), 6), i) for i, w in data[:-1])[:4]
+        got = sorted((r["rank"], r["distance"], r["id"]) for r in found if r["query_id"] == q)
+        assert [r[2] for r in got] == [i for _, i in want] and [r[1] for r in got] == pytest.approx([d for d, _ in want], abs=1e-9)
