@@ -138,3 +138,23 @@ def test_patterns_are_worked_out_once_a_different_token(spark):
     rows = spark.createDataFrame([("the cat sat. The dog!", "en")] * 300, "text string, lang string").repartition(3)
     found = {(r["w"], r["after"]): r["n"] for r in B.occurrences(rows).collect()}
     assert found == {("the", None): 300, ("cat", None): 300, ("sat.", "The"): 300, ("The", None): 300, ("dog!", None): 300}
+
+
+def test_texts_are_cut_in_tasks_as_by_the_expression(spark, monkeypatch):
+    draw = random.Random(6)
+    bits = ["Dr.", "dr.", "ΟΔΟΣ.", "The", "the", "Meyer", "7.", "No.", "3,5.", "x.", "É.", "\"Dr.", "(etc.)", "...", "?!", "a.b.", "No.!", "end!", "was?", "-", "²", "日本。", "𝒳."]
+    gaps = [" ", " ", " ", "  ", "\n", "\t", "\x1c", "\x1f ", "\x85", "\xa0", "\u1680", "\u2003", "\u2028", "\u202f", "\u205f", "\u3000", "\u200b", "", "\r\n", "\x00"]
+    texts = ["".join(draw.choice(bits) + draw.choice(gaps) for _ in range(draw.randint(0, 12))) for _ in range(1500)] + [None, "", " ", ".", ". ", " .", "!\n", "\u2028.\u2028"]
+    rows = [(i, draw.choice(gaps) + t if t and i % 3 == 0 else t, draw.choice(["en", "de", "xx", None])) for i, t in enumerate(texts)]
+    terms = [(lang, kind, term, other, 1.0) for lang in ("en", "") for kind, term, other in [("abbreviation", "dr", None), ("abbreviation", "a.b", None), ("abbreviation", "οδος", None), ("starter", "the", None), ("starter", "meyer", None), ("collocation", "##", "meyer"), ("collocation", "no", "##")]]
+    docs, model = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3), spark.createDataFrame(terms, "lang string, kind string, term string, other string, score double")
+    want = {r["doc_id"]: r["sentences"] for r in B.sentences(docs, model, broadcast_terms=0).collect()}
+    monkeypatch.setattr(B, "SLICE", 200)
+    found = {r["doc_id"]: r["sentences"] for r in B.sentences(docs, model).collect()}
+    assert found == want and sum(map(len, want.values())) > 4000
+
+
+def test_the_model_is_worked_out_once(spark, corpus):
+    found = B.learn(corpus)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert found.count() > 0 and "Join" not in plan and "Exchange" not in plan
