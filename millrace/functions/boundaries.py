@@ -14,12 +14,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.functions import text as T
-from millrace.operators.keywords import SLICE, words
+from millrace.operators.keywords import words
 from millrace.operators.ordering import kept
 
 # Fixed values of the published method: the chance of a period after an abbreviation, and the thresholds.
 AFTER_ABBREVIATION, ABBREVIATION, STARTER, COLLOCATION = 0.99, 0.3, 30.0, 7.88
 NUMBER = "##"
+#: Bytes of text that are counted or cut together, or one text.
+TEXTS = 3_000_000
 Rule = Callable[[Column], Column]
 # Patterns of a token, for expressions and for the tasks.
 AROUND, PERIOD, DIGITS, CLOSING = r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}.]+$", r"\.$", r"^[\p{N}.,]+$", r"([.!?])[^\p{L}\p{N}.!?]*$"
@@ -51,11 +53,11 @@ def small(words_: pa.Array) -> pa.Array:
     return pc.replace_with_mask(out, odd, rest) if len(rest) else out
 
 
-def parts(column: pa.Array) -> Iterator[slice]:
+def parts(column: pa.Array, most: int) -> Iterator[slice]:
     """Stretches of a column of texts, each of a bounded number of bytes or one text."""
     ends, at = np.cumsum(pc.binary_length(column).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)), 0
     while at < len(column):
-        stop = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + SLICE, "right")))
+        stop = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, "right")))
         yield slice(at, stop)
         at = stop
 
@@ -89,7 +91,7 @@ def occurrences(docs: DataFrame, text: str = "text", lang: str = "lang") -> Data
 
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for frame in frames:
-            for its in parts(frame.column("text")):
+            for its in parts(frame.column("text"), TEXTS):
                 yield pa.RecordBatch.from_arrays([*tally(*(c[its] for c in frame.columns))], names=["lang", "w", "after", "n"])
 
     return read(docs, text, lang).mapInArrow(run, "lang string, w string, after string, n long").groupBy("lang", "w", "after").agg(F.sum("n").alias("n"))
@@ -103,7 +105,7 @@ def typed(docs: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
 
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for frame in frames:
-            for its in parts(frame.column("text")):
+            for its in parts(frame.column("text"), TEXTS):
                 yield from named(*tally(*(c[its] for c in frame.columns)))
 
     def named(lang: pa.Array, w: pa.Array, after: pa.Array, n: pa.Array) -> Iterator[pa.RecordBatch]:
@@ -276,9 +278,10 @@ class Cutter:
     def __init__(self, model: DataFrame):
         self.models = {r["lang"]: [pa.array(r[c], pa.string()) for c in ("abbreviations", "starters", "collocations")] for r in packed(model).collect()}
 
-    def __call__(self, texts: pa.Array, langs: pa.Array) -> pa.Array:
-        found = [self.cut(texts[its], langs[its]) for its in parts(texts)]
-        return pa.concat_arrays(found) if found else pa.array([], pa.list_(pa.string()))
+    def __call__(self, texts: pa.Array, langs: pa.Array) -> Iterator[pa.Array]:
+        """The sentences of each text, a slice at a time, so that no batch is held whole a second time."""
+        for its in parts(texts, TEXTS):
+            yield self.cut(texts[its], langs[its])
 
     def cut(self, texts: pa.Array, langs: pa.Array) -> pa.Array:
         texts = texts.cast(pa.string()).fill_null("")
@@ -353,7 +356,7 @@ def sentences(docs: DataFrame, model: DataFrame, text: str = "text", lang: str =
         @F.arrow_udf("array<string>")
         def run(columns: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
             for texts, langs in columns:
-                yield cutter(texts, langs)
+                yield from cutter(texts, langs)
 
         return docs.select(*[docs[c] for c in docs.columns], run(F.col(text), F.coalesce(F.col(lang), F.lit(""))).alias(name))
     rows = packed(model).withColumnRenamed("lang", "_lang")

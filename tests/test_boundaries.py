@@ -149,7 +149,7 @@ def test_texts_are_cut_in_tasks_as_by_the_expression(spark, monkeypatch):
     terms = [(lang, kind, term, other, 1.0) for lang in ("en", "") for kind, term, other in [("abbreviation", "dr", None), ("abbreviation", "a.b", None), ("abbreviation", "οδος", None), ("starter", "the", None), ("starter", "meyer", None), ("collocation", "##", "meyer"), ("collocation", "no", "##")]]
     docs, model = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3), spark.createDataFrame(terms, "lang string, kind string, term string, other string, score double")
     want = {r["doc_id"]: r["sentences"] for r in B.sentences(docs, model, broadcast_terms=0).collect()}
-    monkeypatch.setattr(B, "SLICE", 200)
+    monkeypatch.setattr(B, "TEXTS", 200)
     found = {r["doc_id"]: r["sentences"] for r in B.sentences(docs, model).collect()}
     assert found == want and sum(map(len, want.values())) > 4000
 
