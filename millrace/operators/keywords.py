@@ -29,7 +29,7 @@ SLICE = 6_000_000
 #: A term that so many documents of a cell have is a row of its own there.
 ALONE = 64
 #: Products of single entries made at once; a term is dense where one in so many pairs of query and document has it.
-PAIRS, DENSE = 2_000_000, 250
+PAIRS, DENSE = 50_000, 250
 #: A cell is a group of documents; postings name a document by its place in its cell. Rows of bucket -1 are the cells: the documents' ids and lengths.
 #: Other rows have ``terms`` of a cell: ``n`` documents each, with the greatest count and the least length, from ``start`` in the lists ``at`` and ``tf``.
 POSTINGS = "collection string, bucket int, slot int, term string, cell string, terms array<string>, start array<int>, n array<int>, most array<int>, least array<int>, at array<int>, tf array<int>, ids array<string>, dl array<int>"

@@ -118,7 +118,7 @@ def met_in_batches(asked: DataFrame, stored: DataFrame, n: int, metric: str, pla
     return stored.mapInArrow(run, f"query_id {kinds[0]}, id {kinds[1]}, distance double")
 
 
-def nearest(queries: DataFrame, stored: DataFrame, n: int = 5, metric: str = "l2", id_: str = "id", vec: str = "embedding", query_id: str = "query_id", query_vec: str = "query_vec", block_rows: int = 2000, places: int | None = None, query_rows: int | None = None) -> DataFrame:
+def nearest(queries: DataFrame, stored: DataFrame, n: int = 5, metric: str = "l2", id_: str = "id", vec: str = "embedding", query_id: str = "query_id", query_vec: str = "query_vec", block_rows: int = 5000, places: int | None = None, query_rows: int | None = None) -> DataFrame:
     """The ``n`` nearest of ``stored`` to each query: ``query_id``, ``rank`` (from 0), ``id``, ``distance``.
 
     Queries are a stated set. They are sent to the stored vectors in blocks of about ``block_rows``, and each block's
@@ -250,7 +250,7 @@ def slices(frame: pa.RecordBatch, most: int, tokens: int) -> Iterator[pa.RecordB
         at += part.num_rows
 
 
-def bm25_top(queries: DataFrame, docs: DataFrame, n: int = 5, id_: str = "id", text: str = "document", order: str | None = None, query_id: str = "query_id", query: str = "query", places: int | None = None, block_rows: int = 2000, block_terms: int = 1_000_000) -> DataFrame:
+def bm25_top(queries: DataFrame, docs: DataFrame, n: int = 5, id_: str = "id", text: str = "document", order: str | None = None, query_id: str = "query_id", query: str = "query", places: int | None = None, block_rows: int = 5000, block_terms: int = 1_500_000) -> DataFrame:
     """The ``n`` best documents for each query by BM25: ``query_id``, ``rank`` (from 0), ``id``, ``score``.
 
     A term counts as often as the query repeats it. Statistics cover all documents. Documents without a query term score
